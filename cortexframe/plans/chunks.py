@@ -26,6 +26,18 @@ def signal_chunks(df: DataFrame, size: int = CHUNK_SAMPLES, index: str = "sample
     return df.withColumn(CHUNK, F.floor(F.col(index) / size).cast("bigint"))
 
 
+def sample_halo(df: DataFrame, before: int, after: int, size: int = CHUNK_SAMPLES, index: str = "sample_idx") -> DataFrame:
+    """Repeat the rows near a chunk border in the neighbouring chunk.
+
+    A window over ``(keys, chunk)`` then sees ``before`` rows to the left and ``after`` to the right of every
+    own row (``_own``), so ``lag`` / ``lead`` on a dense index need one shuffle and no per-series task.
+    """
+    first = F.floor((F.col(index) - after) / size).cast("bigint")
+    last = F.floor((F.col(index) + before) / size).cast("bigint")
+    out = df.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    return out.withColumn("_own", F.floor(F.col(index) / size) == F.col(CHUNK))
+
+
 def range_chunks(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Number balanced chunks of ``(keys, order)``; a hot key simply spans many chunks."""
     cols = [F.col(c) for c in [*keys, *order]]

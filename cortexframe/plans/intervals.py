@@ -50,10 +50,15 @@ def covered(
 ) -> DataFrame:
     """Keep samples outside (``left_anti``) or inside (``left_semi``) the sample ranges ``[s, e)``.
 
+    ``how="flag"`` keeps all samples and adds a boolean ``inside``.
+
     Both sides meet on ``(keys, chunk)``; ranges are merged before, so a sample meets at most one of them.
     """
     ranges = sample_ranges(intervals, keys, size).alias("r")
     left = samples.withColumn(CHUNK, F.floor(F.col(index) / size).cast("bigint")).alias("l")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, CHUNK]]
     cond += [F.col(f"l.{index}") >= F.col("r.s"), F.col(f"l.{index}") < F.col("r.e")]
+    if how == "flag":
+        joined = left.join(ranges, cond, "left")
+        return joined.select(*[F.col(f"l.{c}") for c in samples.columns], F.col("r.s").isNotNull().alias("inside"))
     return left.join(ranges, cond, how).drop(CHUNK)

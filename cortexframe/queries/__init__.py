@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills ``QUERIES`` and ``ORACLES``."""
 
-from . import spectra_q  # noqa: F401
+from . import aggregates_q, channels_q, events_q, signals_q, spectra_q, windows_q  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -172,15 +172,13 @@ PREDICTIONS2 = """predictions AS (
 
 def stages(spark, sf):
     """F8: one stage per 30 labels."""
-    return labels(spark, sf).filter("sample_idx % 30 = 0").select(
-        "recording_id", F.floor(F.col("sample_idx") / 30).cast("bigint").alias("epoch_idx"),
-        F.col("label").alias("sleep_stage"),
-    )
+    epoch = F.floor(F.col("sample_idx") / 30).cast("bigint").alias("epoch_idx")
+    return labels(spark, sf).groupBy("recording_id", epoch).agg(F.min_by("label", "sample_idx").alias("sleep_stage"))
 
 
 STAGES = LABELS + """,
 stages AS (
-  SELECT recording_id, sample_idx // 30 AS epoch_idx, label AS sleep_stage FROM seq WHERE sample_idx % 30 = 0)"""
+  SELECT recording_id, sample_idx // 30 AS epoch_idx, arg_min(label, sample_idx) AS sleep_stage FROM seq GROUP BY ALL)"""
 
 
 def registry(spark, sf):
