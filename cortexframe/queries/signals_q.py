@@ -63,7 +63,7 @@ def prj10(spark, sf):
 
 
 @query("prj10_apply_gain", W + """,
-g AS (SELECT recording_id, channel, CAST(min(sample_idx) + length(channel) - 3 AS DOUBLE) AS gain FROM signals GROUP BY ALL)
+g AS (SELECT recording_id, channel, CAST(min(sample_idx + length(channel) - 3) AS DOUBLE) AS gain FROM signals GROUP BY ALL)
 SELECT recording_id, channel, sample_idx, round(CASE WHEN gain <> 1 THEN value / gain ELSE value END, 6) + 0 AS value
 FROM signals JOIN g USING (recording_id, channel)""")
 def prj10b(spark, sf):

@@ -67,7 +67,8 @@ def win5(spark, sf):
 
 @query("win6_local_maxima", W + """
 SELECT recording_id, channel, sample_idx, value FROM signals
-QUALIFY value > lag(value) OVER w AND value > lead(value) OVER w WINDOW w AS (PARTITION BY recording_id, channel ORDER BY sample_idx)""")
+WINDOW w AS (PARTITION BY recording_id, channel ORDER BY sample_idx)
+QUALIFY value > lag(value) OVER w AND value > lead(value) OVER w""")
 def win6(spark, sf):
     return wn.local_maxima(fx.signals(spark, sf))
 
