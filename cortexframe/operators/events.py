@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,28 +115,15 @@ def debounce_markers(markers: DataFrame, total: DataFrame, gap: float = 3.0, tai
     """Keep the first marker; keep a later one only if it comes more than ``gap`` s after the last kept one and
     more than ``tail`` s before the recording ends.
 
-    A pause longer than ``gap`` restarts the rule, so markers are cut into bursts at such pauses and only a
-    burst is walked sequentially. Equal onsets collapse to their first marker beforehand.
+    Equal onsets collapse to their first marker beforehand.
     """
     once = markers.groupBy("recording_id", "onset").agg(F.min_by("sequence", "event_id").alias("sequence"))
     firsts = once.groupBy("recording_id").agg(F.min("onset").alias("_first"))
     allowed = spread_join(once, firsts.join(total, "recording_id"), ["recording_id"], "onset").filter(
         (F.col("onset") == F.col("_first")) | (F.col("total") - F.col("onset") > tail)
     ).select("recording_id", "onset", "sequence")
-    chunked = range_chunks(allowed, ["recording_id"], ["onset"])
-    prev = neighbour(chunked, ["recording_id"], ["onset"], ["onset"], -1, "_prev")
-    opens = F.when(F.col("_prev").isNull() | (F.col("onset") - F.col("_prev.onset") > gap), 1).otherwise(0)
-    burst = running(prev.withColumn("_open", opens), ["recording_id"], ["onset"], {"_burst": ("sum", F.col("_open"))})
-    packed = burst.groupBy("recording_id", "_burst").agg(
-        F.array_sort(F.collect_list(F.struct("onset", "sequence"))).alias("_m")
-    )
-    kept = F.aggregate(
-        F.slice("_m", 2, F.greatest(F.size("_m") - 1, F.lit(0))), F.slice("_m", 1, 1),
-        lambda acc, m: F.when(
-            m["onset"] - F.element_at(acc, -1)["onset"] > gap, F.concat(acc, F.array(m))
-        ).otherwise(acc),
-    )
-    return packed.select("recording_id", F.explode(kept).alias("k")).select("recording_id", "k.onset", "k.sequence")
+    kept = keep_spaced(allowed, ["recording_id"], "onset", gap)
+    return allowed.join(kept, ["recording_id", "onset"])
 
 
 def markers_to_segments(markers: DataFrame) -> DataFrame:
@@ -254,3 +243,33 @@ def annotate_bad_epochs(bad: DataFrame, totals: DataFrame, length: float, existi
         F.concat(F.lit("bad_epoch_"), F.col("_i").cast("string")).alias("description"),
     ).filter("duration > 0")
     return out if existing is None else existing.select(*out.columns).unionByName(out)
+
+
+def keep_spaced(df: DataFrame, keys: list[str], order: str, gap: float) -> DataFrame:
+    """Keep the first row of a key and every later one more than ``gap`` after the last kept one.
+
+    The rule restarts after any pause longer than ``gap``; only the bursts between such pauses are walked.
+    """
+    chunked = range_chunks(df.select(*keys, order).distinct(), keys, [order])
+    prev = neighbour(chunked, keys, [order], [order], -1, "_prev")
+    opens = F.when(F.col("_prev").isNull() | (F.col(order) - F.col(f"_prev.{order}") > gap), 1).otherwise(0)
+    burst = running(prev.withColumn("_open", opens), keys, [order], {"_burst": ("sum", F.col("_open"))})
+    packed = burst.groupBy(*keys, "_burst").agg(F.array_sort(F.collect_list(order)).alias("_o"))
+    kind = df.schema[order].dataType.simpleString()
+
+    @F.pandas_udf(f"array<{kind}>")
+    def walk(bursts: pd.Series) -> pd.Series:
+        out = []
+        for o in bursts:
+            o = np.asarray(o)
+            kept, i = [], 0
+            while i < len(o):
+                kept.append(o[i])
+                j = max(i + 1, int(np.searchsorted(o, o[i] + gap)) - 1)
+                while j < len(o) and not o[j] - o[i] > gap:
+                    j += 1
+                i = j
+            out.append(kept)
+        return pd.Series(out, dtype=object)
+
+    return packed.select(*keys, F.explode(walk("_o")).alias(order))

@@ -163,8 +163,8 @@ def kl_criterion(curve: DataFrame, keys: list[str] = ["recording_id"]) -> DataFr
     )
 
 
-def _partial_grams(peaks: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
-    """One pass over the peaks for all runs: per run the Gram matrix of every label and the explained energy.
+def _label_grams(peaks: DataFrame, runs: list[np.ndarray]) -> list[np.ndarray]:
+    """One pass over the peaks for all runs: per run the Gram matrix of every label.
 
     Each task adds up its rows and emits one row per (run, label); only these are shuffled and collected.
     """
@@ -172,34 +172,26 @@ def _partial_grams(peaks: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.nd
 
     def add(batches):
         sums = [np.zeros((len(m), n_ch, n_ch)) for m in runs]
-        n, power = 0, 0.0
         for b in batches:
             x = np.stack(b["values"].to_numpy()) if len(b) else np.zeros((0, n_ch))
             if not len(x):
                 continue
             g = x.std(axis=1)
-            n += len(x)
-            power += float((x**2).sum())
             for r, m in enumerate(runs):
                 label, _ = _fit(x, g, m)
                 for k in range(len(m)):
                     xk = x[label == k]
                     sums[r][k] += xk.T @ xk
-        rows = [(r, k, s.ravel(), power if r == k == 0 else 0.0, n if r == k == 0 else 0)
-                for r, ss in enumerate(sums) for k, s in enumerate(ss)]
-        yield pd.DataFrame(rows, columns=["run", "k", "s", "power", "n"])
+        rows = [(r, k, s.ravel()) for r, ss in enumerate(sums) for k, s in enumerate(ss)]
+        yield pd.DataFrame(rows, columns=["run", "k", "s"])
 
-    parts = peaks.select("values").mapInPandas(add, "run int, k int, s array<double>, power double, n bigint")
-    flat = parts.select("run", "k", "power", "n", F.posexplode("s").alias("i", "v"))
+    parts = peaks.select("values").mapInPandas(add, "run int, k int, s array<double>")
+    flat = parts.select("run", "k", F.posexplode("s").alias("i", "v"))
     total = flat.groupBy("run", "k", "i").agg(F.sum("v").alias("v")).groupBy("run", "k").agg(
         F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("s")
     )
-    head = parts.agg(F.sum("power").alias("p"), F.sum("n").alias("n")).first()
     got = {(r["run"], r["k"]): np.array(r["s"]).reshape(n_ch, n_ch) for r in total.collect()}  # runs * k matrices
-    out = []
-    for r, m in enumerate(runs):
-        out.append(np.stack([got[r, k] for k in range(len(m))]))
-    return out, head["p"], head["n"]
+    return [np.stack([got[r, k] for k in range(len(m))]) for r, m in enumerate(runs)]
 
 
 def _seed_maps(peaks: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -219,6 +211,8 @@ def kmeans_restarts(
     stored = materialize(gfp_peaks(frames).select("recording_id", "sample_idx", "values"))
     runs = [_seed_maps(stored, k, seed + r) for r in range(restarts)]
     n_ch = runs[0].shape[1]
+    energy = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
+    power, n = stored.agg(F.sum(energy), F.count(F.lit(1))).first()
     var = [1.0] * restarts
     prev = [0.0] * restarts
     active = list(range(restarts))
@@ -226,8 +220,7 @@ def kmeans_restarts(
         active = [r for r in active if abs((var[r] - prev[r]) / var[r]) > max_err]
         if not active:
             break
-        grams, power, n = _partial_grams(stored, [runs[r] for r in active])
-        for r, s in zip(active, grams):
+        for r, s in zip(active, _label_grams(stored, [runs[r] for r in active])):
             maps = np.zeros_like(runs[r])
             explained = 0.0
             for j in range(k):

@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills ``QUERIES`` and ``ORACLES``."""
 
-from . import aggregates_q, channels_q, events_q, microstates_q, sequences_q, signals_q, spectra_q, stats_q, windows_q  # noqa: F401
+from . import aggregates_q, artifacts_q, channels_q, events_q, microstates_q, sequences_q, signals_q, spectra_q, stats_q, windows_q  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
