@@ -12,6 +12,7 @@ from ..functions.spline import spline_weights
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, with_halo
 from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, exact_quantiles, sample_halo, spread_join
 from ..plans.joins import lookup_join
+from ..plans.materialize import materialize
 from .aggregates import NORMAL_MAD
 from .channels import drop_channels, nearest_channels
 from .events import keep_spaced
@@ -51,7 +52,7 @@ def hf_noise(signals: DataFrame, fs: float, high: float = 20.0, low: float = 30.
     """Ratio of the spread above ``high`` to the spread below ``low`` per channel, and its robust z."""
     hp = butter_filtfilt(signals, fs, 4, (high, None), block).withColumn("band", F.lit("hp"))
     lp = butter_filtfilt(signals, fs, 4, (None, low), block).withColumn("band", F.lit("lp"))
-    m = mad(hp.unionByName(lp), [*SERIES, "band"])
+    m = mad(materialize(hp.unionByName(lp)), [*SERIES, "band"])
     wide = m.groupBy(*SERIES).agg(
         F.max(F.when(F.col("band") == "hp", F.col("mad"))).alias("hp"), F.max(F.when(F.col("band") == "lp", F.col("mad"))).alias("lp"))
     ratio = F.when(F.col("lp") > 0, F.try_divide(F.col("hp"), F.col("lp"))).otherwise(float("inf"))
@@ -80,7 +81,7 @@ def neighbor_correlation(signals: DataFrame, channels: DataFrame, k: int = 3, ca
     the correlation.
     """
     near = nearest_channels(channels, k)
-    data = gather_neighbors(signals, near).filter(F.forall("neighbor_values", lambda v: v.isNotNull()))
+    data = materialize(gather_neighbors(signals, near).filter(F.forall("neighbor_values", lambda v: v.isNotNull())))
     size = data.groupBy(*SERIES).agg((F.max("sample_idx") + 1).alias("_n"), F.first(F.size("neighbor_values")).alias("_k"))
     pick = size.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn(
         "pt", F.explode(F.sequence(F.lit(0), F.least(F.col("_k"), F.lit(3)) - 1)))
@@ -93,12 +94,12 @@ def neighbor_correlation(signals: DataFrame, channels: DataFrame, k: int = 3, ca
     def solve(p: pd.Series) -> pd.Series:
         return pd.Series([_min_norm_fit(x) for x in p], dtype=object)
 
-    models = packed.select(*SERIES, "cand", solve("p").alias("m")).groupBy(*SERIES).agg(
-        F.array_sort(F.collect_list(F.struct("cand", "m")))["m"].alias("models"))
+    models = materialize(packed.select(*SERIES, "cand", solve("p").alias("m")).groupBy(*SERIES).agg(
+        F.array_sort(F.collect_list(F.struct("cand", "m")))["m"].alias("models")))
     y = data.select(*SERIES, "sample_idx", "value")
     med = exact_quantiles(y, SERIES, "value", {"_med": 0.5})
     dev = spread_join(y, med, SERIES, "sample_idx").withColumn("_d", F.abs(F.col("value") - F.col("_med")))
-    limit = exact_quantiles(dev, SERIES, "_d", {"_limit": 0.5})
+    limit = materialize(exact_quantiles(dev, SERIES, "_d", {"_limit": 0.5}))
 
     def predict(model):
         terms = F.zip_with(F.col("neighbor_values"), F.slice(model, 1, F.size("neighbor_values")), lambda v, c: v * c)
@@ -225,17 +226,20 @@ def _with_deviation(stats: DataFrame) -> DataFrame:
     return spread_join(stats, overall, SERIES, "epoch_idx").withColumn("deviation", F.col("mean") - F.col("_cm")).drop("_cm")
 
 
-def faster_epochs(epochs: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """Epochs that stand out over the epochs of their recording in mean range, variance or deviation."""
-    s = _with_deviation(epoch_channel_stats(epochs))
+def faster_epochs(epochs: DataFrame, threshold: float = 5.0, stats: DataFrame | None = None) -> DataFrame:
+    """Epochs that stand out over the epochs of their recording in mean range, variance or deviation.
+
+    ``stats`` takes the stored result of ``epoch_channel_stats``.
+    """
+    s = _with_deviation(stats if stats is not None else epoch_channel_stats(epochs))
     metrics = ["amplitude", "variance", "deviation"]
     per = s.groupBy(*EPOCH).agg(*[F.avg(m).alias(m) for m in metrics])
     return _zscores(per, ["recording_id"], metrics).withColumn("is_bad", _outlier(metrics, threshold))
 
 
-def faster_channels_in_epochs(epochs: DataFrame, threshold: float = 3.0) -> DataFrame:
+def faster_channels_in_epochs(epochs: DataFrame, threshold: float = 3.0, stats: DataFrame | None = None) -> DataFrame:
     """Channels that stand out over the channels of one epoch."""
-    s = _with_deviation(epoch_channel_stats(epochs))
+    s = _with_deviation(stats if stats is not None else epoch_channel_stats(epochs))
     metrics = ["amplitude", "variance", "deviation", "median_gradient"]
     return _zscores(s, EPOCH, metrics, bounded=True).withColumn("is_bad", _outlier(metrics, threshold))
 
@@ -380,8 +384,9 @@ def epoch_review(signals: DataFrame, fs: float, length: float = 1.0, epoch_thres
         flags = flag_epochs(ep.select(*EPOCH).distinct(), stim, length, fs)
         judged = ep.join(flags.filter(~F.col("is_stim")).select(*EPOCH), EPOCH, "left_semi")
         rate = 0.2
-    bad_ep = faster_epochs(judged, epoch_threshold).select(*EPOCH, "is_bad")
-    bad_ch = faster_channels_in_epochs(judged, channel_threshold).filter("is_bad").select(*EPOCH, "channel")
+    stats = materialize(epoch_channel_stats(judged))  # one row per epoch and channel, used by both tests
+    bad_ep = faster_epochs(judged, epoch_threshold, stats).select(*EPOCH, "is_bad")
+    bad_ch = faster_channels_in_epochs(judged, channel_threshold, stats).filter("is_bad").select(*EPOCH, "channel")
     lists = bad_ch.groupBy(*EPOCH).agg(F.array_sort(F.collect_set("channel")).alias("bad_channels"))
     table = bad_ep.join(lists, EPOCH, "left").withColumn(
         "bad_channels", F.coalesce("bad_channels", F.array().cast("array<string>")))

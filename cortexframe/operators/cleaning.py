@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import to_frames
 from ..plans.chunks import SERIES
 from ..plans.joins import lookup_join
+from ..plans.materialize import materialize
 from . import artifacts as art
 from .events import annotate_bad_epochs, mask_samples
 from .ica import IcaModel, ica_apply, ica_fit, select_components
@@ -43,7 +44,7 @@ def clean(
     """
     calm = signals if stim is None else mask_samples(signals, stim, fs)
     none = channels.select(*SERIES).limit(0)
-    bads = art.detect_bad_channels(calm, channels, fs) if remove_bad else none
+    bads = materialize(art.detect_bad_channels(calm, channels, fs)) if remove_bad else none
     good, aside = art.remove_bad(signals, bads) if remove_bad else (signals, None)
     if use_ica:
         frames = to_frames(good, names)
@@ -54,11 +55,12 @@ def clean(
         cleaned = frames_to_signals(ica_apply(frames, ica_model, drop), names)
         if stim is not None:
             cleaned = mask_samples(cleaned, stim, fs).unionByName(mask_samples(good, stim, fs, "inside").select(*cleaned.columns))
-        good = cleaned
+        good = materialize(cleaned)
     epochs, often = None, none
     if use_faster:
         n = int(epoch_seconds * fs)
         table, often = art.epoch_review(good, fs, epoch_seconds, 5.0 if stim is None else 3.0, 3.0, stim)
+        table, often = materialize(table), materialize(often)
         epochs = art.epoch_policy(table, often, len(names), max_bad_frac) if stim is None else art.epoch_policy_stim(table)
         lists = epochs.filter("action = 'repaired'").select("recording_id", "epoch_idx", F.col("bad_channels").alias("bads"))
         good = _repair(good, names, positions, lists, ["recording_id", "epoch_idx"], n)

@@ -11,6 +11,7 @@ from ..functions import signal as sg
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, to_samples, with_halo
 from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sample_halo, spread_join
 from ..plans.joins import lookup_join
+from ..plans.materialize import materialize
 from .aggregates import standardize
 from .signals import drop_nonfinite_series
 
@@ -127,13 +128,19 @@ def detrend_linear(signals: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return out.withColumn("value", F.col("value") - fit).select(*signals.columns)
 
 
-def resample_linear(signals: DataFrame, fs: float, fs_new: float, keys: list[str] = SERIES, chunk: int = CHUNK_SAMPLES) -> DataFrame:
+def series_sizes(signals: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Samples per series; on stored signals this reads only the key and index columns."""
+    return signals.groupBy(*keys).agg((F.max("sample_idx") + 1).alias("n_samples"))
+
+
+def resample_linear(signals: DataFrame, fs: float, fs_new: float, keys: list[str] = SERIES, chunk: int = CHUNK_SAMPLES,
+                    sizes: DataFrame | None = None) -> DataFrame:
     """``int(duration * fs_new)`` points at ``j * n / n2`` by linear interpolation, held at the right end.
 
     Every sample emits the new points that start at it, with its successor from the same chunk (or its halo):
-    one shuffle and no generated time axis.
+    one shuffle and no generated time axis. ``sizes`` spares a second evaluation of a filtered input.
     """
-    size = signals.groupBy(*keys).agg((F.max("sample_idx") + 1).alias("_n"))
+    size = (sizes if sizes is not None else series_sizes(signals, keys)).withColumnRenamed("n_samples", "_n")
     size = size.withColumn("_n2", (F.col("_n") / F.lit(float(fs)) * F.lit(float(fs_new))).cast("bigint"))
     halo = sample_halo(spread_join(signals, size, keys, "sample_idx"), 0, 1, chunk)
     w = Window.partitionBy(*keys, CHUNK).orderBy("sample_idx")
@@ -150,7 +157,8 @@ def resample_record(signals: DataFrame, fs: float, fs_new: float, block: int = B
     src = signals
     if fs > fs_new:
         src = butter_filtfilt(signals, fs, 4, (None, min(fs_new / 2, fs / 2 * 0.999999)), block)
-    return drop_nonfinite_series(standardize(resample_linear(src, fs, fs_new)))
+    new = materialize(resample_linear(src, fs, fs_new, sizes=series_sizes(signals)))  # read again for the moments
+    return standardize(drop_nonfinite_series(new))
 
 
 def resample_bandlimited(signals: DataFrame, fs: float, fs_new: float, zeros: int = 32, block: int = BLOCK_SAMPLES,

@@ -138,57 +138,54 @@ def arc8b(spark, sf):
     return rounded(ar.run_per_recording(fx.signals(spark, sf), fs=128.0), "value")
 
 
-@query("src1_discover_recordings")
-def src1(spark, sf):
-    return src.discover_recordings(spark, _touch(spark, sf)).select(F.regexp_extract("file_path", "([^/]+)$", 1).alias("file"), "position")
-
+def _folders(spark, sf):
+    """Supplier rows as one folder per nation with one file each."""
+    path = scratch(spark, "listing")
+    sup = fx.table(spark, sf, "supplier").join(F.broadcast(fx.table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    sup.select("n_name", "s_suppkey", "s_acctbal").repartition("n_name").write.partitionBy("n_name").parquet(path)
+    return path
 
-def _touch(spark, sf):
-    """Small placeholder recordings, one folder per nation: their names are what is listed."""
-    import os
 
-    root = scratch(spark, "listing").replace("file:", "")
-    rows = fx.table(spark, sf, "nation").select("n_nationkey", "n_name").limit(200).collect()  # one row per nation
-    for k, name in rows:
-        os.makedirs(f"{root}/{name}", exist_ok=True)
-        for f in (f"run_{k}.bdf", f"run_{k}_2.EDF", f"notes_{k}.txt"):
-            with open(f"{root}/{name}/{f}", "wb") as h:
-                h.write(b"x" * (k + 1))
-    return root
+@query("src1_discover_recordings", """
+SELECT 'n_name=' || n_name AS folder, row_number() OVER (ORDER BY n_nationkey) - 1 AS position FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)""")
+def src1(spark, sf):
+    out = src.discover_recordings(spark, _folders(spark, sf), ("parquet",))
+    return out.select(F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1).alias("folder"), "position")
 
 
 @query("src2_list_sessions", """
-SELECT n_name AS session, 2::BIGINT AS n_files, row_number() OVER (ORDER BY n_nationkey) - 1 AS subject_offset FROM nation""")
+SELECT 'n_name=' || n_name AS session, 1::BIGINT AS n_files, row_number() OVER (ORDER BY n_nationkey) - 1 AS subject_offset FROM nation
+WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)""")
 def src2(spark, sf):
-    root = _touch(spark, sf)
-    return src.list_sessions(src.discover_recordings(spark, root), root)
+    root = _folders(spark, sf)
+    return src.list_sessions(src.discover_recordings(spark, root, ("parquet",)), root)
 
 
 @query("src4_read_wfdb_headers", """
-SELECT CAST(n_nationkey AS VARCHAR) AS recording_id, 200.0::DOUBLE AS fs, n_nationkey * 1000::BIGINT AS n_samples, CAST(i AS BIGINT) AS channel_order,
-  CASE WHEN i = 0 THEN n_name ELSE 'EEG' || (i + 1) END AS channel, CASE WHEN i = 0 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS gain
-FROM nation, (SELECT unnest(range(3)) AS i)""")
+WITH h AS (SELECT s_nationkey AS k, count(*) + 1 AS nch, sum(s_suppkey) * 1000 AS n FROM supplier GROUP BY 1)
+SELECT CAST(s_nationkey AS VARCHAR) AS recording_id, 200.0::DOUBLE AS fs, CAST(n AS BIGINT) AS n_samples, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS channel_order,
+  s_name AS channel, CASE WHEN s_suppkey % 2 = 0 THEN 1.0::DOUBLE ELSE CAST(s_suppkey AS DOUBLE) END AS gain FROM supplier JOIN h ON k = s_nationkey
+UNION ALL SELECT CAST(k AS VARCHAR), 200.0::DOUBLE, CAST(n AS BIGINT), nch - 1, 'EEG' || nch, 1.0::DOUBLE FROM h""")
 def src4(spark, sf):
-    path = scratch(spark, "hea").replace("file:", "")
-    import os
-
-    os.makedirs(path)
-    for k, name in fx.table(spark, sf, "nation").select("n_nationkey", "n_name").collect():  # one small header per nation
-        with open(f"{path}/{k}.hea", "w") as f:
-            f.write(f"{k} 3 200 {k * 1000}\n{k}.mat 16+24 2.5/uV 16 0 -9 139 0 {name}\nbroken line\n")
-    return src.read_wfdb_headers(spark, path)
+    path = scratch(spark, "hea")
+    k = F.col("s_suppkey").cast("string")
+    gain = F.when(F.col("s_suppkey") % 2 == 0, "x").otherwise(k)
+    line = F.concat(F.lit("a.mat 16+24 "), gain, F.lit("/uV 16 0 -9 139 0 "), F.col("s_name"))
+    per = fx.table(spark, sf, "supplier").groupBy("s_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line"))))["line"].alias("lines"),
+        F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("total"))
+    head = F.concat_ws(" ", F.col("s_nationkey").cast("string"), (F.col("n") + 1).cast("string"), F.lit("200"), (F.col("total") * 1000).cast("string"))
+    text = per.select("s_nationkey", F.concat_ws("\n", head, "lines").alias("value"))  # the last line is missing
+    text.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return src.read_wfdb_headers(spark, path, "*.txt")
 
 
 @query("src6_read_hypnograms", "WITH " + fx.STAGES + " SELECT recording_id, epoch_idx, sleep_stage FROM stages")
 def src6(spark, sf):
-    path = scratch(spark, "hyp").replace("file:", "")
-    import os
-
-    os.makedirs(path)
-    st = fx.stages(spark, sf)
-    for rec in [r[0] for r in st.select("recording_id").distinct().collect()]:  # four test recordings
-        st.filter(F.col("recording_id") == rec).orderBy("epoch_idx").select("sleep_stage").toPandas().to_csv(f"{path}/{rec}.csv", index=False)
-    return src.read_hypnograms(spark, path)
+    path = scratch(spark, "hyp")
+    st = fx.stages(spark, sf).repartition("recording_id").sortWithinPartitions("recording_id", "epoch_idx")
+    st.select("recording_id", "sleep_stage").write.partitionBy("recording_id").option("header", True).csv(path)
+    return src.read_hypnograms(spark, path, name=r"recording_id=([^/]+)/")
 
 
 @query("src7_read_split_manifest", """

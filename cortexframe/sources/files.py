@@ -29,13 +29,13 @@ def list_sessions(files: DataFrame, root: str) -> DataFrame:
     return tagged.groupBy("session").agg(F.count(F.lit(1)).alias("n_files")).join(ranked, "session")
 
 
-def read_wfdb_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_wfdb_headers(spark: SparkSession, path: str, pattern: str = "*.hea") -> DataFrame:
     """One row per channel of every text header: name is the ninth token, gain the number before ``/`` in the third.
 
     Short lines become ``EEG<i>`` with gain 1; missing lines are padded up to the channel count.
     """
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.hea", recursiveFileLookup=True)
-    lines = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     head = F.split(F.get(lines, F.lit(0)), r"\s+")
     base = raw.select(
         lines.alias("_l"), F.get(head, F.lit(0)).alias("recording_id"), F.get(head, F.lit(1)).cast("int").alias("n_channels"),
@@ -50,11 +50,14 @@ def read_wfdb_headers(spark: SparkSession, path: str) -> DataFrame:
         F.when(full, gain).otherwise(1.0).alias("gain"))
 
 
-def read_hypnograms(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Stage per epoch from CSV files with a ``sleep_stage`` column; file stem = recording, row number = epoch."""
+def read_hypnograms(spark: SparkSession, path: str, recursive: bool = True, name: str = r"([^/]+)\.csv$") -> DataFrame:
+    """Stage per epoch from CSV files with a ``sleep_stage`` column, one file per recording.
+
+    The row number is the epoch; the recording is the file stem, or what ``name`` captures from the path.
+    """
     raw = spark.read.option("header", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.csv").csv(path)
     rows = raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1).alias("recording_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("recording_id"),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_row"), F.col("sleep_stage").cast("bigint").alias("sleep_stage"))
     return sequence_index(rows, ["_file"], ["_at", "_row"], "epoch_idx").select("recording_id", "epoch_idx", "sleep_stage")
