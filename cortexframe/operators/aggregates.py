@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import CHUNK, SERIES, exact_quantiles, spread_join
+from ..plans.chunks import CHUNK, SERIES, exact_quantiles
+from ..plans.joins import spread_join
 
 
 def mean_sem(df: DataFrame, keys: list[str], value: str = "power_db") -> DataFrame:
@@ -57,8 +58,8 @@ def class_weights(labels: DataFrame, k: int, mode: str = "inverse", label: str =
     counts = class_counts(labels, k, label)
     base = F.col("n") + 1e-6
     counts = counts.withColumn("_w", 1 / (base if mode == "inverse" else F.sqrt(base)))
-    total = counts.agg(F.sum("_w").alias("_sum"))  # k rows reduced to one
-    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_w") / F.col("_sum") * k).alias("weight"))
+    total = F.sum("_w").over(Window.partitionBy(F.lit(0)))  # k rows
+    return counts.select(label, "n", (F.col("_w") / total * k).alias("weight"))
 
 
 def peak_to_peak(signals: DataFrame, window: int, keys: list[str] = SERIES) -> DataFrame:
@@ -86,7 +87,8 @@ NORMAL_MAD = 0.6744897501960817  # third quartile of the standard normal distrib
 
 def _attach(df: DataFrame, stats: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     if not keys:
-        return df.crossJoin(F.broadcast(stats))  # one row
+        row = stats.first()
+        return df.select("*", *[F.lit(row[c]).alias(c) for c in stats.columns])
     return spread_join(df, stats, keys, spread)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import signal as sg
 from ..functions.spline import spline_weights
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, with_halo
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, exact_quantiles, sample_halo, spread_join
-from ..plans.joins import lookup_join
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, exact_quantiles, sample_halo
+from ..plans.joins import lookup_join, spread_join
 from ..plans.materialize import materialize
 from .aggregates import NORMAL_MAD
 from .channels import drop_channels, nearest_channels

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as sg
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, to_samples, with_halo
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sample_halo, spread_join
-from ..plans.joins import lookup_join
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sample_halo
+from ..plans.joins import lookup_join, spread_join
 from ..plans.materialize import materialize
 from .aggregates import standardize
 from .signals import drop_nonfinite_series

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import SERIES, spread_join
-from ..plans.joins import bounded_collect
+from ..plans.chunks import SERIES
+from ..plans.joins import bounded_collect, spread_join
 from ..plans.materialize import materialize
 
 # Component classes that count as artifacts.

@@ -104,12 +104,11 @@ def fit_back_peaks(frames: DataFrame, maps: np.ndarray, threshold: float | None
 def gev(frames: DataFrame, maps: np.ndarray) -> DataFrame:
     """Explained variance share per map at the field-power peaks, and the total in every row."""
     fitted = assign_maps(gfp_peaks(frames), maps)
-    ids = frames.sparkSession.range(len(maps)).select(F.col("id").alias("label"))
     part = fitted.groupBy("recording_id", "label").agg(
         F.sum(F.col("gfp") ** 2 * F.col("corr") ** 2).alias("_e"), F.sum(F.col("gfp") ** 2).alias("_p")
     )
     recs = part.groupBy("recording_id").agg(F.sum("_p").alias("_all"), F.sum("_e").alias("_te"))
-    grid = recs.crossJoin(F.broadcast(ids))  # k rows
+    grid = recs.withColumn("label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(maps) - 1).cast("bigint"))))
     out = grid.join(part.drop("_p"), ["recording_id", "label"], "left")
     return out.select(
         "recording_id", "label", (F.coalesce("_e", F.lit(0.0)) / F.col("_all")).alias("gev"),

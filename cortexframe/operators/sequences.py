@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, running, runs, sample_halo, signal_chunks, spread_join
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, running, runs, sample_halo, signal_chunks
+from ..plans.joins import spread_join
 from .windows import sliding_windows
 
 REC = ["recording_id"]

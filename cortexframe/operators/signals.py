@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, spread_join
-from ..plans.joins import lookup_join
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES
+from ..plans.joins import lookup_join, spread_join
 
 
 def crop(signals: DataFrame, tmin: float, tmax: float, fs: float) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, runs, sample_halo, signal_chunks, spread_join
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, runs, sample_halo, signal_chunks
+from ..plans.joins import spread_join
 from .aggregates import peak_to_peak
 from .signals import zero_samples
 

@@ -9,11 +9,10 @@ from a range partitioning whose result is written once, which keeps chunk number
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import spread_join
 from .materialize import materialize
 
 SERIES = ["recording_id", "channel"]
@@ -45,13 +44,6 @@ def range_chunks(df: DataFrame, keys: list[str], order: list[str], parts: int |
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` keeping the left copy of the key columns."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def running(
     df: DataFrame,
     keys: list[str],
@@ -59,9 +51,10 @@ def running(
     specs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running ``sum`` / ``max`` / ``count`` over ``order`` within ``keys`` for a chunked table.
+    """Running ``sum`` / ``max`` / ``count`` over ``order`` within ``keys`` (not null) for a chunked table.
 
-    ``specs`` maps an output name to ``(function, expression)``. ``inclusive`` counts the current row.
+    ``specs`` maps an output name to ``(function, expression)``. ``inclusive`` counts the current row. The
+    carry joins on ``(keys, chunk)``, the partitioning the local window already has, so rows move once.
     """
     fns = {"sum": F.sum, "max": F.max, "count": F.count}
     parts = [*keys, CHUNK]
@@ -75,7 +68,7 @@ def running(
                   for n, (f, _) in specs.items()]
     )
     out = df.select("*", *[fns[f](e).over(local).alias(f"_l_{n}") for n, (f, e) in specs.items()])
-    out = _null_safe(out, carry, parts, "left")
+    out = out.join(carry, parts, "left")
     for n, (f, _) in specs.items():
         left, right = F.col(f"_l_{n}"), F.col(f"_c_{n}")
         if f == "max":
@@ -105,7 +98,7 @@ def neighbour(
         near = F.lead(payload).over(local)
     else:
         raise ValueError("step must be -1 or 1")
-    out = _null_safe(df.withColumn("_near", near), edge, parts, "left")
+    out = df.withColumn("_near", near).join(edge, parts, "left")
     return out.withColumn(name, F.coalesce("_near", "_edge")).drop("_near", "_edge")
 
 
@@ -125,6 +118,8 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
         F.first(value).alias(value), F.min(order).alias("run_start"), F.max(order).alias("run_end"),
         F.count(F.lit(1)).alias("run_len"),
     )
+    # the shuffle of the cut runs is shared by both branches below, so the rows are sorted once
+    local = local.repartition(*parts)
     chunk_w = Window.partitionBy(*parts)
     local = local.withColumn("_runs", F.max("_run").over(chunk_w))
     inner = local.filter((F.col("_run") > 1) & (F.col("_run") < F.col("_runs")))
@@ -153,20 +148,6 @@ def sequence_index(
     return running(chunked, keys, order, {name: ("count", F.lit(1))}, inclusive=False).drop(CHUNK)
 
 
-def spread_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread: str | Column, how: str = "inner", ways: int = 16
-) -> DataFrame:
-    """Equi-join of a table that may be hot on ``keys`` with one row per key.
-
-    The small side is repeated ``ways`` times under a salt and the big side picks the salt from ``spread``,
-    so a key with a third of all rows is joined by ``ways`` tasks. When the small side turns out to be below
-    the broadcast threshold Spark still broadcasts it.
-    """
-    salt = F.pmod(F.hash(spread if isinstance(spread, Column) else F.col(spread)), F.lit(ways))
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return big.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
-
-
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, qs: dict[str, float], parts: int | None = None
 ) -> DataFrame:
@@ -182,7 +163,7 @@ def exact_quantiles(
     if keys:
         ranked = spread_join(upto, sizes, keys, CHUNK)
     else:
-        ranked = upto.crossJoin(F.broadcast(sizes))  # one row
+        ranked = upto.withColumn("_size", F.lit(sizes.first()["_size"]).cast("bigint"))
     lo = F.col("_hi") - F.col("_n")
     aggs = []
     for name, q in qs.items():

@@ -1,26 +1,38 @@
-"""Joins with reference tables that are usually, but not provably, small."""
+"""Joins of a large table with a table of one row per key: statistics, channel lists, reference tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import spread_join
+from .materialize import materialize
 
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_ROWS = 1_000_000
+SALTS = 32
 
 
-def lookup_join(
-    big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: list[str], spread: str | Column, how: str = "inner",
+    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
 ) -> DataFrame:
-    """Join a reference table with one row per key.
+    """Equi-join that neither shuffles ``big`` without need nor gathers a hot key in one task.
 
-    Its size is checked: up to ``max_rows`` rows it is broadcast, beyond that both sides meet on a salted
-    key, which also holds for keys that carry a large share of ``big``.
+    ``small`` is stored first, so it is computed once and its size is known. Up to ``max_rows`` rows it is
+    broadcast and ``big`` is not moved. Beyond that both sides meet on the key plus a salt: ``small`` is
+    repeated per salt and ``big`` takes its salt from ``spread``, so a key with a third of all rows is joined
+    by ``salts`` tasks.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(lookup), keys, how)
-    return spread_join(big, lookup, keys, F.xxhash64(*big.columns), how)
+    stored = materialize(small)
+    if stored.count() <= max_rows:
+        return big.join(F.broadcast(stored), keys, how)
+    salt = F.pmod(F.hash(spread if isinstance(spread, Column) else F.col(spread)), F.lit(salts))
+    salted = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``spread_join`` that takes the salt from the whole row."""
+    return spread_join(big, lookup, keys, F.xxhash64(*big.columns), how, max_rows)
 
 
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:

@@ -7,7 +7,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import sequence_index, spread_join
+from ..plans.chunks import sequence_index
+from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 
 _MEMO: dict[tuple, DataFrame] = {}
@@ -73,7 +74,7 @@ def _onset():
 def annotations(spark, sf):
     """stimulation markers and counters from the event stream, onsets in seconds from the first event."""
     ev = table(spark, sf, "events").filter(F.col("event_type") != "click")
-    t0 = table(spark, sf, "events").agg(F.min(_onset()).alias("t0"))
+    t0 = table(spark, sf, "events").agg(F.min(_onset())).first()[0]
     nth = sequence_index(
         ev.select(recording().alias("recording_id"), "user_id", "event_type", "ts", "event_id", "value"),
         ["user_id", "event_type"], ["ts", "event_id"], "nth",
@@ -85,8 +86,8 @@ def annotations(spark, sf):
         .when(F.col("event_type") == "error", F.concat(F.lit("2001 "), (F.col("nth") + 1).cast("string")))
         .otherwise(F.concat(F.lit("5000 "), (F.col("nth") + 1).cast("string")))
     )
-    return nth.crossJoin(F.broadcast(t0)).select(  # one row
-        "recording_id", "event_id", F.round(_onset() - F.col("t0"), 3).alias("onset"),
+    return nth.select(
+        "recording_id", "event_id", F.round(_onset() - F.lit(t0), 3).alias("onset"),
         F.col("value").alias("duration"), text.alias("description"),
     )
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import collect_series
-from cortexframe.plans import blocks, chunks, intervals
+from cortexframe.plans import blocks, chunks, intervals, joins
 
 
 def hot_table(spark, n=3000, seed=1):
@@ -67,10 +67,11 @@ def test_exact_quantiles(spark, parts):
         assert np.allclose(got.loc[k], np.quantile(g["v"], [0.01, 0.5, 0.99]))
 
 
-def test_spread_join_keeps_every_row(spark):
+@pytest.mark.parametrize("max_rows", [1000, 3])
+def test_spread_join_keeps_every_row(spark, max_rows):
     df = hot_table(spark)
     small = df.groupBy("k").agg(F.sum("v").alias("s"))
-    got = chunks.spread_join(df, small, ["k"], "t")
+    got = joins.spread_join(df, small, ["k"], "t", max_rows=max_rows)
     assert got.count() == 3000
     assert got.filter("k = 'hot'").select("s").distinct().count() == 1
 
