@@ -108,7 +108,7 @@ def annotations_in_segment(annotations: DataFrame, segments: DataFrame, width: f
     s = explode_buckets(segments, F.col("seg_start"), F.col("seg_end"), width)
     a = annotations.withColumn("_bucket", F.floor(F.col("onset") / width).cast("bigint"))
     hit = (F.col("onset") >= F.col("seg_start")) & (F.col("onset") <= F.col("seg_end"))
-    return a.join(s, ["recording_id", "_bucket"]).filter(hit).drop("_bucket")
+    return spread_join(a, s, ["recording_id", "_bucket"], "onset").filter(hit).drop("_bucket")
 
 
 def debounce_markers(markers: DataFrame, total: DataFrame, gap: float = 3.0, tail: float = 10.0) -> DataFrame:

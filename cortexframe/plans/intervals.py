@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, CHUNK_SAMPLES, range_chunks, running
+from .joins import MAX_BROADCAST_ROWS
+from .materialize import materialize
 
 
 def merge_intervals(
@@ -52,9 +54,13 @@ def covered(
 
     ``how="flag"`` keeps all samples and adds a boolean ``inside``.
 
-    Both sides meet on ``(keys, chunk)``; ranges are merged before, so a sample meets at most one of them.
+    Both sides meet on ``(keys, chunk)``; ranges are merged before, so a sample meets at most one of them and
+    a chunk is bounded. The merged ranges are stored and counted: few are broadcast, many meet by shuffle.
     """
-    ranges = sample_ranges(intervals, keys, size).alias("r")
+    stored = materialize(sample_ranges(intervals, keys, size))
+    if stored.count() <= MAX_BROADCAST_ROWS:  # usual: few intervals, the samples stay where they are
+        stored = F.broadcast(stored)
+    ranges = stored.alias("r")
     left = samples.withColumn(CHUNK, F.floor(F.col(index) / size).cast("bigint")).alias("l")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, CHUNK]]
     cond += [F.col(f"l.{index}") >= F.col("r.s"), F.col(f"l.{index}") < F.col("r.e")]

@@ -30,6 +30,16 @@ def materialize(df: DataFrame) -> DataFrame:
     column pruning, filter pushdown and size statistics.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cortexframe/{uuid.uuid4().hex}"
+    path = f"{_application_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cortexframe/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables this application stored; call it when the results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -161,6 +161,43 @@ def src2(spark, sf):
     return src.list_sessions(src.discover_recordings(spark, root, ("parquet",)), root)
 
 
+def _write_bdf(folder):
+    """Write one stretch of one channel as a 24-bit file with 0.01 units per step and two seconds per record."""
+    import pandas as pd
+    from pyarrow import fs as arrow_fs
+
+    def write(pdf):
+        x = pdf.sort_values("sample_idx")["value"].to_numpy()
+        name = f"{pdf['recording_id'].iloc[0]}_{pdf['channel'].iloc[0]}_{pdf['part'].iloc[0]}"
+        records, text = -(-len(x) // 32), lambda v, n: str(v).encode().ljust(n)
+        head = b"\xffBIOSEMI" + text("", 160) + b"01.01.2410.00.00" + text(512, 8) + text("", 44) + text(records, 8) + text(2, 8) + text(1, 4)
+        for value, n in ((pdf["channel"].iloc[0], 16), ("", 80), ("V", 8), (-10000, 8), (10000, 8), (-1000000, 8), (1000000, 8), ("", 80), (32, 8), ("", 32)):
+            head += text(value, n)
+        digital = [int(round(v * 100)) for v in x] + [0] * (records * 32 - len(x))
+        system, path = arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{name}.bdf") as f:
+            f.write(head + b"".join(d.to_bytes(3, "little", signed=True) for d in digital))
+        return pd.DataFrame({"name": [name]})
+
+    return write
+
+
+@query("src3_read_edf", "WITH " + fx.SIGNALS + """,
+p AS (SELECT recording_id || '_' || channel || '_' || (sample_idx // 4096) AS recording_id, channel, sample_idx % 4096 AS sample_idx, value FROM signals),
+n AS (SELECT recording_id, channel, max(sample_idx) + 1 AS n FROM p GROUP BY ALL)
+SELECT recording_id, channel, sample_idx, round(value, 6) + 0 AS value FROM p
+UNION ALL SELECT recording_id, channel, unnest(range(n, (n + 31) // 32 * 32)) AS sample_idx, 0.0::DOUBLE FROM n""")
+def src3(spark, sf):
+    from ..plans.blocks import to_samples
+    from ..sources import edf
+
+    folder = scratch(spark, "edf")
+    parts = fx.signals(spark, sf).withColumn("part", F.floor(F.col("sample_idx") / 4096)).withColumn("sample_idx", F.col("sample_idx") % 4096)
+    parts.groupBy("recording_id", "channel", "part").applyInPandas(_write_bdf(folder), "name string").count()
+    return rounded(to_samples(edf.read_edf(spark, folder, block_seconds=10.0)), "value")
+
+
 @query("src4_read_wfdb_headers", """
 WITH h AS (SELECT s_nationkey AS k, count(*) + 1 AS nch, sum(s_suppkey) * 1000 AS n FROM supplier GROUP BY 1)
 SELECT CAST(s_nationkey AS VARCHAR) AS recording_id, 200.0::DOUBLE AS fs, CAST(n AS BIGINT) AS n_samples, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS channel_order,

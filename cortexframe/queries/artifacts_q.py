@@ -73,7 +73,13 @@ def sig1b(spark, sf):
     return rounded(fl.fir_filter(fx.signals(spark, sf), fl.type_taps(256.0), typed(spark, sf)), "value")
 
 
-@query("sig2_notch")
+def _notch_oracle():
+    from ..functions.signal import notch_taps
+
+    return _fir_sql(notch_taps(128.0, [50.0]), None)
+
+
+@query("sig2_notch", _notch_oracle())
 def sig2(spark, sf):
     return rounded(fl.notch(fx.signals(spark, sf), 128.0, [50.0]), "value")
 
@@ -119,7 +125,18 @@ def sig5c(spark, sf):
     return rounded(fl.resample_record(fx.signals(spark, sf), 200.0, 128.0), "value")
 
 
-@query("sig6_resample_bandlimited")
+@query("sig6_resample_bandlimited", W + """,
+n AS (SELECT recording_id, channel, max(sample_idx) + 1 AS n, arg_min(value, sample_idx) AS first, arg_max(value, sample_idx) AS last FROM signals GROUP BY ALL),
+ext AS (
+  SELECT recording_id, channel, sample_idx AS i, value AS x FROM signals
+  UNION ALL SELECT recording_id, channel, -sample_idx, 2 * first - value FROM signals JOIN n USING (recording_id, channel) WHERE sample_idx BETWEEN 1 AND 51
+  UNION ALL SELECT recording_id, channel, 2 * (n - 1) - sample_idx, 2 * last - value FROM signals JOIN n USING (recording_id, channel) WHERE sample_idx BETWEEN n - 52 AND n - 2),
+j AS (SELECT recording_id, channel, unnest(range(CAST(round(n * 0.64::DOUBLE) AS BIGINT))) AS j FROM n),
+k AS (SELECT *, j / 0.64::DOUBLE AS t, CAST(floor(j / 0.64::DOUBLE) AS BIGINT) + o AS i FROM j, (SELECT unnest(range(-49, 51)) AS o)),
+d AS (SELECT *, (t - i) * 0.64::DOUBLE AS d FROM k),
+w AS (SELECT *, CASE WHEN abs(d) < 32 THEN CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END * (0.5 + 0.5 * cos(pi() * d / 32)) ELSE 0 END AS w FROM d)
+SELECT w.recording_id, w.channel, j AS sample_idx, round(sum(coalesce(x, 0) * w) / sum(w), 6) + 0 AS value
+FROM w LEFT JOIN ext USING (recording_id, channel, i) GROUP BY ALL""")
 def sig6(spark, sf):
     return rounded(fl.resample_bandlimited(fx.signals(spark, sf), 200.0, 128.0), "value")
 
@@ -249,7 +266,18 @@ def art10(spark, sf):
     return _show(art.epoch_policy_v2(t, g, 5))
 
 
-@query("art11_interpolate")
+def _spline_oracle():
+    from ..functions.spline import spline_weights
+
+    good = [c for c in NAMES if c != "view"]
+    w = spline_weights(np.array([POS[c] for c in good]), np.array([POS["view"]]))[0]
+    case = " ".join(f"WHEN '{c}' THEN {float(v)!r}::DOUBLE" for c, v in zip(good, w))
+    return "WITH " + RECT + f"""
+SELECT recording_id, channel, sample_idx, round(value, 6) + 0 AS value FROM rect WHERE channel <> 'view'
+UNION ALL SELECT recording_id, 'view', sample_idx, round(sum(value * CASE channel {case} END), 6) + 0 FROM rect WHERE channel <> 'view' GROUP BY ALL"""
+
+
+@query("art11_interpolate", _spline_oracle())
 def art11(spark, sf):
     from ..plans.blocks import to_frames
 

@@ -93,15 +93,20 @@ def dst6(spark, sf):
     return ds.split_files(fx.files(spark, sf).select("file_path"))
 
 
-@query("dst7_kfold")
+@query("dst7_kfold", """
+SELECT CAST(f AS BIGINT) AS fold, CASE WHEN f < 4 THEN n // 5 ELSE n - 4 * (n // 5) END AS n FROM (SELECT count(*) AS n FROM events), (SELECT unnest(range(5)) AS f)""")
 def dst7(spark, sf):
     return ds.kfold(fx.labels(spark, sf).withColumnRenamed("sample_idx", "epoch_idx"), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dst7_kfold_by_recording")
+@query("dst7_kfold_by_recording", """
+WITH r AS (SELECT count(DISTINCT o_custkey) AS n FROM orders)
+SELECT CAST(f AS BIGINT) AS fold, CASE WHEN f < 4 THEN n // 5 ELSE n - 4 * (n // 5) END AS recordings, 1::BIGINT AS folds_per_recording
+FROM r, (SELECT unnest(range(5)) AS f)""")
 def dst7b(spark, sf):
-    s = fx.files(spark, sf).select(F.col("file_path").alias("recording_id"), F.col("idx").alias("epoch_idx"))
-    return ds.kfold(s, 5, by="recording")
+    s = fx.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("recording_id"), F.col("o_orderkey").alias("epoch_idx"))
+    per = ds.kfold(s, 5, by="recording").groupBy("recording_id").agg(F.min("fold").alias("fold"), F.count_distinct("fold").alias("k"))
+    return per.groupBy("fold").agg(F.count(F.lit(1)).alias("recordings"), F.max("k").alias("folds_per_recording"))
 
 
 @query("dst8_limit_files", """

@@ -147,7 +147,14 @@ def win9(spark, sf):
     return rounded(out, "tmin", "tmax")
 
 
-@query("win7_debounce_markers")
+@query("win7_debounce_markers", "WITH RECURSIVE " + fx.ANNOTATIONS + f""",
+m AS (SELECT recording_id, round(onset / 600, 3) AS onset, event_id, trim(description) AS sequence FROM annotations WHERE {_IS_MARKER}),
+tot AS (SELECT recording_id, max(round(onset / 600, 3)) AS total FROM annotations GROUP BY 1),
+once AS (SELECT recording_id, onset, arg_min(sequence, event_id) AS sequence, min(onset) OVER (PARTITION BY recording_id) AS first FROM m GROUP BY recording_id, onset),
+allowed AS MATERIALIZED (SELECT recording_id, onset, sequence FROM once JOIN tot USING (recording_id) WHERE onset = first OR total - onset > 10),
+nxt AS MATERIALIZED (SELECT a.recording_id, a.onset, min(b.onset) AS nx FROM allowed a JOIN allowed b ON a.recording_id = b.recording_id AND b.onset - a.onset > 3 GROUP BY ALL),
+kept AS (SELECT recording_id, min(onset) AS onset FROM allowed GROUP BY 1 UNION ALL SELECT n.recording_id, n.nx FROM kept k JOIN nxt n ON n.recording_id = k.recording_id AND n.onset = k.onset)
+SELECT recording_id, onset, sequence FROM allowed JOIN kept USING (recording_id, onset)""")
 def win7(spark, sf):
     a = fx.annotations(spark, sf).withColumn("onset", F.round(F.col("onset") / 600, 3))  # denser in time, so that bursts occur
     total = a.groupBy("recording_id").agg(F.max("onset").alias("total"))
