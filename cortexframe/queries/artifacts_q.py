@@ -42,25 +42,22 @@ def typed(spark, sf):
     return layout(spark, sf).withColumn("ch_type", m[F.col("channel")])
 
 
-def _fir_sql(taps, ext) -> str:
-    """Zero-phase FIR of every series with point reflection at both ends, written as a join with the taps."""
-    vals = "[" + ", ".join(repr(float(t)) + "::DOUBLE" for t in taps) + "]"
+def _fir_sql(taps) -> str:
+    """Zero-phase FIR of every series with point reflection at both ends, as dot products of list slices."""
+    vals = "[" + ", ".join(repr(float(t)) for t in taps) + "]::DOUBLE[]"
     h = len(taps) // 2
     return W + f""",
-n AS (SELECT recording_id, channel, max(sample_idx) + 1 AS n, arg_min(value, sample_idx) AS first, arg_max(value, sample_idx) AS last FROM signals GROUP BY ALL),
-ext AS (
-  SELECT recording_id, channel, sample_idx AS i, value AS x FROM signals
-  UNION ALL SELECT recording_id, channel, -sample_idx, 2 * first - value FROM signals JOIN n USING (recording_id, channel) WHERE sample_idx BETWEEN 1 AND {h}
-  UNION ALL SELECT recording_id, channel, 2 * (n - 1) - sample_idx, 2 * last - value FROM signals JOIN n USING (recording_id, channel) WHERE sample_idx BETWEEN n - 1 - {h} AND n - 2),
-taps AS (SELECT unnest(range({2 * h + 1})) - {h} AS d, unnest({vals}) AS w)
-SELECT recording_id, channel, i + d AS sample_idx, round(sum(x * w), 6) + 0 AS value
-FROM ext JOIN n USING (recording_id, channel), taps WHERE i + d BETWEEN 0 AND n - 1 GROUP BY ALL"""
+xs AS (SELECT recording_id, channel, list(value ORDER BY sample_idx) AS x, count(*) AS n, least({h}, count(*) - 1) AS m FROM signals GROUP BY ALL),
+ext AS (SELECT recording_id, channel, n, list_resize([]::DOUBLE[], {h} - m, 0.0::DOUBLE) || [2 * x[1] - x[k] for k in range(m + 1, 1, -1)] || x
+    || [2 * x[n] - x[k] for k in range(n - 1, n - 1 - m, -1)] || list_resize([]::DOUBLE[], {h} - m, 0.0::DOUBLE) AS e FROM xs),
+i AS (SELECT recording_id, channel, e, unnest(range(n)) AS i FROM ext)
+SELECT recording_id, channel, i AS sample_idx, round(list_dot_product(e[i + 1:i + {2 * h + 1}], {vals}), 6) + 0 AS value FROM i"""
 
 
 def _bandpass_oracle():
     from ..functions.signal import bandpass_taps
 
-    return _fir_sql(bandpass_taps(16.0, 2.0, 5.0), None)
+    return _fir_sql(bandpass_taps(16.0, 2.0, 5.0))
 
 
 @query("sig1_fir_bandpass", _bandpass_oracle())
@@ -76,7 +73,7 @@ def sig1b(spark, sf):
 def _notch_oracle():
     from ..functions.signal import notch_taps
 
-    return _fir_sql(notch_taps(128.0, [50.0]), None)
+    return _fir_sql(notch_taps(128.0, [50.0]))
 
 
 @query("sig2_notch", _notch_oracle())

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a local session, whatever the working folder.
+
+    On a cluster, pass the package with ``--py-files`` or install it on the nodes.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
+        return
+    sc.addFile(str(Path(__file__).resolve().parent), recursive=True)
+    _SHIPPED.add(sc.applicationId)
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the library expects (UTC, AQE, Arrow)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("cortexframe")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,3 +34,5 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
