@@ -245,31 +245,78 @@ def annotate_bad_epochs(bad: DataFrame, totals: DataFrame, length: float, existi
     return out if existing is None else existing.select(*out.columns).unionByName(out)
 
 
+def _walk(o: np.ndarray, start: int, gap: float) -> list[int]:
+    """Positions kept when the walk over sorted values begins at ``start``."""
+    kept, i = [], start
+    while i < len(o):
+        kept.append(i)
+        j = max(i + 1, int(np.searchsorted(o, o[i] + gap)) - 1)
+        while j < len(o) and not o[j] - o[i] > gap:
+            j += 1
+        i = j
+    return kept
+
+
+def _exits(o: np.ndarray, gap: float) -> tuple[list[float], list[float]]:
+    """The values a walk can enter a chunk at, and the last value it keeps from each.
+
+    The last kept value before the chunk is at most its first value, so entry happens no later than at the
+    first value more than ``gap`` above it. Walks are followed backwards once for the whole chunk.
+    """
+    nxt = np.searchsorted(o, o + gap, side="right")
+    last = np.arange(len(o))
+    for i in range(len(o) - 1, -1, -1):
+        j = int(nxt[i])
+        while j - 1 > i and o[j - 1] - o[i] > gap:
+            j -= 1
+        while j < len(o) and not o[j] - o[i] > gap:
+            j += 1
+        last[i] = last[j] if j < len(o) else i
+    n = 1
+    while n < len(o) and not o[n - 1] - o[0] > gap:
+        n += 1
+    return o[:n].tolist(), o[last[:n]].tolist()
+
+
 def keep_spaced(df: DataFrame, keys: list[str], order: str, gap: float) -> DataFrame:
     """Keep the first row of a key and every later one more than ``gap`` after the last kept one.
 
-    The rule restarts after any pause longer than ``gap``; only the bursts between such pauses are walked.
+    The rule is sequential, but a balanced chunk can be summarised without its past: for each possible entry
+    the last value it keeps. One short pass over the summaries of a key fixes the entry of every chunk, then
+    all chunks are walked in parallel.
     """
-    chunked = range_chunks(df.select(*keys, order).distinct(), keys, [order])
-    prev = neighbour(chunked, keys, [order], [order], -1, "_prev")
-    opens = F.when(F.col("_prev").isNull() | (F.col(order) - F.col(f"_prev.{order}") > gap), 1).otherwise(0)
-    burst = running(prev.withColumn("_open", opens), keys, [order], {"_burst": ("sum", F.col("_open"))})
-    packed = burst.groupBy(*keys, "_burst").agg(F.array_sort(F.collect_list(order)).alias("_o"))
     kind = df.schema[order].dataType.simpleString()
+    chunked = range_chunks(df.select(*keys, order).distinct(), keys, [order])
+    packed = chunked.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(order)).alias("_o"))
+
+    @F.pandas_udf("entry array<double>, exit array<double>")
+    def summarise(chunks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_exits(np.asarray(o, dtype=float), gap) for o in chunks], columns=["entry", "exit"])
+
+    @F.pandas_udf("array<double>")
+    def chain(summaries: pd.Series) -> pd.Series:
+        out = []
+        for parts in summaries:
+            state, before = None, []
+            for p in parts:
+                before.append(state)
+                entry = np.asarray(p["s"]["entry"])
+                hit = np.flatnonzero(entry - state > gap) if state is not None else np.array([0])
+                state = p["s"]["exit"][hit[0]] if len(hit) else state
+            out.append(before)
+        return pd.Series(out, dtype=object)
 
     @F.pandas_udf(f"array<{kind}>")
-    def walk(bursts: pd.Series) -> pd.Series:
+    def walk(chunks: pd.Series, before: pd.Series) -> pd.Series:
         out = []
-        for o in bursts:
+        for o, b in zip(chunks, before):
             o = np.asarray(o)
-            kept, i = [], 0
-            while i < len(o):
-                kept.append(o[i])
-                j = max(i + 1, int(np.searchsorted(o, o[i] + gap)) - 1)
-                while j < len(o) and not o[j] - o[i] > gap:
-                    j += 1
-                i = j
-            out.append(kept)
+            start = 0 if b is None or np.isnan(b) else int(np.argmax(o - b > gap)) if (o - b > gap).any() else len(o)
+            out.append([o[i] for i in _walk(o, start, gap)])
         return pd.Series(out, dtype=object)
 
-    return packed.select(*keys, F.explode(walk("_o")).alias(order))
+    parts = packed.select(*keys, CHUNK, summarise("_o").alias("s"))
+    lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(CHUNK, "s"))).alias("_p"))
+    states = lists.select(*keys, F.explode(F.arrays_zip(F.col(f"_p.{CHUNK}").alias("c"), chain("_p").alias("b"))).alias("z"))
+    states = states.select(*keys, F.col("z.c").alias(CHUNK), F.col("z.b").alias("_before"))
+    return packed.join(states, [*keys, CHUNK]).select(*keys, F.explode(walk("_o", "_before")).alias(order))

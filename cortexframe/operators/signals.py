@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sequence_index
 from ..plans.joins import lookup_join, spread_join
 
 
@@ -155,9 +155,9 @@ def quantize_int16(signals: DataFrame, mode: str = "minmax", keys: list[str] = S
 
 def unique_channel_names(channels: DataFrame) -> DataFrame:
     """Suffix repeated channel names of a recording with ``_1``, ``_2``, … in channel order."""
-    w = Window.partitionBy("recording_id", "channel").orderBy("channel_order")  # copies of one name in one file
-    nth = F.row_number().over(w) - 1
-    return channels.withColumn("stored_name", F.when(nth == 0, F.col("channel")).otherwise(F.concat_ws("_", "channel", nth.cast("string"))))
+    at = sequence_index(channels, SERIES, ["channel_order"], "_nth")
+    name = F.when(F.col("_nth") == 0, F.col("channel")).otherwise(F.concat_ws("_", "channel", F.col("_nth").cast("string")))
+    return at.withColumn("stored_name", name).drop("_nth")
 
 
 def pack_blocks(signals: DataFrame, block_samples: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, CHUNK_SAMPLES, range_chunks, running
-from .joins import MAX_BROADCAST_ROWS
+from .joins import MAX_BROADCAST_BYTES, stored_bytes
 from .materialize import materialize
 
 
@@ -55,10 +55,10 @@ def covered(
     ``how="flag"`` keeps all samples and adds a boolean ``inside``.
 
     Both sides meet on ``(keys, chunk)``; ranges are merged before, so a sample meets at most one of them and
-    a chunk is bounded. The merged ranges are stored and counted: few are broadcast, many meet by shuffle.
+    a chunk is bounded. The merged ranges are stored, so their size is known: few are broadcast, many meet by shuffle.
     """
     stored = materialize(sample_ranges(intervals, keys, size))
-    if stored.count() <= MAX_BROADCAST_ROWS:  # usual: few intervals, the samples stay where they are
+    if stored_bytes(stored) <= MAX_BROADCAST_BYTES:  # usual: few intervals, the samples stay where they are
         stored = F.broadcast(stored)
     ranges = stored.alias("r")
     left = samples.withColumn(CHUNK, F.floor(F.col(index) / size).cast("bigint")).alias("l")

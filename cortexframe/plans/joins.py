@@ -7,32 +7,37 @@ from pyspark.sql import functions as F
 
 from .materialize import materialize
 
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 32 << 20  # stored (compressed) size
 SALTS = 32
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Size of the files behind a stored table; no job runs."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, keys: list[str], spread: str | Column, how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
+    max_bytes: int = MAX_BROADCAST_BYTES, salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join that neither shuffles ``big`` without need nor gathers a hot key in one task.
 
-    ``small`` is stored first, so it is computed once and its size is known. Up to ``max_rows`` rows it is
+    ``small`` is stored first, so it is computed once and its size is known. Up to ``max_bytes`` it is
     broadcast and ``big`` is not moved. Beyond that both sides meet on the key plus a salt: ``small`` is
     repeated per salt and ``big`` takes its salt from ``spread``, so a key with a third of all rows is joined
     by ``salts`` tasks.
     """
     stored = materialize(small)
-    if stored.count() <= max_rows:
+    if stored_bytes(stored) <= max_bytes:
         return big.join(F.broadcast(stored), keys, how)
     salt = F.pmod(F.hash(spread if isinstance(spread, Column) else F.col(spread)), F.lit(salts))
     salted = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``spread_join`` that takes the salt from the whole row."""
-    return spread_join(big, lookup, keys, F.xxhash64(*big.columns), how, max_rows)
+    return spread_join(big, lookup, keys, F.xxhash64(*big.columns), how, max_bytes)
 
 
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:

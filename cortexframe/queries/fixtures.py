@@ -67,7 +67,8 @@ wide AS (
 
 
 def _onset():
-    return (F.unix_micros(F.col("ts").cast("timestamp"))).cast("double") / F.lit(1e6)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")  # no time zone involved
+    return micros.cast("double") / F.lit(1e6)
 
 
 @once

@@ -181,6 +181,23 @@ def test_debounce_markers(spark):
         assert sorted(got[k]) == brute_debounce(x, totals[k])
 
 
+@pytest.mark.parametrize("gap", [0.0, 2.0, 3.0, 50.0])
+def test_keep_spaced_across_chunks(spark, gap):
+    rng = np.random.default_rng(9)
+    data = {"dense": np.unique(rng.integers(0, 3000, 2500)).astype(float), "loose": np.cumsum(rng.integers(1, 60, 80)).astype(float), "one": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x], "k string, t double")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep several chunks
+    try:
+        got = {}
+        for r in events.keep_spaced(df, ["k"], "t", gap).collect():
+            got.setdefault(r["k"], []).append(r["t"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for k, x in data.items():
+        assert sorted(got[k]) == brute_debounce(x, 1e9, gap, 0.0)
+
+
 def test_pair_stim_compat(spark):
     rows = [("a", 0.0, 1.0, "Start of stimulation [1, 2]", 0), ("a", 4.0, 0.5, "End of stimulation [1, 2]", 1),
             ("a", 9.0, 0.0, "Start of stimulation [2, 2]", 2), ("a", 7.0, 0.0, "End of stimulation [2, 2]", 3), ("a", 9.5, 0.0, "Start of stimulation [3, 1]", 4)]

@@ -67,11 +67,11 @@ def test_exact_quantiles(spark, parts):
         assert np.allclose(got.loc[k], np.quantile(g["v"], [0.01, 0.5, 0.99]))
 
 
-@pytest.mark.parametrize("max_rows", [1000, 3])
-def test_spread_join_keeps_every_row(spark, max_rows):
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_spread_join_keeps_every_row(spark, max_bytes):
     df = hot_table(spark)
     small = df.groupBy("k").agg(F.sum("v").alias("s"))
-    got = joins.spread_join(df, small, ["k"], "t", max_rows=max_rows)
+    got = joins.spread_join(df, small, ["k"], "t", max_bytes=max_bytes)
     assert got.count() == 3000
     assert got.filter("k = 'hot'").select("s").distinct().count() == 1
 
