@@ -45,7 +45,7 @@ def test_low_corr_and_noise_channels(spark, series):
     rng = np.random.default_rng(3)
     names = [f"c{i}" for i in range(8)]
     pos = sphere(7) * 0.1
-    pos[2] = [0.0, 0.0, -0.1]  # away from the others, so that it is nobody's neighbour
+    pos[2] = [0.0, 0.0, -3.0]  # far away from the others, so that it is nobody's neighbour
     base = np.cumsum(rng.standard_normal((3, 1500)), axis=1)
     mix = pos @ base * 10
     data = {("a", n): mix[i] + 0.01 * rng.standard_normal(1500) for i, n in enumerate(names[:7])}
