@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import CHUNK, SERIES, exact_quantiles
+from ..plans.chunks import SERIES, exact_quantiles
 from ..plans.joins import spread_join
 
 

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import signal as sg
 from ..functions.spline import spline_weights
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, with_halo
 from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, exact_quantiles, sample_halo

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.chunks import CHUNK, neighbour, range_chunks, running, sequence_index
+from ..plans.chunks import CHUNK, range_chunks, running, sequence_index
 from ..plans.intervals import covered, explode_buckets, merge_intervals
 from ..plans.joins import lookup_join, spread_join
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.channels import natural_key
 from ..operators import classifier as cl
 from ..operators import dataset as ds
 from ..operators import metrics as mt

@@ -2,10 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import channels as ch
 from ..operators import signals as sg
 from . import fixtures as fx
-from .channels_q import POSITIONS, supplier_positions
 from .registry import query, rounded
 
 SERIES = ["recording_id", "channel"]
