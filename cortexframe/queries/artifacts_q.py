@@ -101,19 +101,19 @@ def _lerp(fs, fs2):
     return W + f""",
 n AS (SELECT recording_id, channel, max(sample_idx) + 1 AS n, CAST(floor((max(sample_idx) + 1) / {fs}::DOUBLE * {fs2}::DOUBLE) AS BIGINT) AS n2 FROM signals GROUP BY ALL),
 j AS (SELECT recording_id, channel, n, n2, unnest(range(n2)) AS j FROM n)
-SELECT j.recording_id, j.channel, j AS sample_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * ((j * n % n2) / n2), 6) + 0 AS value
+SELECT j.recording_id, j.channel, j AS sample_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * ((j * n % n2) / n2), 8) + 0 AS value
 FROM j JOIN signals a ON a.recording_id = j.recording_id AND a.channel = j.channel AND a.sample_idx = j * n // n2
 LEFT JOIN signals b ON b.recording_id = j.recording_id AND b.channel = j.channel AND b.sample_idx = j * n // n2 + 1"""
 
 
 @query("sig5_resample_linear_up", _lerp(16.0, 25.0))
 def sig5(spark, sf):
-    return rounded(fl.resample_linear(fx.signals(spark, sf), 16.0, 25.0), "value")
+    return rounded(fl.resample_linear(fx.signals(spark, sf), 16.0, 25.0), "value", digits=8)
 
 
 @query("sig5_resample_linear_down", _lerp(16.0, 7.0))
 def sig5b(spark, sf):
-    return rounded(fl.resample_linear(fx.signals(spark, sf), 16.0, 7.0), "value")
+    return rounded(fl.resample_linear(fx.signals(spark, sf), 16.0, 7.0), "value", digits=8)
 
 
 @query("sig5_resample_record")
