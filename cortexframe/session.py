@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -10,14 +12,22 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a local session, whatever the working folder.
+    """Make this package importable in the Python workers, whatever the working folder.
 
-    On a cluster, pass the package with ``--py-files`` or install it on the nodes.
+    A local session gets the folder, executors on other machines get a small zip file from the driver.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
+    if sc.applicationId in _SHIPPED:
         return
-    sc.addFile(str(Path(__file__).resolve().parent), recursive=True)
+    package = Path(__file__).resolve().parent
+    if sc.master == "local" or sc.master.startswith("local["):
+        sc.addFile(str(package), recursive=True)
+    else:
+        target = Path(tempfile.mkdtemp(prefix="cortexframe-")) / "cortexframe.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
 
 
