@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import spread_join
+from ..plans.materialize import materialize
+
 WHITE_SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -40,7 +44,7 @@ def row_key() -> Column:
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``limit`` bytes of text, or one longer text."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     start, size = 0, 0
     for i, n in enumerate(lengths):
         size += n or 0
@@ -49,3 +53,18 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
             start, size = i + 1, 0
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def heat_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "inner", rows_per_task: int = 4000) -> DataFrame:
+    """Equi-join of ``big`` with ``side`` (one row per key) that copies only the rows of frequent keys.
+
+    A key with more than ``rows_per_task`` rows in ``big`` is cut into as many parts as it needs; ``side`` is repeated
+    once per part, so the copies stay below ``big / rows_per_task``.
+    """
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+    hot = materialize(hot.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")))
+    left = spread_join(big, hot, keys, spread, "left")
+    left = left.withColumn("_part", F.pmod(F.hash(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    right = spread_join(side, hot, keys, F.xxhash64(*keys), "left")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.join(right.drop("_parts"), [*keys, "_part"], how).drop("_part")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import llr_rules
+from . import decontaminate, line_windows, llr_rules, near_dups, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +24,92 @@ def trusted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file, named by the installed package or by ``CORTEXFRAME_TOKENIZER``."""
+    named = os.environ.get("CORTEXFRAME_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op2_suffix_automaton(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_line_windows(spark, sf_dir):
+    out = line_windows.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select(
+        "_doc.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+        F.col("_left").alias("text"),
+    )
+
+
+@query
+def op6_superminhash(spark, sf_dir):
+    return near_dups.groups(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("row_key")
+
+
+@query
+def op7_best_fit(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query
 def op10_llr_rules(spark, sf_dir):
     judged = llr_rules.judge(table(spark, sf_dir, "documents"), trusted_docs(spark, sf_dir))
     return judged.drop("score")
+
+
+ORACLES["op2_suffix_automaton"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), grams AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM b WHERE len(w) > 0)
+), starts AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+  FROM d CROSS JOIN (SELECT DISTINCT n FROM grams) WHERE len(w) >= n
+), hits AS (
+  SELECT s.doc_id, s.i, s.n, g.item_id FROM starts s JOIN grams g
+    ON g.n = s.n AND g.g = array_to_string(s.w[s.i:s.i + s.n - 1], ' ')
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+), found AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    sha256(array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',')) AS h FROM hits GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLES["op5_line_windows"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
+  FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT doc_id, i, x, lead(i) OVER o AS i2, lead(x) OVER o AS x2, lead(i, 2) OVER o AS i3, lead(x, 2) OVER o AS x3
+  FROM l WHERE regexp_matches(x, '[^ \t\n\x0B\f\r]') WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY x, x2, x3 ORDER BY doc_id, i) AS k FROM f WHERE i3 IS NOT NULL
+), cut AS (
+  SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM r WHERE k > 1
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(c.i) AS n_removed,
+    coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE c.i IS NULL), '') AS text
+  FROM l LEFT JOIN cut c USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  kept.text AS text
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
