@@ -11,6 +11,7 @@ _GOLD = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_KIND = np.array([0 if _SPACE[b] else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _BASE = _U(0xD1342543DE82EF95 & ~7 | 3)
 
@@ -44,10 +45,21 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every white-space word, and for each text the number of words before it."""
-    solid = ~_SPACE[data]
+    return _runs((~_SPACE[data]).view(np.uint8), offsets)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``words``, for runs of letters and digits (all bytes from 128 on count) and runs of other signs."""
+    return _runs(_KIND[data], offsets)
+
+
+def _runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of one kind above 0 that stay inside a text."""
+    solid = kind > 0
+    change = kind[1:] != kind[:-1] if len(kind) else np.zeros(0, bool)
     first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
+    first[1:] &= change
+    last[:-1] &= change
     inner = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[inner] = solid[inner]
     inner = offsets[1:][offsets[:-1] < offsets[1:]] - 1

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_windows, llr_rules, near_dups, packing
+from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, url_graph
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +34,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The rules of the query (fixed values of its contract).
+URL_RULES = {
+    "org/": "allow",
+    "example.org/es/": "block",
+    "example.org/en/1": "block",
+    "com/fr/": "allow",
+    "com/de/": "block",
+}
+
+
+@query
+def op1_link_graph(spark, sf_dir):
+    return url_graph.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
+
+
+ORACLES["op1_link_graph"] = url_graph.oracle(URL_RULES)
+
+
 @query
 def op2_suffix_automaton(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_nbsvm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op5_line_windows(spark, sf_dir):
     out = line_windows.remove_repeated(table(spark, sf_dir, "documents"))
