@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, url_graph
+from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, url_graph, warc_zip
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,24 @@ def op3_nbsvm(spark, sf_dir):
     return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_warc_zip(spark, sf_dir):
+    return warc_zip.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+ORACLES["op4_warc_zip"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 @query
 def op5_line_windows(spark, sf_dir):
     out = line_windows.remove_repeated(table(spark, sf_dir, "documents"))
