@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +69,47 @@ def heat_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column,
     right = spread_join(side, hot, keys, F.xxhash64(*keys), "left")
     right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     return left.join(right.drop("_parts"), [*keys, "_part"], how).drop("_part")
+
+
+class GramFilter:
+    """Bitmap of a bounded size that holds every repeated gram and lets a few others through."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        at = grams & self.mask
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+class RepeatedGrams:
+    """Grams that occur at least twice, from partial counts of the tasks.
+
+    Tasks use them as a bitmap of at most ``MAX_BITS`` bits. A gram that passes by chance costs work, not correctness:
+    nothing equal to its stretch is found later.
+    """
+
+    SCHEMA = "gram bigint, n int"
+    MAX_BITS = 1 << 28
+
+    def __init__(self, counts: DataFrame):
+        self.grams = materialize(counts.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"))
+
+    @staticmethod
+    def partial(grams: np.ndarray) -> pa.RecordBatch:
+        values, n = np.unique(grams, return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values.view(np.int64)), pa.array(np.minimum(n, 2), pa.int32())], names=["gram", "n"]
+        )
+
+    def broadcast(self):
+        bits, grams = 1 << 20, self.grams.count()
+        while bits < self.MAX_BITS and bits < 16 * grams:
+            bits <<= 1
+        at = F.col("gram").bitwiseAND(F.lit(bits - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+        rows = self.grams.select(F.shiftright(at, 6).alias("word"), bit.alias("bit"))
+        packed = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most bits / 64 rows
+        out = np.zeros(bits // 64, np.uint64)
+        out[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
+        return self.grams.sparkSession.sparkContext.broadcast(GramFilter(out))

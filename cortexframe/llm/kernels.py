@@ -133,3 +133,34 @@ def superminhash(elements: np.ndarray, group: np.ndarray, groups: int, m: int) -
         else:
             own, base, order = own[left], base[left], order[left]
     return signature
+
+
+class RangeHash:
+    """64-bit hashes of ranges of a sequence, from prefix sums of ``values[i] * base^i`` modulo 2^64."""
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, values: np.ndarray, base: int):
+        up, self.down = self._tables(base, len(values))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
+
+    @classmethod
+    def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        known = cls._powers.get(base)
+        if known is None or len(known[0]) <= n:
+            size = max(n + 1, 1 << 20)
+            tables = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                steps = np.full(size, _U(b))
+                steps[0] = _U(1)
+                tables.append(np.cumprod(steps))
+            known = cls._powers[base] = (tables[0], tables[1])
+        return known
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of ``[start, end)``; the length counts as well."""
+        raw = (self.sums[end] - self.sums[start]) * self.down[start]
+        return mix(raw + (end - start).astype(np.uint64) * _U(_GOLD))
+
+
+BASES = (0x9E3779B97F4A7C13, 0xD1B54A32D192ED03)  # both leave 3 when divided by 8

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, url_graph, warc_zip
+from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, substring_dedup, url_graph, warc_zip
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,30 @@ def op7_best_fit(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op8_fm_index(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_fm_index"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM s
+), f AS (
+  SELECT doc_id, i FROM g JOIN (SELECT h, min(doc_id) AS first FROM g GROUP BY h) USING (h) WHERE first < doc_id
+), c AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS p FROM f GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN p IS NULL THEN w ELSE
+    [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(p, k)] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
+
 @query
 def op10_llr_rules(spark, sf_dir):
     judged = llr_rules.judge(table(spark, sf_dir, "documents"), trusted_docs(spark, sf_dir))
