@@ -43,6 +43,10 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTE_VALUES[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every white-space word, and for each text the number of words before it."""
     return _runs((~_SPACE[data]).view(np.uint8), offsets)

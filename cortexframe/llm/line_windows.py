@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import spread_join
-from ..plans.materialize import materialize
 from .common import let, row_key
 
 LINES = 3
@@ -57,8 +56,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with later windows taken out of ``text``, plus ``_n_lines`` and ``_n_removed``."""
     keyed = docs.select(F.struct("*").alias("_doc"), "text", row_key().alias("row_key"))
-    cut = materialize(covered_lines(docs))
-    joined = spread_join(keyed, cut, ["row_key"], "row_key", "left")
+    joined = spread_join(keyed, covered_lines(docs), ["row_key"], F.lit(0), "left", salts=1)
     lines = F.split("text", "\n")
     left = let(lines, lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("cut")), lambda i: F.get(x, i)), "\n"

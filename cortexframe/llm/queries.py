@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, substring_dedup, url_graph, warc_zip
+from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, prefix_doubling, substring_dedup, url_graph, warc_zip
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,11 @@ FROM d LEFT JOIN c USING (doc_id)
 """
 
 
+@query
+def op9_prefix_doubling(spark, sf_dir):
+    return prefix_doubling.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_llr_rules(spark, sf_dir):
     judged = llr_rules.judge(table(spark, sf_dir, "documents"), trusted_docs(spark, sf_dir))

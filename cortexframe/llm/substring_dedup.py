@@ -184,9 +184,9 @@ def merge_spans(flat: np.ndarray) -> np.ndarray:
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """``_doc`` (all columns), ``n_words, n_removed, kept_sha256`` and, on demand, ``left``: the kept words."""
-    spans = materialize(covered_words(docs, window, gram))
+    spans = covered_words(docs, window, gram)
     keyed = docs.select(F.struct("*").alias("_doc"), "text", row_key().alias("row_key"))
-    joined = spread_join(keyed, spans, ["row_key"], "row_key", "left").select("_doc", "text", "spans")
+    joined = spread_join(keyed, spans, ["row_key"], F.lit(0), "left", salts=1).select("_doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
