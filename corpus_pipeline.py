@@ -1,4 +1,9 @@
-"""A text pipeline: each stage reads what the stage before wrote."""
+"""A text pipeline: each stage reads what the stage before wrote.
+
+Rows with a null id or text pass through the stages by the rules of their operators: null and empty texts fail the
+quality rules. Further columns of ``documents`` are kept up to the packing, which returns its own columns. An empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cortexframe.llm import llr_rules
+from cortexframe.llm import decontaminate, line_windows, llr_rules, near_dups, packing
 from cortexframe.llm.common import table
-from cortexframe.llm.queries import trusted_docs
+from cortexframe.llm.queries import tokenizer_path, trusted_docs
 from cortexframe.plans.materialize import shared_dir
 
 
@@ -17,9 +22,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return llr_rules.keep(docs, trusted_docs(spark, sf_dir))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later occurrences of three-line windows."""
+    return line_windows.dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word shingle sets at a similarity of 0.8 or more."""
+    return near_dups.dedup(docs, shingle=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; documents that consist of them for the most part go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: The hashed ratios have no SQL form; tests/llm compares the stages with brute force.
+#: The hashed ratios, token ids and bins have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

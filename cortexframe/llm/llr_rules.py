@@ -53,23 +53,30 @@ def repeated_words(hashes: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(hashes) > n, found).otherwise(F.lit(0)).cast("bigint")
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` plus counts, ``base_failed`` and ``_hashes`` (one hash per word)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
-    counted = docs.withColumn("_words", split_words(F.col("text"))).select(
-        *[F.col(c) for c in docs.columns],
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
-    )
-    counted = counted.withColumn("n_repeat_words", repeated_words(F.col("_hashes")))
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
-    )
-    return counted.withColumn("base_failed", failed)
+def text_stats(text: Column, ratios: list[float]) -> Column:
+    """Struct of the base counts, ``base_failed`` and ``score``.
+
+    Words and hashes are bound once per row, so the struct can be projected or filtered on without a second pass.
+    """
+    filled = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(filled, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+
+    def of_words(words: Column) -> Column:
+        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: let(
+            F.struct(
+                F.size(words).cast("bigint").alias("n_words"),
+                F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+                (F.length(filled) - F.length(F.regexp_replace(filled, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+                repeated_words(hashes).alias("n_repeat_words"),
+                mean_log_ratio(hashes, ratios).alias("score"),
+            ),
+            lambda s: s.withField("base_failed", (s["n_words"] < MIN_WORDS) | (
+                s["n_repeat_words"] * 100 > s["n_words"] * MAX_REPEAT_PERCENT
+            )),
+        ))
+
+    return let(split_words(text), of_words)
 
 
 def ngram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
@@ -113,7 +120,7 @@ def mean_log_ratio(hashes: Column, ratios: list[float]) -> Column:
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept`` for every row of ``docs``."""
     ratios = fit_log_ratios(docs, trusted, buckets)
-    scored = base_rules(docs.select("doc_id", "text")).withColumn("score", mean_log_ratio(F.col("_hashes"), ratios))
+    scored = docs.select("doc_id", text_stats(F.col("text"), ratios).alias("_s")).select("doc_id", "_s.*")
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score",
         (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"),
@@ -123,6 +130,5 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
 def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     ratios = fit_log_ratios(docs, trusted, buckets)
-    whole = docs.select(F.struct("*").alias("_doc"), "text")
-    scored = base_rules(whole).withColumn("score", mean_log_ratio(F.col("_hashes"), ratios))
-    return scored.filter(~F.col("base_failed") & (F.col("score") >= threshold)).select("_doc.*")
+    passes = let(text_stats(F.col("text"), ratios), lambda s: ~s["base_failed"] & (s["score"] >= threshold))
+    return docs.filter(passes)
