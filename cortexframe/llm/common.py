@@ -43,6 +43,16 @@ def row_key() -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("b"))
 
 
+#: Bytes in one batch between Spark and a worker; both sides hold a few of them.
+BATCH_BYTES = 8 << 20
+
+
+def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` for rows with long texts: batches are bounded in bytes (for the session, as Spark plans late)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``limit`` bytes of text, or one longer text."""
     lengths = pc.binary_length(batch.column(column)).to_pylist()

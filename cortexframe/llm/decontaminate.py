@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import text_slices
+from .common import map_texts, text_slices
 
 WINDOW = 10
 #: Bytes of item texts in one automaton; more items are read in further passes over the documents.
@@ -220,7 +220,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
         rows = [(r["item_id"], r["text"]) for r in texts.filter(block == b).collect()]
         automaton = spark.sparkContext.broadcast(ItemAutomaton(rows, window))
         last = b == blocks - 1
-        out = out.mapInArrow(_pass(automaton, last, min_words, with_text), schema)
+        out = map_texts(out, _pass(automaton, last, min_words, with_text), schema)
         if not last:
             out = materialize(out).select("_doc", "text", "spans", "items")
     return out

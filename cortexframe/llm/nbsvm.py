@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 from . import kernels as K
-from .common import text_slices
+from .common import map_texts, text_slices
 
 BUCKETS = 1 << 17
 MAX_ROWS = 5000
@@ -77,7 +77,7 @@ def class_counts(rows: DataFrame, buckets: int) -> np.ndarray:
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["bucket", "n0", "n1"])
 
-    each = rows.select("text", "y").mapInArrow(run, "bucket bigint, n0 bigint, n1 bigint")
+    each = map_texts(rows.select("text", "y"), run, "bucket bigint, n0 bigint, n1 bigint")
     total = materialize(each.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))).toPandas()
     out = np.zeros((2, buckets))
     out[:, total["bucket"]] = total[["n0", "n1"]].to_numpy().T
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_rows:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), own], names=["doc_id", "y", "own"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = sample.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kinds['doc_id']}, y {kinds['y']}, own array<int>")
+    found = map_texts(sample.select("doc_id", "text", "y"), run, f"doc_id {kinds['doc_id']}, y {kinds['y']}, own array<int>")
     table = found.toArrow().sort_by("doc_id")
     y = np.array(table.column("y").to_pylist(), np.int64)
     if not len(y) or y.min() == y.max():
@@ -197,4 +197,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_texts(base, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

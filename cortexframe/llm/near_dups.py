@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 from . import kernels as K
-from .common import heat_join, row_key, text_slices
+from .common import heat_join, map_texts, row_key, text_slices
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row_key struct<a:bigint,b:bigint>, n_shingles bigint, va bigint, vb bigint, bands array<bigint>"
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, schema)
+    return map_texts(docs.select("doc_id", row_key().alias("row_key"), "text"), run, schema)
 
 
 def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -105,7 +105,7 @@ def class_sets(docs: DataFrame, row_keys: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*_ids(sets), own], names=["va", "vb", "set"])
 
     texts = spread_join(docs.select("text", row_key().alias("row_key")), row_keys, ["row_key"], "row_key")
-    found = texts.select("text").mapInArrow(run, "va bigint, vb bigint, set array<bigint>")
+    found = map_texts(texts.select("text"), run, "va bigint, vb bigint, set array<bigint>")
     return found.groupBy(F.struct("va", "vb").alias("v")).agg(F.any_value("set").alias("set"))
 
 

@@ -28,7 +28,7 @@ from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 from . import anchors as A
 from . import kernels as K
-from .common import RepeatedGrams, heat_join, row_key, text_slices
+from .common import RepeatedGrams, heat_join, map_texts, row_key, text_slices
 from .substring_dedup import merge_spans
 
 LENGTH, GRAM, ONE_IN = 400, 32, 16
@@ -57,7 +57,7 @@ def repeated_grams(docs: DataFrame, length: int, gram: int, one_in: int) -> Repe
                 _, _, grams, s = _cut(part, length, gram, one_in)
                 yield RepeatedGrams.partial(grams[s.anchor])
 
-    return RepeatedGrams(docs.select("text").mapInArrow(run, RepeatedGrams.SCHEMA))
+    return RepeatedGrams(map_texts(docs.select("text"), run, RepeatedGrams.SCHEMA))
 
 
 def rounds(gram: int, length: int) -> list[tuple[int, int]]:
@@ -117,7 +117,7 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: in
                     names=["row_key", "gram", "ca", "cb", "windows", "off", "right", "left", "at"],
                 )
 
-    return docs.select(row_key().alias("row_key"), "text").mapInArrow(run, (
+    return map_texts(docs.select(row_key().alias("row_key"), "text"), run, (
         "row_key struct<a:bigint,b:bigint>, gram bigint, ca bigint, cb bigint, windows int, off int, "
         "right array<bigint>, left array<bigint>, at array<int>"
     ))
@@ -178,7 +178,7 @@ def window_rows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     names=["id", "window", "wa", "wb", "weight"],
                 )
 
-    return joined.mapInArrow(run, "id bigint, window int, wa bigint, wb bigint, weight bigint")
+    return map_texts(joined, run, "id bigint, window int, wa bigint, wb bigint, weight bigint")
 
 
 def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_in: int = ONE_IN) -> DataFrame:
@@ -243,7 +243,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_in: int
                 )
 
     schema = f"_doc {joined.schema['_doc'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left binary"
-    return joined.mapInArrow(run, schema)
+    return map_texts(joined, run, schema)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -25,7 +25,7 @@ from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 from . import anchors as A
 from . import kernels as K
-from .common import RepeatedGrams, heat_join, row_key, text_slices
+from .common import RepeatedGrams, heat_join, map_texts, row_key, text_slices
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 13, 5
@@ -51,7 +51,7 @@ def repeated_grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> R
                 _, _, grams, s = _cut(part, window, gram)
                 yield RepeatedGrams.partial(grams[s.anchor])
 
-    return RepeatedGrams(docs.select("text").mapInArrow(run, RepeatedGrams.SCHEMA))
+    return RepeatedGrams(map_texts(docs.select("text"), run, RepeatedGrams.SCHEMA))
 
 
 def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -90,7 +90,7 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, window: int = WINDOW,
                 )
 
     base = docs.select(row_key().alias("row_key"), F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("ord"), "text")
-    return base.mapInArrow(run, (
+    return map_texts(base, run, (
         "row_key struct<a:bigint,b:bigint>, ord bigint, gram bigint, ca bigint, cb bigint, windows int, "
         "words array<bigint>, at array<int>"
     ))
@@ -209,7 +209,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: b
                 )
 
     schema = f"_doc {joined.schema['_doc'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string, left string"
-    return joined.mapInArrow(run, schema)
+    return map_texts(joined, run, schema)
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import spread_join
 from ..plans.materialize import materialize, shared_dir
+from .common import map_texts
 
 MIN_BYTES = 100
 #: Bytes of records after which a task begins the next archive.
@@ -138,7 +139,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     target, base = fs.FileSystem.from_uri(folder)
     target.create_dir(base, recursive=True)
     cols = records.select("page_id", "url", "html", "digest", "size", "record_type", "refers_to")
-    return materialize(cols.mapInArrow(run, "path string, records bigint, bytes bigint"))
+    return materialize(map_texts(cols, run, "path string, records bigint, bytes bigint"))
 
 
 class Member(NamedTuple):
@@ -233,7 +234,7 @@ def record_ranges(archives: DataFrame, records_per_range: int = RECORDS_PER_RANG
                     "offset": [base + r["offset"] for r in rows], "length": [r["length"] for r in rows],
                 })
 
-    return archives.select("path").mapInArrow(run, "path string, part bigint, offset bigint, length bigint")
+    return map_texts(archives.select("path"), run, "path string, part bigint, offset bigint, length bigint")
 
 
 def read_records(archives: DataFrame, records_per_range: int = RECORDS_PER_RANGE) -> DataFrame:
@@ -258,7 +259,7 @@ def read_records(archives: DataFrame, records_per_range: int = RECORDS_PER_RANGE
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
-    return dealt.mapInArrow(run, schema)
+    return map_texts(dealt, run, schema)
 
 
 def _row(r: dict) -> tuple:
