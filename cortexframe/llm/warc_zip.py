@@ -173,7 +173,7 @@ def members(read, size: int) -> list[Member]:
     tail_at = max(0, size - 22 - _FULL16)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(_END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(_END, 0, at)
     if at < 0:
         raise ValueError("no end record: not a ZIP file")
