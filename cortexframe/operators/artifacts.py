@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spline import spline_weights
@@ -252,7 +252,7 @@ def _policy_table(epochs: DataFrame, global_bads: DataFrame) -> DataFrame:
         "all_bads", F.array_sort(F.array_union("bad_channels", "global_bads")))
 
 
-def epoch_policy(epochs: DataFrame, global_bads: DataFrame, n_channels: int, max_frac: float = 0.2) -> DataFrame:
+def epoch_policy(epochs: DataFrame, global_bads: DataFrame, n_channels: int | Column, max_frac: float = 0.2) -> DataFrame:
     """``marked_bad`` when the epoch is bad or too many channels are; ``repaired`` with own bad channels; else ``none``."""
     t = _policy_table(epochs, global_bads).withColumn("bad_ratio", F.size("all_bads") / n_channels)
     own = F.size("bad_channels") > 0
@@ -276,26 +276,29 @@ def epoch_policy_v2(epochs: DataFrame, global_bads: DataFrame, n_channels: int,
     return t.withColumn("action", F.when(cand & big, "interpolated").when(cand, "candidate").otherwise("none"))
 
 
-def interpolate(frames: DataFrame, channels: list[str], positions: dict[str, tuple[float, float, float]], bads: str = "bads") -> DataFrame:
+def interpolate(frames: DataFrame, channels: list[str], positions: dict[str, tuple[float, float, float]], bads: str = "bads",
+                absent: str | None = None) -> DataFrame:
     """Replace the channels listed in column ``bads`` of every frame by spherical-spline predictions.
 
-    Weights depend only on the set of bad channels, so each task computes them once per set it meets.
-    Channels without a position are neither used nor repaired.
+    Weights depend only on the two channel lists of a frame, so each task computes them once per pair it meets.
+    Channels without a position, and those listed in column ``absent``, are neither used nor repaired.
     """
     index = {c: i for i, c in enumerate(channels)}
     placed = [i for i, c in enumerate(channels) if c in positions and np.linalg.norm(positions[c]) > 1e-6]
     xyz = np.array([positions.get(c, (0.0, 0.0, 0.0)) for c in channels], dtype=float)
 
+    def listed(names) -> tuple[int, ...]:
+        return tuple(sorted(index[n] for n in names if n in index)) if names is not None else ()
+
     @F.pandas_udf("array<double>")
-    def repair(values: pd.Series, bad: pd.Series) -> pd.Series:
+    def repair(values: pd.Series, bad: pd.Series, gone: pd.Series) -> pd.Series:
         out = list(values)
         groups: dict[tuple, list[int]] = {}
-        for row, names in enumerate(bad):
-            key = tuple(sorted(index[n] for n in names if n in index)) if names is not None else ()
-            groups.setdefault(key, []).append(row)
-        for key, rows in groups.items():
-            wrong = [i for i in key if i in placed]
-            good = [i for i in placed if i not in key]
+        for row, names in enumerate(zip(bad, gone)):
+            groups.setdefault(tuple(map(listed, names)), []).append(row)
+        for (key, off), rows in groups.items():
+            wrong = [i for i in key if i in placed and i not in off]
+            good = [i for i in placed if i not in key and i not in off]
             if not wrong or not good:
                 continue
             w = spline_weights(xyz[good], xyz[wrong])
@@ -305,7 +308,8 @@ def interpolate(frames: DataFrame, channels: list[str], positions: dict[str, tup
                 out[r] = v
         return pd.Series(out, dtype=object)
 
-    return frames.withColumn("values", repair("values", bads))
+    gone = F.col(absent) if absent else F.lit(None).cast("array<string>")
+    return frames.withColumn("values", repair("values", bads, gone))
 
 
 def detect_r_peaks(ecg: DataFrame, fs: float, block: int = BLOCK_SAMPLES) -> DataFrame:
@@ -374,7 +378,10 @@ def detect_bad_channels(signals: DataFrame, channels: DataFrame, fs: float, corr
 
 def epoch_review(signals: DataFrame, fs: float, length: float = 1.0, epoch_threshold: float = 5.0,
                  channel_threshold: float = 3.0, stim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Epoch table ``(is_bad, bad_channels[, is_stim])`` and the channels bad in too many epochs."""
+    """Epoch table ``(is_bad, bad_channels[, is_stim])`` and the bad channels of whole recordings.
+
+    Those are bad in too many epochs or, without stimulation, stand out over the channels of the recording.
+    """
     ep = fixed_epochs(signals, length, fs)
     rate, judged = 0.3, ep
     if stim is not None:
@@ -392,7 +399,9 @@ def epoch_review(signals: DataFrame, fs: float, length: float = 1.0, epoch_thres
     n = bad_ep.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_n"))
     often = bad_ch.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_b")).join(n, "recording_id").filter(
         F.col("_b") / F.col("_n") > rate).select(*SERIES)
-    if stim is not None:
+    if stim is None:
+        often = bad_channels(often, faster_channels(signals, fs, int(length * fs), channel_threshold).filter("is_bad"))
+    else:
         rest = flags.join(table, EPOCH, "left")
         table = rest.withColumn("is_bad", F.coalesce("is_bad", F.lit(False))).withColumn(
             "bad_channels", F.coalesce("bad_channels", F.array().cast("array<string>")))

@@ -10,49 +10,72 @@ from ..plans.chunks import SERIES
 from ..plans.joins import lookup_join
 from ..plans.materialize import materialize
 from . import artifacts as art
+from .channels import drop_channels
 from .events import annotate_bad_epochs, mask_samples
 from .ica import IcaModel, ica_apply, ica_fit, select_components
 
 
 def frames_to_signals(frames: DataFrame, channels: list[str]) -> DataFrame:
+    """One row per sample and channel."""
     names = F.array(*[F.lit(c) for c in channels])
     long = frames.select("recording_id", "sample_idx", F.posexplode("values").alias("_i", "value"))
     return long.select("recording_id", F.get(names, F.col("_i")).alias("channel"), "sample_idx", "value")
 
 
-def _repair(signals: DataFrame, names: list[str], positions: dict, lists: DataFrame, keys: list[str], epoch: int | None) -> DataFrame:
-    """Interpolate the channels in ``lists.bads`` (per recording or per epoch)."""
-    frames = to_frames(signals, names)
+def _repair(signals: DataFrame, names: list[str], positions: dict, lists: DataFrame, keys: list[str], epoch: int | None,
+            aside: DataFrame) -> DataFrame:
+    """Interpolate the channels in ``lists.bads`` (per recording or per epoch) from the channels that are there.
+
+    ``aside`` lists the channels that a recording lacks in ``signals``; they are neither used nor made up.
+    """
+    frames = to_frames(signals, names, "null")
     if epoch:
         frames = frames.withColumn("epoch_idx", F.floor(F.col("sample_idx") / epoch).cast("bigint"))
-    joined = lookup_join(frames, lists.select(*keys, "bads"), keys, "left")
-    fixed = art.interpolate(joined, names, positions).select("recording_id", "sample_idx", "values")
-    return frames_to_signals(fixed, names)
+    gone = aside.groupBy("recording_id").agg(F.collect_set("channel").alias("_gone"))
+    joined = lookup_join(lookup_join(frames, lists.select(*keys, "bads"), keys, "left"), gone, ["recording_id"], "left")
+    fixed = art.interpolate(joined, names, positions, absent="_gone").select("recording_id", "sample_idx", "values")
+    return drop_channels(frames_to_signals(fixed, names), aside)
+
+
+def _filled(signals: DataFrame, names: list[str], positions: dict, aside: DataFrame) -> DataFrame:
+    """Frames over all names; the channels of ``aside`` are predicted from the others of their recording."""
+    lists = aside.groupBy("recording_id").agg(F.collect_set("channel").alias("bads"))
+    frames = lookup_join(to_frames(signals, names, "null"), lists, ["recording_id"], "left")
+    return art.interpolate(frames, names, positions).select("recording_id", "sample_idx", "values")
 
 
 def clean(
     signals: DataFrame, channels: DataFrame, names: list[str], positions: dict[str, tuple[float, float, float]], fs: float,
     use_faster: bool = True, remove_bad: bool = False, stim: DataFrame | None = None,
     ica_model: IcaModel | None = None, ica_labels: DataFrame | None = None, use_ica: bool = False,
-    epoch_seconds: float = 1.0, max_bad_frac: float = 0.5,
+    epoch_seconds: float = 1.0, max_bad_frac: float = 0.5, bads: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Clean rectangular EEG signals whose channels are ``names``.
+    """Clean the EEG channels ``names`` of every recording; rows of other channels come back unchanged.
 
     ``stim`` holds stimulation intervals: they are excluded from detection and component fitting and stay
-    unchanged. Component labels are an input; without a model one is fitted. Returns the cleaned signals, all
-    repaired channels, the epoch decisions and the bad-epoch annotations.
+    unchanged. With ``remove_bad``, the bad channels of a recording (detected, or given as ``bads``) are set aside
+    while its other channels are cleaned, and interpolated at the end. Components are fitted and applied to frames in
+    which the set-aside channels are predictions from the others, so they carry nothing of their own. Component labels
+    are an input; without a model one is fitted. Returns the cleaned signals, all repaired channels, the epoch
+    decisions and the bad-epoch annotations.
     """
-    calm = signals if stim is None else mask_samples(signals, stim, fs)
+    eeg = signals.filter(F.col("channel").isin(names))
+    others = signals.filter(~F.col("channel").isin(names))
+    calm = eeg if stim is None else mask_samples(eeg, stim, fs)
     none = channels.select(*SERIES).limit(0)
-    bads = materialize(art.detect_bad_channels(calm, channels, fs)) if remove_bad else none
-    good, aside = art.remove_bad(signals, bads) if remove_bad else (signals, None)
+    aside = none
+    if remove_bad:
+        found = art.detect_bad_channels(calm, channels, fs) if bads is None else bads
+        aside = materialize(found.select(*SERIES).filter(F.col("channel").isin(names)).distinct())
+    good, kept_aside = art.remove_bad(eeg, aside) if remove_bad else (eeg, None)
     if use_ica:
-        frames = to_frames(good, names)
+        frames = _filled(good, names, positions, aside)
         if ica_model is None:
-            ica_model = ica_fit(to_frames(mask_samples(good, stim, fs) if stim is not None else good, names), len(names))
+            fit_on = _filled(mask_samples(good, stim, fs), names, positions, aside) if stim is not None else frames
+            ica_model = ica_fit(fit_on, len(names))
         drop = [r["component"] for r in select_components(ica_labels, "artifact" if stim is None else "non_brain").select(
             "component").distinct().collect()] if ica_labels is not None else []  # at most one per channel
-        cleaned = frames_to_signals(ica_apply(frames, ica_model, drop), names)
+        cleaned = drop_channels(frames_to_signals(ica_apply(frames, ica_model, drop), names), aside)
         if stim is not None:
             cleaned = mask_samples(cleaned, stim, fs).unionByName(mask_samples(good, stim, fs, "inside").select(*cleaned.columns))
         good = materialize(cleaned)
@@ -61,17 +84,22 @@ def clean(
         n = int(epoch_seconds * fs)
         table, often = art.epoch_review(good, fs, epoch_seconds, 5.0 if stim is None else 3.0, 3.0, stim)
         table, often = materialize(table), materialize(often)
-        epochs = art.epoch_policy(table, often, len(names), max_bad_frac) if stim is None else art.epoch_policy_stim(table)
+        if stim is None:
+            left = aside.groupBy("recording_id").agg((F.lit(len(names)) - F.count(F.lit(1))).alias("_left"))
+            sized = lookup_join(table, left, ["recording_id"], "left")
+            epochs = art.epoch_policy(sized, often, F.coalesce("_left", F.lit(len(names))), max_bad_frac).drop("_left")
+        else:
+            epochs = art.epoch_policy_stim(table)
         lists = epochs.filter("action = 'repaired'").select("recording_id", "epoch_idx", F.col("bad_channels").alias("bads"))
-        good = _repair(good, names, positions, lists, ["recording_id", "epoch_idx"], n)
-    merged = good if aside is None else good.unionByName(aside.select(*good.columns))
-    repaired = art.bad_channels(bads, often)
+        good = _repair(good, names, positions, lists, ["recording_id", "epoch_idx"], n, aside)
+    merged = good if kept_aside is None else good.unionByName(kept_aside.select(*good.columns))
+    repaired = art.bad_channels(aside, often)
     per = repaired.groupBy("recording_id").agg(F.collect_set("channel").alias("bads"))
-    out = _repair(merged, names, positions, per, ["recording_id"], None)
-    result = {"signals": out, "repaired": repaired}
+    out = _repair(merged, names, positions, per, ["recording_id"], None, none)
+    result = {"signals": out.unionByName(others.select(*out.columns)), "repaired": repaired}
     if epochs is not None:
         result["epochs"] = epochs
         if stim is None:
-            totals = signals.groupBy("recording_id").agg(((F.max("sample_idx") + 1) / F.lit(float(fs))).alias("total"))
+            totals = eeg.groupBy("recording_id").agg(((F.max("sample_idx") + 1) / F.lit(float(fs))).alias("total"))
             result["annotations"] = annotate_bad_epochs(epochs.filter("action = 'marked_bad'"), totals, epoch_seconds)
     return result

@@ -68,12 +68,23 @@ def with_halo(
     )
 
 
-def to_frames(signals: DataFrame, channels: list[str]) -> DataFrame:
-    """Long samples to one array over the given channel order per ``(recording, sample)``."""
+def to_frames(signals: DataFrame, channels: list[str], partial: str = "error") -> DataFrame:
+    """Long samples to one array over the given channel order per ``(recording, sample)``.
+
+    A sample without one of the channels stops the job (``partial="error"``) or holds null in its place
+    (``partial="null"``); no sample is left out.
+    """
     order = F.create_map(*[x for i, c in enumerate(channels) for x in (F.lit(c), F.lit(i))])
     put = signals.withColumn("_i", F.try_element_at(order, F.col("channel"))).filter(F.col("_i").isNotNull())
     packed = put.groupBy("recording_id", "sample_idx").agg(
         F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("_v")
     )
-    full = packed.filter(F.size("_v") == len(channels))
-    return full.select("recording_id", "sample_idx", F.col("_v")["value"].alias("values"))
+    if partial == "null":
+        placed = F.map_from_entries("_v")
+        values = F.transform(F.sequence(F.lit(0), F.lit(len(channels) - 1)), lambda i: F.try_element_at(placed, i))
+    elif partial == "error":
+        what = F.concat(F.lit("a sample lacks a channel: "), F.col("recording_id"), F.lit(", "), F.col("sample_idx").cast("string"))
+        values = F.when(F.size("_v") == len(channels), F.col("_v")["value"]).otherwise(F.raise_error(what))
+    else:
+        raise ValueError("partial must be 'error' or 'null'")
+    return packed.select("recording_id", "sample_idx", values.alias("values"))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .materialize import materialize
-from .size import is_tiny
 
 SERIES = ["recording_id", "channel"]
 CHUNK = "_chunk"
@@ -40,12 +39,14 @@ def sample_halo(df: DataFrame, before: int, after: int, size: int = CHUNK_SAMPLE
 def range_chunks(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Number balanced chunks of ``(keys, order)``; a hot key simply spans many chunks.
 
-    Tiny inputs form one chunk per key and are not stored.
+    The rows are stored and counted first, so a chunk holds about ``CHUNK_SAMPLES`` rows at any size of the input.
     """
-    if parts is None and is_tiny(df):
-        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
-    cols = [F.col(c) for c in [*keys, *order]]
-    ranged = df.repartitionByRange(parts, *cols) if parts else df.repartitionByRange(*cols)
+    if parts is None:
+        df = materialize(df)
+        parts = max(1, -(-df.count() // CHUNK_SAMPLES))
+        if parts == 1:
+            return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in [*keys, *order]])
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
 
 

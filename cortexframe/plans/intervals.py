@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .chunks import CHUNK, CHUNK_SAMPLES, range_chunks, running
 from .joins import MAX_BROADCAST_BYTES
 from .materialize import materialize
-from .size import plan_bytes
+from .size import memory_bytes
 
 
 def merge_intervals(
@@ -59,7 +59,7 @@ def covered(
     a chunk is bounded. The merged ranges are stored, so their size is known: few are broadcast, many meet by shuffle.
     """
     stored = materialize(sample_ranges(intervals, keys, size))
-    if plan_bytes(stored) <= MAX_BROADCAST_BYTES:  # usual: few intervals, the samples stay where they are
+    if memory_bytes(stored) <= MAX_BROADCAST_BYTES:  # usual: few intervals, the samples stay where they are
         stored = F.broadcast(stored)
     ranges = stored.alias("r")
     left = samples.withColumn(CHUNK, F.floor(F.col(index) / size).cast("bigint")).alias("l")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .materialize import materialize
-from .size import is_tiny, plan_bytes
+from .size import memory_bytes
 
-MAX_BROADCAST_BYTES = 32 << 20  # stored (compressed) size
+MAX_BROADCAST_BYTES = 64 << 20  # of rows in memory
 SALTS = 32
 
 
@@ -18,15 +18,13 @@ def spread_join(
 ) -> DataFrame:
     """Equi-join that neither shuffles ``big`` without need nor gathers a hot key in one task.
 
-    A ``small`` side made from tiny inputs is broadcast as it is. Otherwise it is stored first, so it is
-    computed once and its size is known: up to ``max_bytes`` it is broadcast and ``big`` is not moved. Beyond that both sides meet on the key plus a salt: ``small`` is
+    The ``small`` side is stored first, so it is computed once and its rows can be measured: up to ``max_bytes`` in
+    memory it is broadcast and ``big`` is not moved. Beyond that both sides meet on the key plus a salt: ``small`` is
     repeated per salt and ``big`` takes its salt from ``spread``, so a key with a third of all rows is joined
     by ``salts`` tasks.
     """
-    if max_bytes > 0 and is_tiny(small):
-        return big.join(F.broadcast(small), keys, how)
     stored = materialize(small)
-    if plan_bytes(stored) <= max_bytes:
+    if memory_bytes(stored) <= max_bytes:
         return big.join(F.broadcast(stored), keys, how)
     salt = F.pmod(F.hash(spread if isinstance(spread, Column) else F.col(spread)), F.lit(salts))
     salted = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

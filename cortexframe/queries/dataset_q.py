@@ -141,10 +141,14 @@ def dst10(spark, sf):
                     F.size("target").cast("bigint").alias("n_target"), ok.alias("consistent"))
 
 
-@query("dst10_span_mask")
+@query("dst10_span_mask", "SELECT doc_id AS sample_id, true AS consistent, true AS in_bounds FROM documents")
 def dst10b(spark, sf):
     ids = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
-    return ds.block_mask(ids, 150, 0.5, method="span")
+    m = ds.block_mask(ids, 150, 0.5, method="span")
+    hit = F.size(F.filter("mask", lambda x: x == 0))
+    ok = (F.size(F.array_intersect("context", "target")) == 0) & F.forall("target", lambda i: F.get("mask", i) == 0) & (
+        F.size(F.array_distinct(F.concat("context", "target"))) == 150) & (hit == F.size("target"))
+    return m.select("sample_id", ok.alias("consistent"), ((hit >= 2) & (hit <= 75 + 9)).alias("in_bounds"))
 
 
 @query("dst11_masked_mean_pool", """

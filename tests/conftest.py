@@ -13,7 +13,6 @@ def spark():
 
     s = local_session()
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.cortexframe.tinyBytes", "0")  # always take the path for large inputs
     return s
 
 

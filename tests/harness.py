@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -68,8 +67,6 @@ def main(argv: list[str]) -> int:
     wanted = argv[1:]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("TINY_BYTES"):  # 0 forces the path for large inputs
-        spark.conf.set("spark.cortexframe.tinyBytes", os.environ["TINY_BYTES"])
     con = oracle_connection(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0

@@ -124,6 +124,43 @@ def test_clean_with_bad_channel_and_stim(spark, series):
     assert aside["signals"].count() == 6 * 640
 
 
+@pytest.mark.parametrize("use_ica", [False, True])
+@pytest.mark.parametrize("use_faster", [False, True])
+@pytest.mark.parametrize("remove_bad", [False, True])
+def test_clean_keeps_every_recording_and_sample(spark, series, use_ica, use_faster, remove_bad):
+    """Two recordings, one with a bad channel, plus a channel that is not EEG."""
+    from cortexframe.functions.spline import spline_weights
+
+    rng = np.random.default_rng(8)
+    names, n = [f"c{i}" for i in range(6)], 512
+    pos = sphere(6, 2)
+    data = {(r, c): x for r in "ab" for c, x in zip(names, pos @ rng.standard_normal((3, n)) + 0.05 * rng.standard_normal((6, n)))}
+    data |= {(r, "ecg"): rng.standard_normal(n) for r in "ab"}
+    bads = spark.createDataFrame([("a", "c2")], "recording_id string, channel string")
+    out = cleaning.clean(series(data), channel_table(spark, names, pos), names, dict(zip(names, map(tuple, pos))), 64.0,
+                         use_faster=use_faster, remove_bad=remove_bad, use_ica=use_ica, bads=bads)
+    rows = {(r["recording_id"], r["channel"]): r for r in out["signals"].groupBy("recording_id", "channel").agg(
+        {"*": "count", "value": "count"}).collect()}
+    assert set(rows) == set(data) and all(r["count(1)"] == r["count(value)"] == n for r in rows.values())
+    repaired = {(r["recording_id"], r["channel"]) for r in out["repaired"].collect()}
+    assert (("a", "c2") in repaired) if remove_bad else use_faster or not repaired
+    for key, x in data.items():
+        if key[1] == "ecg" or not use_faster and key not in repaired:
+            assert np.allclose(collect_series(out["signals"], *key), x, atol=1e-8), key
+    if remove_bad and not use_faster:
+        good = [0, 1, 3, 4, 5]
+        want = spline_weights(pos[good], pos[[2]]) @ np.stack([data["a", names[i]] for i in good])
+        assert np.allclose(collect_series(out["signals"], "a", "c2"), want[0], atol=1e-8)
+
+
+def test_frames_never_lose_samples(spark, series):
+    s = series({("a", "x"): np.arange(3.0), ("a", "y"): np.arange(2.0)})
+    rows = to_frames(s, ["x", "y"], "null").orderBy("sample_idx").collect()
+    assert [r["values"] for r in rows] == [[0, 0], [1, 1], [2, None]]
+    with pytest.raises(Exception, match="lacks a channel"):
+        to_frames(s, ["x", "y"]).collect()
+
+
 def test_ica_recovers_sources(spark):
     rng = np.random.default_rng(0)
     n = 4000
@@ -213,9 +250,3 @@ def test_flag_epochs_boundaries(spark):
     got = [r["epoch_idx"] for r in events.flag_epochs(ep, iv, 1.0, 100.0).filter("is_stim").orderBy("epoch_idx").collect()]
     want = [i for i in range(9) if any(i < e and i + (1 - 1 / 100) > s for s, e in ((2.0, 3.0), (5.999, 6.0)))]
     assert got == want
-
-
-def test_frames_need_every_channel(series):
-    s = series({("a", "x"): [1, 2, 3], ("a", "y"): [4, 5]})
-    assert [r["values"] for r in to_frames(s, ["y", "x"]).orderBy("sample_idx").collect()] == [[4, 1], [5, 2]]
-    assert s.filter(F.col("channel") == "x").count() == 3
