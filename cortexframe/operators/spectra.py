@@ -26,7 +26,7 @@ def _windows(nperseg: int, step: int, fs: float, window: str, mean: bool):
     def one(x, start, n_right):
         x = np.asarray(x, dtype=float)
         n = nperseg
-        if start == 0 and n_right == 0 and len(x) < nperseg:  # whole series shorter than a window
+        if start == 0 and len(x) < nperseg:  # block and halo hold the whole series, which is shorter than a window
             n = len(x)
         starts = sg.window_starts(start, len(x) - n_right, len(x), n, step if n == nperseg else n)
         if not len(starts) or n < 1:

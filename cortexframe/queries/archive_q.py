@@ -1,21 +1,15 @@
 """Archive, source and sink queries; file formats are written from the test tables and read back."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import archive as ar
-from ..plans.materialize import shared_dir
 from ..sources import files as src
 from ..sources import tables as tb
 from . import fixtures as fx
+from .fixtures import scratch
 from .registry import query, rounded
 
 
-def scratch(spark, name):
-    return f"{shared_dir(spark)}/cortexframe/{name}-{uuid.uuid4().hex}"
-
-
 @query("arc1_assign_subject_ids", """
 SELECT 'file_' || o_orderkey || '.edf' AS file_path, lpad(CAST(100 + row_number() OVER (ORDER BY o_orderkey) - 1 AS VARCHAR), 7, '0') AS subject_id FROM orders""")
 def arc1(spark, sf):
@@ -296,6 +290,17 @@ def snk1(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("snk1_rewrite", "WITH " + fx.SIGNALS + """
+SELECT recording_id, channel, count(*) AS n, count(DISTINCT sample_idx) AS n_distinct FROM signals GROUP BY ALL""")
+def snk1b(spark, sf):
+    path = scratch(spark, "archive")
+    s = fx.signals(spark, sf).withColumn("subject_number", F.substring("recording_id", 2, 9).cast("bigint")).withColumn("session", F.lit("ses-1"))
+    for _ in range(2):  # the second run replaces what the first one wrote
+        tb.write_archive(s, path, "sleep", "clean")
+    return spark.read.parquet(path).groupBy("recording_id", "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("sample_idx").alias("n_distinct"))
+
+
 @query("snk2_write_sidecars", _SIDE + """
 SELECT recording_id, "EEGChannelCount" AS eeg, "RecordingType" AS kind FROM side""")
 def snk2(spark, sf):

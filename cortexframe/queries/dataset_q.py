@@ -226,17 +226,17 @@ def met4(spark, sf):
 
 
 def _logits(spark, sf):
-    return fx.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("y_true"), F.slice("embedding", 1, 10).alias("logits"))
+    return fx.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("y_true"), F.col("embedding").alias("logits"))
 
 
-@query("met5_decode", "SELECT vec_id, list_position(embedding[1:10], list_max(embedding[1:10])) - 1::BIGINT AS y_pred FROM embeddings")
+@query("met5_decode", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1::BIGINT AS y_pred FROM embeddings")
 def met5(spark, sf):
     return mt.decode(_logits(spark, sf)).select("vec_id", "y_pred")
 
 
 @query("met5_accuracy", """
-SELECT count(*) FILTER (label = list_position(embedding[1:10], list_max(embedding[1:10])) - 1) AS correct, count(*) AS total,
-  round(count(*) FILTER (label = list_position(embedding[1:10], list_max(embedding[1:10])) - 1) / count(*), 6) + 0 AS accuracy FROM embeddings""")
+SELECT count(*) FILTER (label = list_position(embedding, list_max(embedding)) - 1) AS correct, count(*) AS total,
+  round(count(*) FILTER (label = list_position(embedding, list_max(embedding)) - 1) / count(*), 6) + 0 AS accuracy FROM embeddings""")
 def met5b(spark, sf):
     return rounded(mt.accuracy(mt.decode(_logits(spark, sf))), "accuracy")
 

@@ -4,16 +4,20 @@ from pyspark.sql import functions as F
 
 from ..functions.channels import natural_key
 from ..operators import events as ev
+from ..sources import tables as tb
 from . import fixtures as fx
+from .fixtures import scratch
 from .registry import query, rounded
 
 A = "WITH " + fx.ANNOTATIONS
 _COLS = ["recording_id", "event_id", "onset", "duration", "description"]
 
 
-@query("src5_read_annotations", A + " SELECT recording_id, event_id, onset, duration, description FROM annotations")
+@query("src5_read_annotations", A + " SELECT recording_id, onset, duration, description FROM annotations")
 def src5(spark, sf):
-    return fx.annotations(spark, sf)
+    path = scratch(spark, "annotations")
+    fx.annotations(spark, sf).write.parquet(path)
+    return tb.read_annotations(spark, path)
 
 
 _IS_MARKER = r"""(regexp_matches(trim(description), '2001\b\D*(\d+)') OR trim(description) = '2001'
@@ -69,16 +73,16 @@ def jon2b(spark, sf):
 def short_intervals(spark, sf):
     """Stimulation-like intervals inside the signals: an order of a customer per recording."""
     o = fx.table(spark, sf, "orders")
-    start = (F.col("o_orderkey") % 30).cast("double") + (F.col("o_custkey") % 7) / 10.0
-    return o.filter(F.col("o_totalprice") > 400000).select(
+    start = (F.col("o_orderkey") % 30011) / 10.0 + (F.col("o_custkey") % 7) / 100.0
+    return o.select(
         F.concat(F.lit("r"), (F.col("o_custkey") % 4).cast("string")).alias("recording_id"), start.alias("start"),
         (start + F.col("o_totalprice") / 4000000.0).alias("end"))
 
 
 SHORT = """short AS (
-  SELECT 'r' || (o_custkey % 4) AS recording_id, CAST(o_orderkey % 30 AS DOUBLE) + (o_custkey % 7) / 10.0::DOUBLE AS "start",
-    CAST(o_orderkey % 30 AS DOUBLE) + (o_custkey % 7) / 10.0::DOUBLE + o_totalprice / 4000000.0::DOUBLE AS "end"
-  FROM orders WHERE o_totalprice > 400000)"""
+  SELECT 'r' || (o_custkey % 4) AS recording_id, (o_orderkey % 30011) / 10.0::DOUBLE + (o_custkey % 7) / 100.0::DOUBLE AS "start",
+    (o_orderkey % 30011) / 10.0::DOUBLE + (o_custkey % 7) / 100.0::DOUBLE + o_totalprice / 4000000.0::DOUBLE AS "end"
+  FROM orders)"""
 _INSIDE = """EXISTS (SELECT 1 FROM short i WHERE i.recording_id = s.recording_id
   AND s.sample_idx >= trunc(i."start" * 16) AND s.sample_idx < trunc(i."end" * 16))"""
 
@@ -96,12 +100,14 @@ def jon3b(spark, sf):
 
 
 @query("jon4_flag_epochs", "WITH " + fx.INTERVALS + """,
-epochs AS (SELECT DISTINCT recording_id, e AS epoch_idx FROM intervals, (SELECT unnest(range(8000, 8400)) AS e))
+epochs AS (SELECT recording_id, unnest(range(CAST(floor(min("start") / 1.5::DOUBLE) AS BIGINT), CAST(floor(max("end") / 1.5::DOUBLE) AS BIGINT) + 1)) AS epoch_idx
+  FROM intervals GROUP BY 1)
 SELECT recording_id, epoch_idx, EXISTS (SELECT 1 FROM intervals i WHERE i.recording_id = p.recording_id
   AND epoch_idx * 1.5::DOUBLE < i."end" AND epoch_idx * 1.5::DOUBLE + (1.5::DOUBLE - 1.0::DOUBLE / 128) > i."start") AS is_stim FROM epochs p""")
 def jon4(spark, sf):
     iv = fx.intervals(spark, sf)
-    ep = iv.select("recording_id").distinct().withColumn("epoch_idx", F.explode(F.sequence(F.lit(8000).cast("bigint"), F.lit(8399).cast("bigint"))))
+    span = iv.groupBy("recording_id").agg(F.floor(F.min("start") / 1.5).alias("lo"), F.floor(F.max("end") / 1.5).alias("hi"))
+    ep = span.select("recording_id", F.explode(F.sequence("lo", "hi")).alias("epoch_idx"))
     return ev.flag_epochs(ep, iv, 1.5, 128.0)
 
 

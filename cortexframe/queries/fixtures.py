@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.chunks import sequence_index
 from ..plans.joins import spread_join
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, shared_dir
 
 _MEMO: dict[tuple, DataFrame] = {}
 
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_dir(spark)}/cortexframe/{name}-{uuid.uuid4().hex}"
+
+
 def recording() -> F.Column:
     return F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string"))
 
@@ -74,7 +80,7 @@ def _onset():
 @once
 def annotations(spark, sf):
     """stimulation markers and counters from the event stream, onsets in seconds from the first event."""
-    ev = table(spark, sf, "events").filter(F.col("event_type") != "click")
+    ev = table(spark, sf, "events")
     t0 = table(spark, sf, "events").agg(F.min(_onset())).first()[0]
     nth = sequence_index(
         ev.select(recording().alias("recording_id"), "user_id", "event_type", "ts", "event_id", "value"),
@@ -85,7 +91,8 @@ def annotations(spark, sf):
         F.when(F.col("event_type") == "signup", F.concat(F.lit("Start of stimulation"), ident))
         .when(F.col("event_type") == "purchase", F.concat(F.lit("End of stimulation"), ident))
         .when(F.col("event_type") == "error", F.concat(F.lit("2001 "), (F.col("nth") + 1).cast("string")))
-        .otherwise(F.concat(F.lit("5000 "), (F.col("nth") + 1).cast("string")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("5000 "), (F.col("nth") + 1).cast("string")))
+        .otherwise(F.lit("rest"))
     )
     return nth.select(
         "recording_id", "event_id", F.round(_onset() - F.lit(t0), 3).alias("onset"),
@@ -100,9 +107,9 @@ ANNOTATIONS = """annotations AS (
     CASE event_type
       WHEN 'signup' THEN 'Start of stimulation [' || user_id || ', ' || nth || ']'
       WHEN 'purchase' THEN 'End of stimulation [' || user_id || ', ' || nth || ']'
-      WHEN 'error' THEN '2001 ' || nth ELSE '5000 ' || nth END AS description
+      WHEN 'error' THEN '2001 ' || nth WHEN 'view' THEN '5000 ' || nth ELSE 'rest' END AS description
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth
-        FROM events WHERE event_type <> 'click'))"""
+        FROM events))"""
 
 
 def intervals(spark, sf):

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import signals as sg
+from ..sources import tables as tb
 from . import fixtures as fx
+from .fixtures import scratch
 from .registry import query, rounded
 
 SERIES = ["recording_id", "channel"]
@@ -12,7 +14,9 @@ W = "WITH " + fx.SIGNALS
 
 @query("src5_read_signals", W + " SELECT recording_id, channel, sample_idx, value FROM signals")
 def src5(spark, sf):
-    return fx.signals(spark, sf)
+    path = scratch(spark, "signals")
+    fx.signals(spark, sf).write.parquet(path)
+    return tb.read_signals(spark, path)
 
 
 @query("prj8_crop", W + """
@@ -153,7 +157,9 @@ def jon14(spark, sf):
 SELECT recording_id, channel, sample_idx // 120 AS block_idx, min(sample_idx) AS start_sample, count(*) AS n,
        round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 4) + 0 AS total FROM signals GROUP BY ALL""")
 def snk3(spark, sf):
-    b = sg.pack_blocks(fx.signals(spark, sf), 120)
+    path = scratch(spark, "blocks")
+    tb.write_blocks(sg.pack_blocks(fx.signals(spark, sf), 120), path)
+    b = tb.read_blocks(spark, path)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rounded(b.select(*SERIES, "block_idx", "start_sample", F.size("samples").cast("bigint").alias("n"), total.alias("total")), "total", digits=4)
 

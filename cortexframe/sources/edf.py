@@ -10,6 +10,7 @@ import os
 import re
 from dataclasses import dataclass
 from datetime import datetime
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -109,7 +110,7 @@ class Part(InputPartition):
 class EdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = [line.rsplit("|", 1) for line in options["files"].split("\n") if line]
-        self.kind = options.get("kind", "blocks")
+        self.kind, self.base = options.get("kind", "blocks"), options.get("base", "")
         self.seconds = float(options.get("block_seconds", "60"))
         self.split = int(options.get("split_bytes", str(64 << 20)))
         wanted = options.get("wanted_channels")
@@ -128,7 +129,7 @@ class EdfReader(DataSourceReader):
 
         system, inner = arrow_fs.FileSystem.from_uri(part.path) if "://" in part.path or part.path.startswith("file:") else (
             arrow_fs.LocalFileSystem(), part.path)
-        name = os.path.splitext(os.path.basename(part.path))[0]
+        name = recording_name(part.path, self.base)
         with system.open_input_file(inner) as f:
             h = parse_header(f, part.size)
             if self.kind == "channels":
@@ -174,6 +175,13 @@ class EdfSource(DataSource):
         return EdfReader(dict(self.options))
 
 
+def recording_name(path: str, base: str) -> str:
+    """Path below ``base`` without the ending; files of one name in two folders are two recordings."""
+    inner, root = urlparse(path).path, urlparse(base).path.rstrip("/")
+    rel = inner[len(root):].lstrip("/") if inner.startswith(root + "/") else os.path.basename(inner)
+    return os.path.splitext(rel)[0]
+
+
 MAX_FILES = 1_000_000
 
 
@@ -183,7 +191,7 @@ def _load(spark: SparkSession, path: str, kind: str, channels: list[str] | None
         "pathGlobFilter", "*.{[eE][dD][fF],[bB][dD][fF]}").load(path).select("path", "length").limit(MAX_FILES + 1).collect()
     if len(listed) > MAX_FILES:
         raise ValueError("too many files for one read; read the archive folder by folder")
-    reader = spark.read.format("edf_blocks").option("kind", kind).option(
+    reader = spark.read.format("edf_blocks").option("kind", kind).option("base", path).option(
         "files", "\n".join(f"{r['path']}|{r['length']}" for r in sorted(listed)))
     if channels is not None:
         reader = reader.option("wanted_channels", "\n".join(channels))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import quote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +54,20 @@ def read_wfdb_headers(spark: SparkSession, path: str, pattern: str = "*.hea") ->
         F.when(full, gain).otherwise(1.0).alias("gain"))
 
 
-def read_hypnograms(spark: SparkSession, path: str, recursive: bool = True, name: str = r"([^/]+)\.csv$") -> DataFrame:
+def below(path: str, ending: str) -> str:
+    """Pattern that captures, of a file below ``path``, the relative path without its ending."""
+    base = urlparse(path).path.rstrip("/")
+    base = os.path.dirname(base) if base.lower().endswith(ending) else base
+    return re.escape(quote(base)) + "/+(.+)" + re.escape(ending) + "$"
+
+
+def read_hypnograms(spark: SparkSession, path: str, recursive: bool = True, name: str | None = None) -> DataFrame:
     """Stage per epoch from CSV files with a ``sleep_stage`` column, one file per recording.
 
-    The row number is the epoch; the recording is the file stem, or what ``name`` captures from the path.
+    The row number is the epoch; the recording is the path below ``path`` without the ending, so files of one name in
+    two folders stay apart, or what ``name`` captures from the path.
     """
+    name = name or below(path, ".csv")
     raw = spark.read.option("header", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.csv").csv(path)
     rows = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("recording_id"),

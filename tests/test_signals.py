@@ -126,10 +126,12 @@ def test_welch_block_invariance(series, block, n):
     assert np.allclose([r["power"] for r in rows], welch(x, 64.0, n, sg.hann))
 
 
-def test_welch_short_record(series):
+@pytest.mark.parametrize("block", [8, 16, 20, 64])
+def test_welch_short_record(series, block):
     x = np.random.default_rng(1).standard_normal(20)
-    rows = sp.welch_psd(series({("a", "x"): x}), 64.0, 64, fmax=100.0).orderBy("freq").collect()
+    rows = sp.welch_psd(series({("a", "x"): x}), 64.0, 32, fmax=100.0, block=block).orderBy("freq").collect()
     assert len(rows) == 11 and np.allclose([r["power"] for r in rows], welch(x, 64.0, 20, sg.hann))
+    assert sp.spectrogram(series({("a", "x"): x}), 64.0, 32, 16, block=block).select("time").distinct().count() == 1
 
 
 def test_to_db_of_zero(spark):

@@ -124,13 +124,13 @@ def test_manifests_and_listing(spark, tmp_path):
     assert sess == {"s2": (0, 2), "s10": (1, 1)}
 
 
-def test_hypnograms_by_stem(spark, tmp_path):
+def test_hypnograms_by_path(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "night1.csv").write_text("sleep_stage\n" + "\n".join("0011234") + "\n")
     (tmp_path / "night2.csv").write_text("sleep_stage,other\n4,a\n0,b\n")
     rows = src.read_hypnograms(spark, str(tmp_path)).orderBy("recording_id", "epoch_idx").collect()
-    assert [(r["recording_id"], r["epoch_idx"], r["sleep_stage"]) for r in rows][-2:] == [("night2", 0, 4), ("night2", 1, 0)]
-    assert [r["sleep_stage"] for r in rows if r["recording_id"] == "night1"] == [0, 0, 1, 1, 2, 3, 4]
+    assert [(r["recording_id"], r["epoch_idx"], r["sleep_stage"]) for r in rows][:2] == [("night2", 0, 4), ("night2", 1, 0)]
+    assert [r["sleep_stage"] for r in rows if r["recording_id"] == "x/night1"] == [0, 0, 1, 1, 2, 3, 4]
 
 
 def test_registry_and_archive_text(spark, tmp_path):
@@ -187,3 +187,36 @@ def test_classifier_learns_separable_stages(spark):
 def test_streams_of_work_resume(spark):
     tasks = spark.createDataFrame([("a",), ("b",)], "file string")
     assert [r["file"] for r in tb.skip_done(tasks, tasks.filter("file = 'a'"), ["file"]).collect()] == ["b"]
+
+
+def test_same_stem_in_two_folders(spark, tmp_path):
+    for session in ("s1", "s2"):
+        (tmp_path / session).mkdir()
+        write_edf(tmp_path / session / "night.bdf", {"Cz": np.arange(200.0)}, 100, 2, True)
+        (tmp_path / session / "night.csv").write_text("sleep_stage\n1\n2\n")
+    rows = edf.read_edf(spark, str(tmp_path), block_seconds=1.0).collect()
+    assert sorted((r["recording_id"], r["block_idx"]) for r in rows) == [(f"{s}/night", b) for s in ("s1", "s2") for b in (0, 1)]
+    from cortexframe.sources.files import read_hypnograms
+
+    got = sorted((r["recording_id"], r["epoch_idx"], r["sleep_stage"]) for r in read_hypnograms(spark, str(tmp_path)).collect())
+    assert got == [(f"{s}/night", i, i + 1) for s in ("s1", "s2") for i in (0, 1)]
+
+
+def test_sinks_replace_what_they_wrote(spark, tmp_path):
+    from cortexframe.sources import tables
+
+    blocks = spark.createDataFrame([("1", "x", 0, 0, [1.0]), ("2", "x", 0, 0, [2.0])], "recording_id string, channel string, block_idx bigint, start_sample bigint, samples array<double>")
+    for _ in range(2):
+        tables.write_blocks(blocks, f"{tmp_path}/blocks")
+    tables.write_blocks(blocks.filter("recording_id = '1'"), f"{tmp_path}/blocks")
+    got = tables.read_blocks(spark, f"{tmp_path}/blocks")
+    assert sorted((r["recording_id"], r["samples"]) for r in got.collect()) == [("1", [1.0]), ("2", [2.0])]
+
+
+def test_many_rows_in_few_bytes_make_many_chunks(spark):
+    from cortexframe.plans.chunks import CHUNK, CHUNK_SAMPLES, range_chunks
+
+    n = 20 * CHUNK_SAMPLES
+    table = spark.range(n).selectExpr("'a' as recording_id", "id as sample_idx", "1 as label")
+    per = range_chunks(table, ["recording_id"], ["sample_idx"]).groupBy(CHUNK).count().collect()
+    assert len(per) >= 15 and max(r["count"] for r in per) < 4 * CHUNK_SAMPLES and sum(r["count"] for r in per) == n
