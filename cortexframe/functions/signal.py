@@ -89,9 +89,13 @@ def butter_sections(order: int, band: tuple[float | None, float | None], fs: flo
 
 
 def impulse_response(b: np.ndarray, a: np.ndarray, tolerance: float = 1e-15, limit: int = 2_000_000) -> np.ndarray:
-    """Impulse response cut where the pole decay falls below ``tolerance``."""
+    """Impulse response up to where the pole decay falls below ``tolerance``; a longer one than ``limit`` is refused."""
     radius = np.max(np.abs(np.roots(a))) if len(a) > 1 else 0.0
-    n = int(min(limit, max(64, np.ceil(np.log(tolerance) / np.log(radius)) * 1.5))) if radius > 0 else len(b)
+    if radius >= 1:
+        raise ValueError("the filter does not decay")
+    n = int(max(64, np.ceil(np.log(tolerance) / np.log(radius)) * 1.5)) if radius > 0 else len(b)
+    if n > limit:
+        raise ValueError(f"the impulse response has {n} samples, more than {limit}")
     h = np.zeros(n)
     b, a = b / a[0], a / a[0]
     for i in range(n):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import neighbour, signal_chunks
+from ..plans.chunks import neighbour, sequence_index, signal_chunks
 from ..plans.joins import bounded_collect
 from ..plans.materialize import materialize
 from .windows import local_maxima
@@ -299,6 +299,20 @@ def reorder_maps(runs: DataFrame, template: np.ndarray | None = None, order: lis
     return joined.select("run_id", F.col("target").alias("map_id"), F.transform("values", lambda x: x * F.col("sign")).alias("values"))
 
 
+def _drawn_maps(runs: DataFrame, k: int, n_runs: int, seed: int) -> list[np.ndarray]:
+    """``k`` maps for each of ``n_runs`` starts, drawn by position from the maps of all runs."""
+    placed = materialize(sequence_index(runs.select("run_id", "map_id", "values"), [], ["run_id", "map_id"], "_pos"))
+    total, rng = placed.count(), np.random.default_rng(seed)
+    if total < k:
+        raise ValueError(f"{total} maps are too few for {k} means")
+    picks = [rng.choice(total, k, replace=False) for _ in range(n_runs)]
+    wanted = sorted({int(p) for own in picks for p in own})
+    positions = runs.sparkSession.createDataFrame([(p,) for p in wanted], "_pos bigint")
+    rows = placed.join(F.broadcast(positions), "_pos").select("_pos", "values").collect()  # at most n_runs * k
+    found = {r["_pos"]: np.asarray(r["values"], dtype=float) for r in rows}
+    return [np.stack([found[int(p)] for p in own]) for own in picks]
+
+
 def mean_maps(
     runs: DataFrame, k: int, n_runs: int = 200, seed: int = 42, max_iter: int = 1000, compat: bool = False
 ) -> tuple[np.ndarray, float, float]:
@@ -309,15 +323,12 @@ def mean_maps(
     Returns the maps of the best start and the mean and standard deviation of its similarity.
     """
     stored = materialize(_stacked(runs))
-    flat = runs.select("values", F.xxhash64("run_id", "map_id", F.lit(seed)).alias("_h")).orderBy("_h").limit(
-        MAX_MAPS).collect()
-    pool = np.array([r["values"] for r in flat], dtype=float)
-    rng = np.random.default_rng(seed)
-    current = {i: pool[rng.permutation(len(pool))[:k]] for i in range(n_runs)}
+    drawn = _drawn_maps(runs, k, n_runs, seed)
+    current = dict(enumerate(drawn))
     previous: dict[int, np.ndarray] = {}
     done: dict[int, tuple[np.ndarray, float, float]] = {}
     best_seen: dict[int, tuple[np.ndarray, float, float]] = {}
-    n_ch = pool.shape[1]
+    n_ch = drawn[0].shape[1]
     for _ in range(max_iter + 1):
         now, before = dict(current), dict(previous)
 

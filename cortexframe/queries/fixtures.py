@@ -28,6 +28,11 @@ def once(fn):
     return wrapper
 
 
+def forget() -> None:
+    """Build the derived tables anew at their next use."""
+    _MEMO.clear()
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
