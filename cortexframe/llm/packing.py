@@ -25,8 +25,9 @@ from ..plans.materialize import materialize
 from .common import map_texts, text_slices
 
 CAPACITY = 1024
-OPEN_BINS = 4096
-PIECES_PER_TASK = 400_000
+OPEN_BINS = 1 << 16
+#: About as many pieces as fill the open bins; longer streams close bins that small pieces could still fill.
+PIECES_PER_TASK = 150_000
 END_ID = 2
 
 # Fixed value: the published pattern that cuts text before byte-level merges.
@@ -145,7 +146,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
     """Pieces with their ``sequence_id`` and ``offset`` there.
 
     The pieces are stored once, so texts are tokenized once and the number of packing tasks follows from their count.
-    A task packs its pieces in hash order, so a task that runs again gives the same sequences.
+    A task packs its pieces from the longest to the shortest, so small pieces fill what is left, and equally long ones
+    in hash order, so a task that runs again gives the same sequences.
     """
     from pyspark import TaskContext
 
@@ -153,7 +155,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
     tasks = max(1, -(-pieces.count() // pieces_per_task))
     order = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
     dealt = pieces.withColumn("_order", order).repartition(tasks, "_order")
-    dealt = dealt.sortWithinPartitions("_order", "doc_id", "piece", "ids_crc32", "length").drop("_order")
+    dealt = dealt.sortWithinPartitions(F.desc("length"), "_order", "doc_id", "piece", "ids_crc32").drop("_order")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 40
