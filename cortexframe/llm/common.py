@@ -66,13 +66,15 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
         yield batch.slice(start)
 
 
-def heat_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "inner", rows_per_task: int = 4000) -> DataFrame:
+def heat_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "inner", rows_per_task: int = 4000, counts: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big`` with ``side`` (one row per key) that copies only the rows of frequent keys.
 
     A key with more than ``rows_per_task`` rows in ``big`` is cut into as many parts as it needs; ``side`` is repeated
-    once per part, so the copies stay below ``big / rows_per_task``.
+    once per part, so the copies stay below ``big / rows_per_task``. ``counts`` (keys and ``_n``) saves the counting.
     """
-    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > rows_per_task)
     hot = materialize(hot.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")))
     left = spread_join(big, hot, keys, spread, "left")
     left = left.withColumn("_part", F.pmod(F.hash(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")

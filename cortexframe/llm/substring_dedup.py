@@ -20,17 +20,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 from . import anchors as A
 from . import kernels as K
-from .common import RepeatedGrams, heat_join, map_texts, row_key, text_slices
+from .common import RepeatedGrams, heat_join, let, map_texts, row_key, split_words, text_slices
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 13, 5
 #: Stretches in one index.
-SHARD = 40_000
+SHARD = 10_000
 #: A gram with more distinct stretches is dealt out by window.
 HOT_GRAM = 20_000
 _NO_ID = (1 << 63) - 1
@@ -41,14 +42,23 @@ def _cut(part: pa.RecordBatch, window: int, gram: int):
     starts, ends, counts = K.words(data, offsets)
     hashes = K.word_hashes(data, starts, ends)
     grams = K.chain(hashes, gram)
-    return hashes, counts, grams, A.stretches(grams, counts, gram, window)
+    return (data, starts, ends), hashes, counts, grams, A.stretches(grams, counts, gram, window)
+
+
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Strings of the byte ranges."""
+    size = end - start
+    ends = np.cumsum(size)
+    at = np.arange(int(size.sum())) + np.repeat(start - ends + size, size)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data[at]))
 
 
 def repeated_grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> RepeatedGrams:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
-                _, _, grams, s = _cut(part, window, gram)
+            for part in text_slices(batch, limit=1 << 20):
+                _, _, _, grams, s = _cut(part, window, gram)
                 yield RepeatedGrams.partial(grams[s.anchor])
 
     return RepeatedGrams(map_texts(docs.select("text"), run, RepeatedGrams.SCHEMA))
@@ -57,14 +67,14 @@ def repeated_grams(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> R
 def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``row_key, ord, gram, ca, cb, windows, words, at`` of the stretches whose gram is repeated.
 
-    Equal stretches of one text share a row, ``at`` lists the word where each begins.
+    ``words`` is the stretch as text. Equal stretches of one text share a row, ``at`` lists the word where each begins.
     """
     shared = repeated.broadcast()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=2 << 20):
-                hashes, counts, grams, s = _cut(part, window, gram)
+            for part in text_slices(batch, limit=1 << 20):
+                raw, hashes, counts, grams, s = _cut(part, window, gram)
                 own = shared.value.holds(grams[s.anchor])
                 text, anchor, first, last = (x[own] for x in s)
                 end = last + window
@@ -78,10 +88,7 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, window: int = WINDOW,
                 at = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(first - counts[text], pa.int32()))
                 text, first, end, anchor = text[heads], first[heads], end[heads], anchor[heads]
                 size = end - first
-                inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-                words = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(K.signed(hashes[inner]))
-                )
+                words = _slices(raw[0], raw[1][first], raw[2][end - 1])
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row_key").take(take), part.column("ord").take(take), pa.array(K.signed(grams[anchor])),
@@ -92,7 +99,7 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, window: int = WINDOW,
     base = docs.select(row_key().alias("row_key"), F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("ord"), "text")
     return map_texts(base, run, (
         "row_key struct<a:bigint,b:bigint>, ord bigint, gram bigint, ca bigint, cb bigint, windows int, "
-        "words array<bigint>, at array<int>"
+        "words string, at array<int>"
     ))
 
 
@@ -100,9 +107,10 @@ def _search(window: int):
     """For one shard: the windows of each stretch that a smaller document than ``least`` holds, and that document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = frame["words"].map(len).to_numpy()
-        ends = np.cumsum(sizes)
-        symbols = np.concatenate(frame["words"].to_numpy())
+        data, offsets = K.text_bytes(pa.array(frame["words"], pa.string()))
+        begin, end, counts = K.words(data, offsets)
+        symbols = K.signed(K.word_hashes(data, begin, end))
+        ends, sizes = counts[1:], np.diff(counts)
         index = FMIndex(symbols, ends, window)
         starts = np.arange(len(symbols))
         starts = starts[starts + window <= np.repeat(ends, sizes)]
@@ -141,9 +149,11 @@ def lower_windows(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
     found = _shards(plain, "gram", contents.count(), window)
     if hot.limit(1).count():
         # equal windows of a hot gram are one unit of the index, whatever the number of stretches
-        slices = F.transform(F.sequence(F.lit(1), F.size("words") - window + 1), lambda i: F.slice("words", i, window))
+        slices = let(split_words(F.col("words")), lambda w: F.transform(
+            F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.array_join(F.slice(w, i, window), " ")
+        ))
         parts = marked.filter("hot").select("ca", "cb", "least", F.posexplode(slices).alias("window", "words"))
-        parts = parts.withColumns({"wa": F.xxhash64("words"), "wb": F.xxhash64(F.reverse("words"))})
+        parts = parts.withColumns({"wa": F.xxhash64("words"), "wb": F.xxhash64(F.lit(1), "words")})
         parts = materialize(parts)
         units = materialize(parts.groupBy("wa", "wb").agg(F.min("least").alias("m"), F.any_value("words").alias("words")))
         alone = units.select(F.col("wa").alias("ca"), F.col("wb").alias("cb"), F.col("m").alias("least"), "words", F.lit(0).alias("window"), "wa")
@@ -167,7 +177,7 @@ def covered_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     local = F.when(F.col("ord") > F.col("least"), whole).otherwise(single)
     spans = F.flatten(F.transform("at", lambda a: F.transform("_local", lambda s: F.array(a + s["lo"], a + s["hi"]))))
     rows = placed.withColumn("_local", local).filter(F.size("_local") > 0).select("row_key", F.flatten(spans).alias("spans"))
-    return rows.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows.groupBy("row_key").agg(merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def merge_spans(flat: np.ndarray) -> np.ndarray:
@@ -182,6 +192,12 @@ def merge_spans(flat: np.ndarray) -> np.ndarray:
     return np.column_stack((spans[new, 0], reach[ends]))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def merged_spans(spans: pd.Series) -> pd.Series:
+    """``merge_spans`` of each row."""
+    return spans.map(lambda x: merge_spans(x).reshape(-1).astype(np.int32))
+
+
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """``_doc`` (all columns), ``n_words, n_removed, kept_sha256`` and, on demand, ``left``: the kept words."""
     spans = covered_words(docs, window, gram)
