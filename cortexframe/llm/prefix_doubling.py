@@ -4,11 +4,11 @@ Texts are UTF-8 bytes (null: empty) and strings never cross texts. Suffixes are
 every window of ``length`` bytes holds exactly one, at a distance that equal windows share. The doubling runs on ranks:
 
 1. The first rank of an anchor is its gram; Spark counts the grams, and anchors with a unique one drop out.
-2. Stretches of windows with equal content become one row with a weight. In round k the pair of a stretch, its rank and
-   the hash of as many further bytes as the rank covers, is grouped by Spark and ranked again; a unique pair ends the
-   stretch on that side. This runs to both sides of the anchor until the rank covers the threshold.
-3. A stretch with a weight above one is repeated as a whole. For the others the rounds bound the windows that can still
-   be repeated; these windows alone get rows: the pair of ranks of their first and last bytes, grouped once more.
+2. Stretches of windows with equal content become one row with a weight; a weight above one is repeated as a whole.
+3. In each round the pair of an anchor, its rank and the hash of the bytes that double it, is grouped by Spark and
+   ranked again, on both sides of the anchor. A unique pair ends that side and so bounds the windows still open.
+4. The open windows are ranked in blocks of ``BLOCK`` starts by the bytes that all windows of a block share; a unique
+   block drops out. Only the windows of the other blocks get rows: the pair of ranks of their first and last bytes.
 
 Repeated rows of the table are repeated strings and lose all windows. Null ids need no special case. An empty table
 gives an empty result; ``remove`` keeps further columns untouched.
@@ -29,9 +29,11 @@ from ..plans.materialize import materialize
 from . import anchors as A
 from . import kernels as K
 from .common import RepeatedGrams, heat_join, map_texts, row_key, text_slices
-from .substring_dedup import merge_spans
+from .substring_dedup import merge_spans, merged_spans
 
 LENGTH, GRAM, ONE_IN = 400, 32, 16
+#: Windows that are ranked together before they are ranked alone.
+BLOCK = 32
 _FAR = 1 << 30
 
 
@@ -53,35 +55,38 @@ def _cut(part: pa.RecordBatch, length: int, gram: int, one_in: int):
 def repeated_grams(docs: DataFrame, length: int, gram: int, one_in: int) -> RepeatedGrams:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=2 << 20):
+            for part in text_slices(batch, limit=1 << 20):
                 _, _, grams, s = _cut(part, length, gram, one_in)
                 yield RepeatedGrams.partial(grams[s.anchor])
 
     return RepeatedGrams(map_texts(docs.select("text"), run, RepeatedGrams.SCHEMA))
 
 
-def rounds(gram: int, length: int) -> list[tuple[int, int]]:
-    """Byte ranges behind the anchor that the rounds add: each as long as all before, up to the threshold."""
-    out, n = [], gram
+def rounds(gram: int, length: int) -> list[int]:
+    """Lengths of the rounds: doublings of the gram from a quarter of the threshold on."""
+    out, n = [], 2 * gram
     while n < length:
-        out.append((n, min(2 * n, length)))
+        if 4 * n >= length:
+            out.append(n)
         n *= 2
     return out
 
 
 def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: int, one_in: int) -> DataFrame:
-    """``row_key, gram, ca, cb, windows, off, right, left, at`` of the stretches whose gram is repeated.
+    """``row_key, gram, ca, cb, windows, off, right, left, cores, at`` of the stretches whose gram is repeated.
 
     ``off`` is the distance from the first window to the anchor; ``right`` and ``left`` hash the bytes each round adds,
-    null where the stretch ends. Equal stretches of one text share a row, ``at`` lists where each begins.
+    null where the stretch ends; ``cores`` hashes what the windows of each block share, from the block of the last
+    window on. Equal stretches of one text share a row, ``at`` lists where each begins.
     """
     shared = repeated.broadcast()
-    forth = rounds(gram, length)
-    back = [(0, gram), *forth]
+    lengths = rounds(gram, length)
+    forth = list(zip([gram, *lengths], lengths))
+    back = list(zip([0, *lengths], lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=2 << 20):
+            for part in text_slices(batch, limit=1 << 20):
                 data, offsets, grams, s = _cut(part, length, gram, one_in)
                 own = shared.value.holds(grams[s.anchor])
                 text, anchor, first, last = (x[own] for x in s)
@@ -111,39 +116,51 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: in
                     pieces.append(pa.ListArray.from_arrays(
                         pa.array(np.arange(len(heads) + 1) * len(ranges), pa.int32()), pa.array(K.signed(flat), mask=~mask)
                     ))
+                # blocks count from the anchor back, so equal windows are in blocks of equal number
+                low, high = (anchor - last) // BLOCK, (anchor - first) // BLOCK
+                count = high - low + 1
+                bounds = np.concatenate(([0], np.cumsum(count)))
+                block = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - low, count)
+                core = np.repeat(anchor, count) - block * BLOCK
+                cores = pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()), pa.array(K.signed(hashed[1](core, core + length - BLOCK + 1)))
+                )
+                pieces.append(cores)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row_key").take(pa.array(text)), pa.array(K.signed(grams[anchor])), pa.array(K.signed(ca)),
                      pa.array(K.signed(cb)), pa.array(last - first + 1, pa.int32()), pa.array(anchor - first, pa.int32()), *pieces, at],
-                    names=["row_key", "gram", "ca", "cb", "windows", "off", "right", "left", "at"],
+                    names=["row_key", "gram", "ca", "cb", "windows", "off", "right", "left", "cores", "at"],
                 )
 
     return map_texts(docs.select(row_key().alias("row_key"), "text"), run, (
         "row_key struct<a:bigint,b:bigint>, gram bigint, ca bigint, cb bigint, windows int, off int, "
-        "right array<bigint>, left array<bigint>, at array<int>"
+        "right array<bigint>, left array<bigint>, cores array<bigint>, at array<int>"
     ))
 
 
 def doubled(contents: DataFrame, gram: int, length: int) -> DataFrame:
     """``id, right_bound, left_bound``: the least length found unique on each side of the anchor, far if none.
 
-    One round per doubling and one for the gram left of the anchor; both sides run in the same rounds.
+    The rank of a pair is its hash: ranks of different pairs that meet by chance keep windows open and lose none.
     """
-    forth = rounds(gram, length)
-    sides = {"right": [b for _, b in forth], "left": [gram, *(b for _, b in forth)]}
-    active = None
-    for side in sides:
-        rows = contents.select("id", F.lit(side).alias("side"), F.col("gram").alias("rank"), "weight", F.col(side).alias("pieces"))
-        active = rows if active is None else active.unionByName(rows)
-    active, ended = materialize(active), None
-    for k in range(len(forth) + 1):
-        bound = F.when(F.col("side") == "right", sides["right"][min(k, len(forth) - 1)]).otherwise(sides["left"][k])
+    sides = [
+        contents.select("id", F.lit(side).alias("side"), F.col("gram").alias("rank"), "weight", F.col(side).alias("pieces"))
+        for side in ("right", "left")
+    ]
+    active, ended = sides[0].unionByName(sides[1]), []
+    for k, n in enumerate(rounds(gram, length)):
         now = active.withColumn("piece", F.get("pieces", F.lit(k))).filter("piece is not null")
-        ranks = now.groupBy("side", "rank", "piece").agg(F.sum("weight").alias("n"), F.min("id").alias("new"))
-        ranked = materialize(heat_join(now, ranks, ["side", "rank", "piece"], F.col("id")))
-        unique = ranked.filter("n = 1").select("id", "side", bound.alias("bound"))
-        ended = unique if ended is None else ended.unionByName(unique)
-        active = ranked.filter("n > 1").select("id", "side", F.col("new").alias("rank"), "weight", "pieces")
-    return ended.groupBy("id").agg(
+        now = now.select("id", "side", F.xxhash64("side", "rank", "piece").alias("rank"), "weight", "pieces")
+        ranks = now.groupBy("rank").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_n"))
+        ranks = materialize(ranks.filter("_w > 1").select("rank", "_n", F.lit(True).alias("more")))
+        ranked = heat_join(now, ranks.drop("_n"), ["rank"], F.col("id"), "left", counts=ranks.select("rank", "_n"))
+        ranked = materialize(ranked.select("id", "side", "rank", "weight", "more", F.when(F.col("more"), F.col("pieces")).alias("pieces")))
+        ended.append(ranked.filter("more is null").select("id", "side", F.lit(n).alias("bound")))
+        active = ranked.filter("more").drop("more")
+    found = ended[0]
+    for more in ended[1:]:
+        found = found.unionByName(more)
+    return found.groupBy("id").agg(
         F.coalesce(F.min(F.when(F.col("side") == "right", F.col("bound"))), F.lit(_FAR)).alias("right_bound"),
         F.coalesce(F.min(F.when(F.col("side") == "left", F.col("bound"))), F.lit(_FAR)).alias("left_bound"),
     )
@@ -161,7 +178,7 @@ def window_rows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=1 << 20):
+            for part in text_slices(batch, limit=512 << 10):
                 data, offsets = K.text_bytes(part.column("text"))
                 hashed = [K.RangeHash(K.byte_values(data), b) for b in K.BASES]
                 lists = part.column("wanted")
@@ -187,20 +204,34 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_i
     rows = materialize(stretch_rows(docs, repeated, length, gram, one_in))
     contents = rows.groupBy("gram", "ca", "cb", "windows", "off").agg(
         F.sum(F.size("at")).alias("weight"), F.any_value("right").alias("right"), F.any_value("left").alias("left"),
-        F.min(F.struct("row_key", F.col("at")[0].alias("at"))).alias("one"),
+        F.any_value("cores").alias("cores"), F.min(F.struct("row_key", F.col("at")[0].alias("at"))).alias("one"),
     )
     contents = materialize(contents.withColumn("id", F.monotonically_increasing_id()))
-    bounds = doubled(contents, gram, length)
+    open_grams = contents.filter("weight = 1").select("gram").distinct()
+    bounds = doubled(spread_join(contents, open_grams, ["gram"], F.col("id")), gram, length)
     single = contents.filter("weight = 1").join(bounds, "id", "left")
     lo = F.greatest(F.lit(0), F.col("off") - F.coalesce("left_bound", F.lit(_FAR)) + 1)
     hi = F.least(F.col("windows") - 1, F.col("off") - (length + 1) + F.coalesce("right_bound", F.lit(_FAR)))
-    open_ = materialize(single.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select("gram", "id", "one", "lo", "hi", "weight"))
+    cols = ["gram", "id", "one", "windows", "off", "cores", "lo", "hi", "weight"]
+    open_ = materialize(single.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select(*cols))
     # whole stretches that are repeated can hold single windows of others with the same gram
-    grams = open_.select("gram").distinct()
-    partners = contents.filter("weight > 1").join(grams, "gram", "left_semi").select(
-        "gram", "id", "one", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"), "weight"
-    )
-    wanted = open_.unionByName(partners).select("one.row_key", "id", "one.at", "lo", "hi", "weight")
+    reach = open_.groupBy("gram").agg(F.min(F.col("off") - F.col("hi")).alias("near"), F.max(F.col("off") - F.col("lo")).alias("far"))
+    partners = spread_join(contents.filter("weight > 1"), reach, ["gram"], F.col("id")).withColumns({
+        "lo": F.greatest(F.lit(0), F.col("off") - F.col("far")), "hi": F.least(F.col("windows") - 1, F.col("off") - F.col("near")),
+    }).filter("lo <= hi").select(*cols)
+    low = F.floor((F.col("off") - F.col("windows") + 1) / BLOCK)
+    blocks = open_.unionByName(partners).select(
+        "id", "one", "off", "lo", "hi", "weight", F.posexplode("cores").alias("b", "core"), low.alias("low")
+    ).withColumn("b", (F.col("b") + F.col("low")).cast("int")).drop("low")
+    # the windows of block b start BLOCK * b to BLOCK * b + BLOCK - 1 bytes in front of the anchor
+    blocks = blocks.withColumns({
+        "lo": F.greatest("lo", F.col("off") - (F.col("b") + 1) * BLOCK + 1), "hi": F.least("hi", F.col("off") - F.col("b") * BLOCK),
+    }).filter("lo <= hi")
+    blocks = materialize(blocks)
+    again = blocks.groupBy("b", "core").agg(F.sum("weight").alias("_w"), F.min("weight").alias("_l"), F.count(F.lit(1)).alias("_n"))
+    again = materialize(again.filter("_w > 1 and _l = 1").select("b", "core", "_n"))
+    kept = heat_join(blocks, again.drop("_n"), ["b", "core"], F.col("id"), counts=again)
+    wanted = kept.select("one.row_key", "id", "one.at", "lo", "hi", "weight")
     windows = materialize(window_rows(docs, wanted, length))
     twice = windows.groupBy("wa", "wb").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
     hits = heat_join(windows.filter("weight = 1"), twice, ["wa", "wb"], F.col("id"))
@@ -213,7 +244,7 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_i
     )
     spans = F.flatten(F.flatten(F.transform("at", lambda a: F.transform("_local", lambda s: F.array(a + s["lo"], a + s["hi"])))))
     cut = placed.withColumn("_local", local).select("row_key", spans.alias("spans"))
-    return cut.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return cut.groupBy("row_key").agg(merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_in: int = ONE_IN, with_text: bool = True) -> DataFrame:
