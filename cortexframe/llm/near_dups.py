@@ -104,7 +104,8 @@ def class_sets(docs: DataFrame, row_keys: DataFrame, shingle: int) -> DataFrame:
                 own = pa.array([K.signed(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*_ids(sets), own], names=["va", "vb", "set"])
 
-    texts = spread_join(docs.select("text", row_key().alias("row_key")), row_keys, ["row_key"], "row_key")
+    keyed = docs.select("text", row_key().alias("row_key"))
+    texts = spread_join(keyed, row_keys, ["row_key"], F.lit(0), salts=1)  # one row per key, but for repeated rows
     found = map_texts(texts.select("text"), run, "va bigint, vb bigint, set array<bigint>")
     return found.groupBy(F.struct("va", "vb").alias("v")).agg(F.any_value("set").alias("set"))
 
@@ -227,7 +228,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     of_group = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("of_group"))
     shared = classes.filter("rows > 1 or root is not null").join(of_group, "root", "left")
     shared = shared.select("v.va", "v.vb", F.coalesce("of_group", "least").alias("component_id"), F.lit(True).alias("_in"))
-    out = spread_join(base.drop("bands"), shared, ["va", "vb"], "row_key", "left")
+    out = heat_join(base.drop("bands"), shared, ["va", "vb"], F.col("row_key.a"), "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), "row_key",
@@ -241,6 +242,6 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     drop = found.filter("not kept").select("row_key", F.lit(0).alias("_keep"))
     repeated = found.filter("kept").groupBy("row_key").count().filter("count > 1").select("row_key", F.lit(1).alias("_keep"))
     marked = docs.select(F.struct("*").alias("_doc"), row_key().alias("row_key"))
-    marked = spread_join(marked, drop.distinct().unionByName(repeated), ["row_key"], "row_key", "left")
+    marked = spread_join(marked, drop.distinct().unionByName(repeated), ["row_key"], F.lit(0), "left", salts=1)
     once = marked.filter("_keep = 1").dropDuplicates(["row_key"])
     return marked.filter("_keep is null").unionByName(once).select("_doc.*")
