@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import collect_series
 from cortexframe.functions.spline import spline_weights
