@@ -139,9 +139,10 @@ def _spanning(percent: int):
                 continue
             own = np.asarray(own, np.int64)
             at = np.searchsorted(values, own)
-            at = at[at < len(values)]
-            hit = np.zeros(len(values) + 1, bool)
-            hit[at[values[at] == own[: len(at)]]] = True
+            within = at < len(values)  # a set is in unsigned order, so the places left out are not its last ones
+            at, named = at[within], own[within]
+            hit = np.zeros(len(values), bool)
+            hit[at[values[at] == named]] = True
             counts = np.concatenate(([0], np.cumsum(hit[codes])))
             shared = counts[ends[1:]] - counts[ends[:-1]]
             for i in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)).tolist():

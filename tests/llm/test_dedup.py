@@ -1,5 +1,6 @@
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 
 from cortexframe.llm import kernels, near_dups, prefix_doubling, substring_dedup
@@ -56,6 +57,24 @@ def test_near_members_far_from_the_head(spark, monkeypatch):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == list(zip(range(30), brute.near_groups(rows, 3, 85)))
 
 
+def test_block_links_match_brute_force():
+    """Left rows that are not in the right block, one of them with the largest value of all."""
+    rnd = np.random.default_rng(8)
+    base = np.unique(rnd.integers(0, 1 << 64, 100, dtype=np.uint64))
+    top = np.uint64((1 << 63) - 1)  # the largest as a signed number
+    strange = lambda n: rnd.integers(0, 1 << 64, n, dtype=np.uint64)
+    left = [np.append(base[2:], top), np.append(base[5:], strange(3)), strange(90)]
+    right = [np.append(base[:-k], strange(3)) for k in (1, 4, 20)] + [strange(50)]
+    sets = [np.unique(s) for s in [*left, *right]]
+    rows = [(int(i >= 3), i, i, i, i, kernels.signed(s)) for i, s in enumerate(sets)]
+    frame = pd.DataFrame(rows, columns=["side", "va", "vb", "ra_", "rb_", "set"])
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    for i in range(3):
+        got = near_dups._spanning(85)(frame[(frame["side"] == 1) | (frame["va"] == i)])
+        assert sorted(got["va"]) == [j for j in range(3, 7) if near(sets[i], sets[j])]
+    assert near(sets[0], sets[3]) and not near(sets[0], sets[5])
+
+
 def test_near_dedup_keeps_one_row_of_each_group(docs, corpus, no_docs):
     out = near_dups.dedup(docs, 3, 85)
     assert out.columns == docs.columns
