@@ -16,10 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import spread_join
-from ..plans.materialize import materialize
+from ..plans.materialize import drop_table, materialize
 
+#: Rounds of the oracle.
 ROUNDS = 8
 DAMPING = 0.85
+#: The ranks are settled when a round changes both vectors by less than this in sum and reaches no further host.
+TOLERANCE = 1e-12
+#: Rounds after which ranks that are not settled are an error.
+MAX_ROUNDS = 1000
 #: Edges of one host that a task joins; more are cut into parts.
 EDGES_PER_TASK = 4000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,11 +67,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return named.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``host, trust, distrust`` from ``seeds(host, allowed, blocked)`` in ``rounds`` steps.
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING,
+              tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``host, trust, distrust`` from ``seeds(host, allowed, blocked)``: settled, or after ``rounds`` steps.
 
     Both start vectors sum to one. Each end of an edge carries a part number of its host, so the edges of a host with
-    many links are joined by several tasks. One shuffle per round adds up both directions; each round is written.
+    many links are joined by several tasks. One shuffle per round adds up both directions; each round is written, and the
+    table of the round before is deleted. Without ``rounds``, a sum over the written table tells whether the ranks are
+    settled; what is missing then is less than ``tolerance * damping / (1 - damping)`` in sum.
     """
     edges = materialize(edges)
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("n_out"), F.count(F.lit(1)).alias("e_out"))
@@ -87,7 +95,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         F.pmod(F.hash("src"), F.coalesce("p_in", F.lit(1))).alias("in_part"),
     ))
     now = hosts.withColumns({"trust": F.col("s_trust"), "distrust": F.col("s_distrust")})
-    for _ in range(rounds):
+    before = None
+    for _ in range(max_rounds if rounds is None else rounds):
         sends = now.filter("n_out is not null").select(
             F.col("host").alias("src"), (F.col("trust") / F.col("n_out")).alias("x"),
             F.explode(F.sequence(F.lit(0), F.col("p_out") - 1)).alias("out_part"),
@@ -100,16 +109,30 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         forth = placed.join(sends, ["src", "out_part"]).select(F.col("dst").alias("host"), (F.col("x") * F.col("n")).alias("t"), zero.alias("d"))
         back = placed.join(backs, ["dst", "in_part"]).select(F.col("src").alias("host"), zero.alias("t"), (F.col("x") * F.col("n")).alias("d"))
         got = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        step = hosts.join(got, "host", "left")
-        now = materialize(step.select(
-            *hosts.columns,
+        step = now.join(got, "host", "left")
+        step = step.select(
+            *hosts.columns, F.col("trust").alias("_t"), F.col("distrust").alias("_d"),
             (F.col("s_trust") * (1 - damping) + F.coalesce("t", zero) * damping).alias("trust"),
             (F.col("s_distrust") * (1 - damping) + F.coalesce("d", zero) * damping).alias("distrust"),
+        )
+        now = materialize(step.select(
+            *hosts.columns, "trust", "distrust", (F.abs(F.col("trust") - F.col("_t")) + F.abs(F.col("distrust") - F.col("_d"))).alias("moved"),
+            (((F.col("trust") > 0) & (F.col("_t") == 0)) | ((F.col("distrust") > 0) & (F.col("_d") == 0))).alias("reached"),
         ))
+        if before is not None:
+            drop_table(before)
+        before = now
+        if rounds is None:
+            moved, reached = now.agg(F.sum("moved"), F.count_if("reached")).first()
+            if not reached and (moved or 0) < tolerance:
+                break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
     return now.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: dict[str, str], rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every page."""
     split = ruled(pages, rules)
     seeds = split.groupBy("host").agg(

@@ -35,6 +35,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` returned as ``df`` when nothing reads it any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/cortexframe/{spark.sparkContext.applicationId}"
 

@@ -113,3 +113,21 @@ def test_pages_without_links_or_rules(spark):
     got = {(r["page_id"], r["verdict"]) for r in url_graph.judge(pages, URL_RULES).collect()}
     assert got == {(None, "allow"), (1, "block"), (2, "block")}  # a.net links to a blocked host
     assert url_graph.judge(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_ranks_settle_beyond_eight_hosts(spark):
+    """On a chain of twelve hosts with a loop the ranks solve the equations and reach both ends."""
+    edges = {(i, i + 1): 4 for i in range(11)} | {(3, 1): 1}
+    seeds = spark.createDataFrame([("h0", 1, 0), ("h11", 0, 1)], "host string, allowed bigint, blocked bigint")
+    links = spark.createDataFrame([(f"h{a}", f"h{b}", n) for (a, b), n in edges.items()], "src string, dst string, n bigint")
+    ranks = {r["host"]: r for r in url_graph.propagate(seeds, links, tolerance=1e-3).collect()}
+    flow = np.zeros((12, 12))
+    for (a, b), n in edges.items():
+        flow[a, b] = n
+    for side, at, way in (("trust", 0, flow), ("distrust", 11, flow.T)):
+        shares = way / np.maximum(way.sum(axis=1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(12) - 0.85 * shares.T, 0.15 * np.eye(12)[at])
+        assert [ranks[f"h{i}"][side] for i in range(12)] == pytest.approx(want, abs=6e-3) and want.min() > 0
+        assert all(r[side] > 0 for r in ranks.values())
+    with pytest.raises(RuntimeError):
+        url_graph.propagate(seeds, links, max_rounds=1)
