@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -51,6 +53,8 @@ def stage_classifier_cv(features: DataFrame, stages: DataFrame, classes: int = 5
         else:
             est = MultilayerPerceptronClassifier(featuresCol="x", labelCol="label", layers=[len(names), 16, classes], seed=seed, maxIter=max_iter)
         fitted = est.fit(prepared)
+        if model == "logistic" and fitted.summary.totalIterations >= max_iter:
+            warnings.warn(f"fold {f} ended at the limit of {max_iter} steps")
         pred = fitted.transform(scaler.transform(assembled.transform(test))).select(
             "recording_id", "epoch_idx", "fold", F.col("label").cast("bigint").alias("y_true"), F.col("prediction").cast("bigint").alias("y_pred"))
         out = pred if out is None else out.unionByName(pred)

@@ -5,6 +5,7 @@ Only channel-by-channel matrices leave the executors: tasks add up their own row
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,6 +83,7 @@ class IcaModel:
     unmixing: np.ndarray  # components x channels
     mixing: np.ndarray  # channels x components
     iterations: int
+    converged: bool
 
 
 def _decorrelate(w: np.ndarray) -> np.ndarray:
@@ -95,7 +97,7 @@ def ica_fit(frames: DataFrame, n_ch: int, variance: float | None = 0.99, seed: i
 
     Whitening uses the covariance matrix; ``variance`` keeps the leading components that explain this share
     (None keeps all). Every fixed-point step (``fastica``) or natural-gradient step (``infomax``) is one job
-    that sums ``g(W x) x'`` over the stored frames.
+    that sums ``g(W x) x'`` over the stored frames. A fit that ends at ``max_iter`` warns and says so in the model.
     """
     mean, cov, n = covariance(frames, n_ch)
     vals, vecs = np.linalg.eigh(cov)
@@ -132,7 +134,7 @@ def ica_fit(frames: DataFrame, n_ch: int, variance: float | None = 0.99, seed: i
             out[r["i"]] = r["v"]
         return out[: k * k].reshape(k, k) / n, out[k * k:] / n
 
-    step = 0
+    step, moved = 0, np.inf
     for step in range(1, max_iter + 1):
         s, d = pass_over(w)
         if method == "fastica":
@@ -145,7 +147,9 @@ def ica_fit(frames: DataFrame, n_ch: int, variance: float | None = 0.99, seed: i
         if moved < tol:
             break
     unmixing = w @ white
-    return IcaModel(mean, unmixing, np.linalg.pinv(unmixing), step)
+    if moved >= tol:
+        warnings.warn(f"components moved by {moved:.2g} in the last of {step} steps, not below {tol}")
+    return IcaModel(mean, unmixing, np.linalg.pinv(unmixing), step, bool(moved < tol))
 
 
 def select_components(labels: DataFrame, rule: str = "artifact") -> DataFrame:

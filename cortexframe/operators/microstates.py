@@ -6,6 +6,7 @@ A frame holds all channels of one sample, so map products are local to a row. Ma
 
 from __future__ import annotations
 
+import warnings
 from itertools import permutations
 
 import numpy as np
@@ -205,7 +206,7 @@ def kmeans_restarts(
     """Polarity-free k-means of the field-power peaks; the restart with the smallest cross-validation value wins.
 
     All restarts advance together: an iteration is one job over the stored peaks, whatever their number.
-    New maps are the leading eigenvectors of the per-label Gram matrices.
+    New maps are the leading eigenvectors of the per-label Gram matrices. Restarts that end at ``max_iter`` are warned of.
     """
     stored = materialize(gfp_peaks(frames).select("recording_id", "sample_idx", "values"))
     runs = [_seed_maps(stored, k, seed + r) for r in range(restarts)]
@@ -229,6 +230,9 @@ def kmeans_restarts(
                 explained += float(maps[j] @ s[j] @ maps[j])
             runs[r] = maps
             prev[r], var[r] = var[r], (power - explained) / (n * (n_ch - 1))
+    late = sum(abs((var[r] - prev[r]) / var[r]) > max_err for r in active)
+    if late:
+        warnings.warn(f"{late} of {restarts} restarts with {k} maps did not settle in {max_iter} steps")
     scored = [cv_total(frames, m) for m in runs]
     best = int(np.argmin(scored))
     return runs[best], scored[best]
@@ -371,6 +375,8 @@ def mean_maps(
                 current[i] = np.array(row["s"]).reshape(k, n_ch) / n
         if not current:
             break
+    if current:
+        warnings.warn(f"{len(current)} of {n_runs} starts did not settle in {max_iter} steps")
     for i in current:
         done[i] = best_seen[i]
     return max(done.values(), key=lambda t: t[1])

@@ -325,7 +325,7 @@ def agg11(spark, sf):
 
 
 def _model(spark, sf):
-    return ica.ica_fit(fx.frames(spark, sf), 64, variance=0.6, max_iter=15)
+    return ica.ica_fit(fx.frames(spark, sf), 64)
 
 
 @query("art16_ica_fit")

@@ -244,5 +244,5 @@ def met5b(spark, sf):
 @query("cls1_stage_classifier_cv")
 def cls1(spark, sf):
     feats = cl.band_features(fx.signals(spark, sf), 64.0, 16, 16)
-    pred, _ = cl.stage_classifier_cv(feats, fx.stages(spark, sf), 5, 3, max_iter=10)
+    pred, _ = cl.stage_classifier_cv(feats, fx.stages(spark, sf), 5)
     return pred

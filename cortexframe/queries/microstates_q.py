@@ -69,7 +69,7 @@ def mst2(spark, sf):
 
 @query("mst3_modified_kmeans")
 def mst3(spark, sf):
-    maps, cv = ms.kmeans_restarts(fx.frames(spark, sf), 4, restarts=1, seed=7, max_iter=30)
+    maps, cv = ms.kmeans_restarts(fx.frames(spark, sf), 4, seed=7)
     return _solution(spark, [(4, maps, cv)])
 
 
@@ -88,7 +88,7 @@ def mst4(spark, sf):
 
 @query("mst5_select_k")
 def mst5(spark, sf):
-    found = ms.select_k(fx.frames(spark, sf), 5, restarts=3, seed=7)
+    found = ms.select_k(fx.frames(spark, sf), 5, seed=7)
     return _solution(spark, [(k, m, cv) for k, (m, cv) in found.items()])
 
 
@@ -189,7 +189,7 @@ def mst10b(spark, sf):
 
 @query("mst11_mean_maps")
 def mst11(spark, sf):
-    maps, sim, std = ms.mean_maps(run_maps(spark, sf), 4, n_runs=20, seed=7, max_iter=50)
+    maps, sim, std = ms.mean_maps(run_maps(spark, sf), 4, seed=7)
     rows = [(j, [float(v) for v in m], sim, std) for j, m in enumerate(np.asarray(maps))]
     return spark.createDataFrame(rows, "map_id bigint, values array<double>, mean_similarity double, std_similarity double").select(
         "map_id", F.posexplode("values").alias("channel_idx", "weight"), "mean_similarity", "std_similarity")
@@ -270,6 +270,6 @@ def mst15b(spark, sf):
 @query("mst16_analyze")
 def mst16(spark, sf):
     frames = fx.frames(spark, sf)
-    found = ms.select_k(frames, 4, restarts=3, seed=7)
+    found = ms.select_k(frames, 4, seed=7)
     k = min(found, key=lambda n: found[n][1])
     return sq.lz_complexity(ms.fit_back_peaks(frames, found[k][0]), 100, 50).withColumn("k", F.lit(k)).withColumn("cv", r(F.lit(found[k][1])))

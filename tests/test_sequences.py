@@ -144,3 +144,49 @@ def test_select_k_penalises_extra_maps(spark):
     df, _, _ = planted(spark, n=400, k=4, n_ch=10)
     found = ms.select_k(df, 5, restarts=3, seed=2)
     assert set(found) == {4, 5} and all(np.isfinite(v[1]) for v in found.values())
+
+
+@pytest.mark.parametrize("name,module,operator,settings", [
+    ("art16_ica_fit", "ica", "ica_fit", {"variance": 0.99, "max_iter": 200}),
+    ("art18_ica_apply", "ica", "ica_fit", {"variance": 0.99, "max_iter": 200}),
+    ("mst3_modified_kmeans", "microstates", "kmeans_restarts", {"restarts": 8, "max_iter": 1000}),
+    ("mst5_select_k", "microstates", "select_k", {"restarts": 8}),
+    ("mst16_analyze", "microstates", "select_k", {"restarts": 8}),
+    ("mst11_mean_maps", "microstates", "mean_maps", {"n_runs": 200, "max_iter": 1000}),
+    ("cls1_stage_classifier_cv", "classifier", "stage_classifier_cv", {"folds": 5, "max_iter": 50}),
+])
+def test_queries_fit_with_whole_settings(monkeypatch, name, module, operator, settings):
+    import importlib
+    import inspect
+
+    from cortexframe.operators import classifier
+    from cortexframe.queries import QUERIES, fixtures, microstates_q
+
+    class Called(Exception):
+        pass
+
+    home = importlib.import_module(f"cortexframe.operators.{module}")
+    of = inspect.signature(getattr(home, operator))
+
+    def fake(*args, **kwargs):
+        bound = of.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Called(bound.arguments)
+
+    monkeypatch.setattr(home, operator, fake)
+    for where, source in ((fixtures, "frames"), (fixtures, "signals"), (fixtures, "stages"), (microstates_q, "run_maps"), (classifier, "band_features")):
+        monkeypatch.setattr(where, source, lambda *a: None)
+    with pytest.raises(Called) as got:
+        QUERIES[name](None, "")
+    assert {k: got.value.args[0][k] for k in settings} == settings
+
+
+def test_fits_that_end_at_the_limit_are_told(spark):
+    from cortexframe.operators import ica
+
+    rnd = np.random.default_rng(4)
+    df = spark.createDataFrame([("r", i, [float(x) for x in v]) for i, v in enumerate(rnd.laplace(size=(300, 4)))], "recording_id string, sample_idx bigint, values array<double>")
+    with pytest.warns(UserWarning, match="last of 1 steps"):
+        assert not ica.ica_fit(df, 4, max_iter=1).converged
+    with pytest.warns(UserWarning, match="did not settle in 1 steps"):
+        ms.kmeans_restarts(df, 2, restarts=2, max_iter=1)
