@@ -1,7 +1,6 @@
 import sys
 from pathlib import Path
 
-import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -25,13 +24,3 @@ def series(spark):
         return spark.createDataFrame(rows, "recording_id string, channel string, sample_idx bigint, value double")
 
     return make
-
-
-def collect_series(df, recording, channel):
-    rows = df.filter((df.recording_id == recording) & (df.channel == channel)).orderBy("sample_idx").collect()
-    return np.array([r["value"] for r in rows])
-
-
-def collect_labels(spark, seqs):
-    rows = [(r, i, int(v)) for r, x in seqs.items() for i, v in enumerate(x)]
-    return spark.createDataFrame(rows, "recording_id string, sample_idx bigint, label bigint")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import collect_series
+from series_helpers import collect_series
 from cortexframe.functions.spline import spline_weights
 from cortexframe.operators import artifacts as art
 from cortexframe.operators import cleaning, events, ica

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collect_series
+from series_helpers import collect_series
 from cortexframe.plans import blocks, chunks, intervals, joins
 
 

@@ -3,7 +3,7 @@ import lzma
 import numpy as np
 import pytest
 
-from conftest import collect_labels
+from series_helpers import collect_labels
 from cortexframe.operators import microstates as ms
 from cortexframe.operators import sequences as sq
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collect_series
+from series_helpers import collect_series
 from cortexframe.functions import signal as sg
 from cortexframe.operators import aggregates as agg
 from cortexframe.operators import filters as fl
