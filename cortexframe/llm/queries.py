@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, prefix_doubling, substring_dedup, url_graph, warc_zip
+from . import (
+    decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, prefix_doubling, substring_dedup,
+    target_resampling, url_graph, warc_zip,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +138,64 @@ def op10_llr_rules(spark, sf_dir):
     return judged.drop("score")
 
 
+@query
+def op11_aho_corasick(spark, sf_dir):
+    drawn = target_resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.drop("n_words")
+
+
+#: CRC-32 in SQL: ``crc_table`` holds what one byte does to the register, ``_crc32`` runs the bytes of a string through it.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of a non-empty string; needs ``t`` of ``crc_table`` in scope."""
+    each = f"CAST('0x' || substr(hex({text}), 2 * k - 1, 2) AS BIGINT)"
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen({text}) + 1), lambda k: {each})),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+ORACLES["op11_aho_corasick"] = rf"""
+WITH {CRC_TABLE}, texts AS (
+  SELECT true AS own, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT false, -row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT own, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), found AS (
+  SELECT own, r, unnest(w) AS f FROM words
+  UNION ALL SELECT own, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+), feature AS (
+  SELECT own, r, f, count(*) AS n FROM found GROUP BY ALL
+), bucket AS (
+  SELECT f, {_crc32("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM feature) CROSS JOIN crc_table
+), counts AS (
+  SELECT b, coalesce(sum(n) FILTER (WHERE own), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0) AS t
+  FROM feature JOIN bucket USING (f) GROUP BY b
+), gain AS (
+  SELECT b, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM counts) + 10000)
+    / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM counts) + 10000)))) AS BIGINT) AS g FROM counts
+), mean AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS total
+  FROM feature JOIN bucket USING (f) JOIN gain USING (b) WHERE own GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296))) AS BIGINT) AS luck
+  FROM words LEFT JOIN mean USING (r) WHERE own
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY weight + luck DESC, doc_id) AS k FROM scored
+)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + luck AS BIGINT) AS score,
+  CASE WHEN able AND k <= (SELECT 25 * count(*) // 100 FROM scored WHERE able) THEN k END AS rank
+FROM ranked
+"""
+
+
 ORACLES["op2_suffix_automaton"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
