@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, line_windows, llr_rules, nbsvm, near_dups, packing, prefix_doubling, substring_dedup,
-    target_resampling, url_graph, warc_zip,
+    decontaminate, language_masks, line_windows, llr_rules, nbsvm, near_dups, packing, prefix_doubling, substring_dedup,
+    target_resampling, url_graph, variants, warc_zip,
 )
 from .common import table
 
@@ -144,6 +144,17 @@ def op11_aho_corasick(spark, sf_dir):
     return drawn.drop("n_words")
 
 
+@query
+def op12_language_masks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_masks.predict(docs, language_masks.train(docs))
+
+
+@query
+def op13_pivotal_grams(spark, sf_dir):
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 #: CRC-32 in SQL: ``crc_table`` holds what one byte does to the register, ``_crc32`` runs the bytes of a string through it.
 CRC_TABLE = """crc_table AS (
   SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
@@ -196,6 +207,38 @@ FROM ranked
 """
 
 
+ORACLES["op13_pivotal_grams"] = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), hashed AS (
+  SELECT doc_id, w, {_crc32("(doc_id || ':' || w)")} AS h
+  FROM (SELECT DISTINCT doc_id, w FROM runs WHERE length(w) >= 7) CROSS JOIN crc_table
+), noisy AS (
+  SELECT CASE WHEN h % 31 = 0 THEN w[:CAST(h % length(w) AS INT)] || w[CAST(h % length(w) AS INT) + 2:] ELSE w END AS word
+  FROM runs JOIN hashed USING (doc_id, w)
+), v AS (
+  SELECT word, count(*) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cut AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word AS a, b.word AS b, b.n AS bn FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM v a JOIN cut b ON a.word = b.rest
+), best AS (
+  SELECT a AS word, count(*) AS n_near, min((-bn, encode(b))) AS m, arg_min(b, (-bn, encode(b))) AS b FROM near GROUP BY a
+), formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -m[1] >= 10 * v.n THEN best.b END AS form,
+    CASE WHEN -m[1] >= 10 * v.n THEN -m[1] END AS form_n FROM v LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+"""
+
+
 ORACLES["op2_suffix_automaton"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
