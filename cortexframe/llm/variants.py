@@ -192,9 +192,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 def forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """``word, n_near, form, form_n`` of the words that have near words."""
     pairs = near_pairs(words)
-    both = pairs.select("a", "an", "b", "bn").unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
-    )
+    turned = F.struct(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn"))
+    both = pairs.select(F.inline(F.array(F.struct("a", "an", "b", "bn"), turned)))
     near = both.groupBy("a", "an").agg(F.collect_set(F.struct((-F.col("bn")).alias("bn"), "b")).alias("_near"))
     best = F.array_min("_near")
     taken = -best["bn"] >= ratio * F.col("an")
