@@ -67,8 +67,9 @@ def notch_taps(fs: float, freqs: list[float]) -> np.ndarray:
     return h
 
 
-def butter_sections(order: int, band: tuple[float | None, float | None], fs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Digital Butterworth ``(b, a)`` by the bilinear transform; ``band`` is ``(low, high)``, None = open end."""
+def butter_zpk(order: int, band: tuple[float | None, float | None], fs: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of a digital Butterworth filter by the bilinear transform; ``band`` is ``(low, high)``,
+    None = open end."""
     low, high = band
     proto = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
     warp = lambda f: 2 * fs * np.tan(np.pi * f / fs)
@@ -84,26 +85,13 @@ def butter_sections(order: int, band: tuple[float | None, float | None], fs: flo
     c = 2 * fs
     gain = k * np.real(np.prod(c - z) / np.prod(c - p))
     zd = np.concatenate([(c + z) / (c - z), -np.ones(len(p) - len(z))])
-    pd = (c + p) / (c - p)
-    return np.real(gain * np.poly(zd)), np.real(np.poly(pd))
-
-
-def impulse_response(b: np.ndarray, a: np.ndarray, tolerance: float = 1e-15, limit: int = 2_000_000) -> np.ndarray:
-    """Impulse response up to where the pole decay falls below ``tolerance``; a longer one than ``limit`` is refused."""
-    radius = np.max(np.abs(np.roots(a))) if len(a) > 1 else 0.0
-    if radius >= 1:
-        raise ValueError("the filter does not decay")
-    n = int(max(64, np.ceil(np.log(tolerance) / np.log(radius)) * 1.5)) if radius > 0 else len(b)
-    if n > limit:
-        raise ValueError(f"the impulse response has {n} samples, more than {limit}")
-    h = np.zeros(n)
-    b, a = b / a[0], a / a[0]
-    for i in range(n):
-        acc = b[i] if i < len(b) else 0.0
-        for j in range(1, min(len(a), i + 1)):
-            acc -= a[j] * h[i - j]
-        h[i] = acc
-    return h
+    return zd, (c + p) / (c - p), float(gain)
+
+
+def butter_sections(order: int, band: tuple[float | None, float | None], fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(b, a)`` of a digital Butterworth filter."""
+    zeros, poles, gain = butter_zpk(order, band, fs)
+    return np.real(gain * np.poly(zeros)), np.real(np.poly(poles))
 
 
 def fft_convolve(x: np.ndarray, h: np.ndarray, mode: str = "valid") -> np.ndarray:
@@ -122,15 +110,6 @@ def odd_extend(x: np.ndarray, left: int, right: int) -> np.ndarray:
     return np.concatenate([side(x, left), x, side(x[::-1], right)[::-1]])
 
 
-def filtfilt(x: np.ndarray, h: np.ndarray, pad: int) -> np.ndarray:
-    """Forward-backward filtering with an impulse response, odd padding and steady-state start."""
-    pad = min(pad, len(x) - 1)
-    y = odd_extend(x, pad, pad)
-    for _ in range(2):
-        y = fft_convolve(np.concatenate([np.full(len(h) - 1, y[0]), y]), h)[::-1]
-    return y[pad:pad + len(x)]
-
-
 def window_starts(start: int, own: int, total: int, nperseg: int, step: int) -> np.ndarray:
     """Local offsets of the windows that begin in a block and fit into block plus halo."""
     first = -start % step

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import SERIES, exact_quantiles
+from ..plans.chunks import SERIES
 from ..plans.joins import spread_join
+from ..plans.quantiles import exact_quantiles
 
 
 def mean_sem(df: DataFrame, keys: list[str], value: str = "power_db") -> DataFrame:
@@ -70,12 +71,12 @@ def peak_to_peak(signals: DataFrame, window: int, keys: list[str] = SERIES) -> D
     ).filter(F.col("_n") == window).drop("_n")
 
 
-def robust_z(df: DataFrame, keys: list[str], value: str, name: str = "z", parts: int | None = None) -> DataFrame:
+def robust_z(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:
     """``(x - median) / (MAD / 0.67449)`` with exact medians of groups of any size."""
-    med = exact_quantiles(df, keys, value, {"_med": 0.5}, parts)
+    med = exact_quantiles(df, keys, value, {"_med": 0.5})
     spread = F.xxhash64(*df.columns)
     centred = _attach(df, med, keys, spread).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = exact_quantiles(centred, keys, "_dev", {"_mad": 0.5}, parts)
+    mad = exact_quantiles(centred, keys, "_dev", {"_mad": 0.5})
     out = _attach(centred, mad, keys, spread)
     return out.withColumn(
         name, F.try_divide(F.col(value) - F.col("_med"), F.col("_mad") / F.lit(NORMAL_MAD))

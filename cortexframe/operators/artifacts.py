@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spline import spline_weights
-from ..plans.blocks import BLOCK_SAMPLES, to_blocks, with_halo
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, exact_quantiles, sample_halo
+from ..plans.blocks import BLOCK_SAMPLES, to_blocks, to_samples, with_halo
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sample_halo
 from ..plans.joins import lookup_join, spread_join
 from ..plans.materialize import materialize
+from ..plans.quantiles import exact_quantiles
 from .aggregates import NORMAL_MAD
 from .channels import drop_channels, nearest_channels
 from .events import keep_spaced
-from .filters import butter_filtfilt
+from .filters import butter_blocks
 from .ica import correlation_means
 from .signals import gather_neighbors, window_around_events
 from .spectra import welch_psd
@@ -49,9 +50,11 @@ def channel_robust_z(per_channel: DataFrame, value: str, name: str = "z") -> Dat
 
 def hf_noise(signals: DataFrame, fs: float, high: float = 20.0, low: float = 30.0, block: int = BLOCK_SAMPLES) -> DataFrame:
     """Ratio of the spread above ``high`` to the spread below ``low`` per channel, and its robust z."""
-    hp = butter_filtfilt(signals, fs, 4, (high, None), block).withColumn("band", F.lit("hp"))
-    lp = butter_filtfilt(signals, fs, 4, (None, low), block).withColumn("band", F.lit("lp"))
-    m = mad(materialize(hp.unionByName(lp)), [*SERIES, "band"])
+    blocks = materialize(to_blocks(signals, block))
+    hp = butter_blocks(blocks, fs, 4, (high, None), block).withColumn("band", F.lit("hp"))
+    lp = butter_blocks(blocks, fs, 4, (None, low), block).withColumn("band", F.lit("lp"))
+    by_band = [*SERIES, "band"]
+    m = mad(to_samples(materialize(hp.unionByName(lp)), by_band), by_band)
     wide = m.groupBy(*SERIES).agg(
         F.max(F.when(F.col("band") == "hp", F.col("mad"))).alias("hp"), F.max(F.when(F.col("band") == "lp", F.col("mad"))).alias("lp"))
     ratio = F.when(F.col("lp") > 0, F.try_divide(F.col("hp"), F.col("lp"))).otherwise(float("inf"))
@@ -320,9 +323,9 @@ def detect_r_peaks(ecg: DataFrame, fs: float, block: int = BLOCK_SAMPLES) -> Dat
     haloed block and owned by the block that holds their first sample.
     """
     keys = ["recording_id"]
-    clean = butter_filtfilt(ecg, fs, 5, (0.5, None), block, keys)
+    clean = butter_blocks(materialize(to_blocks(ecg, block, keys)), fs, 5, (0.5, None), block, keys)
     halo = int(4 * fs)
-    blocks = with_halo(to_blocks(clean, block, keys), halo, halo, block, keys)
+    blocks = with_halo(clean, halo, halo, block, keys)
     short, wide, least = max(1, int(round(0.1 * fs))), max(1, int(round(0.75 * fs))), max(1, int(0.04 * fs))
 
     def box(v, n):

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as sg
+from ..functions.statespace import butter_sos, state_filter
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, to_samples, with_halo
 from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sample_halo
-from ..plans.joins import lookup_join, spread_join
+from ..plans.joins import lookup_join, place_join, spread_join
 from ..plans.materialize import materialize
+from ..plans.scan import affine_scan
 from .aggregates import standardize
 from .signals import drop_nonfinite_series
 
@@ -87,20 +89,118 @@ def notch(signals: DataFrame, fs: float, freqs: list[float], block: int = BLOCK_
     return fir_filter(signals, [sg.notch_taps(fs, freqs)], block=block)
 
 
+def _series_ends(blocks: DataFrame, pad: int, size: int, keys: list[str]) -> tuple[DataFrame, bool]:
+    """One row for the first and one for the last block of every series, with the point reflection of up to ``pad``
+    samples about the end samples in ``_left`` and ``_right``; and whether a series has several blocks."""
+    span = materialize(blocks.groupBy(*keys).agg(F.min("block_idx").alias("_first"), F.max("block_idx").alias("_last")))
+    several = span.filter("_last > _first").limit(1).count() > 0
+    reach = -(-(pad + 1) // size)
+    near = spread_join(blocks, span, keys, "block_idx").filter(
+        (F.col("block_idx") - F.col("_first") <= reach) | (F.col("_last") - F.col("block_idx") <= reach))
+    n = F.size("samples")
+    head = F.when(F.col("block_idx") - F.col("_first") <= reach, F.struct("block_idx", F.slice("samples", 1, pad + 1).alias("part")))
+    took = F.least(n, F.lit(pad + 1))
+    tail = F.when(F.col("_last") - F.col("block_idx") <= reach, F.struct("block_idx", F.slice("samples", n - took + 1, took).alias("part")))
+    ends = near.groupBy(*keys, "_first", "_last").agg(
+        F.array_sort(F.collect_list(head))["part"].alias("_h"), F.array_sort(F.collect_list(tail))["part"].alias("_t"))
+    ends = ends.withColumn("_h", F.slice(F.flatten("_h"), 1, pad + 1)).withColumn("_t", F.flatten("_t"))
+    own = F.least(F.size("_t"), F.lit(pad + 1))
+    ends = ends.withColumn("_t", F.slice("_t", F.size("_t") - own + 1, own))
+    more = F.least(F.size("_h"), F.size("_t")) - 1
+    mirrored = lambda part, at: F.transform(F.reverse(part), lambda v: 2 * at - v)
+    left = mirrored(F.slice("_h", F.lit(2), more), F.get("_h", F.lit(0)))
+    right = mirrored(F.slice("_t", F.size("_t") - more, more), F.element_at("_t", -1))
+    none = F.array().cast("array<double>")
+    row = lambda at, l, r, first, last: F.struct(
+        F.col(at).alias("block_idx"), l.alias("_left"), r.alias("_right"), F.lit(first).alias("_is_first"), F.lit(last).alias("_is_last"))
+    rows = F.when(F.col("_first") == F.col("_last"), F.array(row("_first", left, right, True, True))).otherwise(
+        F.array(row("_first", left, none, True, False), row("_last", none, right, False, True)))
+    return ends.select(*keys, F.inline(rows)), several
+
+
+def filtfilt_blocks(blocks: DataFrame, sections: list[tuple[float, ...]], pad: int, size: int = BLOCK_SAMPLES,
+                    keys: list[str] = SERIES) -> DataFrame:
+    """Forward-backward recursive filter of stored blocks, with ``pad`` reflected samples at the ends and a steady start.
+
+    Blocks exchange filter states, not samples. Each block runs both ways from a zero state and hands on a
+    few numbers: its forward end state, its backward end state and, by linearity, how the one depends on its start state.
+    Two parallel prefixes give the states in which every block starts, and a second run uses them. What is exchanged does
+    not depend on how slowly the filter decays. Blocks of a series have ``size`` samples but for the first and the last.
+    """
+    ends, several = _series_ends(blocks, pad, size, keys)
+    tagged = place_join(blocks, ends, [*keys, "block_idx"])
+    fixed = tuple(map(tuple, sections))
+    order = 2 * len(fixed)
+
+    def grouped(frame: pd.DataFrame):
+        """Extended blocks of equal shape, as matrices: rows, samples, cut-offs, first, last."""
+        rows: dict[tuple, list[int]] = {}
+        parts = []
+        for i, (x, left, right, first, last) in enumerate(zip(*(frame[c] for c in ("samples", "_left", "_right", "_is_first", "_is_last")))):
+            left, right = (np.zeros(0) if v is None else np.asarray(v, float) for v in (left, right))
+            parts.append(np.concatenate((left, np.asarray(x, float), right)))
+            rows.setdefault((len(left), len(x), len(right), bool(first), bool(last)), []).append(i)
+        for (left, n, _, first, last), own in rows.items():
+            yield own, np.stack([parts[i] for i in own]), slice(left, left + n), first, last
+
+    @F.pandas_udf("fwd array<double>, bwd array<double>, n int")
+    def summarize(frame: pd.DataFrame) -> pd.DataFrame:
+        run = state_filter(fixed)
+        out = [None] * len(frame)
+        for own, x, _, first, last in grouped(frame):
+            start = x[:, :1] * run.steady if first else np.zeros((len(own), order))
+            _, fwd, bwd = run.both_ways(x, start, None if last else np.zeros((len(own), order)))
+            for i, f, b in zip(own, fwd, bwd):
+                out[i] = (f, b, x.shape[1])
+        return pd.DataFrame(out, columns=["fwd", "bwd", "n"])
+
+    @F.pandas_udf("array<double>")
+    def settle(bwd: pd.Series, start: pd.Series, n: pd.Series, last: pd.Series) -> pd.Series:
+        run = state_filter(fixed)
+        return pd.Series([
+            np.asarray(b, float) + run.carried(int(k), bool(end)) @ np.asarray(s, float) for b, s, k, end in zip(bwd, start, n, last)
+        ], dtype=object)
+
+    @F.pandas_udf("array<double>")
+    def apply(frame: pd.DataFrame) -> pd.Series:
+        run = state_filter(fixed)
+        out = [None] * len(frame)
+        for own, x, kept, first, last in grouped(frame):
+            start = x[:, :1] * run.steady if first else np.stack([np.asarray(frame["_start"].iloc[i], float) for i in own])
+            back = None if last else np.stack([np.asarray(frame["_back"].iloc[i], float) for i in own])
+            y, _, _ = run.both_ways(x, start, back)
+            for i, row in zip(own, y):
+                out[i] = row[kept]
+        return pd.Series(out, dtype=object)
+
+    parts = ["samples", "_left", "_right", F.coalesce("_is_first", F.lit(False)).alias("_is_first"), F.coalesce("_is_last", F.lit(False)).alias("_is_last")]
+    if several:
+        place = [*keys, "block_idx"]
+        step = np.linalg.matrix_power(state_filter(fixed).A, size)
+        own = tagged.select(*place, parts[-1], summarize(F.struct(*parts)).alias("_s"))
+        own = materialize(own.select(*place, "_is_last", "_s.*"))
+        start = affine_scan(own, keys, "block_idx", "fwd", step, "_start")
+        met = own.join(start, place).withColumn("_e", settle("bwd", "_start", "n", "_is_last"))
+        met = materialize(met.select(*place, "_start", "_e"))
+        back = affine_scan(met, keys, "block_idx", "_e", step, "_back", backward=True)
+        tagged = place_join(tagged, met.drop("_e").join(back, place), place)
+    else:  # every series is one block and starts and ends by itself
+        zero = F.array(*[F.lit(0.0)] * order)
+        tagged = tagged.withColumn("_start", zero).withColumn("_back", zero)
+    return tagged.select(*keys, "block_idx", "start_sample", apply(F.struct(*parts, "_start", "_back")).alias("samples"))
+
+
 def butter_filtfilt(signals: DataFrame, fs: float, order: int, band: tuple[float | None, float | None],
                     block: int = BLOCK_SAMPLES, keys: list[str] = SERIES) -> DataFrame:
-    """Forward-backward Butterworth filter; the halo covers the decay of the impulse response."""
-    b, a = sg.butter_sections(order, band, fs)
-    h = sg.impulse_response(b, a)
-    pad = 3 * max(len(a), len(b))
-    blocks = with_halo(to_blocks(signals, block, keys), len(h), len(h), block, keys)
+    """Forward-backward Butterworth filter of long samples."""
+    return to_samples(butter_blocks(materialize(to_blocks(signals, block, keys)), fs, order, band, block, keys), keys)
 
-    @F.pandas_udf("array<double>")
-    def apply(x: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        rows = [sg.filtfilt(np.asarray(v, dtype=float), h, pad)[l:len(v) - r] for v, l, r in zip(x, left, right)]
-        return pd.Series(rows, dtype=object)
 
-    return to_samples(blocks.select(*keys, "start_sample", apply("samples", "n_left", "n_right").alias("samples")), keys)
+def butter_blocks(blocks: DataFrame, fs: float, order: int, band: tuple[float | None, float | None],
+                  block: int = BLOCK_SAMPLES, keys: list[str] = SERIES) -> DataFrame:
+    """``butter_filtfilt`` from stored blocks to blocks."""
+    open_ends = band[0] is None or band[1] is None
+    return filtfilt_blocks(blocks, butter_sos(order, band, fs), 3 * (order * (1 if open_ends else 2) + 1), block, keys)
 
 
 def filter_detrend(signals: DataFrame, types: DataFrame, fs: float, variant: str = "clean", method: str = "fir",

@@ -152,41 +152,3 @@ def sequence_index(
     """Zero-based dense position of every row within ``keys`` along ``order``."""
     chunked = range_chunks(df, keys, order, parts)
     return running(chunked, keys, order, {name: ("count", F.lit(1))}, inclusive=False).drop(CHUNK)
-
-
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, qs: dict[str, float], parts: int | None = None
-) -> DataFrame:
-    """Exact interpolated quantiles of unbounded groups (NumPy ``linear`` rule).
-
-    Equal values are collapsed to counts before the range shuffle. The counts per chunk tell which chunks hold
-    the wanted order statistics, and only those are ranked. No group is held in memory.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    chunked = range_chunks(counted, keys, [value], parts)
-    parts = [*keys, CHUNK]
-    totals = chunked.groupBy(*parts).agg(F.sum("_n").alias("_t"))
-    along = Window.partitionBy(*keys).orderBy(CHUNK)
-    spans = totals.select(
-        *parts, (F.sum("_t").over(along) - F.col("_t")).alias("_lo"), F.col("_t"),
-        F.sum("_t").over(Window.partitionBy(*keys)).alias("_size"),
-    )
-    ranks = {}
-    for name, q in qs.items():
-        pos = (F.col("_size") - 1) * F.lit(float(q))
-        ranks[f"_f_{name}"], ranks[f"_c_{name}"] = F.floor(pos), F.ceil(pos)
-    wanted = F.lit(False)
-    for rank in ranks.values():
-        wanted = wanted | ((F.col("_lo") <= rank) & (rank < F.col("_lo") + F.col("_t")))
-    local = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = chunked.join(spans.filter(wanted).drop("_t"), parts)  # only chunks that hold a wanted rank
-    rows = rows.withColumn("_hi", F.col("_lo") + F.sum("_n").over(local))
-    first = F.col("_hi") - F.col("_n")
-    aggs = [F.max(F.when((first <= rank) & (rank < F.col("_hi")), F.col(value))).alias(n) for n, rank in ranks.items()]
-    aggs.append(F.max("_size").alias("_size"))
-    out = rows.groupBy(*keys).agg(*aggs)
-    for name, q in qs.items():
-        pos = (F.col("_size") - 1) * F.lit(float(q))
-        low, high = F.col(f"_f_{name}"), F.col(f"_c_{name}")
-        out = out.withColumn(name, low + (high - low) * (pos - F.floor(pos)))
-    return out.select(*keys, *qs)

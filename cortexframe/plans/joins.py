@@ -36,6 +36,15 @@ def lookup_join(big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "
     return spread_join(big, lookup, keys, F.xxhash64(*big.columns), how, max_bytes)
 
 
+def place_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join of rows that ``keys`` name one by one on both sides, such as blocks: no key can be hot.
+
+    ``small`` is stored and measured; up to ``max_bytes`` it is broadcast.
+    """
+    stored = materialize(small)
+    return big.join(F.broadcast(stored) if memory_bytes(stored) <= max_bytes else stored, keys, how)
+
+
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a small result (maps, weights, templates) and refuse anything larger."""
     rows = df.limit(max_rows + 1).collect()

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from series_helpers import collect_series
-from cortexframe.plans import blocks, chunks, intervals, joins
+from cortexframe.plans import blocks, chunks, intervals, joins, quantiles, scan
+from cortexframe.plans.materialize import materialize
 
 
 def hot_table(spark, n=3000, seed=1):
@@ -59,12 +60,75 @@ def test_runs(spark, size):
         assert sorted(got[k]) == want
 
 
-@pytest.mark.parametrize("parts", [None, 6])
-def test_exact_quantiles(spark, parts):
+@pytest.mark.parametrize("small", [quantiles.SMALL_BUCKET, 0])
+def test_exact_quantiles(spark, small, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL_BUCKET", small)  # 0: down to the last bits
     df = hot_table(spark)
-    got = chunks.exact_quantiles(df, ["k"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}, parts).toPandas().set_index("k")
+    found = quantiles.exact_quantiles(df, ["k"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99})
+    got = found.toPandas().set_index("k")
     for k, g in df.toPandas().groupby("k"):
-        assert np.allclose(got.loc[k], np.quantile(g["v"], [0.01, 0.5, 0.99]))
+        assert np.allclose(got.loc[k], np.quantile(g["v"], [0.01, 0.5, 0.99]), rtol=1e-15, atol=0)
+
+
+def test_quantiles_of_odd_values(spark):
+    rnd = np.random.default_rng(1)
+    groups = {
+        "ties": [2.0] * 500 + [1.0], "signs": rnd.standard_normal(401).tolist(), "one": [-0.0], "wide": (10.0 ** rnd.uniform(-300, 300, 333)).tolist(),
+        "tiny": [5e-324, -5e-324, 1e-310, 0.0, -0.0], "ends": [float("inf"), 1.0, -float("inf"), 2.0], "near": (1 + np.arange(50) * 2.0**-52).tolist(),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("ties", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = quantiles.exact_quantiles(df, ["k"], "v", {"a": 0.0, "m": 0.5, "z": 1.0}).toPandas().set_index("k")
+    assert "none" not in got.index
+    for k, vs in groups.items():
+        middle = sorted(vs)[(len(vs) - 1) // 2:len(vs) // 2 + 1]
+        assert got.loc[k].tolist() == [min(vs), middle[0] + (middle[-1] - middle[0]) * 0.5, max(vs)]
+    whole = quantiles.exact_quantiles(df.filter("k = 'signs'"), [], "v", {"m": 0.5}).first()[0]
+    assert whole == np.median(groups["signs"])
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).collect() == []
+
+
+def test_ordered_bits_sort_like_doubles(spark):
+    rnd = np.random.default_rng(2)
+    bits = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64) | (rnd.integers(0, 2, 4000).astype(np.uint64) << np.uint64(63))
+    edges = np.array([0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 2.0, 1 - 2**-53, 1.7976931348623157e308, np.inf])
+    powers = 2.0 ** np.arange(-1074, 1024)
+    values = np.concatenate((bits.view(np.float64), edges, -edges, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), -powers))
+    values = values[~np.isnan(values)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    both = quantiles.ordered_bits(F.col("v"))
+    rows = df.select("v", both.alias("code"), quantiles.from_ordered_bits(both).alias("again")).collect()
+    want = np.abs(np.array([r["v"] for r in rows])).view(np.int64) * np.where(np.array([r["v"] for r in rows]) < 0, -1, 1)
+    assert [r["code"] for r in rows] == want.tolist()
+    assert all(r["again"] == r["v"] for r in rows)
+
+
+def test_quantiles_neither_sort_nor_move_rows(spark):
+    """The values are counted in the tasks that read them; only histograms are exchanged."""
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"), F.rand(1).alias("v"))
+    stored = materialize(df.select("k", quantiles.ordered_bits(F.col("v")).alias("_code")))
+    first = stored.groupBy("k", F.shiftright("_code", 48).alias("_at")).count()
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "rangepartitioning" not in plan and "Sort" not in plan
+    out = quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5})
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_affine_scan(spark):
+    rnd = np.random.default_rng(3)
+    matrix = np.array([[0.9, 0.2], [-0.1, 0.95]])
+    sizes = {"a": 1, "b": 2, "c": 37}
+    vectors = {k: rnd.standard_normal((n, 2)) for k, n in sizes.items()}
+    rows = [(k, i + 5, v.tolist()) for k, vs in vectors.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v array<double>")
+    for backward in (False, True):
+        got = {(r["k"], r["i"]): r["s"] for r in scan.affine_scan(df, ["k"], "i", "v", matrix, "s", backward).collect()}
+        assert len(got) == len(rows)
+        for k, vs in vectors.items():
+            state = np.zeros(2)
+            for i in range(len(vs))[::-1] if backward else range(len(vs)):
+                assert np.allclose(got[k, i + 5], state, atol=1e-12)
+                state = matrix @ state + vs[i]
 
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 0])

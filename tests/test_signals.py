@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from series_helpers import collect_series
 from cortexframe.functions import signal as sg
+from cortexframe.functions import statespace as ss
 from cortexframe.operators import aggregates as agg
 from cortexframe.operators import filters as fl
 from cortexframe.operators import spectra as sp
@@ -71,6 +72,46 @@ def test_butterworth(series, block, order, band):
     assert np.allclose(got, direct_filtfilt(x, b, a), atol=1e-9)
 
 
+def cascade_filtfilt(x, sections, pad):
+    """Section by section and sample by sample, with odd padding and steady-state start."""
+    def run(y):
+        for b0, b1, b2, a1, a2 in sections:
+            into = np.array([b1 - a1 * b0, b2 - a2 * b0])
+            z = np.linalg.solve(np.eye(2) - np.array([[-a1, 1.0], [-a2, 0.0]]), into) * y[0]
+            out = np.empty(len(y))
+            for i, v in enumerate(y):
+                out[i] = b0 * v + z[0]
+                z = np.array([b1 * v - a1 * out[i] + z[1], b2 * v - a2 * out[i]])
+            y = out
+        return y
+
+    pad = min(pad, len(x) - 1)
+    return run(run(sg.odd_extend(x, pad, pad))[::-1])[::-1][pad:pad + len(x)]
+
+
+@pytest.mark.parametrize("order,band,pad", [(2, (0.1, None), 9), (4, (0.1, None), 15), (2, (0.1, 40.0), 15), (5, (0.5, None), 18), (3, (1.0, 60.0), 21)])
+def test_slow_filters_exchange_states(series, order, band, pad):
+    """The response outlasts many blocks; series of one, few and many blocks, short last blocks, a late start."""
+    rng = np.random.default_rng(6)
+    data = {("a", str(n)): np.cumsum(rng.standard_normal(n)) for n in (1, 2, 30, 64, 65, 130, 1001, 3000)}
+    frame = series(data)
+    late = frame.filter("channel = '1001'").selectExpr("'late' AS recording_id", "channel", "sample_idx + 100 AS sample_idx", "value")
+    got = fl.butter_filtfilt(frame.unionByName(late), 128.0, order, band, 64).cache()
+    sections = ss.butter_sos(order, band, 128.0)
+    for (rec, ch), x in data.items():
+        assert np.allclose(collect_series(got, rec, ch), cascade_filtfilt(x, sections, pad), rtol=0, atol=1e-9 * max(1, np.abs(x).max()))
+    assert np.allclose(collect_series(got, "late", "1001"), cascade_filtfilt(data["a", "1001"], sections, pad), rtol=0, atol=1e-9 * np.abs(data["a", "1001"]).max())
+
+
+def test_butterworth_sections():
+    w = np.exp(1j * np.linspace(0.05, 3.1, 40))
+    for order, band in ((1, (None, 30.0)), (3, (10.0, None)), (4, (8.0, 30.0)), (3, (1.0, 60.0)), (5, (None, 5.0))):
+        b, a = sg.butter_sections(order, band, 128.0)
+        whole = np.polyval(b, w) / np.polyval(a, w) * w ** (len(a) - len(b))
+        parts = np.prod([np.polyval(s[:3], w) / np.polyval((1.0, *s[3:]), w) for s in ss.butter_sos(order, band, 128.0)], axis=0)
+        assert np.allclose(whole, parts, atol=1e-9)
+
+
 def test_butterworth_half_power():
     b, a = sg.butter_sections(4, (None, 30.0), 128.0)
     z = np.exp(-2j * np.pi * 30.0 / 128.0 * np.arange(len(b)))
