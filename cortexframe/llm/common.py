@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import spread_join
 from ..plans.materialize import materialize
+from .kernels import text_bytes
 
 WHITE_SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -66,6 +67,29 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
         yield batch.slice(start)
 
 
+def text_parts(texts: pa.Array, size: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The bytes of texts in groups of about ``size``: data, offsets of the parts, their text numbers and first bytes.
+
+    A longer text is cut into parts that share ``overlap`` bytes with the next one, so each stretch of ``overlap + 1`` bytes
+    starts in exactly one part's first ``size`` bytes. Empty texts have no part.
+    """
+    data, offsets = text_bytes(texts)
+    n = np.diff(offsets)
+    count = np.where(n > 0, np.maximum(1, -(-(n - overlap) // size)), 0)
+    owner = np.repeat(np.arange(len(n)), count)
+    base = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * size
+    stop = np.minimum(n[owner], base + size + overlap)
+    ends = np.cumsum(stop - base)
+    lo = 0
+    while lo < len(owner):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size + overlap, "right")))
+        own = slice(lo, hi)
+        first = offsets[owner[own]]
+        pieces = [data[a:b] for a, b in zip(first + base[own], first + stop[own])]
+        yield np.concatenate(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), owner[own], base[own]
+        lo = hi
+
+
 def heat_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "inner", rows_per_task: int = 4000, counts: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big`` with ``side`` (one row per key) that copies only the rows of frequent keys.
 

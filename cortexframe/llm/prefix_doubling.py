@@ -28,12 +28,14 @@ from ..plans.joins import spread_join
 from ..plans.materialize import materialize
 from . import anchors as A
 from . import kernels as K
-from .common import RepeatedGrams, heat_join, map_texts, row_key, text_slices
+from .common import RepeatedGrams, heat_join, map_texts, row_key, text_parts, text_slices
 from .substring_dedup import merge_spans, merged_spans
 
 LENGTH, GRAM, ONE_IN = 400, 32, 16
 #: Windows that are ranked together before they are ranked alone.
 BLOCK = 32
+#: Bytes of text that a task works on at a time; longer texts are cut into overlapping parts.
+PART = 1 << 18
 _FAR = 1 << 30
 
 
@@ -46,17 +48,16 @@ def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
     return K.mix(out)
 
 
-def _cut(part: pa.RecordBatch, length: int, gram: int, one_in: int):
-    data, offsets = K.text_bytes(part.column("text"))
+def _cut(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, one_in: int):
     grams = byte_grams(data, gram)
-    return data, offsets, grams, A.stretches(grams, offsets, gram, length, one_in)
+    return grams, A.stretches(grams, offsets, gram, length, one_in)
 
 
 def repeated_grams(docs: DataFrame, length: int, gram: int, one_in: int) -> RepeatedGrams:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=1 << 20):
-                _, _, grams, s = _cut(part, length, gram, one_in)
+            for data, offsets, _, _ in text_parts(batch.column("text"), PART, length - 1):
+                grams, s = _cut(data, offsets, length, gram, one_in)
                 yield RepeatedGrams.partial(grams[s.anchor])
 
     return RepeatedGrams(map_texts(docs.select("text"), run, RepeatedGrams.SCHEMA))
@@ -86,8 +87,8 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=1 << 20):
-                data, offsets, grams, s = _cut(part, length, gram, one_in)
+            for data, offsets, owner, base in text_parts(batch.column("text"), PART, length - 1):
+                grams, s = _cut(data, offsets, length, gram, one_in)
                 own = shared.value.holds(grams[s.anchor])
                 text, anchor, first, last = (x[own] for x in s)
                 end = last + length
@@ -100,7 +101,7 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: in
                 new[1:] = (text[1:] != text[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])
                 heads = np.flatnonzero(new)
                 at = pa.ListArray.from_arrays(
-                    pa.array(np.append(heads, len(order)), pa.int32()), pa.array(first - offsets[text], pa.int32())
+                    pa.array(np.append(heads, len(order)), pa.int32()), pa.array(first - offsets[text] + base[text], pa.int32())
                 )
                 text, anchor, first, last, end, ca, cb = (x[heads] for x in (text, anchor, first, last, end, ca, cb))
                 right = [(anchor + a, anchor + b) for a, b in forth]
@@ -127,7 +128,7 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: in
                 )
                 pieces.append(cores)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_key").take(pa.array(text)), pa.array(K.signed(grams[anchor])), pa.array(K.signed(ca)),
+                    [batch.column("row_key").take(pa.array(owner[text])), pa.array(K.signed(grams[anchor])), pa.array(K.signed(ca)),
                      pa.array(K.signed(cb)), pa.array(last - first + 1, pa.int32()), pa.array(anchor - first, pa.int32()), *pieces, at],
                     names=["row_key", "gram", "ca", "cb", "windows", "off", "right", "left", "cores", "at"],
                 )
@@ -166,6 +167,18 @@ def doubled(contents: DataFrame, gram: int, length: int) -> DataFrame:
     )
 
 
+def _compact(begin: np.ndarray, end: np.ndarray) -> Iterator[slice]:
+    """Neighbouring ranges (sorted by ``begin``) that lie within ``PART`` bytes or are one range, and add up to few bytes."""
+    total = np.cumsum(end - begin)
+    lo = 0
+    while lo < len(begin):
+        near = np.searchsorted(begin, begin[lo] + PART, "right")
+        few = np.searchsorted(total, (total[lo - 1] if lo else 0) + 4 * PART, "right")
+        hi = max(lo + 1, int(min(near, few)))
+        yield slice(lo, hi)
+        lo = hi
+
+
 def window_rows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``id, window, wa, wb, weight``: ranks of the first and last bytes of the wanted windows.
 
@@ -178,17 +191,21 @@ def window_rows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=512 << 10):
-                data, offsets = K.text_bytes(part.column("text"))
-                hashed = [K.RangeHash(K.byte_values(data), b) for b in K.BASES]
-                lists = part.column("wanted")
-                flat = lists.flatten()
-                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                ids, at, lo, hi, weight = (flat.field(i).to_numpy() for i in range(5))
-                size = hi.astype(np.int64) - lo + 1
-                which = np.repeat(np.arange(len(ids)), size)
+            data, offsets = K.text_bytes(batch.column("text"))
+            lists = batch.column("wanted")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            ids, at, lo, hi, weight = (flat.field(i).to_numpy() for i in range(5))
+            begin, end = offsets[owner] + at + lo, offsets[owner] + at + hi + length
+            order = np.argsort(begin, kind="stable")
+            for own in _compact(begin[order], end[order]):
+                own = order[own]
+                left = begin[own].min()
+                hashed = [K.RangeHash(K.byte_values(data[left:end[own].max()]), b) for b in K.BASES]
+                size = hi[own].astype(np.int64) - lo[own] + 1
+                which = np.repeat(own, size)
                 window = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + lo[which]
-                start = offsets[owner[which]] + at[which] + window
+                start = offsets[owner[which]] + at[which] + window - left
                 ranks = hashed[0](start, start + part_len), hashed[1](start + length - part_len, start + length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[which]), pa.array(window, pa.int32()), *(pa.array(K.signed(r)) for r in ranks), pa.array(weight[which])],
