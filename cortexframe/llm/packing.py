@@ -11,6 +11,7 @@ gives an empty result; only ``doc_id`` and ``text`` are read, so further columns
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,9 +42,14 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Longer runs of white space overflow the stack of the fast pattern engine.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+
 class Encoder:
     """Ids of a byte-level BPE vocabulary file: its merges run in ``tiktoken``; texts that hold the string of a special
-    token go to ``tokenizers`` itself."""
+    token or a very long run of white space go to ``tokenizers`` itself."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -61,7 +67,7 @@ class Encoder:
         self._full = None
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
             if self._full is None:
                 from tokenizers import Tokenizer
 
@@ -89,20 +95,20 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             for part in text_slices(batch, limit=2 << 20):
                 cols = [[] for _ in range(6)]
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                for at, text in enumerate(part.column("text").to_pylist()):
                     ids = np.array([*encode(text or ""), end_id], "<u4")
                     for k, (start, n) in enumerate(cut(len(ids), capacity)):
                         own = ids[start:start + n]
-                        row = (doc_id, k, start, n, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None)
+                        row = (at, k, start, n, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None)
                         for c, v in zip(cols, row):
                             c.append(v)
-                kinds = [kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds)][:6 if with_ids else 5]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                arrays = [part.column("doc_id").take(pa.array(cols[0], pa.int32()))]
+                arrays += [pa.array(c, t) for c, t in zip(cols[1:], kinds)][:5 if with_ids else 4]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:6 if with_ids else 5]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return map_texts(docs.select("doc_id", "text"), run, schema)
 

@@ -86,3 +86,22 @@ def test_random_sizes_pack_tightly():
         fill[b] = at + n
     assert max(fill.values()) <= 1024
     assert len(fill) <= 1.03 * sum(sizes) / 1024
+
+
+def test_long_white_space_and_any_id_type(spark):
+    from decimal import Decimal
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    encode = packing.encoder(path)
+    for text in (" " * 2_000_000 + "x", "a" + "\n" * 1_000_000 + "b c", "a" + " \t" * 99_999, " " * 99_999 + "y", "ab " * 70_000):
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    rows = [(Decimal("1.5"), " " * 1_200_000 + "x y", None), (None, "word", None), (Decimal("2"), None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id decimal(6,2), text string, piece int")
+    got = packing.pack(docs, path).collect()
+    assert {r["doc_id"] for r in got} == {Decimal("1.50"), Decimal("2.00"), None}
+    ids = len(plain.encode(rows[0][1], add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got if r["doc_id"] == Decimal("1.50")) == ids
