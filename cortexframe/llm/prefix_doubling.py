@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import spread_join
-from ..plans.materialize import materialize
+from ..plans.materialize import drop_table, materialize
 from . import anchors as A
 from . import kernels as K
 from .common import RepeatedGrams, heat_join, map_texts, row_key, text_parts, text_slices
@@ -139,8 +139,9 @@ def stretch_rows(docs: DataFrame, repeated: RepeatedGrams, length: int, gram: in
     ))
 
 
-def doubled(contents: DataFrame, gram: int, length: int) -> DataFrame:
-    """``id, right_bound, left_bound``: the least length found unique on each side of the anchor, far if none.
+def doubled(contents: DataFrame, gram: int, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``id, right_bound, left_bound``: the least length found unique on each side of the anchor, far if none; and the
+    stored tables it reads.
 
     The rank of a pair is its hash: ranks of different pairs that meet by chance keep windows open and lose none.
     """
@@ -148,7 +149,7 @@ def doubled(contents: DataFrame, gram: int, length: int) -> DataFrame:
         contents.select("id", F.lit(side).alias("side"), F.col("gram").alias("rank"), "weight", F.col(side).alias("pieces"))
         for side in ("right", "left")
     ]
-    active, ended = sides[0].unionByName(sides[1]), []
+    active, ended, stored = sides[0].unionByName(sides[1]), [], []
     for k, n in enumerate(rounds(gram, length)):
         now = active.withColumn("piece", F.get("pieces", F.lit(k))).filter("piece is not null")
         now = now.select("id", "side", F.xxhash64("side", "rank", "piece").alias("rank"), "weight", "pieces")
@@ -156,15 +157,17 @@ def doubled(contents: DataFrame, gram: int, length: int) -> DataFrame:
         ranks = materialize(ranks.filter("_w > 1").select("rank", "_n", F.lit(True).alias("more")))
         ranked = heat_join(now, ranks.drop("_n"), ["rank"], F.col("id"), "left", counts=ranks.select("rank", "_n"))
         ranked = materialize(ranked.select("id", "side", "rank", "weight", "more", F.when(F.col("more"), F.col("pieces")).alias("pieces")))
+        stored.append(ranked)
         ended.append(ranked.filter("more is null").select("id", "side", F.lit(n).alias("bound")))
         active = ranked.filter("more").drop("more")
     found = ended[0]
     for more in ended[1:]:
         found = found.unionByName(more)
-    return found.groupBy("id").agg(
+    bounds = found.groupBy("id").agg(
         F.coalesce(F.min(F.when(F.col("side") == "right", F.col("bound"))), F.lit(_FAR)).alias("right_bound"),
         F.coalesce(F.min(F.when(F.col("side") == "left", F.col("bound"))), F.lit(_FAR)).alias("left_bound"),
     )
+    return bounds, stored
 
 
 def _compact(begin: np.ndarray, end: np.ndarray) -> Iterator[slice]:
@@ -225,12 +228,14 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_i
     )
     contents = materialize(contents.withColumn("id", F.monotonically_increasing_id()))
     open_grams = contents.filter("weight = 1").select("gram").distinct()
-    bounds = doubled(spread_join(contents, open_grams, ["gram"], F.col("id")), gram, length)
+    bounds, passed = doubled(spread_join(contents, open_grams, ["gram"], F.col("id")), gram, length)
     single = contents.filter("weight = 1").join(bounds, "id", "left")
     lo = F.greatest(F.lit(0), F.col("off") - F.coalesce("left_bound", F.lit(_FAR)) + 1)
     hi = F.least(F.col("windows") - 1, F.col("off") - (length + 1) + F.coalesce("right_bound", F.lit(_FAR)))
     cols = ["gram", "id", "one", "windows", "off", "cores", "lo", "hi", "weight"]
     open_ = materialize(single.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select(*cols))
+    for table in passed:  # their disk is needed below
+        drop_table(table)
     # whole stretches that are repeated can hold single windows of others with the same gram
     reach = open_.groupBy("gram").agg(F.min(F.col("off") - F.col("hi")).alias("near"), F.max(F.col("off") - F.col("lo")).alias("far"))
     partners = spread_join(contents.filter("weight > 1"), reach, ["gram"], F.col("id")).withColumns({
@@ -250,6 +255,8 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, one_i
     kept = heat_join(blocks, again.drop("_n"), ["b", "core"], F.col("id"), counts=again)
     wanted = kept.select("one.row_key", "id", "one.at", "lo", "hi", "weight")
     windows = materialize(window_rows(docs, wanted, length))
+    drop_table(blocks)
+    drop_table(open_)
     twice = windows.groupBy("wa", "wb").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
     hits = heat_join(windows.filter("weight = 1"), twice, ["wa", "wb"], F.col("id"))
     of_content = hits.groupBy("id").agg(F.array_sort(F.collect_list("window")).alias("hit"))  # windows of one stretch
