@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chunks import SERIES
-from ..plans.joins import bounded_collect, spread_join
+from ..plans.joins import spread_join
 from ..plans.materialize import materialize
+from ..plans.vectors import sum_vectors
 
 # Component classes that count as artifacts.
 ARTIFACT_TYPES = ["eye blink", "muscle artifact", "heart beat", "line noise", "channel noise"]
@@ -36,13 +37,8 @@ def correlation_means(signals: DataFrame) -> DataFrame:
     return agg.select(*SERIES, F.try_divide(F.col("_p") - 1, F.col("_c") - 1).alias("correlation"))
 
 
-def _sum_vectors(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Element-wise sum of array column ``s`` per key, as rows ``keys, i, v``."""
-    return df.select(*keys, F.posexplode("s").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-
-
 def moments(frames: DataFrame, n_ch: int, keys: list[str] = []) -> DataFrame:
-    """Upper sums for covariance: rows ``keys, i, v`` of the flattened ``(n_ch + 1)**2`` Gram matrix of ``[1, x]``."""
+    """``keys, s``: the flattened ``(n_ch + 1)**2`` Gram matrix of ``[1, x]``; tasks send one vector per key."""
     def add(batches):
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
@@ -54,12 +50,12 @@ def moments(frames: DataFrame, n_ch: int, keys: list[str] = []) -> DataFrame:
         yield pd.DataFrame([(*k, s.ravel()) for k, s in sums.items()], columns=[*keys, "s"])
 
     schema = ", ".join([*[f"{k} string" for k in keys], "s array<double>"])
-    return _sum_vectors(frames.select(*keys, "values").mapInPandas(add, schema), keys)
+    return sum_vectors(frames.select(*keys, "values").mapInPandas(add, schema), keys, "s")
 
 
 def gram(frames: DataFrame, n_ch: int) -> DataFrame:
     """Gram matrix of the channels per recording: ``recording_id, i, j, value``."""
-    m = moments(frames, n_ch, ["recording_id"])
+    m = moments(frames, n_ch, ["recording_id"]).select("recording_id", F.posexplode("s").alias("i", "v"))
     i, j = F.floor(F.col("i") / (n_ch + 1)), F.col("i") % (n_ch + 1)
     return m.filter((i > 0) & (j > 0)).select(
         "recording_id", (i - 1).cast("bigint").alias("i"), (j - 1).cast("bigint").alias("j"), F.col("v").alias("value"))
@@ -67,16 +63,38 @@ def gram(frames: DataFrame, n_ch: int) -> DataFrame:
 
 def covariance(frames: DataFrame, n_ch: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean vector, covariance matrix and row count over all frames."""
-    rows = bounded_collect(moments(frames, n_ch), (n_ch + 1) ** 2, "moment matrix")
-    g = np.zeros((n_ch + 1) ** 2)
-    for r in rows:
-        g[r["i"]] = r["v"]
-    g = g.reshape(n_ch + 1, n_ch + 1)
+    return _central(np.asarray(moments(frames, n_ch).first()["s"], float).reshape(n_ch + 1, n_ch + 1))
+
+
+def _central(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     n = int(g[0, 0])
     mean = g[0, 1:] / n
     return mean, g[1:, 1:] / n - np.outer(mean, mean), n
 
 
+def whitening(g: np.ndarray, variance: float | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, whitening matrix of the leading components and row count from the Gram matrix of ``[1, x]``."""
+    mean, cov, n = _central(g)
+    vals, vecs = np.linalg.eigh(cov)
+    vals, vecs = vals[::-1], vecs[:, ::-1]
+    k = int((vals > vals[0] * 1e-12).sum()) if vals[0] > 0 else 0
+    if variance is not None and k:
+        share = np.cumsum(vals) / vals.sum()
+        k = min(k, int((share <= variance).sum()) + 1)
+    return mean, (vecs[:, :k] / np.sqrt(vals[:k])).T, n
+
+
+def decorrelate(w: np.ndarray) -> np.ndarray:
+    vals, vecs = np.linalg.eigh(w @ w.T)
+    return vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-300))) @ vecs.T @ w
+
+
+def fixed_point(w: np.ndarray, s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float]:
+    """The next unmixing rows from the means of ``tanh(W z) z'`` and of its slope, and how far they turned."""
+    new = decorrelate(s - d[:, None] * w)
+    return new, float(np.max(np.abs(np.abs(np.diag(new @ w.T)) - 1)))
+
+
 @dataclass(frozen=True)
 class IcaModel:
     mean: np.ndarray
@@ -86,11 +104,6 @@ class IcaModel:
     converged: bool
 
 
-def _decorrelate(w: np.ndarray) -> np.ndarray:
-    vals, vecs = np.linalg.eigh(w @ w.T)
-    return vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-300))) @ vecs.T @ w
-
-
 def ica_fit(frames: DataFrame, n_ch: int, variance: float | None = 0.99, seed: int = 42, method: str = "fastica",
             max_iter: int = 200, tol: float = 1e-4) -> IcaModel:
     """Independent components of the frames.
@@ -99,17 +112,10 @@ def ica_fit(frames: DataFrame, n_ch: int, variance: float | None = 0.99, seed: i
     (None keeps all). Every fixed-point step (``fastica``) or natural-gradient step (``infomax``) is one job
     that sums ``g(W x) x'`` over the stored frames. A fit that ends at ``max_iter`` warns and says so in the model.
     """
-    mean, cov, n = covariance(frames, n_ch)
-    vals, vecs = np.linalg.eigh(cov)
-    vals, vecs = vals[::-1], vecs[:, ::-1]
-    keep = vals > vals[0] * 1e-12
-    k = int(keep.sum())
-    if variance is not None:
-        share = np.cumsum(vals) / vals.sum()
-        k = min(k, int((share <= variance).sum()) + 1)
-    white = (vecs[:, :k] / np.sqrt(vals[:k])).T
+    mean, white, n = whitening(np.asarray(moments(frames, n_ch).first()["s"], float).reshape(n_ch + 1, n_ch + 1), variance)
+    k = len(white)
     stored = materialize(frames.select("values"))
-    w = _decorrelate(np.random.default_rng(seed).standard_normal((k, k)))
+    w = decorrelate(np.random.default_rng(seed).standard_normal((k, k)))
     rate = 0.5
 
     def pass_over(w):
@@ -128,17 +134,14 @@ def ica_fit(frames: DataFrame, n_ch: int, variance: float | None = 0.99, seed: i
                     s += np.tanh(y / 2).T @ y
             yield pd.DataFrame({"s": [np.concatenate([s.ravel(), d])]})
 
-        got = bounded_collect(_sum_vectors(stored.mapInPandas(add, "s array<double>"), []), k * k + k, "component sums")
-        out = np.zeros(k * k + k)
-        for r in got:
-            out[r["i"]] = r["v"]
+        out = np.asarray(sum_vectors(stored.mapInPandas(add, "s array<double>"), [], "s").first()["s"], float)
         return out[: k * k].reshape(k, k) / n, out[k * k:] / n
 
     step, moved = 0, np.inf
     for step in range(1, max_iter + 1):
         s, d = pass_over(w)
         if method == "fastica":
-            new = _decorrelate(s - d[:, None] * w)
+            new = decorrelate(s - d[:, None] * w)
             moved = np.max(np.abs(np.abs(np.diag(new @ w.T)) - 1))
         else:
             new = w + rate * (np.eye(k) - s) @ w

@@ -7,7 +7,6 @@ A frame holds all channels of one sample, so map products are local to a row. Ma
 from __future__ import annotations
 
 import warnings
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.chunks import neighbour, sequence_index, signal_chunks
 from ..plans.joins import bounded_collect
 from ..plans.materialize import materialize
+from ..plans.vectors import sum_vectors
 from .windows import local_maxima
 
 MAX_MAPS = 4096
@@ -186,10 +186,7 @@ def _label_grams(peaks: DataFrame, runs: list[np.ndarray]) -> list[np.ndarray]:
         yield pd.DataFrame(rows, columns=["run", "k", "s"])
 
     parts = peaks.select("values").mapInPandas(add, "run int, k int, s array<double>")
-    flat = parts.select("run", "k", F.posexplode("s").alias("i", "v"))
-    total = flat.groupBy("run", "k", "i").agg(F.sum("v").alias("v")).groupBy("run", "k").agg(
-        F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("s")
-    )
+    total = sum_vectors(parts, ["run", "k"], "s")
     got = {(r["run"], r["k"]): np.array(r["s"]).reshape(n_ch, n_ch) for r in total.collect()}  # runs * k matrices
     return [np.stack([got[r, k] for k in range(len(m))]) for r, m in enumerate(runs)]
 
@@ -203,51 +200,98 @@ def _seed_maps(peaks: DataFrame, n: int, seed: int) -> np.ndarray:
 def kmeans_restarts(
     frames: DataFrame, k: int, restarts: int = 8, seed: int = 42, max_err: float = 1e-6, max_iter: int = 1000
 ) -> tuple[np.ndarray, float]:
-    """Polarity-free k-means of the field-power peaks; the restart with the smallest cross-validation value wins.
+    """Polarity-free k-means of the field-power peaks; the restart with the smallest cross-validation value wins."""
+    return kmeans_by_k(frames, [k], restarts, seed, max_err, max_iter)[k]
+
+
+def kmeans_by_k(
+    frames: DataFrame, ks: list[int], restarts: int = 8, seed: int = 42, max_err: float = 1e-6, max_iter: int = 1000
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Best maps and cross-validation value for every number of maps in ``ks``.
 
-    All restarts advance together: an iteration is one job over the stored peaks, whatever their number.
-    New maps are the leading eigenvectors of the per-label Gram matrices. Restarts that end at ``max_iter`` are warned of.
+    All restarts of all ``ks`` advance together: an iteration is one job over the stored peaks, whatever their number, and
+    one more job gives all cross-validation values. New maps are the leading eigenvectors of the per-label Gram matrices.
+    Restarts that end at ``max_iter`` are warned of.
     """
     stored = materialize(gfp_peaks(frames).select("recording_id", "sample_idx", "values"))
-    runs = [_seed_maps(stored, k, seed + r) for r in range(restarts)]
-    n_ch = runs[0].shape[1]
+    names = [(k, r) for k in ks for r in range(restarts)]
+    drawn = [_seed_maps(stored, max(ks), seed + r) for r in range(restarts)]
+    runs = {(k, r): drawn[r][:k] for k, r in names}
+    n_ch = drawn[0].shape[1]
     energy = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
     power, n = stored.agg(F.sum(energy), F.count(F.lit(1))).first()
-    var = [1.0] * restarts
-    prev = [0.0] * restarts
-    active = list(range(restarts))
+    var, prev = dict.fromkeys(names, 1.0), dict.fromkeys(names, 0.0)
+    moving = lambda name: abs((var[name] - prev[name]) / var[name]) > max_err
     for _ in range(max_iter):
-        active = [r for r in active if abs((var[r] - prev[r]) / var[r]) > max_err]
+        active = [name for name in names if moving(name)]
         if not active:
             break
-        for r, s in zip(active, _label_grams(stored, [runs[r] for r in active])):
-            maps = np.zeros_like(runs[r])
-            explained = 0.0
-            for j in range(k):
-                vals, vecs = np.linalg.eigh(s[j])
-                top = int(np.argmax(np.abs(vals)))
-                maps[j] = vecs[:, top] / np.sqrt((vecs[:, top] ** 2).sum())
-                explained += float(maps[j] @ s[j] @ maps[j])
-            runs[r] = maps
-            prev[r], var[r] = var[r], (power - explained) / (n * (n_ch - 1))
-    late = sum(abs((var[r] - prev[r]) / var[r]) > max_err for r in active)
+        for name, s in zip(active, _label_grams(stored, [runs[name] for name in active])):
+            maps, explained = _leading_maps(s)
+            runs[name] = maps
+            prev[name], var[name] = var[name], (power - explained) / (n * (n_ch - 1))
+    late = sum(map(moving, names))
     if late:
-        warnings.warn(f"{late} of {restarts} restarts with {k} maps did not settle in {max_iter} steps")
-    scored = [cv_total(frames, m) for m in runs]
-    best = int(np.argmin(scored))
-    return runs[best], scored[best]
+        warnings.warn(f"{late} of {len(names)} restarts did not settle in {max_iter} steps")
+    scored = dict(zip(names, cv_totals(frames, [runs[name] for name in names])))
+    out = {}
+    for k in ks:
+        best = min(range(restarts), key=lambda r: scored[k, r])
+        out[k] = (runs[k, best], scored[k, best])
+    return out
+
+
+def _leading_maps(grams: np.ndarray) -> tuple[np.ndarray, float]:
+    """Unit eigenvector of the largest eigenvalue of each Gram matrix, and the power along them."""
+    maps = np.zeros(grams.shape[:2])
+    explained = 0.0
+    for j, s in enumerate(grams):
+        vals, vecs = np.linalg.eigh(s)
+        top = int(np.argmax(np.abs(vals)))
+        maps[j] = vecs[:, top] / np.sqrt((vecs[:, top] ** 2).sum())
+        explained += float(maps[j] @ s @ maps[j])
+    return maps, explained
+
+
+def cv_totals(frames: DataFrame, solutions: list[np.ndarray]) -> list[float]:
+    """Cross-validation values of several solutions over all samples of all recordings, in one pass."""
+    def add(batches):
+        left, n = np.zeros(len(solutions)), 0
+        for b in batches:
+            x = np.stack(b["values"].to_numpy()) if len(b) else np.zeros((0, solutions[0].shape[1]))
+            if not len(x):
+                continue
+            n += len(x)
+            total, g = (x**2).sum(), x.std(axis=1)
+            for i, maps in enumerate(solutions):
+                label, _ = _fit(x, g, maps)
+                left[i] += total - ((x * maps[label]).sum(axis=1) ** 2).sum()
+        yield pd.DataFrame({"s": [np.append(left, float(n))]})
+
+    sums = np.asarray(sum_vectors(average_reference(frames).select("values").mapInPandas(add, "s array<double>"), [], "s").first()["s"])
+    out = []
+    for left, maps in zip(sums[:-1], solutions):
+        k, n_ch = maps.shape
+        out.append(float(left / (sums[-1] * (n_ch - 1)) * (n_ch - 1) ** 2 / (n_ch - k - 1) ** 2))
+    return out
 
 
 def cv_total(frames: DataFrame, maps: np.ndarray) -> float:
     """Cross-validation value over all samples of all recordings."""
-    k, n_ch = maps.shape
-    one = frames.withColumn("recording_id", F.lit("all"))
-    return float(cv_criterion(one, maps).first()["cv"])
+    return cv_totals(frames, [np.asarray(maps, dtype=float)])[0]
 
 
 def select_k(frames: DataFrame, k_max: int, restarts: int = 8, seed: int = 42, k_min: int = 4) -> dict[int, tuple[np.ndarray, float]]:
-    """Best maps and cross-validation value for every ``k`` from ``k_min`` to ``k_max``."""
-    return {k: kmeans_restarts(frames, k, restarts, seed) for k in range(k_min, k_max + 1)}
+    """Best maps and cross-validation value for every ``k`` from ``k_min`` to ``k_max``, fitted in common passes."""
+    return kmeans_by_k(frames, list(range(k_min, k_max + 1)), restarts, seed)
+
+
+def analyze(frames: DataFrame, k_max: int = 8, restarts: int = 8, seed: int = 42, k_min: int = 4) -> tuple[DataFrame, np.ndarray, float]:
+    """The whole flow up to the label sequence: maps for every ``k``, the ``k`` with the least cross-validation value, and
+    the labels of all samples from their nearest field-power peak. Returns labels, maps and the value."""
+    found = select_k(frames, k_max, restarts, seed, k_min)
+    k = min(found, key=lambda n: found[n][1])
+    return fit_back_peaks(frames, found[k][0]), *found[k]
 
 
 def _pearson(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -257,14 +301,42 @@ def _pearson(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_permutation(a: np.ndarray, b: np.ndarray, polarity: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-    """Permutation ``p`` maximising the mean correlation of ``a[p[j]]`` with ``b[j]``; sign per pair."""
+    """Assignment ``p`` maximising the mean correlation of ``a[p[j]]`` with ``b[j]``; sign per pair."""
     k = len(b)
     r = _pearson(a, b)
-    perms = np.array(list(permutations(range(k))))
-    picked = r[perms, np.arange(k)]
-    score = (picked if polarity else np.abs(picked)).sum(axis=1) / k
-    best = int(np.argmax(score))
-    return perms[best], np.where(picked[best] < 0, -1, 1), float(score[best])
+    best = assign((r if polarity else np.abs(r))[None])[0]
+    picked = r[best, np.arange(k)]
+    return best, np.where(picked < 0, -1, 1), float((picked if polarity else np.abs(picked)).sum() / k)
+
+
+def assign(gains: np.ndarray) -> np.ndarray:
+    """For each ``k x k`` matrix the rows ``p`` with the largest sum of ``gains[p[j], j]``; the first in order of equals.
+
+    Dynamic programming over the sets of rows that are left for the last columns: ``k 2**k`` steps that serve all matrices
+    at once, instead of ``k!`` permutations.
+    """
+    n, k, _ = gains.shape
+    sets = np.arange(1 << k)
+    size = np.array([int(s).bit_count() for s in sets])
+    best = np.full((n, 1 << k), -np.inf)  # of the rows in a set on the last columns
+    best[:, 0] = 0.0
+    for j in range(k - 1, -1, -1):
+        own = sets[size == k - j]
+        for row in range(k):
+            has = own[(own >> row) & 1 == 1]
+            best[:, has] = np.maximum(best[:, has], gains[:, row, j, None] + best[:, has ^ (1 << row)])
+    out, left = np.zeros((n, k), np.int64), np.full(n, (1 << k) - 1)
+    for j in range(k):
+        found = np.zeros(n, bool)
+        rest = left.copy()
+        for row in range(k):
+            able = ~found & ((left >> row) & 1 == 1)
+            then = left ^ (1 << row)
+            hit = able & (gains[:, row, j] + best[np.arange(n), np.where(able, then, 0)] >= best[np.arange(n), left])
+            out[hit, j], rest[hit] = row, then[hit]
+            found |= hit
+        left = rest
+    return out
 
 
 def _stacked(maps: DataFrame) -> DataFrame:
@@ -356,8 +428,7 @@ def mean_maps(
                                columns=["start", "s", "sim", "sim2", "n", "changed"])
 
         part = stored.mapInPandas(step, "start int, s array<double>, sim double, sim2 double, n bigint, changed bigint")
-        vec = part.select("start", F.posexplode("s").alias("i", "v")).groupBy("start", "i").agg(F.sum("v").alias("v"))
-        vec = vec.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("s"))
+        vec = sum_vectors(part, ["start"], "s")
         tot = part.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("sim", "sim2", "n", "changed")])
         for row in vec.join(tot, "start").collect():  # one row per random start
             i, n = row["start"], row["n"]

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from ..operators import artifacts as art
 from ..operators import cleaning
 from ..operators import filters as fl
-from ..operators import ica
+from ..operators import ica, keyed_ica
 from ..operators import signals as sg
 from ..operators import windows as wn
+from ..plans.joins import spread_join
 from . import fixtures as fx
+from .recursion_sql import filtfilt_sql
 from .registry import query, rounded
 from .signals_q import PEAKS, peaks
 from .windows_q import flat_sql
@@ -80,16 +82,26 @@ def sig2(spark, sf):
     return rounded(fl.notch(fx.signals(spark, sf), 128.0, [50.0]), "value")
 
 
-@query("sig3_butter_filtfilt")
+RW = "WITH RECURSIVE " + fx.SIGNALS + ",\n"
+_FILTERED = " SELECT recording_id, channel, sample_idx, round(value, 6) + 0 AS value FROM filtered"
+
+
+@query("sig3_butter_filtfilt", RW + filtfilt_sql(128.0, 4, (20.0, None)) + _FILTERED)
 def sig3(spark, sf):
     return rounded(fl.butter_filtfilt(fx.signals(spark, sf), 128.0, 4, (20.0, None)), "value")
 
 
-@query("sig3_butter_bandpass")
+@query("sig3_butter_bandpass", RW + filtfilt_sql(128.0, 2, (8.0, 30.0)) + _FILTERED)
 def sig3b(spark, sf):
     return rounded(fl.butter_filtfilt(fx.signals(spark, sf), 128.0, 2, (8.0, 30.0)), "value")
 
 
+@query("sig3_butter_slow", RW + filtfilt_sql(128.0, 2, (0.1, None)) + _FILTERED.replace(", 6)", ", 4)"))
+def sig3c(spark, sf):
+    """A response of some 10,000 samples over blocks of 128: the blocks exchange filter states."""
+    return rounded(fl.butter_filtfilt(fx.signals(spark, sf), 128.0, 2, (0.1, None), block=128), "value", digits=4)
+
+
 @query("sig4_detrend_linear", W + """,
 l AS (SELECT recording_id, channel, regr_slope(value, sample_idx) AS b, regr_intercept(value, sample_idx) AS a FROM signals GROUP BY ALL)
 SELECT recording_id, channel, sample_idx, round(value - a - b * sample_idx, 6) + 0 AS value FROM signals JOIN l USING (recording_id, channel)""")
@@ -97,13 +109,13 @@ def sig4(spark, sf):
     return rounded(fl.detrend_linear(fx.signals(spark, sf)), "value")
 
 
-def _lerp(fs, fs2):
-    return W + f""",
-n AS (SELECT recording_id, channel, max(sample_idx) + 1 AS n, CAST(floor((max(sample_idx) + 1) / {fs}::DOUBLE * {fs2}::DOUBLE) AS BIGINT) AS n2 FROM signals GROUP BY ALL),
+def _lerp(fs, fs2, start=W, source="signals", digits=8):
+    return start + f""",
+n AS (SELECT recording_id, channel, max(sample_idx) + 1 AS n, CAST(floor((max(sample_idx) + 1) / {fs}::DOUBLE * {fs2}::DOUBLE) AS BIGINT) AS n2 FROM {source} GROUP BY ALL),
 j AS (SELECT recording_id, channel, n, n2, unnest(range(n2)) AS j FROM n)
-SELECT j.recording_id, j.channel, j AS sample_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * ((j * n % n2) / n2), 8) + 0 AS value
-FROM j JOIN signals a ON a.recording_id = j.recording_id AND a.channel = j.channel AND a.sample_idx = j * n // n2
-LEFT JOIN signals b ON b.recording_id = j.recording_id AND b.channel = j.channel AND b.sample_idx = j * n // n2 + 1"""
+SELECT j.recording_id, j.channel, j AS sample_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * ((j * n % n2) / n2), {digits}) + 0 AS value
+FROM j JOIN {source} a ON a.recording_id = j.recording_id AND a.channel = j.channel AND a.sample_idx = j * n // n2
+LEFT JOIN {source} b ON b.recording_id = j.recording_id AND b.channel = j.channel AND b.sample_idx = j * n // n2 + 1"""
 
 
 @query("sig5_resample_linear_up", _lerp(16.0, 25.0))
@@ -116,7 +128,8 @@ def sig5b(spark, sf):
     return rounded(fl.resample_linear(fx.signals(spark, sf), 16.0, 7.0), "value", digits=8)
 
 
-@query("sig5_resample_record")
+@query("sig5_resample_record", "SELECT recording_id, channel, sample_idx, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) + 0 AS value FROM ("
+       + _lerp(200.0, 128.0, RW + filtfilt_sql(200.0, 4, (None, 64.0)), "filtered", 15) + ") WINDOW w AS (PARTITION BY recording_id, channel)")
 def sig5c(spark, sf):
     return rounded(fl.resample_record(fx.signals(spark, sf), 200.0, 128.0), "value")
 
@@ -142,7 +155,18 @@ def art1(spark, sf):
     return art.flat_channels(fx.signals(spark, sf), 4.0, 2.0, 60.0)
 
 
-@query("art2_hf_noise_channels")
+def _mad_sql(name: str) -> str:
+    return f"""{name}_m AS (SELECT recording_id, channel, median(value) AS m FROM {name} GROUP BY ALL),
+{name}_mad AS (SELECT recording_id, channel, median(abs(value - m)) / 0.6744897501960817::DOUBLE AS mad FROM {name} JOIN {name}_m USING (recording_id, channel) GROUP BY ALL)"""
+
+
+@query("art2_hf_noise_channels", RW + filtfilt_sql(128.0, 4, (20.0, None), "hp") + ",\n" + filtfilt_sql(128.0, 4, (None, 30.0), "lp") + f""",
+{_mad_sql("hp")},
+{_mad_sql("lp")},
+r AS (SELECT recording_id, channel, hp_mad.mad / lp_mad.mad AS ratio FROM hp_mad JOIN lp_mad USING (recording_id, channel)),
+c AS (SELECT *, abs(ratio - median(ratio) OVER (PARTITION BY recording_id)) AS d, median(ratio) OVER (PARTITION BY recording_id) AS m FROM r)
+SELECT recording_id, channel, round(ratio, 6) + 0 AS ratio,
+  round((ratio - m) / (median(d) OVER (PARTITION BY recording_id) / 0.6744897501960817::DOUBLE), 6) + 0 AS z FROM c""")
 def art2(spark, sf):
     return rounded(art.hf_noise(fx.signals(spark, sf), 128.0), "ratio", "z")
 
@@ -363,6 +387,30 @@ def art17c(spark, sf):
     return ica.select_components(component_labels(spark, sf), "non_brain_60").select("component", "label")
 
 
+def _segment_frames(spark, sf):
+    """The event recordings as frames, cut into three segments each."""
+    from ..plans.blocks import to_frames
+
+    frames = to_frames(rect(spark, sf), NAMES)
+    last = frames.groupBy("recording_id").agg((F.max("sample_idx") + 1).alias("_n"))
+    cut = spread_join(frames, last, ["recording_id"], "sample_idx")
+    return cut.withColumn("segment_idx", F.floor(F.col("sample_idx") * 3 / F.col("_n")).cast("bigint")).drop("_n")
+
+
+_SEGMENT = ["recording_id", "segment_idx"]
+
+
+# What holds for every model: components of unit covariance, and a mixing matrix that undoes the unmixing. Whether a
+# settled model is a fixed point is tested on planted sources.
+@query("art16_ica_fit_segments", """
+SELECT 'r' || r AS recording_id, segment_idx, CAST(5 AS INT) AS k, true AS white, true AS inverse
+FROM (SELECT DISTINCT user_id % 4 AS r FROM events), (SELECT unnest(CAST([0, 1, 2] AS BIGINT[])) AS segment_idx)""")
+def art16b(spark, sf):
+    frames = _segment_frames(spark, sf)
+    models = keyed_ica.ica_fit_keyed(frames, len(NAMES), _SEGMENT, variance=None)
+    return keyed_ica.model_checks(frames, models, len(NAMES), _SEGMENT).drop("fixed")
+
+
 @query("art18_ica_apply")
 def art18(spark, sf):
     out = ica.ica_apply(fx.frames(spark, sf), _model(spark, sf), [0, 2])

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from series_helpers import collect_series
 from cortexframe.functions.spline import spline_weights
 from cortexframe.operators import artifacts as art
-from cortexframe.operators import cleaning, events, ica
+from cortexframe.operators import cleaning, events, ica, keyed_ica
 from cortexframe.plans.blocks import to_frames
 
 
@@ -249,3 +250,33 @@ def test_flag_epochs_boundaries(spark):
     got = [r["epoch_idx"] for r in events.flag_epochs(ep, iv, 1.0, 100.0).filter("is_stim").orderBy("epoch_idx").collect()]
     want = [i for i in range(9) if any(i < e and i + (1 - 1 / 100) > s for s, e in ((2.0, 3.0), (5.999, 6.0)))]
     assert got == want
+
+
+def test_keyed_components_equal_single_fits(spark):
+    rng = np.random.default_rng(21)
+    rows, data = [], {}
+    for rec in ("a", "b"):
+        for seg in range(3):
+            x = rng.laplace(size=(700, 3)) @ rng.standard_normal((3, 4)) + 5
+            data[rec, seg] = x
+            rows += [(rec, seg, i + 50, v.tolist()) for i, v in enumerate(x)]
+    rows += [("flat", 0, i, [1.0] * 4) for i in range(10)]
+    df = spark.createDataFrame(rows, "recording_id string, segment_idx int, sample_idx bigint, values array<double>").repartition(4)
+    keys = ["recording_id", "segment_idx"]
+    models = keyed_ica.ica_fit_keyed(df, 4, keys)
+    got = {(r["recording_id"], r["segment_idx"]): r for r in models.collect()}
+    assert len(got) == 7 and got["flat", 0]["k"] == 0
+    cleaned = keyed_ica.ica_apply_keyed(df.withColumn("exclude", F.array(F.lit(0))), models, keys)
+    for key, x in data.items():
+        own = df.filter((F.col("recording_id") == key[0]) & (F.col("segment_idx") == key[1]))
+        single = ica.ica_fit(own, 4)
+        model = got[key]
+        assert model["converged"] and model["iterations"] == single.iterations
+        assert np.allclose(np.reshape(model["unmixing"], (-1, 4)), single.unmixing, atol=1e-8)
+        want = x - (x - single.mean) @ single.unmixing[[0]].T @ single.mixing[:, [0]].T
+        part = cleaned.filter((F.col("recording_id") == key[0]) & (F.col("segment_idx") == key[1])).orderBy("sample_idx")
+        assert np.allclose([r["values"] for r in part.collect()], want, atol=1e-7)
+    flat = cleaned.filter("recording_id = 'flat'").collect()
+    assert all(r["values"] == [1.0] * 4 for r in flat)
+    checks = keyed_ica.model_checks(df.filter("recording_id <> 'flat'"), models.filter("k > 0"), 4, keys, 1e-3).collect()
+    assert all(r["white"] and r["fixed"] and r["inverse"] for r in checks) and len(checks) == 6

@@ -2,6 +2,7 @@ import lzma
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from series_helpers import collect_labels
 from cortexframe.operators import microstates as ms
@@ -190,3 +191,39 @@ def test_fits_that_end_at_the_limit_are_told(spark):
         assert not ica.ica_fit(df, 4, max_iter=1).converged
     with pytest.warns(UserWarning, match="did not settle in 1 steps"):
         ms.kmeans_restarts(df, 2, restarts=2, max_iter=1)
+
+
+def test_assignment_equals_all_permutations():
+    from itertools import permutations
+
+    rng = np.random.default_rng(12)
+    for k in range(1, 8):
+        gains = np.round(rng.standard_normal((20, k, k)), 1)  # with ties
+        perms = np.array(list(permutations(range(k))))
+        for g, found in zip(gains, ms.assign(gains)):
+            totals = g[perms, np.arange(k)].sum(axis=1)
+            assert sorted(found.tolist()) == list(range(k))
+            assert abs(g[found, np.arange(k)].sum() - totals.max()) < 1e-9
+
+
+def test_twelve_maps_are_matched(spark):
+    rng = np.random.default_rng(13)
+    maps = rng.standard_normal((12, 30))
+    order, sign = rng.permutation(12), rng.choice([-1, 1], 12)
+    rows = [(0, j, (maps[order[j]] * sign[j]).tolist()) for j in range(12)]
+    got = ms.reorder_maps(spark.createDataFrame(rows, "run_id int, map_id bigint, values array<double>"), maps).collect()
+    assert all(np.allclose(r["values"], maps[r["map_id"]]) for r in got) and len(got) == 12
+
+
+def test_all_k_and_restarts_advance_in_common_passes(spark):
+    rng = np.random.default_rng(14)
+    rows = [("a", i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 8)))]
+    df = spark.createDataFrame(rows, "recording_id string, sample_idx bigint, values array<double>")
+    together = ms.kmeans_by_k(df, [2, 3], restarts=3, seed=4)
+    for k in (2, 3):
+        alone, cv = ms.kmeans_restarts(df, k, restarts=3, seed=4)
+        assert together[k][1] == pytest.approx(ms.cv_total(df, together[k][0]), rel=1e-12)
+        assert cv == pytest.approx(ms.cv_criterion(df.withColumn("recording_id", F.lit("a")), alone).first()["cv"], rel=1e-9)
+    labels, maps, cv = ms.analyze(df, 4, restarts=2, seed=4, k_min=2)
+    assert cv == min(v for _, v in ms.select_k(df, 4, 2, 4, 2).values())
+    assert labels.select("label").distinct().count() <= len(maps)
