@@ -5,7 +5,9 @@ hosts of blocked pages and follows links backwards. A host is blocked when its d
 
 The host of a url is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the
 path follows up to ``?``, ``#`` or the end. Null urls and urls without ``://`` have an empty host and path, fit no rule
-and are judged as the empty host, which has no links. Null html has no links. Repeated rows count and are judged each
+and are judged as the empty host, which has no links. Links are the ``href`` and ``src`` values with ``//``; their host is
+read by the rule of the urls, port and user part included, so both ends of an edge carry one name. Other text, mail
+addresses among it, is no link. Null html has no links; very long html is read whole. Repeated rows count and are judged each
 on its own. Of rules of one length that fit a url, the first in alphabetical order wins. An empty table gives an empty
 result; further columns of any name are not read.
 """
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from ..plans.joins import spread_join
 from ..plans.materialize import drop_table, materialize
 
-#: Rounds of the oracle.
-ROUNDS = 8
+#: Rounds of the oracle; what they leave out is below ``DAMPING ** ROUNDS`` = 1e-14.
+ROUNDS = 200
 DAMPING = 0.85
 #: The ranks are settled when a round changes both vectors by less than this in sum and reaches no further host.
 TOLERANCE = 1e-12
@@ -28,8 +30,8 @@ MAX_ROUNDS = 1000
 #: Edges of one host that a task joins; more are cut into parts.
 EDGES_PER_TASK = 4000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A host named after ``//`` or ``@``.
-LINK = r"(?://|@)([A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9])"
+#: The host in a ``href`` or ``src`` value.
+LINK = r"""(?:[hH][rR][eE][fF]|[sS][rR][cC])[ \t\n\f\r]*=[ \t\n\f\r]*["']?[ \t\n\f\r]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'<> \t\n\f\r]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -63,7 +65,7 @@ def ruled(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
 def host_edges(pages: DataFrame) -> DataFrame:
     """``src, dst, n``: links between different hosts, summed before the shuffle."""
     named = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
-    named = named.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).filter("src != '' and dst != src and instr(dst, '.') > 0")
+    named = named.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).filter("src != '' and dst != src")
     return named.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -152,16 +154,9 @@ def oracle(rules: dict[str, str], rounds: int = ROUNDS, damping: float = DAMPING
         f"AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r in order
     )
     verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules.items())
-    steps = "".join(f"""
-), r{k + 1} AS MATERIALIZED (
-  SELECT h.host, h.s_t, h.s_d, {1 - damping!r} * s_t + {damping!r} * coalesce(f.x, 0) AS t,
-    {1 - damping!r} * s_d + {damping!r} * coalesce(g.x, 0) AS d
-  FROM hosts h
-  LEFT JOIN (SELECT dst AS host, sum(t / n_out * n) AS x FROM e JOIN r{k} ON src = host GROUP BY 1) f USING (host)
-  LEFT JOIN (SELECT src AS host, sum(d / n_in * n) AS x FROM e JOIN r{k} ON dst = host GROUP BY 1) g USING (host)"""
-                    for k in range(rounds))
+    link = LINK.replace("'", "''")
     return rf"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), ruled AS MATERIALIZED (
@@ -169,9 +164,9 @@ WITH parts AS (
 ), decided AS MATERIALIZED (
   SELECT *, CASE rule {verdicts} END AS decision FROM ruled
 ), links AS (
-  SELECT host AS src, translate(unnest(regexp_extract_all(html, '{LINK}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM parts
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM parts
 ), e0 AS (
-  SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> src AND contains(dst, '.') GROUP BY 1, 2
+  SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> src GROUP BY 1, 2
 ), e AS MATERIALIZED (
   SELECT *, sum(n) OVER (PARTITION BY src) AS n_out, sum(n) OVER (PARTITION BY dst) AS n_in FROM e0
 ), seeds AS (
@@ -181,9 +176,17 @@ WITH parts AS (
   SELECT host, coalesce(a, 0) / (SELECT greatest(sum(a), 1) FROM seeds) AS s_t,
     coalesce(b, 0) / (SELECT greatest(sum(b), 1) FROM seeds) AS s_d
   FROM seeds FULL JOIN (SELECT src AS host FROM e UNION SELECT dst FROM e) USING (host)
-), r0 AS (
-  SELECT host, s_t, s_d, s_t AS t, s_d AS d FROM hosts{steps}
+), ways AS MATERIALIZED (
+  SELECT src AS sender, dst AS host, n / n_out AS t_share, 0.0::DOUBLE AS d_share FROM e
+  UNION ALL SELECT dst, src, 0.0::DOUBLE, n / n_in FROM e
+  UNION ALL SELECT host, host, 0.0::DOUBLE, 0.0::DOUBLE FROM hosts
+), r AS (
+  SELECT 0 AS k, host, s_t::DOUBLE AS t, s_d::DOUBLE AS d FROM hosts
+  UNION ALL
+  SELECT r.k + 1, w.host, {1 - damping!r} * any_value(h.s_t) + {damping!r} * sum(r.t * w.t_share),
+    {1 - damping!r} * any_value(h.s_d) + {damping!r} * sum(r.d * w.d_share)
+  FROM r JOIN ways w ON w.sender = r.host JOIN hosts h ON h.host = w.host WHERE r.k < {rounds} GROUP BY r.k, w.host
 )
 SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN d > t THEN 'block' ELSE 'allow' END) AS verdict
-FROM decided JOIN r{rounds} USING (host)
+FROM decided JOIN r USING (host) WHERE k = {rounds}
 """
