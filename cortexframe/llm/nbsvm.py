@@ -147,6 +147,18 @@ def logistic(margins: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float
     return float(theta[0]), float(theta[1])
 
 
+def fit_rows(rows: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` of ``rows(doc_id, text, y)``: one text per id, as many ids of each class as half the bound allows.
+
+    An id stands for itself by its text of least hash, so neither copies nor texts that share an id crowd the others out.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    each = materialize(hashed.groupBy("doc_id").agg(F.min("_h").alias("_h"), F.first("y").alias("_y")))
+    classes = [each.filter(F.col("_y") == c).orderBy("_h", "doc_id").limit(max(1, max_rows // 2)) for c in (0, 1)]
+    chosen = classes[0].unionByName(classes[1]).drop("_y")
+    return spread_join(hashed, chosen, ["doc_id", "_h"], F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
 def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_ROWS) -> Model | None:
     """A model from the labelled rows that are not held out, or None without both classes."""
     known = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)")
@@ -155,8 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_rows:
     ).filter("y = _y").drop("_y")
     rows = materialize(spread_join(docs.select("doc_id", "text"), known, ["doc_id"], F.xxhash64("text")))
     ratios = log_ratios(class_counts(rows, buckets))
-    chosen = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h", "doc_id").limit(max_rows)
-    sample = spread_join(rows, chosen.select("doc_id").distinct(), ["doc_id"], F.xxhash64("text"))
+    sample = fit_rows(rows, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
