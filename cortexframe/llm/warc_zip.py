@@ -7,7 +7,7 @@ index, and then each record alone; nothing is extracted.
 
 Of pages whose payloads are equal and at least ``min_bytes`` long, the one with the least ``page_id`` is written as a
 response, the others as revisits that refer to it; pages that repeat that id are responses too, and a null id counts as
-larger than any. Null html is an empty payload, always a response. An empty table gives no archive and an empty result.
+larger than any. Ids are of any type that its string casts back to. Null html is an empty payload, always a response. An empty table gives no archive and an empty result.
 Further columns of any name are not read.
 """
 
@@ -70,9 +70,9 @@ def record_bytes(page_id, url, html, digest, size, record_type, refers_to) -> by
     if url is not None:
         head.append(f"WARC-Target-URI: {json.dumps(url)}")
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {json.dumps(str(page_id))}")
     if refers_to is not None:
-        head.append(f"X-Refers-To-Page-ID: {refers_to}")
+        head.append(f"X-Refers-To-Page-ID: {json.dumps(str(refers_to))}")
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -237,15 +237,22 @@ def record_ranges(archives: DataFrame, records_per_range: int = RECORDS_PER_RANG
     return map_texts(archives.select("path"), run, "path string, part bigint, offset bigint, length bigint")
 
 
-def read_records(archives: DataFrame, records_per_range: int = RECORDS_PER_RANGE) -> DataFrame:
+def reading_tasks(ranges: DataFrame) -> int:
+    """One task per archive's worth of bytes, and enough for all cores while there are ranges."""
+    sums = ranges.agg(F.sum("length").alias("size"), F.count_if(F.col("offset").isNotNull()).alias("n")).first()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(sums["n"], max(cores, -(-(sums["size"] or 0) // ARCHIVE_BYTES))))
+
+
+def read_records(archives: DataFrame, records_per_range: int = RECORDS_PER_RANGE, id_type: str = "bigint") -> DataFrame:
     """One row per record: ``page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload``.
 
-    The payload of every response is checked against its digest.
+    The payload of every response is checked against its digest. ``id_type`` is the type of the page ids.
     """
     ranges = materialize(record_ranges(archives, records_per_range))
-    dealt = ranges.repartition("path", "part").sortWithinPartitions("path", "offset")
+    dealt = ranges.repartition(reading_tasks(ranges), "path", "part").sortWithinPartitions("path", "offset")
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, read = None, None
@@ -258,21 +265,23 @@ def read_records(archives: DataFrame, records_per_range: int = RECORDS_PER_RANGE
                     rows.append(_row(parse_record(gzip.decompress(read(r["offset"], r["length"])))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
-    return map_texts(dealt, run, schema)
+    schema = "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
+    found = map_texts(dealt, run, schema)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def _row(r: dict) -> tuple:
     digest = r["warc-payload-digest"].removeprefix("sha256:")
     if r["warc-type"] == "response" and hashlib.sha256(r["payload"]).hexdigest() != digest:
         raise ValueError("payload does not match its digest")
-    number = lambda name: int(r[name]) if name in r else None
-    url = json.loads(r["warc-target-uri"]) if "warc-target-uri" in r else None
-    return number("x-page-id"), url, r["warc-type"], number("x-payload-length"), digest, number("x-refers-to-page-id"), r["payload"]
+    value = lambda name: json.loads(r[name]) if name in r else None
+    return (value("x-page-id"), value("warc-target-uri"), r["warc-type"], value("x-payload-length"), digest,
+            value("x-refers-to-page-id"), r["payload"])
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write all pages as archives (in a new folder of the shared one, unless given) and read them back."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-    return read_records(write_archives(with_types(pages, min_bytes), folder))
+    archives = write_archives(with_types(pages, min_bytes), folder)
+    return read_records(archives, id_type=pages.schema["page_id"].dataType.simpleString())
