@@ -6,7 +6,8 @@ whole shorter item, hits its words.
 
 Null and empty texts have no words and no hits; items without words are left out. Items with a null id hit words but
 are not listed. Repeated rows are judged one by one, repeated item ids are listed once, an empty table of documents or
-items gives an empty result or no hits. Further columns are kept untouched.
+items gives an empty result or no hits. Very long texts are read whole, very long
+items in overlapping parts. Further columns are kept untouched.
 """
 
 from __future__ import annotations
@@ -92,10 +93,14 @@ class ItemAutomaton:
         return state
 
     def _mark(self, coded: list[tuple[str | None, list[int]]]) -> None:
-        """``window_state`` of each state; the items of each window; short items on their suffix paths."""
+        """``window_state`` of each state; the items of each window; short texts, each once, with their items.
+
+        ``short_at`` leads to the next state on the suffix path that holds short texts, of which a path meets fewer than
+        ``window``.
+        """
         n = self.window
         self.items: dict[int, set[str | None]] = {}
-        own: dict[int, set[tuple[int, str | None]]] = {}
+        own: dict[int, dict[int, set[str | None]]] = {}
         for item_id, ids in coded:
             state = 0
             for i, w in enumerate(ids):
@@ -104,29 +109,31 @@ class ItemAutomaton:
                     state_n = self._holding(state, n)
                     self.items.setdefault(state_n, set()).add(item_id)
             if len(ids) < n:
-                own.setdefault(self._holding(state, len(ids)), set()).add((len(ids), item_id))
+                own.setdefault(self._holding(state, len(ids)), {}).setdefault(len(ids), set()).add(item_id)
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
         self.window_state = [0] * len(self.link)
-        self.short: dict[int, list[tuple[int, str | None]]] = {}
+        self.short = own
+        self.short_at = [0] * len(self.link)
         for s in order:
             up = self.link[s]
             if self.length[s] >= n:
                 self.window_state[s] = self.window_state[up] if self.length[up] >= n else s
-            if s in own or up in self.short:
-                self.short[s] = sorted(own.get(s, set()), key=repr) + self.short.get(up, [])
+            self.short_at[s] = s if s in own else self.short_at[up]
 
     def matches(self, words: list[bytes]) -> tuple[list[int], set[str | None]]:
         """Flat ``start, end`` word spans of the hits, merged, and the ids of the items."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False]))))
         spans: list[int] = []
-        found: set[str | None] = set()
+        hit: set[tuple[int, int]] = set()
         for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if hi - lo >= self.shortest:
-                self._read(ids[lo:hi].tolist(), lo, spans, found)
-        return merged(spans), found
+                self._read(ids[lo:hi].tolist(), lo, spans, hit)
+        found = [self.short[s][size] if size else self.items.get(s, set()) for s, size in hit]
+        return merged(spans), set().union(*found)
 
-    def _read(self, ids: list[int], base: int, spans: list[int], found: set[str | None]) -> None:
+    def _read(self, ids: list[int], base: int, spans: list[int], hit: set[tuple[int, int]]) -> None:
+        """Adds the spans, and the states of the windows (with 0) and short texts (with their length) that occur."""
         state = matched = 0
         following, link, length, n = self.next, self.link, self.length, self.window
         for i, w in enumerate(ids, base + 1):
@@ -137,13 +144,15 @@ class ItemAutomaton:
                 to = following[state].get(w)
             state, matched = to or 0, matched + 1 if to else 0
             if matched >= n:
-                found |= self.items.get(self.window_state[state], set())
+                hit.add((self.window_state[state], 0))
                 spans += (i - n, i)
-            if state in self.short:
-                for size, item in self.short[state]:
+            at = self.short_at[state]
+            while at:
+                for size in self.short[at]:
                     if size <= matched:
-                        found.add(item)
+                        hit.add((at, size))
                         spans += (i - size, i)
+                at = self.short_at[link[at]]
 
 
 def merged(spans: list[int]) -> list[int]:
@@ -199,15 +208,44 @@ def _pass(automaton, last: bool, min_words: int, with_text: bool) -> Callable[[I
     return run
 
 
+def item_parts(items: DataFrame, window: int, size: int) -> DataFrame:
+    """``item_id, text`` with texts over ``size`` bytes cut into word runs that share ``window - 1`` words: no window is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                rows = [(i, p) for i, text in zip(*(c.to_pylist() for c in part.columns)) for p in cut_item(text or "", window, size)]
+                ids, texts = zip(*rows) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+    return map_texts(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), run, "item_id string, text string")
+
+
+def cut_item(text: str, window: int, size: int) -> Iterator[str]:
+    if len(text.encode()) <= size:
+        yield text
+        return
+    words = words_of(text)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    at = 0
+    while at < len(words):
+        begin = int(ends[at]) - len(words[at]) - 1
+        stop = max(at + window, int(np.searchsorted(ends, begin + size, "right")))
+        yield b" ".join(words[at:stop]).decode()
+        if stop >= len(words):
+            return
+        at = stop - window + 1
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, min_words: int = 0, with_text: bool = True) -> DataFrame:
     """One row per document: ``_doc`` (all its columns), ``n_words``, ``n_hit``, ``items`` (ids as strings),
     ``items_sha256``, ``spans`` (flat word spans) and ``left``, the text without the spans of ``min_words`` words or more.
 
-    An automaton holds ``block_bytes`` of items, which bounds the broadcast. More items make more passes over the
+    An automaton holds about ``block_bytes`` of items, repeated rows once and long texts in parts, which bounds the broadcast. More items make more passes over the
     documents; each pass is written before the next.
     """
     spark = docs.sparkSession
-    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    texts = materialize(item_parts(items, window, max(block_bytes // 16, 64)).distinct())
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

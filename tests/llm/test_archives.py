@@ -85,3 +85,15 @@ def test_round_trip(spark, pages, tmp_path):
 
 def test_no_pages(pages):
     assert W.round_trip(pages.limit(0)).count() == 0
+
+
+def test_ids_that_are_strings_and_reading_tasks(spark, tmp_path):
+    same = "x" * 200
+    rows = [("b\r\n\r\n", "u", same), ("a é", "u", same), (None, None, same), ("7", "u", "")] + [(f"p{i}", "u", f"{i}" * 50) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    archives = W.write_archives(W.with_types(pages), f"file://{tmp_path}", archive_bytes=2000)
+    got = {r["page_id"]: r["refers_to"] for r in W.read_records(archives, 3, "string").collect()}
+    assert set(got) == {r[0] for r in rows} and got["b\r\n\r\n"] == got[None] == "a é" and got["p3"] is None
+    assert W.reading_tasks(W.record_ranges(archives, 3)) == spark.sparkContext.defaultParallelism
+    back = W.round_trip(pages, str(tmp_path / "again"))
+    assert back.schema["page_id"].dataType.simpleString() == "string" and back.count() == len(rows)

@@ -50,3 +50,27 @@ def test_empty_tables(spark, docs, no_docs, items):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.digest(docs, none).filter("n_hit > 0 or n_items > 0 or contaminated").count() == 0
     assert D.digest(no_docs, spark.createDataFrame(items, none.schema)).count() == 0
+
+
+def test_repeated_short_items_stay_small():
+    """n items of one word and an item that repeats it: the automaton holds each short text once."""
+    n = 2000
+    own = D.ItemAutomaton([*((str(i), "yes") for i in range(n)), ("long", "yes " * n)])
+    assert sum(len(ids) for at in own.short.values() for ids in at.values()) == n
+    spans, found = own.matches([b"no", b"yes", b"yes"])
+    assert spans == [1, 3] and len(found) == n
+    spans, found = own.matches([b"yes"] * 12)
+    assert spans == [0, 12] and len(found) == n + 1
+
+
+def test_long_items_are_cut_without_losing_windows(spark):
+    words = [f"w{i}" for i in range(500)]
+    rows = [("long", " ".join(words)), ("long", " ".join(words)), ("short", "w1 w2 other"), ("huge", "v" * 3000)]
+    parts = D.item_parts(spark.createDataFrame(rows, "item_id string, text string"), 10, 200).collect()
+    held = [p["text"].split() for p in parts if p["item_id"] == "long"]
+    assert len(held) > 10 and all(len(h) >= 10 for h in held)
+    assert {tuple(h[i:i + 10]) for h in held for i in range(len(h) - 9)} == {tuple(words[i:i + 10]) for i in range(491)}
+    docs = spark.createDataFrame([(i, " ".join(words[i:i + 10])) for i in range(0, 491, 10)] + [(900, "v" * 3000), (901, " ".join(words[:9]))], "doc_id bigint, text string")
+    for block_bytes in (1 << 20, 1000):
+        got = {r["doc_id"]: r["items"] for r in D.scan(docs, spark.createDataFrame(rows, "item_id string, text string"), block_bytes=block_bytes).select("_doc.doc_id", "items").collect()}
+        assert got.pop(900) == ["huge"] and got.pop(901) == [] and set(map(tuple, got.values())) == {("long",)}

@@ -131,3 +131,71 @@ def test_ranks_settle_beyond_eight_hosts(spark):
         assert all(r[side] > 0 for r in ranks.values())
     with pytest.raises(RuntimeError):
         url_graph.propagate(seeds, links, max_rounds=1)
+
+
+def test_link_hosts_follow_the_url_rule(spark):
+    """Ports and user parts belong to both ends of an edge, mail addresses are no links."""
+    block = "http://bad.com/de/"
+    pages = spark.createDataFrame([
+        (1, "http://src.net/x", '<a HREF = "http://mid.net:8080/">m</a>'), (2, "http://mid.net:8080/", f"<a href='{block}'>"),
+        (3, block, ""), (4, "http://mail.net/", "write to joe@bad.com or see //bad.com/de/"), (5, "http://my_blog.net/", "<img src=//BAD.com/de/?q>"),
+        (6, "http://far.net/", '<a href="mailto:joe@bad.com">'), (7, "http://localhost/", '<a href="x://u@h:1#f"><a href="http://u@h:1">'), (8, "http://u@h:1?q", f'<a href="{block}">'),
+    ], "page_id int, url string, html string")
+    edges = {(r["src"], r["dst"]): r["n"] for r in url_graph.host_edges(pages).collect()}
+    assert edges == {("src.net", "mid.net:8080"): 1, ("mid.net:8080", "bad.com"): 1, ("my_blog.net", "bad.com"): 1, ("localhost", "u@h:1"): 2, ("u@h:1", "bad.com"): 1}
+    got = {r["page_id"]: r["verdict"] for r in url_graph.judge(pages, URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow", 7: "block", 8: "block"}
+
+
+def test_oracle_agrees_on_a_linked_corpus(spark):
+    """The SQL gives the same verdicts after as many rounds on hosts in long chains and loops."""
+    import duckdb
+
+    rnd = np.random.default_rng(3)
+    rows = [(i, f"http://h{i}.net/a", "".join(f'<a href="http://h{t}.net/">' for t in rnd.integers(max(0, i - 4), min(40, i + 4), 2))) for i in range(40)]
+    rows += [(40, "http://g.org/x", '<a href="http://h0.net/">'), (41, "http://b.com/de/", "<a href='http://h39.net/'>"), (42, "http://h38.net/b", '<a href="http://b.com/de/">'), (43, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["host"], r["verdict"]) for r in url_graph.judge(pages, URL_RULES, rounds=20).collect())
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = sorted((r[0], r[1], r[4]) for r in con.execute(url_graph.oracle(URL_RULES, 20)).fetchall())
+    assert got == want and {v for *_, v in got[:40]} == {"allow", "block"}
+
+
+def test_one_id_with_many_rows_does_not_fill_the_sample(spark):
+    rows = [(1, f"good words of {i}") for i in range(3000)] + [(1, "good words of 7")] * 500
+    rows += [(i, f"{'nice' if i % 2 else 'spam'} text {i}") for i in range(10, 90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), *((i, i % 2) for i in range(10, 90))], "doc_id bigint, quality int")
+    known = docs.join(labels.withColumnRenamed("quality", "y"), "doc_id")
+    taken = nbsvm.fit_rows(known, 30).collect()
+    ids = [r["doc_id"] for r in taken]
+    assert len(ids) == len(set(ids)) == 30 and sum(r["y"] for r in taken) == 15
+    model = nbsvm.train(docs, labels, max_rows=30)
+    scores = {r["doc_id"]: r["score"] for r in nbsvm.score(docs, model).collect()}
+    assert np.mean([(scores[i] >= 0.5) == bool(i % 2) for i in range(10, 90)]) > 0.9
+
+
+def test_scores_match_a_plain_computation(spark):
+    """Class counts, ratios and scores of the whole training set, computed by hand from the features of each text."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    buckets = 512
+    model = nbsvm.train(docs, labels, buckets=buckets)
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    import pyarrow as pa
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    own = nbsvm.features(pa.array([t for _, t in rows], pa.string()), buckets)
+    counts = np.ones((2, buckets))
+    for (i, _), at in zip(rows, own):
+        if i in marks and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[marks[i], np.unique(at)] += 1
+    share = counts / counts.sum(axis=1, keepdims=True)
+    assert model.ratios == pytest.approx(np.log(share[1] / share[0]))
+    got = {r["doc_id"]: r["score"] for r in nbsvm.score(docs, model).collect()}
+    for (i, _), at in list(zip(rows, own))[::7]:
+        x = np.zeros(buckets)
+        x[np.unique(at)] = model.ratios[np.unique(at)]
+        x /= np.linalg.norm(x) or 1
+        margin = x @ model.weights[:-1] + model.weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-model.slope * margin - model.shift)), abs=1e-9)
