@@ -6,13 +6,14 @@ import lzma
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.chunks import CHUNK, CHUNK_SAMPLES, running, runs, sample_halo, signal_chunks
-from ..plans.joins import spread_join
+from ..plans.chunks import CHUNK, CHUNK_SAMPLES, runs, sample_halo, signal_chunks
+from ..plans.materialize import materialize
 from .windows import sliding_windows
 
 REC = ["recording_id"]
@@ -85,25 +86,83 @@ def dfa_scales(lo: float, hi: float, density: float = 0.25) -> list[int]:
     return out
 
 
+def _window_moments(y: np.ndarray, at: np.ndarray, scale: int) -> tuple[np.ndarray, ...]:
+    """Window number, size and central moments of ``y`` against the place in the window, for sorted positions ``at``."""
+    w = at // scale
+    first = np.flatnonzero(np.diff(w, prepend=w[0] - 1))
+    n = np.diff(first, append=len(w))
+    x = (at - w * scale).astype(float)
+    mx, my = np.add.reduceat(x, first) / n, np.add.reduceat(y, first) / n
+    dx, dy = x - np.repeat(mx, n), y - np.repeat(my, n)
+    return w[first], n, mx, my, *(np.add.reduceat(v, first) for v in (dx * dx, dx * dy, dy * dy))
+
+
+def _left_over(sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray) -> np.ndarray:
+    slope = np.divide(sxy, sxx, out=np.zeros_like(sxy), where=sxx > 0)
+    return np.maximum(syy - slope * sxy, 0.0)
+
+
+def dfa_sketch(walk: DataFrame, scales: list[int], keys: list[str], chunk: int = CHUNK_SAMPLES) -> DataFrame:
+    """Moments of all scales per chunk, from one pass that sums the steps from the chunk's first sample on.
+
+    Per scale a chunk gives one row for the windows that it holds whole (``w`` is null, ``n`` windows, ``syy`` their summed
+    squares around the fits) and one for each of the at most two windows that it shares. ``total`` is the sum of its steps.
+    """
+    parts = signal_chunks(walk.select(*keys, "sample_idx", "step"), chunk)
+    names = ["total", "scale_idx", "w", "n", "mx", "my", "sxx", "sxy", "syy"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        at, y = pdf["sample_idx"].to_numpy(np.int64), np.cumsum(pdf["step"].to_numpy(float))
+        rows = []
+        for i, scale in enumerate(scales):
+            w, n, mx, my, sxx, sxy, syy = _window_moments(y, at, scale)
+            whole = n == scale
+            if whole.any():
+                sse = float(_left_over(sxx[whole], sxy[whole], syy[whole]).sum())
+                rows.append((i, None, int(whole.sum()), None, None, None, None, sse))
+            rows += [(i, *v) for v in zip(*(c[~whole].tolist() for c in (w, n, mx, my, sxx, sxy, syy)))]
+        out = pd.DataFrame(rows, columns=names[1:]).astype({"w": "Int64"})
+        out.insert(0, "total", float(y[-1]))
+        for c in reversed([*keys, CHUNK]):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, CHUNK])
+    schema += ", total double, scale_idx bigint, w bigint, n bigint, mx double, my double, sxx double, sxy double, syy double"
+    return parts.groupBy(*keys, CHUNK).applyInPandas(run, schema)
+
+
 def dfa(walk: DataFrame, scales: list[int], keys: list[str] = ["recording_id", "subset"], chunk: int = CHUNK_SAMPLES) -> DataFrame:
-    """Detrended fluctuation of the centred walk per scale: ``keys, scale_idx, scale, fluctuation``.
+    """Detrended fluctuation of the walk per scale: ``keys, scale_idx, scale, fluctuation``.
 
-    The profile is a chunked running sum. Every scale sums the moments of its windows with partial
-    aggregation, so long windows never sit in one task.
+    The samples of a key are dense and start at 0; the last, shorter window of a scale is left out, and a scale longer than
+    the walk gives no row. Centring the steps adds a line to the profile, which every fit takes out again, so the mean is not
+    needed. The rows are read and moved once for all scales: each chunk leaves a few rows per scale, and only windows across
+    chunk borders are put together afterwards.
     """
-    mean = walk.groupBy(*keys).agg(F.avg("step").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    centred = spread_join(walk, mean, keys, "sample_idx").withColumn("_x", F.col("step") - F.col("_m"))
-    prof = running(signal_chunks(centred, chunk), keys, ["sample_idx"], {"y": ("sum", F.col("_x"))}).drop(CHUNK)
-    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("scale_idx"), F.lit(s).cast("bigint").alias("scale")) for i, s in enumerate(scales)])
-    at = prof.select(*keys, "sample_idx", "y", "_n", F.explode(rows).alias("s")).select(*keys, "sample_idx", "y", "_n", "s.*")
-    win = F.floor(F.col("sample_idx") / F.col("scale"))
-    x, y = F.col("_o"), F.col("y")
-    at = at.withColumn("_w", win).filter(F.col("_w") < F.floor(F.col("_n") / F.col("scale"))).withColumn(
-        "_o", (F.col("sample_idx") % F.col("scale")).cast("double"))
-    fit = at.groupBy(*keys, "scale_idx", "scale", "_w").agg(
-        F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"))
-    sse = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
-    return fit.groupBy(*keys, "scale_idx", "scale").agg(F.sqrt(F.avg(sse / F.col("scale"))).alias("fluctuation"))
+    sketch = materialize(dfa_sketch(walk, scales, keys, chunk))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    start = sketch.groupBy(*keys, CHUNK).agg(F.first("total").alias("total")).select(
+        *keys, CHUNK, F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("_y0"))
+    cut = sketch.filter("w is not null").join(start, [*keys, CHUNK]).withColumn("my", F.col("my") + F.col("_y0"))
+    own = [*keys, "scale_idx", "w"]
+    level = cut.groupBy(*own).agg(F.min_by("my", CHUNK).alias("_b"))
+    cut = cut.join(level, own).withColumn("my", F.col("my") - F.col("_b"))
+    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    between = lambda a, b: F.sum(n * a * b) - F.sum(n * a) * F.sum(n * b) / F.sum(n)
+    joined = cut.groupBy(*own).agg(
+        F.sum("n").alias("n"), (F.sum("sxx") + between(mx, mx)).alias("sxx"),
+        (F.sum("sxy") + between(mx, my)).alias("sxy"), (F.sum("syy") + between(my, my)).alias("syy"))
+    sizes = F.array(*[F.lit(v).cast("bigint") for v in scales])
+    scale = F.get(sizes, F.col("scale_idx").cast("int"))
+    fit = F.coalesce(F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.lit(0.0))
+    across = joined.filter(n == scale).select(
+        *keys, "scale_idx", F.lit(1).cast("bigint").alias("n"), F.greatest(F.col("syy") - fit, F.lit(0.0)).alias("syy"))
+    every = across.unionByName(sketch.filter("w is null").select(*keys, "scale_idx", "n", "syy"))
+    return every.groupBy(*keys, "scale_idx").agg((F.sum("syy") / F.sum("n")).alias("_s")).select(
+        *keys, "scale_idx", scale.alias("scale"), F.sqrt(F.col("_s") / scale).alias("fluctuation"))
 
 
 def dfa_slope(fluctuations: DataFrame, keys: list[str] = ["recording_id", "subset"]) -> DataFrame:

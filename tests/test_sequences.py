@@ -227,3 +227,22 @@ def test_all_k_and_restarts_advance_in_common_passes(spark):
     labels, maps, cv = ms.analyze(df, 4, restarts=2, seed=4, k_min=2)
     assert cv == min(v for _, v in ms.select_k(df, 4, 2, 4, 2).values())
     assert labels.select("label").distinct().count() <= len(maps)
+
+
+def test_dfa_chunks_leave_few_rows(spark):
+    """Rows that leave a chunk do not grow with its samples, and windows longer than several chunks stay exact."""
+    x = np.random.default_rng(5).integers(0, 3, 3000)
+    walk = sq.random_walk(collect_labels(spark, {"a": x, "b": x[:50]}), 3, 1)
+    scales = [2, 5, 64, 700, 2999, 3001]
+    keys = ["recording_id", "subset"]
+    rows = sq.dfa_sketch(walk, scales, keys, chunk=500)
+    assert rows.groupBy(*keys, "_chunk", "scale_idx").count().filter("count > 3").count() == 0
+    one, many = (
+        {(r["recording_id"], r["subset"], r["scale"]): r["fluctuation"] for r in sq.dfa(walk, scales, chunk=c).collect()} for c in (65536, 101))
+    assert one.keys() == many.keys() and len(one) == 3 * (5 + 2)
+    for k, v in one.items():
+        assert abs(many[k] - v) < 1e-8 * max(1, v)
+    step = np.where(x == 0, 1.0, -1.0)
+    y = np.cumsum(step - step.mean())[:2999]
+    line = np.polyval(np.polyfit(np.arange(2999), y, 1), np.arange(2999))
+    assert abs(one["a", "0", 2999] - np.sqrt(np.mean((y - line) ** 2))) < 1e-6
