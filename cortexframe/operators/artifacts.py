@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.spline import spline_weights
 from ..plans.blocks import BLOCK_SAMPLES, to_blocks, to_samples, with_halo
 from ..plans.chunks import CHUNK, CHUNK_SAMPLES, SERIES, sample_halo
-from ..plans.joins import lookup_join, spread_join
+from ..plans.joins import lookup_join, place_join, spread_join
 from ..plans.materialize import materialize
 from ..plans.quantiles import exact_quantiles
+from ..plans.vectors import sum_vectors
 from .aggregates import NORMAL_MAD
 from .channels import drop_channels, nearest_channels
 from .events import keep_spaced
 from .filters import butter_blocks
 from .ica import correlation_means
-from .signals import gather_neighbors, window_around_events
+from .signals import NEIGHBOR_SAMPLES, neighbor_blocks, window_around_events
 from .spectra import welch_psd
 from .windows import fixed_epochs, longest_flat_run
 
@@ -65,76 +66,127 @@ def hf_noise_channels(signals: DataFrame, fs: float, threshold: float = 4.0, **k
     return hf_noise(signals, fs, **kw).filter(F.col("z") > threshold).select(*SERIES)
 
 
-def _min_norm_fit(points: list) -> list[float]:
+def _min_norm_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Linear model through a few points: coefficients, then the intercept (minimum norm when underdetermined)."""
-    x = np.array([p["neighbor_values"] for p in points], dtype=float)
-    y = np.array([p["value"] for p in points], dtype=float)
     mx, my = x.mean(axis=0), y.mean()
     coef = np.linalg.lstsq(x - mx, y - my, rcond=None)[0]
-    return [*coef.tolist(), float(my - mx @ coef)]
+    return np.append(coef, my - mx @ coef)
+
+
+# Fixed value: a prime that spreads the numbers of the candidate points over a series.
+POINT_STRIDE = 2654435761
+
+
+def candidate_points(sizes: DataFrame, candidates: int, seed: int) -> DataFrame:
+    """``keys, cand, sample_idx`` for ``sizes(keys, n, points)``: the points of every candidate model.
+
+    Point ``p`` of candidate ``c`` is ``(points * c + p + 1 + seed) * POINT_STRIDE`` modulo ``n``.
+    """
+    every = sizes.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.col("points") - 1)))
+    place = (F.col("points") * F.col("cand") + F.col("_p") + 1 + seed).cast("bigint") * F.lit(POINT_STRIDE)
+    return every.withColumn("sample_idx", F.pmod(place, F.col("n"))).drop("_p", "n", "points")
 
 
 def neighbor_correlation(signals: DataFrame, channels: DataFrame, k: int = 3, candidates: int = 20, seed: int = 42) -> DataFrame:
     """|corr| of every positioned channel with its prediction from the ``k`` nearest channels.
 
-    Random-sample consensus without collecting samples: candidate points are chosen by seeded positions and
-    fetched by an equi-join, one aggregation counts the inliers of all candidates (residual up to the median
-    absolute deviation), the winner's inliers give normal equations by sums, and one more aggregation gives
-    the correlation.
+    Random-sample consensus on packed stretches. Candidate points have seeded positions, and the stretches that hold them
+    hand them over. Then one pass sums, for every candidate, the products of its inliers (residual up to the median absolute
+    deviation): the count, the least-squares fit to the winner's inliers and, from the sums over all samples, its
+    correlation follow from one vector per series.
     """
     near = nearest_channels(channels, k)
-    data = materialize(gather_neighbors(signals, near).filter(F.forall("neighbor_values", lambda v: v.isNotNull())))
-    size = data.groupBy(*SERIES).agg((F.max("sample_idx") + 1).alias("_n"), F.first(F.size("neighbor_values")).alias("_k"))
-    pick = size.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn(
-        "pt", F.explode(F.sequence(F.lit(0), F.least(F.col("_k"), F.lit(3)) - 1)))
-    pick = pick.withColumn("sample_idx", F.pmod(F.xxhash64("recording_id", "channel", "cand", "pt", F.lit(seed)), F.col("_n")))
-    pts = pick.select(*SERIES, "cand", "sample_idx").join(data, [*SERIES, "sample_idx"])
-    packed = pts.groupBy(*SERIES, "cand").agg(
-        F.array_sort(F.collect_list(F.struct("sample_idx", "value", "neighbor_values"))).alias("p"))
-
-    @F.pandas_udf("array<double>")
-    def solve(p: pd.Series) -> pd.Series:
-        return pd.Series([_min_norm_fit(x) for x in p], dtype=object)
 
-    models = materialize(packed.select(*SERIES, "cand", solve("p").alias("m")).groupBy(*SERIES).agg(
-        F.array_sort(F.collect_list(F.struct("cand", "m")))["m"].alias("models")))
-    y = data.select(*SERIES, "sample_idx", "value")
+    @F.pandas_udf("at array<bigint>, y array<double>, x array<double>")
+    def complete(parts: pd.Series) -> pd.DataFrame:
+        """Samples that a channel and all its neighbours have, neighbours in the rows of a flat matrix of ``k`` columns."""
+        out = []
+        for p in parts:
+            at = np.asarray(p[0]["at"])
+            for q in p[1:]:
+                there = np.asarray(q["at"])
+                if len(there) != len(at) or (there != at).any():
+                    at = np.intersect1d(at, there, assume_unique=True)
+            own = [np.asarray(q["v"], float)[np.searchsorted(np.asarray(q["at"]), at)] for q in p]
+            x = np.zeros((len(at), k))
+            for i, v in enumerate(own[1:]):
+                x[:, i] = v
+            ok = np.isfinite(x).all(axis=1) & np.isfinite(own[0])
+            out.append((at[ok], own[0][ok], x[ok].ravel()))
+        return pd.DataFrame(out, columns=["at", "y", "x"])
+
+    blocks = neighbor_blocks(signals, near).filter(F.size("parts") == F.col("k") + 1)
+    data = materialize(blocks.select(*SERIES, "block_idx", "k", complete("parts").alias("_d")).select(*SERIES, "block_idx", "k", "_d.*"))
+    data = data.filter(F.size("y") > 0)
+    y = data.select(*SERIES, "block_idx", F.explode("y").alias("value"))
     med = exact_quantiles(y, SERIES, "value", {"_med": 0.5})
-    dev = spread_join(y, med, SERIES, "sample_idx").withColumn("_d", F.abs(F.col("value") - F.col("_med")))
-    limit = materialize(exact_quantiles(dev, SERIES, "_d", {"_limit": 0.5}))
-
-    def predict(model):
-        terms = F.zip_with(F.col("neighbor_values"), F.slice(model, 1, F.size("neighbor_values")), lambda v, c: v * c)
-        return F.aggregate(terms, F.element_at(model, -1), lambda a, t: a + t)
-
-    fitted = spread_join(data, models.join(limit, SERIES), SERIES, "sample_idx")
-    hits = [F.sum(F.when(F.abs(F.col("value") - predict(F.get("models", F.lit(c)))) <= F.col("_limit"), 1).otherwise(0)).alias(f"h{c}")
-            for c in range(candidates)]
-    count = fitted.groupBy(*SERIES).agg(*hits)
-    arr = F.array(*[F.col(f"h{c}") for c in range(candidates)])
-    best = count.select(*SERIES, (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("_b"))
-    model = models.join(best, SERIES).join(limit, SERIES).select(*SERIES, "_limit", F.get("models", F.col("_b")).alias("_m"))
-    inl = spread_join(data, model, SERIES, "sample_idx").filter(F.abs(F.col("value") - predict(F.col("_m"))) <= F.col("_limit"))
-    v = [F.lit(1.0), *[F.coalesce(F.get("neighbor_values", F.lit(i)), F.lit(0.0)) for i in range(k)], F.col("value")]
-    sums = [F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(k + 2) for j in range(i, k + 2)]
-    normal = inl.groupBy(*SERIES).agg(F.first(F.size("neighbor_values")).alias("_k"), *sums)
+    dev = spread_join(y, med, SERIES, "block_idx").withColumn("_d", F.abs(F.col("value") - F.col("_med")))
+    limit = exact_quantiles(dev, SERIES, "_d", {"_limit": 0.5})
+
+    sizes = data.groupBy(*SERIES).agg(
+        (F.max(F.element_at("at", -1)) + 1).alias("n"), F.least(F.max("k"), F.lit(3)).alias("points"))
+    wanted = candidate_points(sizes, candidates, seed).groupBy(
+        *SERIES, F.floor(F.col("sample_idx") / NEIGHBOR_SAMPLES).cast("bigint").alias("block_idx")
+    ).agg(F.collect_list(F.struct("cand", "sample_idx")).alias("_w"))
+
+    @F.pandas_udf("array<struct<cand:int,sample_idx:bigint,y:double,x:array<double>>>")
+    def fetch(at: pd.Series, y: pd.Series, x: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for a, v, m, points in zip(at, y, x, w):
+            a, m, rows = np.asarray(a), np.reshape(m, (-1, k)), []
+            for p in points:
+                i = int(np.searchsorted(a, p["sample_idx"]))
+                if i < len(a) and a[i] == p["sample_idx"]:
+                    rows.append({"cand": p["cand"], "sample_idx": p["sample_idx"], "y": float(v[i]), "x": m[i].tolist()})
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("models array<double>, shift array<double>")
+    def solve(points: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in points:  # the at most 3 points of every candidate
+            cand, ys, xs = np.array([q["cand"] for q in p]), np.array([q["y"] for q in p]), np.array([q["x"] for q in p])
+            fit = np.full((candidates, k + 1), np.nan)
+            for c in set(cand.tolist()):
+                fit[c] = _min_norm_fit(xs[cand == c], ys[cand == c])
+            out.append((fit.ravel(), np.append(xs.mean(axis=0), ys.mean())))
+        return pd.DataFrame(out, columns=["models", "shift"])
+
+    found = place_join(data, wanted, [*SERIES, "block_idx"], "inner").select(*SERIES, F.explode(fetch("at", "y", "x", "_w")).alias("p"))
+    packed = found.groupBy(*SERIES).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    models = packed.select(*SERIES, solve("p").alias("_m")).select(*SERIES, "_m.*").join(limit, SERIES)
+    up = np.triu_indices(k + 2)
 
     @F.pandas_udf("array<double>")
-    def regress(kk: pd.Series, s: pd.Series) -> pd.Series:
+    def products(frame: pd.DataFrame) -> pd.Series:
+        """Sums of the products of ``[1, x, y]`` over the inliers of every candidate, then over all samples."""
         out = []
-        for n, row in zip(kk, s):
-            full = np.zeros((k + 2, k + 2))
-            full[np.triu_indices(k + 2)] = row
-            full = full + np.triu(full, 1).T
-            sol = np.linalg.lstsq(full[: n + 1, : n + 1], full[: n + 1, k + 1], rcond=None)[0]
-            out.append([*sol[1:], sol[0]])
+        for y, x, fit, shift, most in zip(*(frame[c] for c in ("y", "x", "models", "shift", "_limit"))):
+            y, x, fit = np.asarray(y), np.reshape(x, (-1, k)), np.reshape(fit, (candidates, k + 1))
+            inlier = np.abs(y[:, None] - (x @ fit[:, :k].T + fit[:, k])) <= most
+            z = np.column_stack((np.ones(len(y)), x - shift[:k], y - shift[k]))
+            z = z[:, up[0]] * z[:, up[1]]
+            out.append(np.concatenate(((inlier.T.astype(float) @ z).ravel(), z.sum(axis=0))))
         return pd.Series(out, dtype=object)
 
-    names = [f"s{i}_{j}" for i in range(k + 2) for j in range(i, k + 2)]
-    final = normal.select(*SERIES, regress("_k", F.array(*[F.col(n) for n in names])).alias("_f"))
-    pred = spread_join(data, final, SERIES, "sample_idx").withColumn("_p", predict(F.col("_f")))
-    corr = pred.groupBy(*SERIES).agg(F.abs(F.corr("_p", "value")).alias("corr"))
-    return corr.withColumn("corr", F.when(F.isnan("corr"), 0.0).otherwise(F.coalesce("corr", F.lit(0.0))))
+    @F.pandas_udf("double")
+    def judge(sums: pd.Series) -> pd.Series:
+        out = []
+        for s in sums:
+            full = np.zeros((candidates + 1, k + 2, k + 2))
+            full[:, up[0], up[1]] = full[:, up[1], up[0]] = np.reshape(s, (candidates + 1, -1))
+            best = full[int(np.argmax(full[:candidates, 0, 0]))]
+            coef = np.linalg.lstsq(best[:k + 1, :k + 1], best[:k + 1, k + 1], rcond=None)[0][1:]
+            n, mean = full[-1, 0, 0], full[-1, 0, 1:] / full[-1, 0, 0]
+            cov = full[-1, 1:, 1:] / n - np.outer(mean, mean)
+            spread = (coef @ cov[:k, :k] @ coef) * cov[k, k]
+            out.append(abs(coef @ cov[:k, k]) / np.sqrt(spread) if spread > 0 else 0.0)
+        return pd.Series(out)
+
+    met = spread_join(data, models, SERIES, "block_idx")
+    sums = sum_vectors(met.select(*SERIES, products(F.struct("y", "x", "models", "shift", "_limit")).alias("s")), SERIES, "s")
+    return sums.select(*SERIES, judge("s").alias("corr"))
 
 
 def low_corr_channels(signals: DataFrame, channels: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:
@@ -270,7 +322,7 @@ def epoch_policy_stim(epochs: DataFrame) -> DataFrame:
     return epochs.withColumn("action", F.when(fix, "repaired").otherwise("none"))
 
 
-def epoch_policy_v2(epochs: DataFrame, global_bads: DataFrame, n_channels: int, max_frac: float = 0.2) -> DataFrame:
+def epoch_policy_v2(epochs: DataFrame, global_bads: DataFrame, n_channels: int | Column, max_frac: float = 0.2) -> DataFrame:
     """Bad epochs with too many own bad channels are candidates; they are interpolated when the joint list
     exceeds 30 % of the channels."""
     t = _policy_table(epochs, global_bads)
@@ -372,18 +424,19 @@ def subtract_template(signals: DataFrame, peaks: DataFrame, pre: int, post: int,
     return out.withColumn("value", F.col("value") - F.coalesce("_t", F.lit(0.0))).select(*signals.columns)
 
 
-def detect_bad_channels(signals: DataFrame, channels: DataFrame, fs: float, corr_threshold: float = 0.8) -> DataFrame:
-    """Flat, noisy or uncorrelated EEG channels."""
+def detect_bad_channels(signals: DataFrame, channels: DataFrame, fs: float, corr_threshold: float = 0.8,
+                        noise_z: float = 4.0, **bands) -> DataFrame:
+    """Flat, noisy or uncorrelated EEG channels; ``bands`` are the cut-offs of ``hf_noise``."""
     eeg = channels.filter("ch_type = 'eeg'")
     s = lookup_join(signals, eeg.select(*SERIES), SERIES)
-    return bad_channels(flat_channels(s, fs), hf_noise_channels(s, fs), low_corr_channels(s, eeg, corr_threshold))
+    return bad_channels(flat_channels(s, fs), hf_noise_channels(s, fs, noise_z, **bands), low_corr_channels(s, eeg, corr_threshold))
 
 
 def epoch_review(signals: DataFrame, fs: float, length: float = 1.0, epoch_threshold: float = 5.0,
-                 channel_threshold: float = 3.0, stim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 channel_threshold: float = 3.0, stim: DataFrame | None = None, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """Epoch table ``(is_bad, bad_channels[, is_stim])`` and the bad channels of whole recordings.
 
-    Those are bad in too many epochs or, without stimulation, stand out over the channels of the recording.
+    Those are bad in too many epochs or, without stimulation and if ``whole``, stand out over the channels of the recording.
     """
     ep = fixed_epochs(signals, length, fs)
     rate, judged = 0.3, ep
@@ -402,9 +455,9 @@ def epoch_review(signals: DataFrame, fs: float, length: float = 1.0, epoch_thres
     n = bad_ep.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_n"))
     often = bad_ch.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_b")).join(n, "recording_id").filter(
         F.col("_b") / F.col("_n") > rate).select(*SERIES)
-    if stim is None:
+    if stim is None and whole:
         often = bad_channels(often, faster_channels(signals, fs, int(length * fs), channel_threshold).filter("is_bad"))
-    else:
+    if stim is not None:
         rest = flags.join(table, EPOCH, "left")
         table = rest.withColumn("is_bad", F.coalesce("is_bad", F.lit(False))).withColumn(
             "bad_channels", F.coalesce("bad_channels", F.array().cast("array<string>")))

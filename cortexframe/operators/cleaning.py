@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,27 @@ from ..plans.materialize import materialize
 from . import artifacts as art
 from .channels import drop_channels
 from .events import annotate_bad_epochs, mask_samples
-from .ica import IcaModel, ica_apply, ica_fit, select_components
+from .ica import IcaModel, ica_apply, select_components
+from .keyed_ica import ica_apply_keyed, ica_fit_keyed
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds of a cleaning flow and what it does with epochs.
+
+    ``joint``: a bad epoch with too many bad channels of its own is repaired when these and the recording's together exceed
+    30 % of its channels; nothing is marked, and only the share of bad epochs makes a channel bad for the whole recording.
+    """
+
+    epoch_z: float = 5.0
+    channel_z: float = 3.0
+    min_corr: float = 0.8
+    joint: bool = False
+
+
+STANDARD = Rules()
+STIMULATION = Rules(epoch_z=3.0)
+JOINT = Rules(epoch_z=2.0, channel_z=2.0, min_corr=0.5, joint=True)
 
 
 def frames_to_signals(frames: DataFrame, channels: list[str]) -> DataFrame:
@@ -44,53 +66,75 @@ def _filled(signals: DataFrame, names: list[str], positions: dict, aside: DataFr
     return art.interpolate(frames, names, positions).select("recording_id", "sample_idx", "values")
 
 
+def _without(frames: DataFrame, model: IcaModel | DataFrame, picked: DataFrame) -> DataFrame:
+    """Frames without the components in ``picked``, which names them per recording or for all."""
+    lists = F.array_sort(F.collect_set(F.col("component").cast("int"))).alias("exclude")
+    if "recording_id" in picked.columns:
+        marked = lookup_join(frames, picked.groupBy("recording_id").agg(lists), ["recording_id"], "left")
+    else:  # at most one row per channel
+        drop = [int(r["component"]) for r in picked.select("component").distinct().collect()]
+        marked = frames.withColumn("exclude", F.array(*[F.lit(c) for c in drop]).cast("array<int>"))
+    out = ica_apply(marked, model, "exclude") if isinstance(model, IcaModel) else ica_apply_keyed(marked, model, ["recording_id"])
+    return out.select(*frames.columns)
+
+
 def clean(
     signals: DataFrame, channels: DataFrame, names: list[str], positions: dict[str, tuple[float, float, float]], fs: float,
     use_faster: bool = True, remove_bad: bool = False, stim: DataFrame | None = None,
-    ica_model: IcaModel | None = None, ica_labels: DataFrame | None = None, use_ica: bool = False,
-    epoch_seconds: float = 1.0, max_bad_frac: float = 0.5, bads: DataFrame | None = None,
+    ica_model: IcaModel | DataFrame | None = None, ica_labels: DataFrame | None = None, use_ica: bool = False,
+    epoch_seconds: float = 1.0, max_bad_frac: float | None = None, bads: DataFrame | None = None, rules: Rules | None = None,
 ) -> dict[str, DataFrame]:
     """Clean the EEG channels ``names`` of every recording; rows of other channels come back unchanged.
 
     ``stim`` holds stimulation intervals: they are excluded from detection and component fitting and stay
     unchanged. With ``remove_bad``, the bad channels of a recording (detected, or given as ``bads``) are set aside
     while its other channels are cleaned, and interpolated at the end. Components are fitted and applied to frames in
-    which the set-aside channels are predictions from the others, so they carry nothing of their own. Component labels
-    are an input; without a model one is fitted. Returns the cleaned signals, all repaired channels, the epoch
-    decisions and the bad-epoch annotations.
+    which the set-aside channels are predictions from the others, so they carry nothing of their own. Every recording has a
+    component model of its own, given as the table of ``ica_fit_keyed`` or fitted here; one model for all of them may be
+    given instead. Component labels are an input; labels without a ``recording_id`` count for all recordings, and without
+    labels nothing is taken out and no model is fitted. Returns the
+    cleaned signals, all repaired channels, the epoch decisions and, unless the rules are joint, the bad-epoch annotations.
+
+    ``rules`` are ``STANDARD``, or ``STIMULATION`` when ``stim`` is given, unless stated. ``max_bad_frac`` is 0.5, for joint
+    rules 0.2. Joint rules treat all epochs alike; stimulation intervals then only count for detection and components.
     """
+    rules = rules or (STANDARD if stim is None else STIMULATION)
+    max_bad_frac = max_bad_frac if max_bad_frac is not None else 0.2 if rules.joint else 0.5
     eeg = signals.filter(F.col("channel").isin(names))
     others = signals.filter(~F.col("channel").isin(names))
     calm = eeg if stim is None else mask_samples(eeg, stim, fs)
     none = channels.select(*SERIES).limit(0)
     aside = none
     if remove_bad:
-        found = art.detect_bad_channels(calm, channels, fs) if bads is None else bads
+        found = art.detect_bad_channels(calm, channels, fs, rules.min_corr) if bads is None else bads
         aside = materialize(found.select(*SERIES).filter(F.col("channel").isin(names)).distinct())
     good, kept_aside = art.remove_bad(eeg, aside) if remove_bad else (eeg, None)
-    if use_ica:
+    if use_ica and ica_labels is not None:
         frames = _filled(good, names, positions, aside)
         if ica_model is None:
             fit_on = _filled(mask_samples(good, stim, fs), names, positions, aside) if stim is not None else frames
-            ica_model = ica_fit(fit_on, len(names))
-        drop = [r["component"] for r in select_components(ica_labels, "artifact" if stim is None else "non_brain").select(
-            "component").distinct().collect()] if ica_labels is not None else []  # at most one per channel
-        cleaned = drop_channels(frames_to_signals(ica_apply(frames, ica_model, drop), names), aside)
+            ica_model = ica_fit_keyed(fit_on, len(names), ["recording_id"])
+        picked = select_components(ica_labels, "artifact" if stim is None else "non_brain")
+        cleaned = drop_channels(frames_to_signals(_without(frames, ica_model, picked), names), aside)
         if stim is not None:
             cleaned = mask_samples(cleaned, stim, fs).unionByName(mask_samples(good, stim, fs, "inside").select(*cleaned.columns))
         good = materialize(cleaned)
     epochs, often = None, none
     if use_faster:
         n = int(epoch_seconds * fs)
-        table, often = art.epoch_review(good, fs, epoch_seconds, 5.0 if stim is None else 3.0, 3.0, stim)
+        judged_by = None if rules.joint else stim
+        table, often = art.epoch_review(good, fs, epoch_seconds, rules.epoch_z, rules.channel_z, judged_by, whole=not rules.joint)
         table, often = materialize(table), materialize(often)
-        if stim is None:
-            left = aside.groupBy("recording_id").agg((F.lit(len(names)) - F.count(F.lit(1))).alias("_left"))
-            sized = lookup_join(table, left, ["recording_id"], "left")
-            epochs = art.epoch_policy(sized, often, F.coalesce("_left", F.lit(len(names))), max_bad_frac).drop("_left")
+        left = aside.groupBy("recording_id").agg((F.lit(len(names)) - F.count(F.lit(1))).alias("_left"))
+        n_left = F.coalesce("_left", F.lit(len(names)))
+        if rules.joint:
+            epochs = art.epoch_policy_v2(lookup_join(table, left, ["recording_id"], "left"), often, n_left, max_bad_frac).drop("_left")
+        elif stim is None:
+            epochs = art.epoch_policy(lookup_join(table, left, ["recording_id"], "left"), often, n_left, max_bad_frac).drop("_left")
         else:
             epochs = art.epoch_policy_stim(table)
-        lists = epochs.filter("action = 'repaired'").select("recording_id", "epoch_idx", F.col("bad_channels").alias("bads"))
+        done, bad = ("interpolated", "all_bads") if rules.joint else ("repaired", "bad_channels")
+        lists = epochs.filter(F.col("action") == done).select("recording_id", "epoch_idx", F.col(bad).alias("bads"))
         good = _repair(good, names, positions, lists, ["recording_id", "epoch_idx"], n, aside)
     merged = good if kept_aside is None else good.unionByName(kept_aside.select(*good.columns))
     repaired = art.bad_channels(aside, often)
@@ -99,7 +143,7 @@ def clean(
     result = {"signals": out.unionByName(others.select(*out.columns)), "repaired": repaired}
     if epochs is not None:
         result["epochs"] = epochs
-        if stim is None:
+        if stim is None and not rules.joint:
             totals = eeg.groupBy("recording_id").agg(((F.max("sample_idx") + 1) / F.lit(float(fs))).alias("total"))
             result["annotations"] = annotate_bad_epochs(epochs.filter("action = 'marked_bad'"), totals, epoch_seconds)
     return result

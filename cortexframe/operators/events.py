@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chunks import CHUNK, range_chunks, running, sequence_index
 from ..plans.intervals import covered, explode_buckets, merge_intervals
 from ..plans.joins import lookup_join, spread_join
+from ..plans.materialize import drop_table, materialize
 
 
 def is_marker(description: Column) -> Column:
@@ -278,45 +279,88 @@ def _exits(o: np.ndarray, gap: float) -> tuple[list[float], list[float]]:
     return o[:n].tolist(), o[last[:n]].tolist()
 
 
-def keep_spaced(df: DataFrame, keys: list[str], order: str, gap: float) -> DataFrame:
+def _entered(entry: np.ndarray, state: float, gap: float) -> int:
+    """Place of the first entry more than ``gap`` above ``state``; the length if there is none."""
+    i = int(np.searchsorted(entry, state + gap, side="right"))
+    while i > 0 and entry[i - 1] - state > gap:
+        i -= 1
+    while i < len(entry) and not entry[i] - state > gap:
+        i += 1
+    return i
+
+
+def _after(entry: np.ndarray, exits: np.ndarray, state: float | None, gap: float) -> float:
+    """The last kept value after a stretch that begins with ``state`` as the last kept one."""
+    i = 0 if state is None or np.isnan(state) else _entered(entry, state, gap)
+    return float(exits[i]) if i < len(entry) else state
+
+
+def _joined(one: dict, two: dict, gap: float) -> tuple[list[float], list[float]]:
+    """The summary of two neighbouring stretches.
+
+    Only entries up to the first one more than ``gap`` above the first value can be reached; of neighbours with
+    the same exit the last one decides, except that the first value stays.
+    """
+    e1, e2, x2 = (np.asarray(v, float) for v in (one["entry"], two["entry"], two["exit"]))
+    entry = np.concatenate((e1, e2))
+    leave = np.concatenate(([_after(e2, x2, x, gap) for x in one["exit"]], x2))
+    far = np.flatnonzero(entry - entry[0] > gap)
+    n = int(far[0]) + 1 if len(far) else len(entry)
+    keep = np.append(leave[1:n] != leave[:n - 1], True)
+    keep[0] = True
+    return entry[:n][keep].tolist(), leave[:n][keep].tolist()
+
+
+def keep_spaced(df: DataFrame, keys: list[str], order: str, gap: float, parts: int | None = None) -> DataFrame:
     """Keep the first row of a key and every later one more than ``gap`` after the last kept one.
 
     The rule is sequential, but a balanced chunk can be summarised without its past: for each possible entry
-    the last value it keeps. One short pass over the summaries of a key fixes the entry of every chunk, then
-    all chunks are walked in parallel.
+    the last value it keeps. Summaries of neighbouring chunks are composed pairwise, round by round, up to the whole key, and
+    on the way back each pair tells its halves in which state they begin; then all chunks are walked in parallel. Every
+    round is a written table and puts two summaries together, whatever the number of chunks of a key.
     """
     kind = df.schema[order].dataType.simpleString()
-    chunked = range_chunks(df.select(*keys, order).distinct(), keys, [order])
+    chunked = range_chunks(df.select(*keys, order).distinct(), keys, [order], parts)
     packed = chunked.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(order)).alias("_o"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(CHUNK)) - 1  # one number per chunk
+    packed = materialize(packed)
+    packed = packed.join(packed.select(*keys, CHUNK, nth.cast("bigint").alias("_i")), [*keys, CHUNK]).drop(CHUNK)
 
     @F.pandas_udf("entry array<double>, exit array<double>")
     def summarise(chunks: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_exits(np.asarray(o, dtype=float), gap) for o in chunks], columns=["entry", "exit"])
 
-    @F.pandas_udf("array<double>")
-    def chain(summaries: pd.Series) -> pd.Series:
-        out = []
-        for parts in summaries:
-            state, before = None, []
-            for p in parts:
-                before.append(state)
-                entry = np.asarray(p["s"]["entry"])
-                hit = np.flatnonzero(entry - state > gap) if state is not None else np.array([0])
-                state = p["s"]["exit"][hit[0]] if len(hit) else state
-            out.append(before)
-        return pd.Series(out, dtype=object)
+    @F.pandas_udf("entry array<double>, exit array<double>")
+    def compose(pairs: pd.Series) -> pd.DataFrame:
+        out = [(p[0]["entry"], p[0]["exit"]) if len(p) == 1 else _joined(*p, gap) for p in pairs]
+        return pd.DataFrame(out, columns=["entry", "exit"])
+
+    @F.pandas_udf("double")
+    def leave(entry: pd.Series, exits: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([_after(np.asarray(e), np.asarray(x), b, gap) for e, x, b in zip(entry, exits, before)], dtype=float)
 
     @F.pandas_udf(f"array<{kind}>")
     def walk(chunks: pd.Series, before: pd.Series) -> pd.Series:
         out = []
         for o, b in zip(chunks, before):
             o = np.asarray(o)
-            start = 0 if b is None or np.isnan(b) else int(np.argmax(o - b > gap)) if (o - b > gap).any() else len(o)
+            start = 0 if b is None or np.isnan(b) else _entered(o.astype(float), b, gap)
             out.append([o[i] for i in _walk(o, start, gap)])
         return pd.Series(out, dtype=object)
 
-    parts = packed.select(*keys, CHUNK, summarise("_o").alias("s"))
-    lists = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(CHUNK, "s"))).alias("_p"))
-    states = lists.select(*keys, F.explode(F.arrays_zip(F.col(f"_p.{CHUNK}").alias("c"), chain("_p").alias("b"))).alias("z"))
-    states = states.select(*keys, F.col("z.c").alias(CHUNK), F.col("z.b").alias("_before"))
-    return packed.join(states, [*keys, CHUNK]).select(*keys, F.explode(walk("_o", "_before")).alias(order))
+    levels = [materialize(packed.select(*keys, "_i", summarise("_o").alias("_s")))]
+    half = F.floor(F.col("_i") / 2).cast("bigint")
+    longest = packed.agg(F.max("_i")).first()[0] or 0
+    while longest > 0:
+        two = levels[-1].groupBy(*keys, half.alias("_i")).agg(F.array_sort(F.collect_list(F.struct("_i", "_s.entry", "_s.exit"))).alias("_p"))
+        levels.append(materialize(two.select(*keys, "_i", compose("_p").alias("_s"))))
+        longest //= 2
+    states = levels.pop().select(*keys, "_i", F.lit(None).cast("double").alias("_before"))
+    for level in reversed(levels):
+        left = level.filter("_i % 2 = 0").select(*keys, half.alias("_i"), "_s")
+        met = left.join(states, [*keys, "_i"]).withColumn("_then", leave("_s.entry", "_s.exit", "_before"))
+        sides = F.array(F.struct((F.col("_i") * 2).alias("_i"), "_before"), F.struct((F.col("_i") * 2 + 1).alias("_i"), F.col("_then").alias("_before")))
+        told = met.select(*keys, F.explode(sides).alias("_c")).select(*keys, "_c.*")
+        states = materialize(level.select(*keys, "_i").join(told, [*keys, "_i"]))
+        drop_table(level)
+    return packed.join(states, [*keys, "_i"]).select(*keys, F.explode(walk("_o", "_before")).alias(order))

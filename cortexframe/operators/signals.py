@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,22 +89,58 @@ def thin(signals: DataFrame, points: int = 50_000, above: int = 100_000, keys: l
     return spread_join(signals, sizes, keys, "sample_idx").filter(F.col("sample_idx") % step == 0).select(*signals.columns)
 
 
-def gather_neighbors(signals: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """Values of the neighbour channels at every sample, ordered by ``neighbor_rank``.
+NEIGHBOR_SAMPLES = 4096
 
-    One shuffle brings the channels of a sample together; the neighbour lists are joined per recording.
+
+def neighbor_blocks(signals: DataFrame, neighbors: DataFrame, size: int = NEIGHBOR_SAMPLES) -> DataFrame:
+    """``recording_id, channel, block_idx, k, parts``: a stretch of a channel and of its ``k`` neighbours.
+
+    ``parts`` holds ``(rank, at, v)``, rank 0 being the channel itself; a part that has no sample in the stretch is
+    missing. Packed stretches travel once to each channel that they are a neighbour of, so work and shuffle are linear in
+    the channels. Channels without neighbours take no part.
     """
-    per = neighbors.groupBy("recording_id", "channel").agg(
-        F.array_sort(F.collect_list(F.struct("neighbor_rank", "neighbor")))["neighbor"].alias("_nb")
-    ).groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "_nb"))).alias("_near"))
-    at = signals.groupBy("recording_id", "sample_idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("channel", "value"))).alias("_v")
-    )
-    joined = lookup_join(at, per, ["recording_id"])
-    out = joined.select("recording_id", "sample_idx", "_v", F.explode("_near").alias("channel", "_nb"))
-    return out.select(
-        "recording_id", "channel", "sample_idx", F.try_element_at("_v", F.col("channel")).alias("value"),
-        F.transform("_nb", lambda c: F.try_element_at(F.col("_v"), c)).alias("neighbor_values"),
+    packed = signals.withColumn("block_idx", F.floor(F.col("sample_idx") / size).cast("bigint")).groupBy(
+        "recording_id", "channel", "block_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("_s"))
+    own = neighbors.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    edges = neighbors.select("recording_id", F.col("neighbor").alias("from"), "channel", F.col("neighbor_rank").cast("int").alias("rank"))
+    edges = edges.unionByName(own.select("recording_id", F.col("channel").alias("from"), "channel", F.lit(0).alias("rank")))
+    targets = edges.join(own, ["recording_id", "channel"]).groupBy("recording_id", F.col("from").alias("channel")).agg(
+        F.collect_list(F.struct("channel", "k", "rank")).alias("_to"))
+    sent = lookup_join(packed, targets, ["recording_id", "channel"]).select(
+        "recording_id", "block_idx", "_s", F.explode("_to").alias("_t"))
+    part = F.struct(F.col("_t.rank").alias("rank"), F.col("_s.sample_idx").alias("at"), F.col("_s.value").alias("v"))
+    got = sent.groupBy("recording_id", F.col("_t.channel").alias("channel"), "block_idx").agg(
+        F.max("_t.k").alias("k"), F.array_sort(F.collect_list(part)).alias("parts"))
+    return got.filter(F.col("parts")[0]["rank"] == 0)
+
+
+def gather_neighbors(signals: DataFrame, neighbors: DataFrame, size: int = NEIGHBOR_SAMPLES) -> DataFrame:
+    """Values of the neighbour channels at every sample, ordered by ``neighbor_rank``; null where a neighbour has none."""
+    blocks = neighbor_blocks(signals, neighbors, size)
+    width = neighbors.agg(F.max("neighbor_rank")).first()[0] or 0
+    names = [f"n{i}" for i in range(1, width + 1)]
+
+    @F.pandas_udf(", ".join(["at array<bigint>", "v array<double>", *[f"{n} array<double>" for n in names]]))
+    def align(parts: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in parts:
+            at, row = np.asarray(p[0]["at"]), [None] * (width + 2)
+            row[0], row[1] = at, p[0]["v"]
+            for q in p[1:]:
+                there = np.asarray(q["at"])
+                if len(there) == len(at) and (there == at).all():
+                    row[q["rank"] + 1] = q["v"]
+                else:
+                    known = dict(zip(there.tolist(), q["v"]))
+                    row[q["rank"] + 1] = [known.get(i) for i in at.tolist()]
+            out.append(row)
+        return pd.DataFrame(out, columns=["at", "v", *names])
+
+    flat = blocks.select("recording_id", "channel", "k", align("parts").alias("a"))
+    rows = flat.select("recording_id", "channel", "k", F.explode(F.arrays_zip("a.at", "a.v", *[f"a.{n}" for n in names])).alias("z"))
+    near = F.slice(F.array(*[F.col(f"z.{n}") for n in names]), F.lit(1), F.col("k"))
+    return rows.select(
+        "recording_id", "channel", F.col("z.at").alias("sample_idx"), F.col("z.v").alias("value"), near.alias("neighbor_values")
     ).filter(F.col("value").isNotNull())
 
 

@@ -12,6 +12,7 @@ from . import (  # noqa: F401
     signals_q,
     spectra_q,
     stats_q,
+    stimulation_q,
     windows_q,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

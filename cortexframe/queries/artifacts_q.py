@@ -171,19 +171,65 @@ def art2(spark, sf):
     return rounded(art.hf_noise(fx.signals(spark, sf), 128.0), "ratio", "z")
 
 
-@query("art3_low_corr_channels")
+def _nearest(k: int = 3) -> str:
+    """The fixed layout's nearest channels as rows of SQL."""
+    rows = []
+    for c, at in POS.items():
+        others = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(POS[o], at)))), o) for o in POS if o != c)
+        rows.append("(" + ", ".join(f"'{n}'" for n in [c, *[o for _, o in others[:k]]]) + ")")
+    return f"near(channel, n1, n2, n3) AS (VALUES {', '.join(rows)})"
+
+
+# consensus of 20 planes through three points each; the minimum-norm plane lies in the span of the differences of its points
+_CONSENSUS = _nearest() + """,
+d AS (SELECT a.recording_id, a.channel, a.sample_idx, a.value AS y, b.value AS x1, c.value AS x2, e.value AS x3 FROM rect a JOIN near USING (channel)
+  JOIN rect b ON b.recording_id = a.recording_id AND b.sample_idx = a.sample_idx AND b.channel = n1
+  JOIN rect c ON c.recording_id = a.recording_id AND c.sample_idx = a.sample_idx AND c.channel = n2
+  JOIN rect e ON e.recording_id = a.recording_id AND e.sample_idx = a.sample_idx AND e.channel = n3),
+dm AS (SELECT recording_id, channel, median(y) AS m, max(sample_idx) + 1 AS n FROM d GROUP BY ALL),
+dl AS (SELECT recording_id, channel, median(abs(y - m)) AS most FROM d JOIN dm USING (recording_id, channel) GROUP BY ALL),
+cp AS (SELECT recording_id, channel, cand, pt, (3 * cand + pt + 43) * 2654435761 % n AS sample_idx
+  FROM dm, (SELECT unnest(range(20)) AS cand), (SELECT unnest(range(3)) AS pt)),
+pv AS (SELECT recording_id, channel, cand, list({'y': y, 'x1': x1, 'x2': x2, 'x3': x3} ORDER BY pt) AS p FROM cp JOIN d USING (recording_id, channel, sample_idx) GROUP BY ALL),
+df AS (SELECT recording_id, channel, cand, p[1] AS o, p[2].y - p[1].y AS f1, p[3].y - p[1].y AS f2,
+    [p[2].x1 - p[1].x1, p[2].x2 - p[1].x2, p[2].x3 - p[1].x3] AS e1, [p[3].x1 - p[1].x1, p[3].x2 - p[1].x2, p[3].x3 - p[1].x3] AS e2 FROM pv),
+gr AS (SELECT *, list_dot_product(e1, e1) AS g11, list_dot_product(e1, e2) AS g12, list_dot_product(e2, e2) AS g22 FROM df),
+wt AS (SELECT *, (g22 * f1 - g12 * f2) / (g11 * g22 - g12 * g12) AS w1, (g11 * f2 - g12 * f1) / (g11 * g22 - g12 * g12) AS w2 FROM gr),
+cm AS (SELECT recording_id, channel, cand, o, [w1 * e1[i] + w2 * e2[i] for i in range(1, 4)] AS c FROM wt),
+hit AS (SELECT recording_id, channel, cand, count(*) AS hits, any_value(c) AS c, any_value(o) AS o FROM d JOIN cm USING (recording_id, channel) JOIN dl USING (recording_id, channel)
+  WHERE abs(y - o.y - c[1] * (x1 - o.x1) - c[2] * (x2 - o.x2) - c[3] * (x3 - o.x3)) <= most GROUP BY ALL),
+won AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY recording_id, channel ORDER BY hits DESC, cand) = 1),
+mo AS (SELECT recording_id, channel, covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x1, x3) AS c, covar_pop(x2, x2) AS e, covar_pop(x2, x3) AS f, covar_pop(x3, x3) AS g,
+    covar_pop(x1, y) AS u, covar_pop(x2, y) AS v, covar_pop(x3, y) AS w
+  FROM d JOIN won USING (recording_id, channel) JOIN dl USING (recording_id, channel)
+  WHERE abs(y - o.y - won.c[1] * (x1 - o.x1) - won.c[2] * (x2 - o.x2) - won.c[3] * (x3 - o.x3)) <= most GROUP BY ALL),
+fit AS (SELECT recording_id, channel, u * (e * g - f * f) - v * (b * g - c * f) + w * (b * f - c * e) AS k1,
+    -u * (b * g - c * f) + v * (a * g - c * c) - w * (a * f - b * c) AS k2, u * (b * f - c * e) - v * (a * f - b * c) + w * (a * e - b * b) AS k3,
+    a * (e * g - f * f) - b * (b * g - f * c) + c * (b * f - e * c) AS det FROM mo),
+nc AS (SELECT recording_id, channel, abs(corr((k1 * x1 + k2 * x2 + k3 * x3) / det, y)) AS corr FROM d JOIN fit USING (recording_id, channel) GROUP BY ALL)"""
+
+
+@query("art3_low_corr_channels", "WITH " + RECT + ",\n" + _CONSENSUS + " SELECT recording_id, channel, round(corr, 6) + 0 AS corr FROM nc")
 def art3(spark, sf):
     return rounded(art.neighbor_correlation(rect(spark, sf), layout(spark, sf)), "corr")
 
 
-_BAD = W + """,
-b1 AS (SELECT DISTINCT recording_id, channel FROM signals WHERE value > 330), b2 AS (SELECT DISTINCT recording_id, channel FROM signals WHERE value < 0.1)"""
-
-
-@query("art4_bad_channels", _BAD + " SELECT * FROM b1 UNION SELECT * FROM b2")
+@query("art4_bad_channels", "WITH RECURSIVE " + flat_sql(16, 1e-6) + """,
+rect AS (SELECT * FROM (SELECT *, min(n) OVER (PARTITION BY recording_id) AS short FROM
+  (SELECT *, count(*) OVER (PARTITION BY recording_id, channel) AS n FROM signals)) WHERE sample_idx < short),
+""" + filtfilt_sql(16.0, 4, (4.0, None), "hp", "rect") + ",\n" + filtfilt_sql(16.0, 4, (None, 6.0), "lp", "rect") + f""",
+{_mad_sql("hp")},
+{_mad_sql("lp")},
+r AS (SELECT recording_id, channel, hp_mad.mad / lp_mad.mad AS ratio FROM hp_mad JOIN lp_mad USING (recording_id, channel)),
+cz AS (SELECT *, abs(ratio - median(ratio) OVER (PARTITION BY recording_id)) AS d, median(ratio) OVER (PARTITION BY recording_id) AS m FROM r),
+z AS (SELECT *, (ratio - m) / (median(d) OVER (PARTITION BY recording_id) / 0.6744897501960817::DOUBLE) AS z FROM cz),
+""" + _CONSENSUS + """
+SELECT recording_id, channel FROM flat WHERE longest >= 5 UNION SELECT recording_id, channel FROM z WHERE z > 0.5
+UNION SELECT recording_id, channel FROM nc WHERE corr < 0.05""")
 def art4(spark, sf):
-    s = fx.signals(spark, sf)
-    return art.bad_channels(s.filter("value > 330"), s.filter("value < 0.1"))
+    """Thresholds under which some channels of random events stay good."""
+    s, chans = rect(spark, sf), layout(spark, sf)
+    return art.detect_bad_channels(s, chans, 16.0, corr_threshold=0.05, noise_z=0.5, high=4.0, low=6.0)
 
 
 _D = ["recording_id", "channel", "variance", "kurtosis", "hurst", "correlation"]
@@ -317,6 +363,33 @@ def art12b(spark, sf):
     return out["epochs"].select("recording_id", "epoch_idx", "action")
 
 
+# the epoch decisions of the joint rules: z-scores over epochs and over the channels of an epoch, both beyond 1.5
+@query("art12_clean_joint", "WITH " + RECT + _EPOCHS + f""",
+p AS (SELECT recording_id, epoch_idx, avg(amplitude) AS a, avg(variance) AS v, avg(deviation) AS d FROM dv GROUP BY ALL),
+ze AS (SELECT recording_id, epoch_idx, {_z('a', 'recording_id')} AS a, {_z('v', 'recording_id')} AS v, {_z('d', 'recording_id')} AS d FROM p),
+zc AS (SELECT recording_id, epoch_idx, channel, {_z('amplitude', _CE)} AS a, {_z('variance', _CE)} AS v, {_z('deviation', _CE)} AS d, {_z('median_gradient', _CE)} AS g FROM dv),
+bc AS (SELECT recording_id, epoch_idx, channel FROM zc WHERE abs(a) > 1.5 OR abs(v) > 1.5 OR abs(d) > 1.5 OR abs(g) > 1.5),
+be AS (SELECT recording_id, epoch_idx, abs(a) > 1.5 OR abs(v) > 1.5 OR abs(d) > 1.5 AS is_bad, count(*) OVER (PARTITION BY recording_id) AS n FROM ze),
+gl AS (SELECT recording_id, list(channel) AS gl FROM (SELECT b.recording_id, channel FROM bc b JOIN be USING (recording_id, epoch_idx)
+  GROUP BY b.recording_id, channel HAVING count(*) / any_value(n) > 0.3) GROUP BY 1),
+ow AS (SELECT recording_id, epoch_idx, list(channel ORDER BY channel) AS bads FROM bc GROUP BY ALL),
+t AS (SELECT recording_id, epoch_idx, is_bad, coalesce(bads, []) AS bads, list_sort(list_distinct(list_concat(coalesce(bads, []), coalesce(gl, [])))) AS alls
+  FROM be LEFT JOIN ow USING (recording_id, epoch_idx) LEFT JOIN gl USING (recording_id))
+SELECT recording_id, epoch_idx, array_to_string(bads, ',') AS own, array_to_string(alls, ',') AS alls,
+  CASE WHEN is_bad AND len(bads) / 5 > 0.2 THEN CASE WHEN len(alls) > 0.3 * 5 THEN 'interpolated' ELSE 'candidate' END ELSE 'none' END AS action FROM t""")
+def art12c(spark, sf):
+    rules = cleaning.Rules(epoch_z=1.5, channel_z=1.5, min_corr=0.5, joint=True)  # five channels never differ by more than 2
+    out = cleaning.clean(rect(spark, sf), layout(spark, sf), NAMES, POS, 16.0, rules=rules)
+    return _show(out["epochs"], F.concat_ws(",", "all_bads").alias("alls"))
+
+
+@query("art12_clean_joint_signals")
+def art12d(spark, sf):
+    rules = cleaning.Rules(epoch_z=1.5, channel_z=1.5, min_corr=0.5, joint=True)
+    out = cleaning.clean(rect(spark, sf), layout(spark, sf), NAMES, POS, 16.0, use_ica=True, ica_labels=component_labels(spark, sf), rules=rules)
+    return rounded(out["signals"], "value")
+
+
 @query("art13_detect_r_peaks")
 def art13(spark, sf):
     ecg = fx.signals(spark, sf).filter("channel = 'signup'").select("recording_id", "sample_idx", "value")

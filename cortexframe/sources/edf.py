@@ -1,7 +1,8 @@
-"""EDF/BDF recordings as a Spark data source.
+"""EDF/BDF recordings as tables.
 
-A partition is a byte range of one file. The driver only lists files; every task reads the header and then
-seeks to the blocks that start in its range, so one long recording is read by many tasks.
+The files are listed by Spark as a table of paths and lengths, cut into byte ranges and dealt to tasks; no list of paths is
+on the driver. A task reads the header and then seeks to the blocks that start in its range, so one long recording is read
+by many tasks, and to the bytes of the wanted channels inside a record where that skips enough.
 """
 
 from __future__ import annotations
@@ -13,14 +14,23 @@ from datetime import datetime
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "blocks": "recording_id string, channel string, fs double, block_idx bigint, start_sample bigint, samples array<double>",
     "channels": "recording_id string, channel string, channel_order bigint, fs double, n_samples bigint, units string, meas_date timestamp",
     "annotations": "recording_id string, onset double, duration double, description string",
 }
+_TEXT, _REAL, _WHOLE = pa.string(), pa.float64(), pa.int64()
+ARROW = {
+    "blocks": pa.schema([("recording_id", _TEXT), ("channel", _TEXT), ("fs", _REAL), ("block_idx", _WHOLE),
+                         ("start_sample", _WHOLE), ("samples", pa.list_(_REAL))]),
+    "channels": pa.schema([("recording_id", _TEXT), ("channel", _TEXT), ("channel_order", _WHOLE), ("fs", _REAL),
+                           ("n_samples", _WHOLE), ("units", _TEXT), ("meas_date", pa.timestamp("us", tz="UTC"))]),
+    "annotations": pa.schema([("recording_id", _TEXT), ("onset", _REAL), ("duration", _REAL), ("description", _TEXT)]),
+}
 # Factor from the physical dimension to volts.
 TO_VOLTS = {"uv": 1e-6, "µv": 1e-6, "mv": 1e-3, "nv": 1e-9, "v": 1.0}
 
@@ -95,84 +105,121 @@ def parse_annotations(raw: bytes) -> list[tuple[float, float, str]]:
     return out
 
 
-@dataclass
-class Part(InputPartition):
-    path: str
-    size: int
-    lo: int
-    hi: int
-
-    def __init__(self, path, size, lo, hi):
-        super().__init__((path, lo))
-        self.path, self.size, self.lo, self.hi = path, size, lo, hi
-
-
-class EdfReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.files = [line.rsplit("|", 1) for line in options["files"].split("\n") if line]
-        self.kind, self.base = options.get("kind", "blocks"), options.get("base", "")
-        self.seconds = float(options.get("block_seconds", "60"))
-        self.split = int(options.get("split_bytes", str(64 << 20)))
-        wanted = options.get("wanted_channels")
-        self.wanted = set(wanted.split("\n")) if wanted else None
-
-    def partitions(self):
-        parts = []
-        for path, size in self.files:
-            size = int(size)
-            step = size if self.kind == "channels" else self.split
-            parts += [Part(path, size, lo, min(lo + step, size)) for lo in range(0, max(size, 1), max(step, 1))]
-        return parts
-
-    def read(self, part: Part):
-        from pyarrow import fs as arrow_fs
-
-        system, inner = arrow_fs.FileSystem.from_uri(part.path) if "://" in part.path or part.path.startswith("file:") else (
-            arrow_fs.LocalFileSystem(), part.path)
-        name = recording_name(part.path, self.base)
-        with system.open_input_file(inner) as f:
-            h = parse_header(f, part.size)
-            if self.kind == "channels":
-                for i, label in enumerate(h.labels):
-                    if not h.is_text(i):
-                        yield (name, label, i, h.counts[i] / h.seconds, h.counts[i] * h.records, h.units[i], h.start)
-                return
-            per = max(1, int(round(self.seconds / h.seconds))) if h.seconds > 0 else 1
-            edges = np.concatenate([[0], np.cumsum(h.counts)]) * h.width
-            for b in range(-(-h.records // per)):
-                at = h.data_at + b * per * h.record_bytes
-                if not part.lo <= at < part.hi:
-                    continue
-                n = min(per, h.records - b * per)
-                f.seek(at)
-                raw = np.frombuffer(f.read(n * h.record_bytes), dtype=np.uint8)
-                n = len(raw) // h.record_bytes
-                raw = raw[: n * h.record_bytes].reshape(n, h.record_bytes)
-                for i, label in enumerate(h.labels):
-                    piece = np.ascontiguousarray(raw[:, edges[i]:edges[i + 1]])
-                    if h.is_text(i):
-                        if self.kind == "annotations":
-                            for rec in piece:
-                                for a in parse_annotations(rec.tobytes()):
-                                    yield (name, *a)
-                    elif self.kind == "blocks" and (self.wanted is None or label in self.wanted):
-                        volts = TO_VOLTS.get(h.units[i].lower(), 1.0)
-                        x = (decode(piece.reshape(-1), h.width) * h.gain[i] + h.offset[i]) * volts
-                        yield (name, label, h.counts[i] / h.seconds, b, b * per * h.counts[i], x.tolist())
-
-
-class EdfSource(DataSource):
-    """Format ``edf_blocks``; use the functions below, which list the files first."""
-
-    @classmethod
-    def name(cls):
-        return "edf_blocks"
-
-    def schema(self):
-        return SCHEMAS[self.options.get("kind", "blocks")]
-
-    def reader(self, schema):
-        return EdfReader(dict(self.options))
+MIN_SKIP = 64 << 10  # bytes; a shorter gap between wanted bytes is read over
+
+
+def read_records(f, head: Header, at: int, n: int, wanted: list[int], min_skip: int = MIN_SKIP) -> dict[int, np.ndarray]:
+    """Bytes of the ``wanted`` channels in up to ``n`` records from byte ``at`` on, one row per record.
+
+    A record is read in the stretches that hold wanted channels; if no gap reaches ``min_skip``, all records are one read.
+    """
+    edges = np.concatenate([[0], np.cumsum(head.counts)]) * head.width
+    spans: list[list[int]] = []
+    for i in wanted:
+        lo, hi = int(edges[i]), int(edges[i + 1])
+        if spans and lo - spans[-1][1] < min_skip:
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
+    if not spans:
+        return {}
+    size = head.record_bytes
+    if len(spans) == 1 and size - (spans[0][1] - spans[0][0]) < min_skip:
+        spans = [[0, size]]
+    if spans == [[0, size]]:
+        f.seek(at)
+        raw = np.frombuffer(f.read(n * size), dtype=np.uint8)
+        rows = {0: raw[: len(raw) // size * size].reshape(-1, size)}
+    else:
+        pieces: dict[int, list[np.ndarray]] = {lo: [] for lo, _ in spans}
+        for r in range(n):
+            got = {}
+            for lo, hi in spans:
+                f.seek(at + r * size + lo)
+                got[lo] = np.frombuffer(f.read(hi - lo), dtype=np.uint8)
+            if any(len(got[lo]) < hi - lo for lo, hi in spans):
+                break  # the file ends inside this record
+            for lo, _ in spans:
+                pieces[lo].append(got[lo])
+        rows = {lo: np.stack(p) if p else np.zeros((0, hi - lo), np.uint8) for (lo, hi), p in zip(spans, pieces.values())}
+    out = {}
+    for i in wanted:
+        lo = max(s for s in rows if s <= edges[i])
+        out[i] = np.ascontiguousarray(rows[lo][:, edges[i] - lo:edges[i + 1] - lo])
+    return out
+
+
+def _open(path: str):
+    from pyarrow import fs as arrow_fs
+
+    if "://" in path or path.startswith("file:"):
+        system, inner = arrow_fs.FileSystem.from_uri(path)
+    else:
+        system, inner = arrow_fs.LocalFileSystem(), path
+    return system.open_input_file(inner)
+
+
+def _channel_rows(f, name: str, size: int):
+    h = parse_header(f, size)
+    for i, label in enumerate(h.labels):
+        if not h.is_text(i):
+            yield (name, label, i, h.counts[i] / h.seconds, h.counts[i] * h.records, h.units[i], h.start)
+
+
+def _blocks_in(f, size: int, lo: int, hi: int, seconds: float, choose, min_skip: int):
+    """``header, block, its first record's number, bytes per channel`` of the blocks that start in ``[lo, hi)``."""
+    h = parse_header(f, size)
+    wanted = [i for i, label in enumerate(h.labels) if choose(h, i, label)]
+    if not wanted or not h.record_bytes:
+        return
+    per = max(1, int(round(seconds / h.seconds))) if h.seconds > 0 else 1
+    span = per * h.record_bytes
+    first = max(0, -(-(lo - h.data_at) // span))
+    for b in range(first, -(-h.records // per)):
+        at = h.data_at + b * span
+        if at >= hi:
+            break
+        yield h, b, b * per, read_records(f, h, at, min(per, h.records - b * per), wanted, min_skip)
+
+
+def _sample_rows(f, name: str, size: int, lo: int, hi: int, seconds: float, names: set[str] | None, min_skip: int):
+    def choose(h, i, label):
+        return not h.is_text(i) and (names is None or label in names)
+
+    for h, b, record, found in _blocks_in(f, size, lo, hi, seconds, choose, min_skip):
+        for i, raw in found.items():
+            volts = TO_VOLTS.get(h.units[i].lower(), 1.0)
+            x = (decode(raw.reshape(-1), h.width) * h.gain[i] + h.offset[i]) * volts
+            yield (name, h.labels[i], h.counts[i] / h.seconds, b, record * h.counts[i], x)
+
+
+def _note_rows(f, name: str, size: int, lo: int, hi: int, seconds: float, min_skip: int):
+    for _, _, _, found in _blocks_in(f, size, lo, hi, seconds, lambda h, i, label: h.is_text(i), min_skip):
+        for raw in found.values():
+            for record in raw:
+                for note in parse_annotations(record.tobytes()):
+                    yield (name, *note)
+
+
+BATCH_BYTES = 8 << 20
+
+
+def _batches(rows, kind: str):
+    """Rows as Arrow batches of bounded size."""
+    fields = ARROW[kind]
+
+    def batch(part):
+        return pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*part), fields)], schema=fields)
+
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += row[-1].nbytes + 64 if kind == "blocks" else 128
+        if held >= BATCH_BYTES:
+            yield batch(part)
+            part, held = [], 0
+    if part:
+        yield batch(part)
 
 
 def recording_name(path: str, base: str) -> str:
@@ -182,27 +229,47 @@ def recording_name(path: str, base: str) -> str:
     return os.path.splitext(rel)[0]
 
 
-MAX_FILES = 1_000_000
+def file_ranges(spark: SparkSession, path: str, step: int | None) -> DataFrame:
+    """``path, length, lo, hi``: byte ranges of ``step`` bytes of all EDF/BDF files below ``path``; one per file if None."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.{[eE][dD][fF],[bB][dD][fF]}").load(path).select("path", "length")
+    if step is None:
+        return listed.select("path", "length", F.lit(0).cast("bigint").alias("lo"), F.col("length").alias("hi"))
+    cut = listed.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(step).cast("bigint"))).alias("lo"))
+    return cut.withColumn("hi", F.least(F.col("lo") + step, "length"))
 
 
-def _load(spark: SparkSession, path: str, kind: str, channels: list[str] | None = None, **options) -> DataFrame:
-    spark.dataSource.register(EdfSource)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.{[eE][dD][fF],[bB][dD][fF]}").load(path).select("path", "length").limit(MAX_FILES + 1).collect()
-    if len(listed) > MAX_FILES:
-        raise ValueError("too many files for one read; read the archive folder by folder")
-    reader = spark.read.format("edf_blocks").option("kind", kind).option("base", path).option(
-        "files", "\n".join(f"{r['path']}|{r['length']}" for r in sorted(listed)))
-    if channels is not None:
-        reader = reader.option("wanted_channels", "\n".join(channels))
-    for k, v in options.items():
-        reader = reader.option(k, str(v))
-    return reader.load()
+RANGES_PER_TASK = {"blocks": 1, "annotations": 4, "channels": 64}
+MAX_TASKS = 100_000
+
+
+def _load(spark: SparkSession, path: str, kind: str, channels: list[str] | None = None, block_seconds: float = 60.0,
+          split_bytes: int = 64 << 20, min_skip: int = MIN_SKIP) -> DataFrame:
+    ranges = file_ranges(spark, path, None if kind == "channels" else split_bytes)
+    tasks = min(MAX_TASKS, max(1, -(-ranges.count() // RANGES_PER_TASK[kind])))
+    names = None if channels is None else set(channels)
+
+    def read(batches):
+        for given in batches:
+            for r in given.to_pylist():
+                name = recording_name(r["path"], path)
+                with _open(r["path"]) as f:
+                    if kind == "channels":
+                        rows = _channel_rows(f, name, r["length"])
+                    elif kind == "annotations":
+                        rows = _note_rows(f, name, r["length"], r["lo"], r["hi"], block_seconds, min_skip)
+                    else:
+                        rows = _sample_rows(f, name, r["length"], r["lo"], r["hi"], block_seconds, names, min_skip)
+                    yield from _batches(rows, kind)
+
+    return ranges.repartition(tasks, "path", "lo").mapInArrow(read, SCHEMAS[kind])
 
 
-def read_edf(spark: SparkSession, path: str, channels: list[str] | None = None, block_seconds: float = 60.0, split_bytes: int = 64 << 20) -> DataFrame:
-    """Signal blocks in volts of all EDF/BDF files below ``path``; unwanted channels are not decoded."""
-    return _load(spark, path, "blocks", channels, block_seconds=block_seconds, split_bytes=split_bytes)
+def read_edf(spark: SparkSession, path: str, channels: list[str] | None = None, block_seconds: float = 60.0,
+             split_bytes: int = 64 << 20, min_skip: int = MIN_SKIP) -> DataFrame:
+    """Signal blocks in volts of all EDF/BDF files below ``path``; unwanted channels are not decoded and, where they fill
+    ``min_skip`` bytes in a row, not read."""
+    return _load(spark, path, "blocks", channels, block_seconds, split_bytes, min_skip)
 
 
 def read_edf_channels(spark: SparkSession, path: str) -> DataFrame:
@@ -210,6 +277,6 @@ def read_edf_channels(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, path, "channels")
 
 
-def read_edf_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations of all files below ``path``."""
-    return _load(spark, path, "annotations")
+def read_edf_annotations(spark: SparkSession, path: str, min_skip: int = MIN_SKIP) -> DataFrame:
+    """Annotations of all files below ``path``; of the records only the text channels are read."""
+    return _load(spark, path, "annotations", min_skip=min_skip)

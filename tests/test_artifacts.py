@@ -218,21 +218,78 @@ def test_debounce_markers(spark):
         assert sorted(got[k]) == brute_debounce(x, totals[k])
 
 
-@pytest.mark.parametrize("gap", [0.0, 2.0, 3.0, 50.0])
-def test_keep_spaced_across_chunks(spark, gap):
+@pytest.mark.parametrize("gap,parts", [(0.0, 7), (2.0, 40), (3.0, 1), (50.0, 40), (700.0, 25)])
+def test_keep_spaced_across_chunks(spark, gap, parts):
     rng = np.random.default_rng(9)
     data = {"dense": np.unique(rng.integers(0, 3000, 2500)).astype(float), "loose": np.cumsum(rng.integers(1, 60, 80)).astype(float), "one": np.array([4.0])}
     df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x], "k string, t double")
-    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep several chunks
-    try:
-        got = {}
-        for r in events.keep_spaced(df, ["k"], "t", gap).collect():
-            got.setdefault(r["k"], []).append(r["t"])
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    got = {}
+    for r in events.keep_spaced(df, ["k"], "t", gap, parts).collect():
+        got.setdefault(r["k"], []).append(r["t"])
     for k, x in data.items():
         assert sorted(got[k]) == brute_debounce(x, 1e9, gap, 0.0)
+    assert events.keep_spaced(df.limit(0), ["k"], "t", gap, parts).count() == 0
+
+
+def test_joined_summaries_equal_a_walk():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        gap = float(rng.choice([0.0, 1.0, 2.5, 30.0]))
+        x = np.unique(rng.integers(0, 60, rng.integers(2, 30))).astype(float)
+        if len(x) < 2:
+            continue
+        cut = int(rng.integers(1, len(x)))
+        parts = [dict(zip(("entry", "exit"), events._exits(p, gap))) for p in (x[:cut], x[cut:])]
+        entry, leave = (np.asarray(v) for v in events._joined(*parts, gap))
+        for state in [None, *(x[0] - np.array([0.5, 1.0, 2.0, 5.0, 31.0]))]:
+            start = 0 if state is None else events._entered(x, state, gap)
+            kept = events._walk(x, start, gap)
+            want = x[kept[-1]] if kept else state
+            assert events._after(entry, leave, state, gap) == want
+
+
+@pytest.mark.parametrize("size", [7, 4096])
+def test_gather_neighbors_with_gaps(spark, series, monkeypatch, size):
+    from cortexframe.operators import signals as sg
+
+    rng = np.random.default_rng(6)
+    data = {("a", c): rng.standard_normal(n) for c, n in zip("uvwx", (30, 30, 22, 30))} | {("b", "u"): rng.standard_normal(5)}
+    s = series(data).filter("NOT (channel = 'x' AND sample_idx % 5 = 2)")
+    near = [("a", "u", 1, "w"), ("a", "u", 2, "x"), ("a", "v", 1, "u"), ("a", "x", 1, "u"), ("a", "x", 2, "gone"), ("b", "u", 1, "v")]
+    table = spark.createDataFrame(near, "recording_id string, channel string, neighbor_rank bigint, neighbor string")
+    have = {(r["recording_id"], r["channel"], r["sample_idx"]): r["value"] for r in s.collect()}
+    want = {}
+    for (rec, c, i), v in have.items():
+        own = [n for r, ch, _, n in near if (r, ch) == (rec, c)]
+        if own:
+            want[rec, c, i] = (v, [have.get((rec, n, i)) for n in own])
+    got = sg.gather_neighbors(s, table, size).collect()
+    assert {(r["recording_id"], r["channel"], r["sample_idx"]): (r["value"], r["neighbor_values"]) for r in got} == want
+
+
+def test_joint_rules(spark, series):
+    rng = np.random.default_rng(15)
+    names, n = [f"c{i}" for i in range(12)], 64 * 20
+    pos = sphere(12, 2)
+    x = pos @ rng.standard_normal((3, n)) + 0.2 * rng.standard_normal((12, n))
+    x[[2, 5, 7, 9], 64 * 6:64 * 7] *= 40  # one bad epoch with four bad channels
+    x[4, 64 * 10:64 * 11] *= 60  # one with a single bad channel stays as it is
+    s = series({("a", c): x[i] for i, c in enumerate(names)})
+    where = dict(zip(names, map(tuple, pos)))
+    rules = cleaning.Rules(epoch_z=2.0, channel_z=1.2, min_corr=0.5, joint=True)
+    out = cleaning.clean(s, channel_table(spark, names, pos), names, where, 64.0, rules=rules)
+    rows = {r["epoch_idx"]: r for r in out["epochs"].collect()}
+    assert "annotations" not in out and rows[6]["action"] == "interpolated" and {"c2", "c5", "c7", "c9"} <= set(rows[6]["all_bads"])
+    whole = {r["channel"] for r in out["repaired"].collect()}
+    for i, c in enumerate(names):
+        if c not in whole:
+            got, same = collect_series(out["signals"], "a", c), np.ones(n, bool)
+            for e, r in rows.items():
+                if r["action"] == "interpolated" and c in r["all_bads"]:
+                    same[64 * e:64 * (e + 1)] = False
+            assert np.allclose(got[same], x[i][same])
+            if not same[64 * 6]:
+                assert np.abs(got[64 * 6:64 * 7]).max() < np.abs(x[[2, 5, 7, 9], 64 * 6:64 * 7]).max() / 2
 
 
 def test_pair_stim_compat(spark):

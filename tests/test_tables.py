@@ -184,6 +184,46 @@ def test_classifier_learns_separable_stages(spark):
     assert pred.count() == 150 and per_fold.agg(F.min("accuracy")).first()[0] > 0.9
 
 
+class CountingFile:
+    def __init__(self, path):
+        self.inner, self.bytes = open(path, "rb"), 0
+
+    def seek(self, at):
+        self.inner.seek(at)
+
+    def read(self, n):
+        got = self.inner.read(n)
+        self.bytes += len(got)
+        return got
+
+
+def test_edf_reads_only_wanted_bytes(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = {f"C{i}": rng.uniform(-150, 150, 2000) for i in range(6)}
+    notes = [(3.5, 1.0, "lights off"), (8.0, 0, "2001 1")]
+    write_edf(tmp_path / "r.edf", data, 200, 10, False, notes)
+    size = (tmp_path / "r.edf").stat().st_size
+    f = CountingFile(tmp_path / "r.edf")
+    head = edf.parse_header(f, size)
+    whole = edf.read_records(f, head, head.data_at, 10, list(range(7)), 1)
+    f.bytes = 0
+    part = edf.read_records(f, head, head.data_at, 10, [1, 4], 300)
+    assert f.bytes == 10 * 2 * 400 and all((part[i] == whole[i]).all() for i in (1, 4))
+    f.bytes = 0
+    text = edf.read_records(f, head, head.data_at, 10, [6], 300)
+    assert f.bytes == 10 * 120 and (text[6] == whole[6]).all()
+    f.bytes = 0
+    edf.read_records(f, head, head.data_at, 10, [1, 4], 1 << 20)  # small gaps are read over
+    assert f.bytes == 10 * head.record_bytes
+    rows = edf.read_edf(spark, str(tmp_path), ["C4", "C1"], block_seconds=3.0, split_bytes=5000, min_skip=300).collect()
+    for c in ("C1", "C4"):
+        got = np.concatenate([r["samples"] for r in sorted(rows, key=lambda r: r["block_idx"]) if r["channel"] == c])
+        assert np.allclose(got * 1e6, data[c], atol=0.01)
+    ann = edf.read_edf_annotations(spark, str(tmp_path), min_skip=300).orderBy("onset").collect()
+    assert [(r["onset"], r["description"]) for r in ann] == [(3.5, "lights off"), (8.0, "2001 1")]
+    assert edf.read_edf(spark, str(tmp_path), ["none"]).count() == 0
+
+
 def test_streams_of_work_resume(spark):
     tasks = spark.createDataFrame([("a",), ("b",)], "file string")
     assert [r["file"] for r in tb.skip_done(tasks, tasks.filter("file = 'a'"), ["file"]).collect()] == ["b"]
