@@ -20,7 +20,7 @@ def once(fn):
 
     @wraps(fn)
     def wrapper(spark: SparkSession, sf: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf, fn.__name__)
+        key = (spark.sparkContext.applicationId, sf, fn.__module__, fn.__name__)
         if key not in _MEMO:
             _MEMO[key] = materialize(fn(spark, sf))
         return _MEMO[key]

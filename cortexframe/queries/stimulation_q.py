@@ -16,7 +16,7 @@ FS = 16.0
 
 
 @fx.once
-def annotations(spark, sf):
+def sample_annotations(spark, sf):
     """The texts of the event recordings on the time axis of their samples: five channels, so five events a sample."""
     a = fx.annotations(spark, sf).withColumnRenamed("onset", "_t")
     at = sequence_index(a, ["recording_id"], ["_t", "event_id"], "_p")
@@ -24,7 +24,7 @@ def annotations(spark, sf):
 
 
 def report(spark, sf, before, after, **how):
-    return stm.stimulation_report(fx.signals(spark, sf), annotations(spark, sf), FS, before, after, 16, report_channels=NAMES, **how)
+    return stm.stimulation_report(fx.signals(spark, sf), sample_annotations(spark, sf), FS, before, after, 16, report_channels=NAMES, **how)
 
 
 # markers more than 3 s apart and not in the last 10 s, their segments, and the windows of one second in them
