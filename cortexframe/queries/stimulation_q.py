@@ -59,7 +59,7 @@ def windows(spark, sf):
 def cut(spark, sf):
     s = fx.signals(spark, sf)
     totals = s.groupBy("recording_id").agg((F.max("sample_idx") / FS).alias("total"))
-    return stm.cut_windows(s, stm.analysis_windows(annotations(spark, sf), totals, (0.0, 1.0), (0.0, 1.0)), FS)
+    return stm.cut_windows(s, stm.analysis_windows(sample_annotations(spark, sf), totals, (0.0, 1.0), (0.0, 1.0)), FS)
 
 
 @query("stim_report_tests", _TESTS + """,
