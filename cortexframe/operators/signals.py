@@ -124,7 +124,7 @@ def gather_neighbors(signals: DataFrame, neighbors: DataFrame, size: int = NEIGH
     def align(parts: pd.Series) -> pd.DataFrame:
         out = []
         for p in parts:
-            at, row = np.asarray(p[0]["at"]), [None] * (width + 2)
+            at, row = np.asarray(p[0]["at"]), [[]] * (width + 2)  # zipping fills short lists with nulls
             row[0], row[1] = at, p[0]["v"]
             for q in p[1:]:
                 there = np.asarray(q["at"])
