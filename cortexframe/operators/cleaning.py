@@ -66,12 +66,16 @@ def _filled(signals: DataFrame, names: list[str], positions: dict, aside: DataFr
     return art.interpolate(frames, names, positions).select("recording_id", "sample_idx", "values")
 
 
-def _without(frames: DataFrame, model: IcaModel | DataFrame, picked: DataFrame) -> DataFrame:
-    """Frames without the components in ``picked``, which names them per recording or for all."""
+def _without(frames: DataFrame, model: IcaModel | DataFrame, picked: DataFrame, n_ch: int) -> DataFrame:
+    """Frames without the components in ``picked``, which names them per recording or for all.
+
+    A model has at most ``n_ch`` components; larger numbers name none and are not sent along with the frames.
+    """
+    picked = picked.filter(F.col("component") < n_ch)
     lists = F.array_sort(F.collect_set(F.col("component").cast("int"))).alias("exclude")
     if "recording_id" in picked.columns:
         marked = lookup_join(frames, picked.groupBy("recording_id").agg(lists), ["recording_id"], "left")
-    else:  # at most one row per channel
+    else:  # at most one row per component
         drop = [int(r["component"]) for r in picked.select("component").distinct().collect()]
         marked = frames.withColumn("exclude", F.array(*[F.lit(c) for c in drop]).cast("array<int>"))
     out = ica_apply(marked, model, "exclude") if isinstance(model, IcaModel) else ica_apply_keyed(marked, model, ["recording_id"])
@@ -115,7 +119,7 @@ def clean(
             fit_on = _filled(mask_samples(good, stim, fs), names, positions, aside) if stim is not None else frames
             ica_model = ica_fit_keyed(fit_on, len(names), ["recording_id"])
         picked = select_components(ica_labels, "artifact" if stim is None else "non_brain")
-        cleaned = drop_channels(frames_to_signals(_without(frames, ica_model, picked), names), aside)
+        cleaned = drop_channels(frames_to_signals(_without(frames, ica_model, picked, len(names)), names), aside)
         if stim is not None:
             cleaned = mask_samples(cleaned, stim, fs).unionByName(mask_samples(good, stim, fs, "inside").select(*cleaned.columns))
         good = materialize(cleaned)

@@ -337,3 +337,15 @@ def test_keyed_components_equal_single_fits(spark):
     assert all(r["values"] == [1.0] * 4 for r in flat)
     checks = keyed_ica.model_checks(df.filter("recording_id <> 'flat'"), models.filter("k > 0"), 4, keys, 1e-3).collect()
     assert all(r["white"] and r["fixed"] and r["inverse"] for r in checks) and len(checks) == 6
+
+
+@pytest.mark.parametrize("per_recording", [False, True])
+def test_frames_carry_no_components_that_a_model_cannot_have(spark, monkeypatch, per_recording):
+    frames = spark.createDataFrame([("a", i, [float(i), 1.0, 2.0]) for i in range(4)], "recording_id string, sample_idx bigint, values array<double>")
+    picked = spark.range(5000).withColumnRenamed("id", "component")
+    if per_recording:
+        picked = picked.selectExpr("'a' AS recording_id", "component")
+    seen = []
+    monkeypatch.setattr(cleaning, "ica_apply_keyed", lambda marked, *_: seen.append(marked) or marked)
+    cleaning._without(frames, frames, picked, 3)
+    assert [sorted(r["exclude"]) for r in seen[0].collect()] == [[0, 1, 2]] * 4
