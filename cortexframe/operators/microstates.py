@@ -163,10 +163,11 @@ def kl_criterion(curve: DataFrame, keys: list[str] = ["recording_id"]) -> DataFr
     )
 
 
-def _label_grams(peaks: DataFrame, runs: list[np.ndarray]) -> list[np.ndarray]:
-    """One pass over the peaks for all runs: per run the Gram matrix of every label.
+def _label_maps(peaks: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """One pass over the peaks for all runs: per run its next maps and the power along them.
 
-    Each task adds up its rows and emits one row per (run, label); only these are shuffled and collected.
+    Each task adds up the Gram matrices of its rows, one row per (run, label). Only these are shuffled; their sums become
+    maps on the executors, and the driver gets one map per run and label.
     """
     n_ch = runs[0].shape[1]
 
@@ -185,10 +186,17 @@ def _label_grams(peaks: DataFrame, runs: list[np.ndarray]) -> list[np.ndarray]:
         rows = [(r, k, s.ravel()) for r, ss in enumerate(sums) for k, s in enumerate(ss)]
         yield pd.DataFrame(rows, columns=["run", "k", "s"])
 
+    @F.pandas_udf("map array<double>, power double")
+    def leading(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_leading_map(np.reshape(m, (n_ch, n_ch))) for m in s], columns=["map", "power"])
+
     parts = peaks.select("values").mapInPandas(add, "run int, k int, s array<double>")
-    total = sum_vectors(parts, ["run", "k"], "s")
-    got = {(r["run"], r["k"]): np.array(r["s"]).reshape(n_ch, n_ch) for r in total.collect()}  # runs * k matrices
-    return [np.stack([got[r, k] for k in range(len(m))]) for r, m in enumerate(runs)]
+    total = sum_vectors(parts, ["run", "k"], "s").select("run", "k", leading("s").alias("_l")).select("run", "k", "_l.*")
+    got = {(r["run"], r["k"]): r for r in total.collect()}  # runs * k maps
+    return [
+        (np.array([got[r, k]["map"] for k in range(len(m))]), sum((got[r, k]["power"] for k in range(len(m))), 0.0))
+        for r, m in enumerate(runs)
+    ]
 
 
 def _seed_maps(peaks: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -226,8 +234,7 @@ def kmeans_by_k(
         active = [name for name in names if moving(name)]
         if not active:
             break
-        for name, s in zip(active, _label_grams(stored, [runs[name] for name in active])):
-            maps, explained = _leading_maps(s)
+        for name, (maps, explained) in zip(active, _label_maps(stored, [runs[name] for name in active])):
             runs[name] = maps
             prev[name], var[name] = var[name], (power - explained) / (n * (n_ch - 1))
     late = sum(map(moving, names))
@@ -241,16 +248,12 @@ def kmeans_by_k(
     return out
 
 
-def _leading_maps(grams: np.ndarray) -> tuple[np.ndarray, float]:
-    """Unit eigenvector of the largest eigenvalue of each Gram matrix, and the power along them."""
-    maps = np.zeros(grams.shape[:2])
-    explained = 0.0
-    for j, s in enumerate(grams):
-        vals, vecs = np.linalg.eigh(s)
-        top = int(np.argmax(np.abs(vals)))
-        maps[j] = vecs[:, top] / np.sqrt((vecs[:, top] ** 2).sum())
-        explained += float(maps[j] @ s @ maps[j])
-    return maps, explained
+def _leading_map(gram: np.ndarray) -> tuple[np.ndarray, float]:
+    """Unit eigenvector of the largest eigenvalue of a Gram matrix, and the power along it."""
+    vals, vecs = np.linalg.eigh(gram)
+    top = int(np.argmax(np.abs(vals)))
+    own = vecs[:, top] / np.sqrt((vecs[:, top] ** 2).sum())
+    return own, float(own @ gram @ own)
 
 
 def cv_totals(frames: DataFrame, solutions: list[np.ndarray]) -> list[float]:
