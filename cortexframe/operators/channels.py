@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.channels import channel_type, kind_name, kind_units
-from ..plans.joins import lookup_join
+from ..plans.chunks import sequence_index
+from ..plans.joins import MAX_BROADCAST_BYTES, lookup_join, spread_join
+from ..plans.materialize import materialize
+from ..plans.size import memory_bytes
 
-MAX_CHANNELS = 9999  # four-digit signal count of the EDF header
+TILE = 128  # places whose nearest channels are looked for together
 
 
 def classify_channels(channels: DataFrame, mode: str = "full") -> DataFrame:
@@ -115,28 +120,92 @@ def first_of_type(channels: DataFrame, include_misc: bool = False) -> DataFrame:
     return channels.groupBy("recording_id").agg(*firsts, F.count_if(other).alias("n_non_eeg"))
 
 
+def _turns(cells: list[Column]) -> Column:
+    """One number whose bits come from three numbers of 20 bits in turn: numbers near each other are places near each other."""
+    def spaced(c: Column) -> Column:
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    x, y, z = map(spaced, cells)
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+
+
+def _tiles(places: DataFrame) -> DataFrame:
+    """``recording_id, tile, place, at, names, lo, hi``: up to ``TILE`` places next to each other as arrays, and their box."""
+    ends = places.groupBy("recording_id").agg(*[f(f"pos.{c}").alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    met = lookup_join(places, ends, ["recording_id"])
+    share = lambda c: (F.col(f"pos.{c}") - F.col(f"_lo{c}")) / F.greatest(F.col(f"_hi{c}") - F.col(f"_lo{c}"), F.lit(1e-300))
+    cells = met.select("recording_id", "pos", "names", *[(F.coalesce(F.nanvl(share(c), F.lit(0.0)), F.lit(0.0)) * (2**20 - 1)).cast("bigint").alias(f"_{c}") for c in "xyz"])
+    line = cells.select("recording_id", "pos", "names", _turns([F.col(f"_{c}") for c in "xyz"]).alias("_line"))
+    numbered = sequence_index(line, ["recording_id"], ["_line", "pos"], "place")
+    tile = F.floor(F.col("place") / TILE).cast("bigint").alias("tile")
+    packed = numbered.groupBy("recording_id", tile).agg(
+        F.array_sort(F.collect_list(F.struct("place", "pos", "names"))).alias("_p"), F.array(*[F.min(f"pos.{c}") for c in "xyz"]).alias("lo"),
+        F.array(*[F.max(f"pos.{c}") for c in "xyz"]).alias("hi"))
+    at = F.flatten(F.transform("_p", lambda p: F.array(*[p["pos"][c] for c in "xyz"])))
+    return packed.select("recording_id", "tile", F.col("_p.place").alias("place"), at.alias("at"), F.col("_p.names").alias("names"), "lo", "hi")
+
+
+_FOUND = "array<struct<place:bigint,distance:double,neighbor:string>>"
+
+
+def _closest(place, at, reach, names, places, most: int):
+    """For every place up to ``most`` channels of a tile within its reach, by distance and name, and the distance of the last."""
+    order, flat = zip(*sorted(((i, n) for i, own in enumerate(names) for n in own), key=lambda e: e[1]))
+    there, here = np.reshape(places, (-1, 3))[list(order)], np.reshape(at, (-1, 3))
+    dist = np.sqrt(sum((there[None, :, c] - here[:, None, c]) ** 2 for c in range(3)))
+    row, col = np.nonzero(~(dist > np.asarray(reach, float)[:, None]))
+    by = np.lexsort((col, dist[row, col], row))
+    row, col = row[by], col[by]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    found = [(int(place[r]), float(dist[r, c]), flat[c]) for r, c in zip(row[rank < most], col[rank < most])]
+    ends = np.full(len(here), np.inf)
+    last = rank == most - 1
+    ends[row[last]] = dist[row[last], col[last]]
+    return found, ends
+
+
 def nearest_channels(channels: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` nearest other channels by electrode position within a recording.
+    """The ``k`` nearest other channels by electrode position within a recording, equal distances in order of names.
 
-    Channels without a usable position take no part. A recording has at most ``MAX_CHANNELS`` channels by its
-    file format, so its positions travel as one array and every channel ranks that array locally.
+    Channels without a usable position take no part. The work is done per place: of channels that share one, only the
+    ``k + 1`` first names can be among the nearest of any channel. Places lie in tiles along a curve through the recording.
+    A tile bounds the distances of its places by its own channels, and then meets the tiles whose boxes lie within reach.
     """
     norm = F.sqrt(sum(F.col(f"pos.{c}") ** 2 for c in "xyz"))
-    ok = F.col("pos").isNotNull() & ~F.isnan(norm) & (norm > 1e-6)
-    valid = channels.filter(ok).select("recording_id", "channel", "pos").dropDuplicates(["recording_id", "channel"])
-    layout = valid.groupBy("recording_id").agg(F.collect_list(F.struct("channel", "pos")).alias("_all"))
-    layout = layout.withColumn(
-        "_all", F.when(F.size("_all") <= MAX_CHANNELS, F.col("_all")).otherwise(
-            F.raise_error(F.lit("a recording has more channels than its file format allows")))
-    )
-
-    def ranked(row):
-        dist = F.sqrt(sum((row["pos"][c] - F.col(f"pos.{c}")) ** 2 for c in "xyz"))
-        return F.struct(dist.alias("distance"), row["channel"].alias("neighbor"))
-
-    others = F.filter("_all", lambda o: o["channel"] != F.col("channel"))
-    near = F.slice(F.array_sort(F.transform(others, ranked)), 1, k)
-    out = valid.join(layout, "recording_id").select("recording_id", "channel", F.posexplode(near).alias("_r", "_n"))
+    ok = F.col("pos").isNotNull() & ~F.isnan(norm) & (norm > 1e-6) & F.col("recording_id").isNotNull() & F.col("channel").isNotNull()
+    valid = materialize(channels.filter(ok).select("recording_id", "channel", "pos").dropDuplicates(["recording_id", "channel"]))
+    nth = F.row_number().over(Window.partitionBy("recording_id", "pos").orderBy("channel"))
+    places = valid.withColumn("_n", nth).filter(F.col("_n") <= k + 1).groupBy("recording_id", "pos").agg(F.collect_list("channel").alias("names"))
+    tiles = materialize(_tiles(places))
+
+    @F.pandas_udf(f"found {_FOUND}, reach array<double>")
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = zip(*(frame[c] for c in ("place", "at", "reach", "names", "places")))
+        return pd.DataFrame([_closest(*row, k + 1) for row in rows], columns=["found", "reach"])
+
+    none = F.transform("place", lambda p: F.lit(float("inf")))
+    own = tiles.withColumn("_f", within(F.struct("place", "at", none.alias("reach"), "names", F.col("at").alias("places"))))
+    own = materialize(own.select("recording_id", "tile", "lo", "hi", "_f.*"))
+
+    mine = own.select("recording_id", "tile", "lo", "hi", "reach")
+    other = own.select("recording_id", F.col("tile").alias("_tile"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    apart = [F.greatest(F.col("_lo")[c] - F.col("hi")[c], F.col("lo")[c] - F.col("_hi")[c], F.lit(0.0)) for c in range(3)]
+    gap = F.sqrt(sum(d * d for d in apart)) * (1 - 1e-9)  # rounding must not part a tile from one that it needs
+    near = F.isnan(gap) | (gap <= F.array_max("reach"))  # NaN is the largest reach
+    pairs = spread_join(mine, other, ["recording_id"], "tile").filter((F.col("tile") != F.col("_tile")) & near)
+    side = F.broadcast(tiles) if memory_bytes(tiles) <= MAX_BROADCAST_BYTES else tiles
+    met = pairs.select("recording_id", "tile", "_tile", "reach").join(side.select("recording_id", "tile", "place", "at"), ["recording_id", "tile"])
+    met = met.join(side.select("recording_id", F.col("tile").alias("_tile"), "names", F.col("at").alias("places")), ["recording_id", "_tile"])
+    across = met.select("recording_id", within(F.struct("place", "at", "reach", "names", "places"))["found"].alias("found"))
+    found = own.select("recording_id", "found").unionByName(across).select("recording_id", F.inline("found"))
+    best = found.groupBy("recording_id", "place").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))), 1, k + 1).alias("_near"))
+    spot = F.transform(F.arrays_zip("place", F.sequence(F.lit(0), F.size("place") - 1)), lambda p: F.struct(
+        p["place"].alias("place"), F.struct(*[F.get("at", p["1"].cast("int") * 3 + i).alias(c) for i, c in enumerate("xyz")]).alias("pos")))
+    spots = tiles.select("recording_id", F.inline(spot)).join(best, ["recording_id", "place"]).drop("place")
+    others = F.slice(F.filter("_near", lambda n: n["neighbor"] != F.col("channel")), 1, k)
+    out = spread_join(valid, spots, ["recording_id", "pos"], "channel").select("recording_id", "channel", F.posexplode(others).alias("_r", "_n"))
     return out.select(
         "recording_id", "channel", (F.col("_r") + 1).cast("bigint").alias("neighbor_rank"), "_n.neighbor", "_n.distance"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cortexframe.functions.channels import channel_type, natural_key
 from cortexframe.functions.stats import beta_inc, t_two_sided
 from cortexframe.operators import archive as ar
+from cortexframe.operators import channels as ch
 from cortexframe.operators import classifier as cl
 from cortexframe.operators import dataset as ds
 from cortexframe.operators import stats as st
@@ -260,3 +261,23 @@ def test_many_rows_in_few_bytes_make_many_chunks(spark):
     table = spark.range(n).selectExpr("'a' as recording_id", "id as sample_idx", "1 as label")
     per = range_chunks(table, ["recording_id"], ["sample_idx"]).groupBy(CHUNK).count().collect()
     assert len(per) >= 15 and max(r["count"] for r in per) < 4 * CHUNK_SAMPLES and sum(r["count"] for r in per) == n
+
+
+def test_nearest_channels_of_a_recording_of_any_size(spark):
+    """More channels than one array may hold, on a lattice full of equal distances and shared places."""
+    rng = np.random.default_rng(5)
+    xyz, names = rng.integers(1, 16, (10050, 3)) / 16, [f"c{i}" for i in rng.permutation(10050)]
+    xyz[:300] = xyz[0]
+    rows = [("a", n, tuple(map(float, p))) for n, p in zip(names, xyz)] + [("b", "x", (1.0, 0.0, 0.0)), ("b", "y", (2.0, 0.0, 0.0)), ("c", "z", (1.0, 1.0, 1.0))]
+    rows += [("b", "none", None), ("b", "zero", (0.0, 0.0, 0.0)), ("b", None, (1.0, 0.0, 0.0)), (None, "x", (1.0, 0.0, 0.0))]
+    df = spark.createDataFrame(rows, "recording_id string, channel string, pos struct<x:double,y:double,z:double>")
+    got = {}
+    for r in ch.nearest_channels(df, 3).collect():
+        got.setdefault((r["recording_id"], r["channel"]), {})[r["neighbor_rank"]] = (r["neighbor"], r["distance"])
+    assert len(got) == 10052
+    assert got["b", "x"] == {1: ("y", 1.0)} and got["b", "y"] == {1: ("x", 1.0)}
+    order = np.argsort(names)
+    for i in [*range(0, 10050, 25), *range(1, 300, 30)]:
+        dist = np.sqrt(((xyz[order] - xyz[i]) ** 2).sum(axis=1))
+        near = [int(j) for j in np.argsort(dist, kind="stable")[:4] if order[j] != i][:3]
+        assert got["a", names[i]] == {n + 1: (names[order[j]], dist[j]) for n, j in enumerate(near)}
