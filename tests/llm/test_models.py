@@ -199,3 +199,19 @@ def test_scores_match_a_plain_computation(spark):
         x /= np.linalg.norm(x) or 1
         margin = x @ model.weights[:-1] + model.weights[-1]
         assert got[i] == pytest.approx(1 / (1 + np.exp(-model.slope * margin - model.shift)), abs=1e-9)
+
+
+def test_features_of_a_batch_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cortexframe.llm.common import text_slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["ab, " * 2500] * 600})  # 6 MB of short tokens
+    tracemalloc.start()
+    for part in text_slices(batch, limit=nbsvm.SLICE_BYTES):
+        nbsvm.features(part.column("text"), 1 << 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
