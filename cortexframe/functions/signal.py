@@ -118,9 +118,9 @@ def window_starts(start: int, own: int, total: int, nperseg: int, step: int) ->
 
 
 def window_power(x: np.ndarray, starts: np.ndarray, nperseg: int, fs: float, window: np.ndarray) -> np.ndarray:
-    """One-sided power density of mean-removed, windowed segments; one row per start."""
-    seg = np.lib.stride_tricks.sliding_window_view(x, nperseg)[starts]
-    seg = (seg - seg.mean(axis=1, keepdims=True)) * window
-    p = np.abs(np.fft.rfft(seg, axis=1)) ** 2 / (fs * np.sum(window**2))
-    p[:, 1:(-1 if nperseg % 2 == 0 else None)] *= 2
+    """One-sided power density of mean-removed, windowed segments; one row per start. ``x`` may hold several series in rows."""
+    seg = np.lib.stride_tricks.sliding_window_view(x, nperseg, axis=-1)[..., starts, :]
+    seg = (seg - seg.mean(axis=-1, keepdims=True)) * window
+    p = np.abs(np.fft.rfft(seg, axis=-1)) ** 2 / (fs * np.sum(window**2))
+    p[..., 1:(-1 if nperseg % 2 == 0 else None)] *= 2
     return p

@@ -335,7 +335,8 @@ def interpolate(frames: DataFrame, channels: list[str], positions: dict[str, tup
                 absent: str | None = None) -> DataFrame:
     """Replace the channels listed in column ``bads`` of every frame by spherical-spline predictions.
 
-    Weights depend only on the two channel lists of a frame, so each task computes them once per pair it meets.
+    Weights depend only on the two channel lists of a frame, so each task computes them once per pair it meets. Only frames
+    with a list are handed to Python; in all frames a value that is not a number becomes null.
     Channels without a position, and those listed in column ``absent``, are neither used nor repaired.
     """
     index = {c: i for i, c in enumerate(channels)}
@@ -350,7 +351,8 @@ def interpolate(frames: DataFrame, channels: list[str], positions: dict[str, tup
         out = list(values)
         groups: dict[tuple, list[int]] = {}
         for row, names in enumerate(zip(bad, gone)):
-            groups.setdefault(tuple(map(listed, names)), []).append(row)
+            if names[0] is not None and out[row] is not None:
+                groups.setdefault(tuple(map(listed, names)), []).append(row)
         for (key, off), rows in groups.items():
             wrong = [i for i in key if i in placed and i not in off]
             good = [i for i in placed if i not in key and i not in off]
@@ -364,7 +366,10 @@ def interpolate(frames: DataFrame, channels: list[str], positions: dict[str, tup
         return pd.Series(out, dtype=object)
 
     gone = F.col(absent) if absent else F.lit(None).cast("array<string>")
-    return frames.withColumn("values", repair("values", bads, gone))
+    asked = F.coalesce(F.size(bads) > 0, F.lit(False))
+    fixed = repair(*[F.when(asked, c) for c in (F.col("values"), F.col(bads), gone)])
+    kept = F.when(F.exists("values", F.isnan), F.transform("values", lambda v: F.when(~F.isnan(v), v))).otherwise(F.col("values"))
+    return frames.withColumn("values", F.when(asked, fixed).otherwise(kept))
 
 
 def detect_r_peaks(ecg: DataFrame, fs: float, block: int = BLOCK_SAMPLES) -> DataFrame:

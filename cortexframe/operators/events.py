@@ -146,9 +146,12 @@ def before_after_tasks(
     """Analysis windows per segment.
 
     ``before`` needs a stimulation start inside the segment and counts from the segment start; ``after``
-    counts from the last stimulation end (or any text with 2000) inside it.
+    counts from the last stimulation end (or any text with 2000) inside it. Texts look for segments in stretches of at most
+    ``width`` seconds, or of the mean segment where that is shorter, so the pairs they form do not outnumber the rows by far.
     """
-    hits = annotations_in_segment(annotations, segments, width)
+    segments = materialize(segments)
+    mean = segments.agg(F.avg(F.col("seg_end") - F.col("seg_start"))).first()[0]
+    hits = annotations_in_segment(annotations, segments, min(width, mean) if mean and mean > 0 else width)
     d = F.col("description")
     ends = d.contains("End of stimulation") | d.contains("2000")
     marks = hits.groupBy("recording_id", "seg_idx", "seg_start").agg(

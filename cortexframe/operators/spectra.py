@@ -23,24 +23,34 @@ def to_db(power: Column) -> Column:
 def _windows(nperseg: int, step: int, fs: float, window: str, mean: bool):
     shape = sg.tukey if window == "tukey" else sg.hann
 
-    def one(x, start, n_right):
-        x = np.asarray(x, dtype=float)
-        n = nperseg
-        if start == 0 and len(x) < nperseg:  # block and halo hold the whole series, which is shorter than a window
-            n = len(x)
-        starts = sg.window_starts(start, len(x) - n_right, len(x), n, step if n == nperseg else n)
+    def alike(x, start, n_right):
+        """One result per row of ``x``: blocks of one length that start at the same place and have as long a halo."""
+        n, total = nperseg, x.shape[1]
+        if start == 0 and total < nperseg:  # block and halo hold the whole series, which is shorter than a window
+            n = total
+        starts = sg.window_starts(start, total - n_right, total, n, step if n == nperseg else n)
         if not len(starts) or n < 1:
-            return [], [], [], 0
+            return [([], [], [], 0)] * len(x)
         p = sg.window_power(x, starts, n, fs, shape(n))
-        freqs = np.arange(p.shape[1]) * fs / n
+        freqs = np.arange(p.shape[2]) * fs / n
         if mean:
-            return freqs, p.sum(axis=0), [], len(starts)
+            return [(freqs, row, [], len(starts)) for row in p.sum(axis=1)]
         at = (start + starts + n / 2) / fs
-        return np.tile(freqs, len(starts)), p.ravel(), np.repeat(at, p.shape[1]), len(starts)
+        return [(np.tile(freqs, len(starts)), row.ravel(), np.repeat(at, len(freqs)), len(starts)) for row in p]
 
     @F.pandas_udf("freq array<double>, power array<double>, time array<double>, n bigint")
     def udf(samples: pd.Series, start: pd.Series, n_right: pd.Series) -> pd.DataFrame:
-        rows = [one(x, s, r) for x, s, r in zip(samples, start, n_right)]
+        rows: list = [None] * len(samples)
+        groups: dict[tuple, list[int]] = {}
+        for i, (x, s, r) in enumerate(zip(samples, start, n_right)):
+            groups.setdefault((len(x), int(s), int(r)), []).append(i)
+        for (total, s, r), own in groups.items():
+            many = max(1, BLOCK_SAMPLES // max(total, 1))  # windows overlap, so few samples at a time
+            for at in range(0, len(own), many):
+                part = own[at:at + many]
+                x = np.stack([np.asarray(samples.iloc[i], dtype=float) for i in part])
+                for i, row in zip(part, alike(x, s, r)):
+                    rows[i] = row
         return pd.DataFrame(rows, columns=["freq", "power", "time", "n"])
 
     return udf

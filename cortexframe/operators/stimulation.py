@@ -53,8 +53,9 @@ def clean_windows(cut: DataFrame, channels: DataFrame, names: list[str], positio
     component labels are named by ``condition`` and ``segment_idx`` as well.
     """
     whole = F.concat_ws("/", *WINDOW)  # the last two parts hold no slash, so names stay apart
-    named = materialize(cut.select(whole.alias("recording_id"), "channel", "sample_idx", "value"))
-    keys = materialize(cut.select(whole.alias("_name"), *WINDOW).distinct())
+    stored = materialize(cut.select(whole.alias("_name"), *WINDOW, "channel", "sample_idx", "value"))  # windows are cut once
+    named = stored.select(F.col("_name").alias("recording_id"), "channel", "sample_idx", "value")
+    keys = materialize(stored.select("_name", *WINDOW).distinct())
     own = lookup_join(keys, channels, ["recording_id"]).drop(*WINDOW).withColumnRenamed("_name", "recording_id")
     if filtered:
         named = materialize(filter_detrend(named, own, fs, "stim"))

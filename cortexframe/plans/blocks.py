@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chunks import SERIES
 
 BLOCK_SAMPLES = 16384
+FEW_CHANNELS = 16  # up to here a frame takes one column per channel while it is gathered
 
 
 def to_blocks(signals: DataFrame, size: int = BLOCK_SAMPLES, keys: list[str] = SERIES) -> DataFrame:
@@ -72,16 +73,26 @@ def to_frames(signals: DataFrame, channels: list[str], partial: str = "error") -
     """Long samples to one array over the given channel order per ``(recording, sample)``.
 
     A sample without one of the channels stops the job (``partial="error"``) or holds null in its place
-    (``partial="null"``); no sample is left out.
+    (``partial="null"``); no sample is left out. A channel that a sample has twice stops the job.
     """
     order = F.create_map(*[x for i, c in enumerate(channels) for x in (F.lit(c), F.lit(i))])
     put = signals.withColumn("_i", F.try_element_at(order, F.col("channel"))).filter(F.col("_i").isNotNull())
+    if partial == "null" and len(channels) <= FEW_CHANNELS:
+        at = [F.col("_i") == i for i in range(len(channels))]
+        wide = put.groupBy("recording_id", "sample_idx").agg(
+            *[F.max(F.when(c, F.col("value"))).alias(f"_v{i}") for i, c in enumerate(at)],
+            F.greatest(*[F.count_if(c) for c in at], F.lit(0)).alias("_most"))
+        what = F.concat(F.lit("a sample has a channel twice: "), F.col("recording_id"), F.lit(", "), F.col("sample_idx").cast("string"))
+        values = F.when(F.col("_most") > 1, F.raise_error(what)).otherwise(F.array(*[f"_v{i}" for i in range(len(channels))]))
+        return wide.select("recording_id", "sample_idx", values.alias("values"))
     packed = put.groupBy("recording_id", "sample_idx").agg(
         F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("_v")
     )
     if partial == "null":
         placed = F.map_from_entries("_v")
-        values = F.transform(F.sequence(F.lit(0), F.lit(len(channels) - 1)), lambda i: F.try_element_at(placed, i))
+        whole = F.col("_v")["_i"] == F.array(*[F.lit(i) for i in range(len(channels))])
+        values = F.when(whole, F.col("_v")["value"]).otherwise(
+            F.transform(F.sequence(F.lit(0), F.lit(len(channels) - 1)), lambda i: F.try_element_at(placed, i)))
     elif partial == "error":
         what = F.concat(F.lit("a sample lacks a channel: "), F.col("recording_id"), F.lit(", "), F.col("sample_idx").cast("string"))
         values = F.when(F.size("_v") == len(channels), F.col("_v")["value"]).otherwise(F.raise_error(what))

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import MAX_BROADCAST_BYTES
 from .materialize import materialize
+from .size import memory_bytes
 
 SERIES = ["recording_id", "channel"]
 CHUNK = "_chunk"
@@ -36,10 +38,11 @@ def sample_halo(df: DataFrame, before: int, after: int, size: int = CHUNK_SAMPLE
     return out.withColumn("_own", F.floor(F.col(index) / size) == F.col(CHUNK))
 
 
-def range_chunks(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+def range_chunks(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, row: str | None = None) -> DataFrame:
     """Number balanced chunks of ``(keys, order)``; a hot key simply spans many chunks.
 
-    The rows are stored and counted first, so a chunk holds about ``CHUNK_SAMPLES`` rows at any size of the input.
+    The rows are stored and counted first, so a chunk holds about ``CHUNK_SAMPLES`` rows at any size of the input. With
+    several chunks, column ``row`` numbers the rows of a chunk along ``(keys, order)``, without gaps.
     """
     if parts is None:
         df = materialize(df)
@@ -47,6 +50,8 @@ def range_chunks(df: DataFrame, keys: list[str], order: list[str], parts: int |
         if parts == 1:
             return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in [*keys, *order]])
+    if row:
+        ranged = ranged.sortWithinPartitions(*keys, *order).withColumn(row, F.monotonically_increasing_id())
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
 
 
@@ -149,6 +154,21 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
 def sequence_index(
     df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None
 ) -> DataFrame:
-    """Zero-based dense position of every row within ``keys`` along ``order``."""
-    chunked = range_chunks(df, keys, order, parts)
-    return running(chunked, keys, order, {name: ("count", F.lit(1))}, inclusive=False).drop(CHUNK)
+    """Zero-based dense position of every row within ``keys`` along ``order``.
+
+    Each chunk is sorted and its rows are numbered as it is written, so a key's rows in a chunk have consecutive numbers.
+    One row per key and chunk then says by how much they are shifted.
+    """
+    chunked = range_chunks(df, keys, order, parts, "_row")
+    if "_row" not in chunked.columns:
+        return running(chunked, keys, order, {name: ("count", F.lit(1))}, inclusive=False).drop(CHUNK)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = chunked.groupBy(*keys, CHUNK).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    shifts = materialize(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(CHUNK).alias("_kc"), shift.alias("_by")))
+    same = F.col(CHUNK) == F.col("_kc")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    small = memory_bytes(shifts) <= MAX_BROADCAST_BYTES  # else both sides meet on the chunk, which bounds a hot key
+    out = chunked.join(F.broadcast(shifts) if small else shifts, same).withColumn(name, F.col("_row") + F.col("_by"))
+    return out.select(*df.columns, name)

@@ -23,6 +23,21 @@ def test_sequence_index(spark, parts):
     assert (got.loc[want.index, "pos"] == want).all() and len(got) == 3000
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_sequence_index_counts_null_keys_on_without_a_window_over_the_rows(spark, monkeypatch, small):
+    def running(*a, **kw):
+        raise AssertionError("rows of several chunks are numbered while they are written")
+
+    monkeypatch.setattr(chunks, "running", running)
+    if not small:
+        monkeypatch.setattr(chunks, "MAX_BROADCAST_BYTES", -1)
+    df = spark.createDataFrame([(None if i % 3 else "k", (i * 37) % 500) for i in range(500)], "k string, t bigint")
+    got = chunks.sequence_index(df, ["k"], ["t"], "pos", 7).collect()
+    for k in (None, "k"):
+        at = sorted((r["t"], r["pos"]) for r in got if r["k"] == k)
+        assert [p for _, p in at] == list(range(len(at))) and len(at) in (167, 333)
+
+
 @pytest.mark.parametrize("size", [1, 5, 64, 10_000])
 def test_running_and_neighbour(spark, size):
     df = hot_table(spark)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from cortexframe.operators import cleaning
+from cortexframe.operators import cleaning, events
 from cortexframe.operators import stimulation as stm
 from test_artifacts import channel_table, sphere
 
@@ -46,3 +46,29 @@ def test_windows_are_cleaned_one_by_one(spark, series):
         assert len(single) == 8 * 320
         assert max(abs(got[cond, r["channel"], r["sample_idx"]] - r["value"]) for r in single) < 1e-6
     assert any(abs(got["before", c, t] - x[i, t]) > 1e-3 for i, c in enumerate(names) for t in range(64))
+
+
+def test_cleaning_gathers_frames_once(spark, series, monkeypatch):
+    calls = []
+    frames = cleaning.to_frames
+    monkeypatch.setattr(cleaning, "to_frames", lambda *a: calls.append(1) or frames(*a))
+    names, n = [f"c{i}" for i in range(6)], 64
+    pos = sphere(6, 2)
+    x = np.random.default_rng(1).standard_normal((6, n))
+    x[[1, 3], 16:32] *= 40
+    s = series({("a", c): x[i] for i, c in enumerate(names)})
+    rules = cleaning.Rules(epoch_z=1.0, channel_z=1.0, min_corr=0.5, joint=True)
+    out = cleaning.clean(s, channel_table(spark, names, pos), names, dict(zip(names, map(tuple, pos))), 16.0, rules=rules)
+    got = {(r["channel"], r["sample_idx"]): r["value"] for r in out["signals"].collect()}
+    assert len(got) == 6 * n and len(calls) == 1
+
+
+def test_texts_look_for_segments_in_stretches_of_their_length(spark, monkeypatch):
+    widths = []
+    inside = events.annotations_in_segment
+    monkeypatch.setattr(events, "annotations_in_segment", lambda a, s, width: widths.append(width) or inside(a, s, width))
+    segments = spark.createDataFrame([("a", i, 3.0 * i, 3.0 * i + 3.0) for i in range(50)], "recording_id string, seg_idx bigint, seg_start double, seg_end double")
+    texts = [("a", i, 3.0 * i + 1, 0.0, "Start of stimulation") for i in range(50)]
+    got = events.before_after_tasks(segments, spark.createDataFrame(texts, "recording_id string, event_id bigint, onset double, duration double, description string"), (0.0, 1.0), (0.0, 1.0))
+    assert sorted((r["seg_idx"], r["tmin"]) for r in got.collect()) == [(i, 3.0 * i) for i in range(50)]
+    assert widths == [3.0]
