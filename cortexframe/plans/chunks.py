@@ -159,16 +159,17 @@ def sequence_index(
     Each chunk is sorted and its rows are numbered as it is written, so a key's rows in a chunk have consecutive numbers.
     One row per key and chunk then says by how much they are shifted.
     """
-    chunked = range_chunks(df, keys, order, parts, "_row")
-    if "_row" not in chunked.columns:
+    chunked = range_chunks(df, keys, order, parts, "_seq_row")
+    if "_seq_row" not in chunked.columns:
         return running(chunked, keys, order, {name: ("count", F.lit(1))}, inclusive=False).drop(CHUNK)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = chunked.groupBy(*keys, CHUNK).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
-    shifts = materialize(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(CHUNK).alias("_kc"), shift.alias("_by")))
-    same = F.col(CHUNK) == F.col("_kc")
+    sizes = chunked.groupBy(*keys, CHUNK).agg(F.min("_seq_row").alias("_seq_first"), F.count(F.lit(1)).alias("_seq_n"))
+    shift = F.coalesce(F.sum("_seq_n").over(before), F.lit(0)) - F.col("_seq_first")
+    shifts = materialize(sizes.select(
+        *[F.col(k).alias(f"_seq_{i}") for i, k in enumerate(keys)], F.col(CHUNK).alias("_seq_chunk"), shift.alias("_seq_by")))
+    same = F.col(CHUNK) == F.col("_seq_chunk")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_seq_{i}"))
     small = memory_bytes(shifts) <= MAX_BROADCAST_BYTES  # else both sides meet on the chunk, which bounds a hot key
-    out = chunked.join(F.broadcast(shifts) if small else shifts, same).withColumn(name, F.col("_row") + F.col("_by"))
-    return out.select(*df.columns, name)
+    out = chunked.join(F.broadcast(shifts) if small else shifts, same).withColumn(name, F.col("_seq_row") + F.col("_seq_by"))
+    return out.select(*df.columns, *([] if name in df.columns else [name]))

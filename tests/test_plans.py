@@ -31,8 +31,9 @@ def test_sequence_index_counts_null_keys_on_without_a_window_over_the_rows(spark
     monkeypatch.setattr(chunks, "running", running)
     if not small:
         monkeypatch.setattr(chunks, "MAX_BROADCAST_BYTES", -1)
-    df = spark.createDataFrame([(None if i % 3 else "k", (i * 37) % 500) for i in range(500)], "k string, t bigint")
+    df = spark.createDataFrame([(None if i % 3 else "k", (i * 37) % 500) for i in range(500)], "k string, t bigint").withColumn("_row", -F.col("t"))
     got = chunks.sequence_index(df, ["k"], ["t"], "pos", 7).collect()
+    assert all(r["_row"] == -r["t"] for r in got)
     for k in (None, "k"):
         at = sorted((r["t"], r["pos"]) for r in got if r["k"] == k)
         assert [p for _, p in at] == list(range(len(at))) and len(at) in (167, 333)
