@@ -41,6 +41,41 @@ def test_repeats_across_parts(spark, monkeypatch, part):
     assert got == {i: tuple(w) for (i, _), w in zip(rows, byte_strings([t for _, t in rows], 400))}
 
 
+def _edged(seed, passages):
+    """Texts of noise around a passage of 430 bytes, the same one in every ``passages``-th text, and copies of two of them."""
+    rnd = random.Random(seed)
+    noise = lambda n: "".join(rnd.choice("ghijkl") for _ in range(n))
+    shared = ["".join(rnd.choice("abcdef ") for _ in range(430)) for _ in range(passages)]
+    rows = [(i, noise(rnd.randint(200, 400)) + shared[i % passages] + noise(rnd.randint(200, 400))) for i in range(40)]
+    return rows + [(100, rows[0][1]), (101, rows[1][1]), (102, "é" + rows[1][1])]
+
+
+def test_open_windows_are_not_stored_one_by_one(spark, monkeypatch):
+    rows = _edged(1, 4)
+    stored, whole = [], pd_.materialize
+
+    def counted(df):
+        stored.append((out := whole(df)).count())
+        return out
+
+    monkeypatch.setattr(pd_, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in pd_.digest(docs).collect()}
+    assert got == {i: tuple(w) for (i, _), w in zip(rows, byte_strings([t for _, t in rows], 400))}
+    assert max(stored) < 40 * 31 / 4  # 40 texts hold 31 windows of a passage
+
+
+@pytest.mark.parametrize("hot,windows", [(2, 500_000), (9, 40), (4_000, 40)])
+def test_frequent_blocks_are_dealt_out_by_window(spark, monkeypatch, hot, windows):
+    monkeypatch.setattr(pd_, "HOT", hot)
+    monkeypatch.setattr(pd_, "TASK_WINDOWS", windows)
+    rows = _edged(2, 3) + _edged(3, 30) + [(103, "xy" * 1500), (104, "z" * 900), (105, None), (106, ""), (None, "z" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in pd_.digest(docs).collect()]
+    want = [(i, *w) for (i, _), w in zip(rows, byte_strings([t for _, t in rows], 400))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_the_length_of_a_text_does_not_set_the_memory():
     rnd = random.Random(1)
     text = pa.array(["".join(rnd.choice("abcdefgh \n") for _ in range(100_000)) * 160])
