@@ -57,6 +57,12 @@ def bandpass_taps(fs: float, low: float, high: float) -> np.ndarray:
     return _centre_add(upper, lower, -1.0)
 
 
+def highpass_taps(fs: float, low: float) -> np.ndarray:
+    """All but a low-pass; the transition is that of ``bandpass_taps``."""
+    low_t = min(max(0.25 * low, 2.0), low)
+    return _centre_add(np.array([1.0]), lowpass_taps(fs, low - low_t / 2, low_t), -1.0)
+
+
 def notch_taps(fs: float, freqs: list[float]) -> np.ndarray:
     """Band-stops of width f/200 around each frequency with 0.5 Hz flanks."""
     h = np.array([1.0])

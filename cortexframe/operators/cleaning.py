@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.blocks import to_frames
@@ -24,17 +24,22 @@ class Rules:
 
     ``joint``: a bad epoch with too many bad channels of its own is repaired when these and the recording's together exceed
     30 % of its channels; nothing is marked, and only the share of bad epochs makes a channel bad for the whole recording.
+    ``method`` and ``variance`` are those of the component models, ``picked`` the rule of ``select_components``: ``artifact``,
+    or ``non_brain`` when stimulation intervals are given, unless stated.
     """
 
     epoch_z: float = 5.0
     channel_z: float = 3.0
     min_corr: float = 0.8
     joint: bool = False
+    method: str = "fastica"
+    variance: float | None = 0.99
+    picked: str | None = None
 
 
 STANDARD = Rules()
 STIMULATION = Rules(epoch_z=3.0)
-JOINT = Rules(epoch_z=2.0, channel_z=2.0, min_corr=0.5, joint=True)
+JOINT = Rules(epoch_z=2.0, channel_z=2.0, min_corr=0.5, joint=True, method="infomax", variance=None, picked="non_brain_60")
 
 
 def frames_to_signals(frames: DataFrame, channels: list[str]) -> DataFrame:
@@ -60,11 +65,21 @@ def _repair(frames: DataFrame, names: list[str], positions: dict, lists: DataFra
     return fixed.select("recording_id", "sample_idx", "values")
 
 
+def _finite(value: Column) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
 def _filled(signals: DataFrame, names: list[str], positions: dict, aside: DataFrame) -> DataFrame:
-    """Frames over all names; the channels of ``aside`` are predicted from the others of their recording."""
-    lists = aside.groupBy("recording_id").agg(F.collect_set("channel").alias("bads"))
+    """Frames over all names; the channels of ``aside`` and what a frame lacks are predicted from the others of the frame.
+
+    ``given`` holds the values as they were, ``whole`` is false where nothing was left to predict from.
+    """
+    lists = aside.groupBy("recording_id").agg(F.collect_set("channel").alias("_aside"))
     frames = lookup_join(to_frames(signals, names, "null"), lists, ["recording_id"], "left")
-    return art.interpolate(frames, names, positions).select("recording_id", "sample_idx", "values")
+    lacking = F.filter(F.array(*[F.lit(c) for c in names]), lambda c, i: ~_finite(F.get("values", i)))
+    bads = F.array_union(lacking, F.coalesce("_aside", F.array().cast("array<string>")))
+    filled = art.interpolate(frames.withColumn("given", F.col("values")).withColumn("bads", bads), names, positions)
+    return filled.select("recording_id", "sample_idx", "values", "given", F.forall("values", _finite).alias("whole"))
 
 
 def _without(frames: DataFrame, model: IcaModel | DataFrame, picked: DataFrame, n_ch: int) -> DataFrame:
@@ -115,12 +130,15 @@ def clean(
         aside = materialize(found.select(*SERIES).filter(F.col("channel").isin(names)).distinct())
     good, kept_aside = art.remove_bad(eeg, aside) if remove_bad else (eeg, None)
     if use_ica and ica_labels is not None:
-        frames = _filled(good, names, positions, aside)
+        frames = materialize(_filled(good, names, positions, aside))
         if ica_model is None:
             fit_on = _filled(mask_samples(good, stim, fs), names, positions, aside) if stim is not None else frames
-            ica_model = ica_fit_keyed(fit_on, len(names), ["recording_id"])
-        picked = select_components(ica_labels, "artifact" if stim is None else "non_brain")
-        cleaned = drop_channels(frames_to_signals(_without(frames, ica_model, picked, len(names)), names), aside)
+            ica_model = ica_fit_keyed(fit_on.filter("whole"), len(names), ["recording_id"], rules.variance, method=rules.method)
+        picked = select_components(ica_labels, rules.picked or ("artifact" if stim is None else "non_brain"))
+        left = _without(frames, ica_model, picked, len(names))
+        kept = left.withColumn("values", F.zip_with("values", "given", lambda v, g: F.when(F.col("whole") & _finite(g), v).otherwise(g)))
+        there = frames_to_signals(kept, names).filter("value IS NOT NULL")
+        cleaned = drop_channels(there, aside).unionByName(good.filter("value IS NULL").select(*there.columns))
         if stim is not None:
             cleaned = mask_samples(cleaned, stim, fs).unionByName(mask_samples(good, stim, fs, "inside").select(*cleaned.columns))
         good = materialize(cleaned)

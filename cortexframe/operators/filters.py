@@ -67,7 +67,10 @@ def fir_filter(signals: DataFrame, taps: dict[str, list[np.ndarray]] | list[np.n
 
 
 def type_taps(fs: float, variant: str = "clean") -> dict[str, list[np.ndarray]]:
-    """Band-pass and notch taps per channel type; ``variant="stim"`` uses 1-20 Hz for EOG."""
+    """Band-pass and notch taps per channel type; ``variant="stim"`` uses 1-20 Hz for EOG.
+
+    A band that ends above the highest frequency of the series has no upper edge there: its lower edge is a high-pass.
+    """
     # Pass bands in Hz.
     bands = {"eeg": (0.5, 40.0), "eog": (0.5, 15.0) if variant == "clean" else (1.0, 20.0),
              "emg": (15.0, min(100.0, fs / 2 - 1)), "ecg": (0.5, 35.0)}
@@ -75,7 +78,7 @@ def type_taps(fs: float, variant: str = "clean") -> dict[str, list[np.ndarray]]:
              "emg": [50.0] if 100 < fs < 200 else [50.0, 100.0] if fs > 200 else []}
     out = {}
     for kind, (lo, hi) in bands.items():
-        out[kind] = [sg.bandpass_taps(fs, lo, hi)] if 0 < lo < hi < fs / 2 else []
+        out[kind] = [sg.bandpass_taps(fs, lo, hi) if hi < fs / 2 else sg.highpass_taps(fs, lo)] if 0 < lo < min(hi, fs / 2) else []
         if notch[kind]:
             out[kind].append(sg.notch_taps(fs, notch[kind]))
     return out

@@ -85,14 +85,34 @@ def whitening(g: np.ndarray, variance: float | None) -> tuple[np.ndarray, np.nda
 
 
 def decorrelate(w: np.ndarray) -> np.ndarray:
-    vals, vecs = np.linalg.eigh(w @ w.T)
-    return vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-300))) @ vecs.T @ w
+    """Also for a stack of matrices."""
+    vals, vecs = np.linalg.eigh(w @ w.swapaxes(-1, -2))
+    return (vecs * (1 / np.sqrt(np.maximum(vals, 1e-300)))[..., None, :]) @ vecs.swapaxes(-1, -2) @ w
 
 
-def fixed_point(w: np.ndarray, s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float]:
-    """The next unmixing rows from the means of ``tanh(W z) z'`` and of its slope, and how far they turned."""
-    new = decorrelate(s - d[:, None] * w)
-    return new, float(np.max(np.abs(np.abs(np.diag(new @ w.T)) - 1)))
+def contrast(z: np.ndarray, w: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """What a step needs from the whitened frames ``z``, as sums over them; also for stacks of frames and unmixing rows."""
+    y = z @ w.swapaxes(-1, -2)
+    if method == "fastica":
+        t = np.tanh(y)
+        return t.swapaxes(-1, -2) @ z, (1 - t**2).sum(axis=-2)
+    return np.tanh(y / 2).swapaxes(-1, -2) @ y, np.zeros(w.shape[:-1])
+
+
+def next_unmixing(w: np.ndarray, s: np.ndarray, d: np.ndarray, last: np.ndarray, rate: np.ndarray, method: str):
+    """The next unmixing rows from the means of ``contrast``, the change, its rate and how far the rows moved, for a stack.
+
+    ``fastica`` is the fixed point. ``infomax`` follows the natural gradient; a change that turns by more than 60 degrees from
+    the ``last`` one lowers the rate.
+    """
+    if method == "fastica":
+        new = decorrelate(s - d[..., None] * w)
+        return new, last, rate, np.abs(np.abs((new * w).sum(axis=-1)) - 1).max(axis=-1)
+    change = (np.eye(w.shape[-1]) - s) @ w
+    length = np.sqrt((change**2).sum(axis=(-1, -2)) * (last**2).sum(axis=(-1, -2)))
+    rate = np.where((change * last).sum(axis=(-1, -2)) < 0.5 * length, 0.9 * rate, rate)
+    new = w + rate[..., None, None] * change
+    return new, change, rate, np.abs(new - w).max(axis=(-1, -2))
 
 
 @dataclass(frozen=True)

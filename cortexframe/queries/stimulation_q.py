@@ -1,12 +1,14 @@
 """Queries of the stimulation experiment as one plan."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import stimulation as stm
-from ..operators.cleaning import Rules
+from ..operators.cleaning import JOINT
 from ..plans.chunks import sequence_index
 from . import fixtures as fx
-from .artifacts_q import NAMES, POS, layout
+from .artifacts_q import NAMES, POS, component_labels, layout
 from .events_q import _IS_MARKER
 from .registry import query, rounded
 from .stats_q import _P
@@ -79,7 +81,8 @@ def mean(spark, sf):
 
 @query("stim_report_cleaned")
 def cleaned(spark, sf):
-    """Windows of two seconds, each a recording of its own, filtered by type and with epochs of a quarter second repaired."""
-    out = report(spark, sf, (0.0, 2.0), (0.0, 2.0), channels=layout(spark, sf), names=NAMES, positions=POS,
-                 epoch_seconds=0.25, rules=Rules(epoch_z=1.5, channel_z=1.5, min_corr=0.5, joint=True))
+    """Windows of two seconds, each a recording of its own: filtered by type, without the components that are not brain, and
+    with epochs of a quarter second repaired."""
+    out = report(spark, sf, (0.0, 2.0), (0.0, 2.0), channels=layout(spark, sf), names=NAMES, positions=POS, use_ica=True,
+                 ica_labels=component_labels(spark, sf), epoch_seconds=0.25, rules=replace(JOINT, epoch_z=1.5, channel_z=1.5))
     return rounded(out["tests"], "t", "p", "p_adj")

@@ -339,6 +339,50 @@ def test_keyed_components_equal_single_fits(spark):
     assert all(r["white"] and r["fixed"] and r["inverse"] for r in checks) and len(checks) == 6
 
 
+@pytest.mark.parametrize("method", ["fastica", "infomax"])
+def test_small_and_large_keys_get_the_models_of_single_fits(spark, monkeypatch, method):
+    rng = np.random.default_rng(5)
+    data = {r: rng.laplace(size=(n, 3)) @ rng.standard_normal((3, 3)) + 2 for r, n in (("a", 300), ("b", 300), ("c", 1100))}
+    rows = [(r, i, v.tolist()) for r, x in data.items() for i, v in enumerate(x)] + [("flat", i, [1.0] * 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "recording_id string, sample_idx bigint, values array<double>").repartition(3)
+    monkeypatch.setattr(keyed_ica, "WHOLE_VALUES", 900)  # so "c" takes its steps as jobs, the others in a task
+    got = {r["recording_id"]: r for r in keyed_ica.ica_fit_keyed(df, 3, ["recording_id"], None, method=method).collect()}
+    assert set(got) == {*data, "flat"} and (got["flat"]["k"], got["flat"]["converged"]) == (0, True)
+    for r in data:
+        single = ica.ica_fit(df.filter(F.col("recording_id") == r), 3, None, method=method, max_iter=2000)
+        assert got[r]["converged"] and got[r]["iterations"] == single.iterations
+        assert np.allclose(np.reshape(got[r]["unmixing"], (-1, 3)), single.unmixing, atol=1e-8)
+        assert np.allclose(np.reshape(got[r]["mixing"], (3, -1)), single.mixing, atol=1e-8)
+
+
+def test_components_are_fitted_where_samples_are_missing(spark, series):
+    """Predictions stand in for missing values; what was missing stays so."""
+    rng = np.random.default_rng(9)
+    names, n = [f"c{i}" for i in range(5)], 200
+    pos = sphere(5, 2)
+    x = pos @ rng.laplace(size=(3, n)) + 0.3 * rng.standard_normal((5, n))
+    x[2, 60] = np.nan
+    s = series({("a", c): x[i, :150] if i == 4 else x[i] for i, c in enumerate(names)})  # one channel ends early
+    s = s.withColumn("value", F.when(~((F.col("channel") == "c0") & (F.col("sample_idx") == 10)), F.col("value")))
+    labels = spark.createDataFrame([(1, "muscle artifact", 0.65)], "component int, label string, proba double")
+    out = cleaning.clean(s, channel_table(spark, names, pos), names, dict(zip(names, map(tuple, pos))), 64.0, use_faster=False,
+                         use_ica=True, ica_labels=labels, rules=cleaning.JOINT)
+    got = {(r["channel"], r["sample_idx"]): r["value"] for r in out["signals"].collect()}
+    x[4, 150:] = x[0, 10] = np.nan
+    full = x.copy()
+    for t in np.flatnonzero(np.isnan(x).any(axis=0)):
+        bad = np.flatnonzero(np.isnan(x[:, t]))
+        good = np.setdiff1d(np.arange(5), bad)
+        full[bad, t] = spline_weights(pos[good], pos[bad]) @ x[good, t]
+    frames = spark.createDataFrame([(v.tolist(),) for v in full.T], "values array<double>")
+    m = ica.ica_fit(frames, 5, None, method="infomax", max_iter=2000)
+    want = (full.T - (full.T - m.mean) @ m.unmixing[[1]].T @ m.mixing[:, [1]].T).T
+    assert len(got) == 5 * n
+    for i, c in enumerate(names):
+        for t in range(n):
+            assert got[c, t] is None if np.isnan(x[i, t]) else abs(got[c, t] - want[i, t]) < 1e-6, (c, t)
+
+
 @pytest.mark.parametrize("per_recording", [False, True])
 def test_frames_carry_no_components_that_a_model_cannot_have(spark, monkeypatch, per_recording):
     frames = spark.createDataFrame([("a", i, [float(i), 1.0, 2.0]) for i in range(4)], "recording_id string, sample_idx bigint, values array<double>")

@@ -43,6 +43,16 @@ def test_type_dependent_taps():
     assert len(fl.type_taps(100.0)["eeg"]) == 1
 
 
+def test_a_band_that_ends_above_the_highest_frequency_keeps_its_lower_edge():
+    fs = 16.0
+    t = np.arange(2048) / fs
+    taps = fl.type_taps(fs, "stim")
+    assert [len(taps[k]) for k in ("eeg", "eog", "emg", "ecg")] == [1, 1, 0, 1]  # EMG starts above 8 Hz
+    for f, gain in ((0.0, 0.0), (0.02, 0.0), (4.0, 1.0), (7.5, 1.0)):
+        y = whole_fir(np.cos(2 * np.pi * f * t), taps["eeg"])[800:1200]
+        assert abs(np.max(np.abs(y)) - gain) < 0.02
+
+
 def direct_filtfilt(x, b, a):
     """Plain recursion with odd padding and steady-state start."""
     n = max(len(a), len(b))

@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 
 from cortexframe.operators import cleaning, events
@@ -72,3 +74,21 @@ def test_texts_look_for_segments_in_stretches_of_their_length(spark, monkeypatch
     got = events.before_after_tasks(segments, spark.createDataFrame(texts, "recording_id string, event_id bigint, onset double, duration double, description string"), (0.0, 1.0), (0.0, 1.0))
     assert sorted((r["seg_idx"], r["tmin"]) for r in got.collect()) == [(i, 3.0 * i) for i in range(50)]
     assert widths == [3.0]
+
+
+def test_the_cleaned_report_takes_components_out(spark, tmp_path):
+    """Two labelings of the components of the same events: all brain, and one that is not."""
+    from cortexframe.queries import stimulation_q
+
+    rng = np.random.default_rng(4)
+    kinds, start = ["error", "signup", "purchase", "view", "click"], datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i), 0, kinds[i % 5], float(v)) for i, v in enumerate(rng.laplace(size=2400))]
+    got = {}
+    for name, size in (("brain", 7), ("muscle", 2)):  # p_size picks the class, p_partkey the probability: 0.74 for 2
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(f"{sf}/events.parquet")
+        spark.createDataFrame([(2, size)], "p_partkey bigint, p_size int").write.parquet(f"{sf}/part.parquet")
+        got[name] = {(r["channel"], r["freq"]): (r["n"], r["t"]) for r in stimulation_q.cleaned(spark, sf).collect()}
+    assert got["brain"].keys() == got["muscle"].keys() and len(got["brain"]) == 45
+    assert all(n > 1 for n, _ in got["muscle"].values())
+    assert sum(abs(got["brain"][k][1] - got["muscle"][k][1]) > 1e-3 for k in got["brain"]) > 20
