@@ -38,8 +38,12 @@ def fir_chain(window: np.ndarray, n_left: int, n_right: int, taps: list[np.ndarr
 
 
 def fir_filter(signals: DataFrame, taps: dict[str, list[np.ndarray]] | list[np.ndarray], types: DataFrame | None = None,
-               block: int = BLOCK_SAMPLES, keys: list[str] = SERIES) -> DataFrame:
-    """Filter every series; with a typed channel table the taps are chosen by ``ch_type`` (others pass through)."""
+               block: int = BLOCK_SAMPLES, keys: list[str] = SERIES, bridge: bool = False) -> DataFrame:
+    """Filter every series; with a typed channel table the taps are chosen by ``ch_type`` (others pass through).
+
+    With ``bridge`` a sample without a value stays so and the filter meets a straight line in its place; otherwise all samples
+    that are filtered together with it lose theirs.
+    """
     by_type = taps if isinstance(taps, dict) else {"": taps}
     halo = max([sum(len(t) // 2 for t in ts) for ts in by_type.values()], default=0)
     blocks = with_halo(to_blocks(signals, block, keys), halo, halo, block, keys)
@@ -56,7 +60,12 @@ def fir_filter(signals: DataFrame, taps: dict[str, list[np.ndarray]] | list[np.n
             return x[left:len(x) - right]
         need = sum(len(t) // 2 for t in chain)  # a shorter filter uses only its part of the common halo
         l, r = min(left, need), min(right, need)
-        return fir_chain(x[left - l:len(x) - (right - r)], l, r, chain)
+        gaps = np.isnan(x)
+        bridged = bridge and gaps.any() and not gaps.all()
+        if bridged:
+            x = np.interp(np.arange(len(x)), np.flatnonzero(~gaps), x[~gaps])
+        out = fir_chain(x[left - l:len(x) - (right - r)], l, r, chain)
+        return np.where(gaps[left:len(x) - right], np.nan, out) if bridged else out
 
     @F.pandas_udf("array<double>")
     def apply(x: pd.Series, left: pd.Series, right: pd.Series, kind: pd.Series) -> pd.Series:
@@ -210,7 +219,7 @@ def filter_detrend(signals: DataFrame, types: DataFrame, fs: float, variant: str
                    block: int = BLOCK_SAMPLES) -> DataFrame:
     """Type-dependent band-pass and notch, then linear detrending."""
     if method == "fir":
-        out = fir_filter(signals, type_taps(fs, variant), types, block)
+        out = fir_filter(signals, type_taps(fs, variant), types, block, bridge=True)
     else:
         bands = {"eeg": (0.5, 40.0), "eog": (1.0, 20.0), "emg": (15.0, min(100.0, fs / 2 - 1)), "ecg": (0.5, 35.0)}
         typed = lookup_join(signals, types.select(*SERIES, "ch_type").dropDuplicates(SERIES), SERIES, "left")

@@ -53,6 +53,22 @@ def test_a_band_that_ends_above_the_highest_frequency_keeps_its_lower_edge():
         assert abs(np.max(np.abs(y)) - gain) < 0.02
 
 
+def test_a_missing_sample_leaves_the_others_of_its_series(spark, series):
+    rng = np.random.default_rng(6)
+    x, n = rng.standard_normal(32), 32
+    types = spark.createDataFrame([("a", "x", "eeg"), ("a", "y", "eeg")], "recording_id string, channel string, ch_type string")
+    s = series({("a", "x"): x, ("a", "y"): x}).withColumn(
+        "value", F.when(~((F.col("channel") == "x") & F.col("sample_idx").isin(7, 8)), F.col("value")))
+    out = fl.filter_detrend(s, types, 16.0, "stim")
+    got = collect_series(out, "a", "x")
+    x[7:9] = x[6] + (x[9] - x[6]) * np.array([1, 2]) / 3
+    y, t = whole_fir(x, fl.type_taps(16.0, "stim")["eeg"]), np.setdiff1d(np.arange(n), [7, 8])
+    line = np.polyfit(t, y[t], 1)
+    assert [i for i, v in enumerate(got) if v is None or np.isnan(v)] == [7, 8]
+    assert np.allclose(got[t].astype(float), y[t] - np.polyval(line, t), atol=1e-9)
+    assert all(v is not None and np.isfinite(v) for v in collect_series(out, "a", "y"))
+
+
 def direct_filtfilt(x, b, a):
     """Plain recursion with odd padding and steady-state start."""
     n = max(len(a), len(b))
